@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PREFIX_CHARS = 64
 #: Bits of the map of surviving (length, prefix) keys; 1 MB at any size of the input.
 BITMAP_BITS = 1 << 23
+#: A group with this part of all rows is hot: at most so many groups are.
+HOT_GROUPS = 1000
 
 
 def _keys(text: Column) -> tuple[Column, Column]:
@@ -44,13 +46,21 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     largest id stays (null ids are smaller than any; if all ids of a group are null, keep_id is null and
     kept is true). Rows that repeat id and text are all marked alike: drop_exact_duplicates() leaves one.
     Columns of docs named keep_id, group_size or kept are replaced. Empty tables give empty results.
-    The groups are counted with map-side combining, and the join back to rows has one row a group on its
-    other side, so that Spark can split a group that very many rows share.
+    The groups are counted with map-side combining. The join back to rows shuffles by group only rows of
+    small groups: groups of at least 1 / HOT_GROUPS of all rows, of which there can't be more than
+    HOT_GROUPS, are broadcast, and their rows spread over all tasks.
     """
     own = [c for c in columns or docs.columns if c not in ("keep_id", "group_size", "kept")]
     hashed = _hashed(docs.select(*(F.col(f"`{c}`") for c in own if c not in (id_col, text_col)), id_col, text_col), text_col)
     groups = hashed.filter("_sha is not null").groupBy("_length", "_prefix", "_sha").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    marked = hashed.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*own, id_col])), "_length", "_prefix", "_sha").join(groups, ["_length", "_prefix", "_sha"], "left")
+    groups = groups.crossJoin(F.broadcast(docs.agg(F.count("*").alias("_rows"))))
+    is_hot = F.col("group_size") * HOT_GROUPS >= F.col("_rows")
+    hot = groups.filter(is_hot).select("_length", "_sha", F.col("keep_id").alias("_hot_id"), F.col("group_size").alias("_hot_size"))
+    cool = groups.filter(~is_hot).select("_length", "_prefix", "_sha", "keep_id", "group_size")
+    rows = hashed.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*own, id_col])), "_length", "_prefix", "_sha").join(F.broadcast(hot), ["_length", "_sha"], "left")
+    spread = F.when(F.col("_hot_size").isNotNull() | F.col("_sha").isNull(), F.xxhash64(F.col(id_col)).cast("string")).otherwise(F.col("_sha"))
+    marked = rows.withColumn("_sha", spread).join(cool, ["_length", "_prefix", "_sha"], "left")
+    marked = marked.withColumn("group_size", F.coalesce("_hot_size", "group_size")).withColumn("keep_id", F.coalesce("_hot_id", "keep_id"))
     keep_id = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
     return marked.select(
         *(F.col(f"`{c}`") for c in own),

@@ -10,7 +10,7 @@ from vigilog.llm.common import WORD
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Rows a range of the hash key holds on average; ranges are cut from the row count, so that they never grow.
-RANGE_ROWS = 4096
+RANGE_ROWS = 2048
 #: Hex digits of the hash key that number its range.
 RANGE_DIGITS = 8
 

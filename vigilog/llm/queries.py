@@ -9,11 +9,29 @@ from pyspark.sql import functions as F
 
 from vigilog.llm.common import read
 from vigilog.llm.exact_dedup import mark_exact_duplicates
+from vigilog.llm.licenses import scan_licenses
 from vigilog.llm.mixing import mix_sources
+from vigilog.llm.pu_classifier import classify, held_out, train
+from vigilog.llm.quality_rules import judge_quality
 
 ORACLE: dict[str, str] = {}
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op4_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     return mark_exact_duplicates(docs, columns=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -62,6 +80,9 @@ FROM summed"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_pu_classifier": op4_pu_classifier,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
 }
