@@ -72,11 +72,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     Where the second part of a step's risk falls below 0, the step climbs back out of it instead, as in
     the paper. Without positives or unlabelled texts every score is the prior.
     """
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
+    both = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
         logit = np.log(prior / (1 - prior))
         return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), float(logit), prior)
-    mean, scale = both.mean(0), np.maximum(both.std(0), 0.01)
+    mean, scale = both.mean(0, dtype=np.float64).astype(np.float32), np.maximum(both.std(0, dtype=np.float64), 0.01).astype(np.float32)
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
     w, b = np.zeros(SIZE), 0.0
     m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
@@ -141,7 +141,8 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(features(encoded(texts))))
+        raw = encoded(texts)
+        return pd.Series(np.concatenate([model.score(features(raw[i : i + 500])) for i in range(0, len(raw), 500)]) if raw else [], dtype=float)
 
     scored = docs.drop("score", "predicted").withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn("predicted", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import read
+from vigilog.llm.common import read, shared_path
 from vigilog.llm.exact_dedup import mark_exact_duplicates
 from vigilog.llm.licenses import scan_licenses
 from vigilog.llm.mixing import mix_sources
 from vigilog.llm.pu_classifier import classify, held_out, train
 from vigilog.llm.quality_rules import judge_quality
+from vigilog.llm.sentencepiece_fst import encode_pieces
+from vigilog.llm.token_store import CachedEncoder, read_token_shards, write_token_shards
 
 ORACLE: dict[str, str] = {}
 
@@ -32,6 +35,17 @@ def op4_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, vocabulary = shared_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json")
+    write_token_shards(read(spark, sf_dir, "documents"), path, lambda: CachedEncoder(vocabulary))
+    return read_token_shards(spark, path)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = encode_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.select("doc_id", "n_pieces", "n_fallback", F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "round_trip")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     return mark_exact_duplicates(docs, columns=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -83,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_pu_classifier": op4_pu_classifier,
+    "op5_token_shards": op5_token_shards,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
 }
