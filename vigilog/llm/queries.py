@@ -16,6 +16,7 @@ from vigilog.llm.mixing import mix_sources
 from vigilog.llm.pu_classifier import classify, held_out, train
 from vigilog.llm.quality_rules import judge_quality
 from vigilog.llm.sentencepiece_fst import encode_pieces
+from vigilog.llm.suffix_dedup import remove_repeats
 from vigilog.llm.token_store import CachedEncoder, read_token_shards, write_token_shards
 
 ORACLE: dict[str, str] = {}
@@ -116,6 +117,11 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM summed"""
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
@@ -125,4 +131,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
