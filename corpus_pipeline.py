@@ -4,16 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from vigilog.llm.common import drop_path, read, shared_path
+from vigilog.llm.exact_dedup import drop_exact_duplicates
+from vigilog.llm.minhash import near_duplicates
+from vigilog.llm.mixing import mix_sources
+from vigilog.llm.pu_classifier import classify, train
+from vigilog.llm.sentencepiece_fst import encode_pieces
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier predicts to be good; null and empty texts are scored like others."""
+    model = train(docs, read(spark, sf_dir, "labels"))
+    # scored in an operator of its own, so that the columns of docs may have any names
+    keep = F.col("predicted") == 1
+    return classify(docs, model).filter(keep).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document for each different text, that with the largest id."""
+    return drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Documents without words are linked with nothing and stay; so do documents without an id, which can't be named.
+    """
+    dropped = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them."""
+    mixed = mix_sources(docs).filter("epochs > 0")
+    return mixed.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), "epochs"))).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece ids and counts of every document of the mix."""
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "n_fallback", "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("mixing to target weights", mix),
+    ("SentencePiece encoding", encode),
+]
 
 #: A trained classifier decides in the first stage, which SQL can't express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage; what lies between stages is written to the shared folder and read again."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

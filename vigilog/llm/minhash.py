@@ -179,35 +179,22 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
     return dealt.mapInPandas(run, f"a {kind}, b {kind}").filter("a < b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Banding = Banding()) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable over links), kept.
-
-    A document's set is that of its distinct 5-word shingles, A-Z as lower case (fewer words: the whole
-    sequence as one; none: the empty set, linked with nothing). Two are linked if 100 * intersection >=
-    75 * union, confirmed on the full sets of 64-bit shingle hashes.
+def components_of(nodes: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
+    """(node, component) of the nodes that have links; nodes has node, n, bands and sketch, texts has the text of each node.
 
-    Equal word sequences are one node, with the smallest id of them. In each bucket of a band every node
-    is first compared with the smallest node; nodes that this connects aren't compared again. What is in
-    different components is compared by sketch in blocks, first the nearest of each node, then all that
-    are still apart: so no link between components is lost and no pairs within a component are made.
-
-    Null texts are empty. Rows with a null id are linked with nothing of another word sequence, have the component of their word
-    sequence, or null, and aren't kept. Rows that share an id are one node whatever their texts are;
-    repeated rows repeat their result. Ids must be integers. An empty table gives an empty result; other
-    columns of docs play no part.
+    In each bucket of a band every node is first compared with the smallest node; nodes that this connects
+    aren't compared again. What is in different components is compared by sketch in blocks, first the
+    nearest of each node, then all that are still apart: so no link between components is lost and no
+    pairs within a component are made.
     """
-    spark = docs.sparkSession
-    signed = cut(sign(docs, id_col, text_col, spec))
-    classes = cut(signed.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("node")))
-    nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "bands", "sketch")
+    spark = nodes.sparkSession
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     members = cut(buckets.join(shared, "key").select("key", "node", "pivot").distinct())
     found = cut(members.select("node").distinct())
     info = cut(nodes.select("node", "n", "sketch").join(found, "node", "left_semi").distinct())
     path = shared_path(spark, "candidates")
-    own_text = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("text is not null")
-    own_text.join(found, "node", "left_semi").write.parquet(path)
+    texts.join(found, "node", "left_semi").write.parquet(path)
     texts = spark.read.parquet(path)
 
     links = cut(_confirm(_weed(members.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), info, spec), texts, spec).distinct())
@@ -217,7 +204,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(more)
         labels = cut(connected_components(links))
     drop_path(spark, path)
+    return labels
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Banding = Banding()) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable over links), kept.
+
+    A document's set is that of its distinct 5-word shingles, A-Z as lower case (fewer words: the whole
+    sequence as one; none: the empty set, linked with nothing). Two are linked if 100 * intersection >=
+    75 * union, confirmed on the full sets of 64-bit shingle hashes. Equal word sequences are one node,
+    with the smallest id of them.
+
+    Null texts are empty. Rows with a null id are linked with nothing of another word sequence, have the
+    component of their word sequence, or null, and aren't kept. Rows that share an id are one node
+    whatever their texts are; repeated rows repeat their result. Ids must be integers. An empty table
+    gives an empty result; other columns of docs play no part.
+    """
+    signed = cut(sign(docs, id_col, text_col, spec))
+    classes = cut(signed.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("node")))
+    nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "bands", "sketch")
+    labels = components_of(nodes, docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("text is not null"), spec)
     of_class = cut(classes.join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component_id")))
     marked = signed.select("id", "class", "n").join(of_class, "class", "left")
     component = F.coalesce("component_id", F.col("id"))

@@ -13,6 +13,7 @@ from vigilog.llm.exact_dedup import mark_exact_duplicates
 from vigilog.llm.licenses import scan_licenses
 from vigilog.llm.minhash import near_duplicates
 from vigilog.llm.mixing import mix_sources
+from vigilog.llm.paragraph_dedup import remove_passages
 from vigilog.llm.pu_classifier import classify, held_out, train
 from vigilog.llm.quality_rules import judge_quality
 from vigilog.llm.sentencepiece_fst import encode_pieces
@@ -117,6 +118,11 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM summed"""
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_passages(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_paragraphs", "n_removed_words", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(read(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -131,5 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
