@@ -18,7 +18,7 @@ from vigilog.llm.pu_classifier import classify, held_out, train
 from vigilog.llm.quality_rules import judge_quality
 from vigilog.llm.sentencepiece_fst import encode_pieces
 from vigilog.llm.suffix_dedup import remove_repeats
-from vigilog.llm.token_store import CachedEncoder, read_token_shards, write_token_shards
+from vigilog.llm.token_store import read_token_shards, shared_encoder, write_token_shards
 
 ORACLE: dict[str, str] = {}
 
@@ -62,7 +62,7 @@ def op4_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, vocabulary = shared_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json")
-    write_token_shards(read(spark, sf_dir, "documents"), path, lambda: CachedEncoder(vocabulary))
+    write_token_shards(read(spark, sf_dir, "documents"), path, lambda: shared_encoder(vocabulary))
     return read_token_shards(spark, path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -17,7 +18,7 @@ SPACE = "▁"
 #: What a byte of the fallback costs beyond the dearest piece.
 BYTE_COST = 4.0
 #: Entries after which a worker's cache of composed stretches starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 class Transducer:
@@ -26,13 +27,13 @@ class Transducer:
     The normaliser maps a space to U+2581 and puts one before the text (the model's own settings; other
     rewriting rules are refused). A piece is a path that reads its characters and writes its id; its
     weight is the logarithm of its rank by score, its cost under Zipf's law, since a BPE model's scores
-    are merge ranks and no probabilities. A character may also be read as the pieces of its UTF-8 bytes.
-    Costs add along a path, and the cheapest path wins; of equal costs that with fewer pieces, then that
-    whose last piece is longer.
+    are merge ranks and no probabilities. A character that is no piece is read as the pieces of its UTF-8
+    bytes. Costs add along a path, and the cheapest path wins; of equal costs that whose last piece is
+    longer.
 
-    No piece reads a space after another character, or a character between which and its neighbour no
-    piece lies; so the composition falls apart before spaces and around such characters, and stretches
-    that occur again have their path already.
+    No piece reads a space after another character or a line feed beside one, nor, in most models,
+    Latin letters beside others; so the composition falls apart there, and a stretch that occurs again
+    has its path already.
     """
 
     def __init__(self, path: str):
@@ -51,48 +52,57 @@ class Transducer:
         self.cost = {p.piece: (math.log(rank + 2), i) for rank, (i, p) in enumerate(ranked)}
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.byte_cost = math.log(len(ranked) + 2) + BYTE_COST
-        self.longest = max(map(len, self.cost), default=1)
+        #: States by the characters read so far: None, or the weight and id that end a piece there.
+        self.arcs: dict[str, tuple[float, tuple[int, ...]] | None] = {p[:k]: None for p in self.cost for k in range(1, len(p))}
+        self.arcs |= {p: (cost, (i,)) for p, (cost, i) in self.cost.items()}
         self.bytes_of = {i: p.piece.replace(SPACE, " ").encode() for i, p in normal} | {i: bytes([b]) for b, i in self.byte_id.items()}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.cost):
             raise ValueError("a piece reaches over a space or a line feed")
-        self.stretches = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        latin, bare = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"), [p.lstrip(SPACE) for p in self.cost]
+        mixed = any(latin.search(p) and not latin.fullmatch(p) for p in bare)
+        inner = f"[^{SPACE}\n]+" if mixed else f"(?:{latin.pattern}|[^{SPACE}\n{latin.pattern[1:-2]}]+)"
+        self.stretches = re.compile(f"\n|{SPACE}*{inner}|{SPACE}+")
+        self.cache: dict[str, bytes] = {}
 
     def shortest_path(self, stretch: str) -> tuple[float, tuple[int, ...]]:
         """Cost and ids of the cheapest path that reads the stretch."""
-        n = len(stretch)
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+        n, arcs = len(stretch), self.arcs
+        best = [0.0] + [math.inf] * n
         back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
         for i in range(n):
-            cost, steps = best[i]
-            raw = stretch[i].encode("utf-8", "surrogatepass")
-            arcs = [(i + 1, self.byte_cost * len(raw), tuple(self.byte_id[b] for b in raw))]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if found := self.cost.get(stretch[i:j]):
-                    arcs.append((j, found[0], (found[1],)))
-            for j, weight, ids in arcs:
-                now = (cost + weight, steps + len(ids))
-                if now < best[j]:
-                    best[j], back[j] = now, (i, ids)
+            here, read_one = best[i], False
+            for j in range(i + 1, n + 1):
+                arc = arcs.get(stretch[i:j], 0)
+                if arc == 0:
+                    break
+                if arc is not None:
+                    read_one |= j == i + 1
+                    if here + arc[0] < best[j]:
+                        best[j], back[j] = here + arc[0], (i, arc[1])
+            if not read_one:
+                raw = stretch[i].encode("utf-8", "surrogatepass")
+                cost = here + self.byte_cost * len(raw)
+                if cost < best[i + 1]:
+                    best[i + 1], back[i + 1] = cost, (i, tuple(self.byte_id[b] for b in raw))
         out: list[tuple[int, ...]] = []
         at = n
         while at:
             at, ids = back[at]
             out.append(ids)
-        return best[n][0], tuple(chain.from_iterable(reversed(out)))
+        return best[n], tuple(chain.from_iterable(reversed(out)))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         normal = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         pieces = self.stretches.findall(normal)
-        missing = set(pieces) - self.cache.keys()
+        missing = {x for x in set(pieces) if x not in self.cache}
         if len(self.cache) + len(missing) > CACHE_ENTRIES:
             self.cache.clear()
             missing = set(pieces)
         for x in missing:
-            self.cache[x] = self.shortest_path(x)[1]
-        return np.fromiter(chain.from_iterable(map(self.cache.__getitem__, pieces)), np.int32)
+            self.cache[x] = array("i", self.shortest_path(x)[1]).tobytes()
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

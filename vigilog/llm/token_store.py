@@ -7,8 +7,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ END_ID = 0
 #: Ids after which a shard is closed; a document is never divided.
 SHARD_TOKENS = 1 << 22
 #: Entries after which a worker's cache of encoded pieces of text starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 MAGIC = b"WVM1"
 _BLOCK = 512
 
@@ -150,50 +151,52 @@ def unpack_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 class CachedEncoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, with a bounded cache.
 
-    Such a tokenizer merges only within the pieces of its splitting pattern, and never across a place
-    before a single space or around a single line feed; texts without other or doubled white space are
-    cut there and equal pieces are encoded once. Any other text is encoded as it is.
+    Such a tokenizer merges only within the pieces of its splitting pattern. That pattern always divides
+    a text before a single space and around a single line feed, and words of letters from what surrounds
+    them unless an apostrophe is near; equal parts between such places are encoded once. Texts with other
+    or doubled white space are encoded as they are.
     """
 
-    _odd = re.compile(r"[^\S \n]|[ \n]{2}")
+    _doubled = ("  ", "\n\n", " \n", "\n ")
+    _odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
+    _beyond = re.compile("[\u0250-\U0010ffff]")
+    #: Letters up to U+024F, the pattern's own class there.
+    _letters = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+    _parts = re.compile(f"\n| ?[^ \n']*'[^ \n]*| ?[{_letters}]+| ?[^ \n{_letters}']+| ")
+    _spaced = re.compile("\n| ?[^ \n]+| ")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.feed = tuple(self._encode(["\n"])[0])
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cut(self, text: str) -> list[str] | None:
-        if self._odd.search(text):
-            return None
-        first, *rest = text.split(" ")
-        # a piece is a word with its space; line feeds stand alone
-        out = first.replace("\n", "\0\n\0").split("\0") if "\n" in first else [first]
-        for word in rest:
-            if "\n" in word:
-                out += (" " + word).replace("\n", "\0\n\0").split("\0")
-            else:
-                out.append(" " + word)
-        return out
+        self.cache: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_one(self, text: str) -> np.ndarray:
+        if self._odd.search(text) or any(x in text for x in self._doubled):
+            return np.frombuffer(self._encode([text])[0], np.uint32)
+        parts = (self._spaced if self._beyond.search(text) else self._parts).findall(text)
+        try:
+            return np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), np.uint32)
+        except KeyError:
+            missing = [x for x in set(parts) if x not in self.cache]
+        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+            self.cache.clear()
+            missing = list(set(parts))
+        self.cache.update(zip(missing, self._encode(missing)))
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), np.uint32)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            pieces = None if "\0" in text else self._cut(text)
-            if pieces is None:
-                yield np.array(self._encode([text])[0], np.uint32)
-                continue
-            missing = list(set(pieces) - self.cache.keys())
-            if missing:
-                if len(self.cache) + len(missing) > CACHE_ENTRIES:
-                    self.cache.clear()
-                    missing = list(set(pieces))
-                self.cache.update(zip(missing, map(tuple, self._encode(missing))))
-            yield np.fromiter(chain.from_iterable(map(self.cache.__getitem__, pieces)), np.uint32)
+        return map(self.encode_one, texts)
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> CachedEncoder:
+    """One encoder, with its cache, for all tasks of a worker process."""
+    return CachedEncoder(path)
 
 
 def _put(uri: str, data: bytes) -> None:
