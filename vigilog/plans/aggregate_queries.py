@@ -96,7 +96,7 @@ def a5_timeline_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{cte("turns")}, f AS (SELECT session_id, apt_phase, min(us) AS t0, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'WARNING') AS w, max(us) AS hi,
 CASE apt_phase WHEN 'reconnaissance' THEN 0 WHEN 'initial_access' THEN 1 WHEN 'execution' THEN 2 ELSE 5 END AS rank FROM turns GROUP BY ALL),
 p AS (SELECT *, rank > lag(rank) OVER (PARTITION BY session_id ORDER BY t0) AS forward FROM f),
-g AS (SELECT session_id, min(at) AS start_us, max(hi) AS end_us, string_agg(apt_phase, ' → ' ORDER BY t0) AS phases_observed, count(*) AS phase_count, round(count(*) FILTER (forward) / (count(*) - 1), 3) AS apt_score,
+g AS (SELECT session_id, min(t0) AS start_us, max(hi) AS end_us, string_agg(apt_phase, ' → ' ORDER BY t0) AS phases_observed, count(*) AS phase_count, round(count(*) FILTER (forward) / (count(*) - 1), 3) AS apt_score,
 CAST(sum(n) AS BIGINT) AS event_count, CAST(sum(c) AS BIGINT) AS critical_count, CAST(sum(w) AS BIGINT) AS warning_count FROM p GROUP BY session_id HAVING count(*) >= 2)
 SELECT *, (end_us - start_us) / 1e6 AS duration_sec FROM g WHERE apt_score > 0 OR critical_count > 0""")
 def a6_kill_chain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
