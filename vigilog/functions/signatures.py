@@ -1,0 +1,123 @@
+"""Attack signatures as one table, and the detectors that are disjunctions of its rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vigilog.functions.decode import normalize_payload, unescape_html
+
+#: class, tier, kind (text: a substring; regex: a pattern that Java and RE2 read alike), pattern. Texts are lower case.
+SIGNATURES: tuple[tuple[str, str, str, str], ...] = (
+    ("sqli", "word", "text", "information_schema"), ("sqli", "word", "text", "xp_cmdshell"), ("sqli", "word", "text", "load_file("), ("sqli", "word", "text", "into outfile"),
+    ("sqli", "word", "text", "into dumpfile"), ("sqli", "word", "text", "pg_sleep("), ("sqli", "word", "text", "waitfor delay"), ("sqli", "word", "text", "benchmark("), ("sqli", "word", "text", "extractvalue("),
+    ("sqli", "word", "text", "updatexml("), ("sqli", "word", "text", "sys.objects"), ("sqli", "word", "text", "sqlite_master"), ("sqli", "word", "text", "dbms_pipe"), ("sqli", "word", "text", "utl_http"),
+    ("sqli", "chain", "regex", r"\bunion\s+(all\s+|distinct\s+)?select\b"), ("sqli", "chain", "regex", r"\bselect\b.{1,200}?\bfrom\b.{1,200}?(\bwhere\b|--|#|/\*)"), ("sqli", "chain", "regex", r";\s*(drop|alter|truncate|create|shutdown|insert|update|delete)\b"),
+    ("sqli", "chain", "regex", r"\b(order|group)\s+by\s+\d+\s*(--|#)"), ("sqli", "chain", "regex", r"\bsleep\s*\(\s*\d"), ("sqli", "chain", "regex", r"\bexec(ute)?\s*[( ]\s*(sp_|xp_|@)"), ("sqli", "chain", "regex", r"\bcase\s+when\b.{1,200}?\bthen\b"),
+    ("sqli", "tautology", "regex", r"\b(or|and|xor)\b\s*\(?\s*\d+\s*(=|<|>|like)\s*\d+"), ("sqli", "tautology", "regex", r"['\"]\s*(or|and)\s*['\"]?\w{1,40}['\"]?\s*=\s*['\"]?\w{1,40}"), ("sqli", "tautology", "regex", r"\bor\s+(true|not\s+false)\b"), ("sqli", "tautology", "regex", r"\bhaving\s+\d+\s*=\s*\d+"),
+    ("sqli", "structure", "regex", r"['\"]\s*(--|#|/\*)"), ("sqli", "structure", "regex", r"\b(char|chr|concat|ascii|substring|mid)\s*\(.{1,80}?\)\s*(=|<|>|,\s*0x)"),
+    ("xss", "tag", "regex", r"<[/]?(script|iframe|svg|object|embed|applet|meta|base|link|math|video|audio|marquee)[/>=a-z]"), ("xss", "tag", "regex", r"<img[^>]{0,200}on\w+="), ("xss", "handler", "regex", r"\bon(load|error|click|focus|blur|mouse\w{1,12}|toggle|begin|start|key\w{1,8}|submit|animation\w{1,12})="),
+    ("xss", "handler", "regex", r"[/\"']on\w{3,20}="), ("xss", "scheme", "regex", r"(javascript|vbscript|livescript):"), ("xss", "scheme", "regex", r"data:text/html"), ("xss", "code", "regex", r"\b(alert|prompt|confirm|eval|settimeout|setinterval)[(`]"),
+    ("xss", "code", "regex", r"document\.(cookie|write|location|domain)"), ("xss", "code", "regex", r"string\.fromcharcode|window\.location|\.innerhtml"), ("xss", "style", "regex", r"expression\(|-moz-binding|@import"),
+    ("rce", "shell", "regex", r"[;|&`]\s*(cat|ls|id|whoami|uname|wget|curl|nc|netcat|bash|sh|ping|nslookup|ifconfig|ps|python\d?|perl|php|ruby|chmod|rm|cp|mv|echo|powershell|cmd)\b"), ("rce", "shell", "regex", r"\$\([^)]{1,200}\)"), ("rce", "shell", "regex", r"`[^`]{1,200}`"),
+    ("rce", "path", "regex", r"/bin/(ba|da|z|k|c)?sh\b|/etc/(passwd|shadow|hosts)\b|cmd\.exe|powershell(\.exe)?\s"), ("rce", "code", "regex", r"\b(system|exec|shell_exec|passthru|popen|proc_open|eval|assert)\s*\("), ("rce", "code", "regex", r"/dev/(tcp|udp)/|\bmkfifo\b|\bbase64\s+-d\b"),
+    ("rce_output", "stderr", "regex", r"(ba)?sh: (line )?\d+: .{1,200}?(not found|syntax error)"), ("rce_output", "stderr", "regex", r"(command not found|permission denied: /|no such file or directory: /)"), ("rce_output", "stderr", "regex", r"^(cat|ls|wget|curl|chmod|rm): "), ("rce_output", "stderr", "regex", r"(resolving|connecting to) \S+\.{3}|saving to: "),
+    ("lfi", "path", "regex", r"(\.\.[/\\]){1,}"), ("lfi", "path", "regex", r"(/|\\)(etc/(passwd|shadow|hosts|group|issue)|proc/(self|version|cpuinfo)|windows[/\\](win\.ini|system32)|boot\.ini|var/log/)"), ("lfi", "wrapper", "regex", r"\b(php|zip|phar|expect|glob|data|file)://"), ("lfi", "path", "regex", r"\.\.(%2f|%5c|;/)"),
+    ("ssrf", "host", "text", "169.254.169.254"), ("ssrf", "host", "text", "metadata.google.internal"), ("ssrf", "path", "text", "/latest/meta-data"), ("ssrf", "path", "text", "/computemetadata/v1"), ("ssrf", "scheme", "regex", r"\b(gopher|dict|ldap|tftp|sftp|jar|netdoc)://"),
+    ("ssrf", "loopback", "regex", r"https?://(localhost|127\.\d{1,3}\.\d{1,3}\.\d{1,3}|0\.0\.0\.0|\[?::1?\]?|0x7f[0-9a-f]{0,6}|2130706433|017700000001)([:/]|$)"),
+    ("protocol", "split", "regex", r"[\r\n]\s*(set-cookie|location|content-type|content-length|host)\s*:"), ("protocol", "redirect", "regex", r"[?&](url|next|redirect|return|dest|goto|continue)=(https?:)?//"), ("protocol", "template", "regex", r"\{\{.{1,100}?\}\}|\$\{.{1,100}?\}|<%=.{1,100}?%>"),
+    ("scanner", "tool", "regex", r"sqlmap|nikto|nessus|acunetix|netsparker|openvas|w3af|arachni|burp"), ("scanner", "tool", "regex", r"nmap|masscan|zgrab|dirbuster|gobuster|ffuf|feroxbuster|wfuzz|wpscan|nuclei"), ("scanner", "tool", "regex", r"hydra|metasploit|python-requests|go-http-client|libwww-perl|curl/|wget/"),
+)
+SEARCH_BOTS = r"googlebot|bingbot|duckduckbot|yandexbot|baiduspider"
+#: Error messages that are notices and no output of a command.
+NOTICE_CODES = ("ah00094", "ah00558")
+#: Substrings without which no row of a class can match: one cheap look before the patterns.
+GATES = {
+    "rce": (";", "|", "&", "`", "$(", "/bin/", "/etc/", "cmd.exe", "powershell", "(", "/dev/", "mkfifo", "base64"),
+    "ssrf": ("://", "169.254", "metadata"),
+    "protocol": ("\r", "\n", "=http", "=//", "{{", "${", "<%="),
+}
+
+
+def signature_table(spark) -> DataFrame:
+    return spark.createDataFrame(SIGNATURES, "class string, tier string, kind string, pattern string")
+
+
+def _matches(text: Column, name: str) -> Column:
+    """Any row of a class; the patterns of a tier are one alternation."""
+    found: Column | None = None
+    tiers: dict[str, list[str]] = {}
+    for cls, tier, kind, pattern in SIGNATURES:
+        if cls != name:
+            continue
+        if kind == "text":
+            hit = text.contains(pattern)
+            found = hit if found is None else found | hit
+        else:
+            tiers.setdefault(tier, []).append(f"(?:{pattern})")
+    for patterns in tiers.values():
+        hit = text.rlike("|".join(patterns))
+        found = hit if found is None else found | hit
+    if gate := GATES.get(name):
+        near = text.contains(gate[0])
+        for g in gate[1:]:
+            near = near | text.contains(g)
+        found = near & found
+    return F.coalesce(found, F.lit(False))
+
+
+def detect_sqli(payload: Column) -> Column:
+    """After comments and runs of white space are one space."""
+    return _matches(F.regexp_replace(F.regexp_replace(F.lower(payload), r"/\*.*?\*/", " "), r"\s+", " "), "sqli")
+
+
+def detect_xss(payload: Column) -> Column:
+    return _matches(F.lower(unescape_html(payload)), "xss")
+
+
+def detect_rce(payload: Column) -> Column:
+    return _matches(F.replace(F.regexp_replace(F.lower(payload), r"\$\{?ifs\}?", " "), F.lit("\0"), F.lit("")), "rce")
+
+
+def detect_rce_output(message: Column) -> Column:
+    text = F.lower(message)
+    notice = text.contains(NOTICE_CODES[0]) | text.contains(NOTICE_CODES[1])
+    return F.coalesce(~notice, F.lit(False)) & _matches(text, "rce_output")
+
+
+def detect_lfi(payload: Column) -> Column:
+    """After overlong encodings of dot and slashes are repaired; a NUL byte is a hit too."""
+    text = F.lower(payload)
+    for bad, good in (("%c0%ae", "."), ("%c0%af", "/"), ("%c1%9c", "\\"), ("%e0%80%ae", ".")):
+        text = F.replace(text, F.lit(bad), F.lit(good))
+    return F.coalesce(payload.contains("\0") | text.contains("%00"), F.lit(False)) | _matches(text, "lfi")
+
+
+def detect_ssrf(payload: Column) -> Column:
+    return _matches(F.lower(payload), "ssrf")
+
+
+def detect_protocol(payload: Column) -> Column:
+    return _matches(F.lower(payload), "protocol")
+
+
+def detect_scanner_ua(agent: Column) -> Column:
+    """An empty or '-' agent is a hit; search bots are not."""
+    text = F.lower(F.trim(F.coalesce(agent, F.lit(""))))
+    return text.isin("", "-") | (~text.rlike(SEARCH_BOTS) & _matches(text, "scanner"))
+
+
+DETECTORS = {"SQLi": detect_sqli, "XSS": detect_xss, "RCE": detect_rce, "LFI": detect_lfi, "SSRF": detect_ssrf, "PROTOCOL": detect_protocol}
+
+
+def tag_events(df: DataFrame, path: str = "uri_path", query: str = "uri_query", agent: str = "user_agent", body: str | None = None, referer: str | None = None, error: str = "error_message", source: str = "event_source", sanitize: bool = True) -> DataFrame:
+    """df with layer1_alerts (sorted names of detectors that hit) and layer1_flagged; error logs are read for command output only."""
+    have = set(df.columns)
+    parts = [F.concat_ws("?", F.col(path), F.nullif(F.col(query), F.lit("")))] + [F.col(c) for c in (body, agent, referer) if c and c in have]
+    payload = normalize_payload(*parts, sanitize=sanitize)
+    is_error = F.coalesce(F.col(source).contains("error"), F.lit(False))
+    tagged = df.withColumn("_p", payload)
+    hits = [F.when(~is_error & test(F.col("_p")), name) for name, test in DETECTORS.items()] + [F.when(~is_error & detect_scanner_ua(F.col(agent)), "SCANNER")]
+    if error in have:
+        hits.append(F.when(is_error & detect_rce_output(F.col(error)), "RCE_OUTPUT"))
+    return tagged.withColumn("layer1_alerts", F.array_sort(F.array_compact(F.array(*hits)))).withColumn("layer1_flagged", F.size("layer1_alerts") > 0).drop("_p")
