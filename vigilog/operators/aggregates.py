@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from vigilog.functions.common import threat_level
 from vigilog.functions.web import PHASE_ORDER
 
-_ALL = Window.partitionBy()
-
 
 def timeline_session_stats(events: DataFrame, session: str = "session_id", time: str = "us") -> DataFrame:
     return events.groupBy(session).agg(
@@ -73,8 +71,8 @@ def score_curve(df: DataFrame, score: str, truth: str, digits: int | None = 4) -
     """
     key = F.round(score, digits) if digits is not None else F.col(score)
     grouped = df.groupBy(key.alias("score")).agg(F.count_if(F.col(truth) == 1).alias("_p"), F.count_if(F.col(truth) == 0).alias("_n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grouped.select("score", F.sum("_p").over(w).alias("tp"), F.sum("_n").over(w).alias("fp"), F.sum("_p").over(_ALL).alias("positives"), F.sum("_n").over(_ALL).alias("negatives"))
+    w, everything = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
+    return grouped.select("score", F.sum("_p").over(w).alias("tp"), F.sum("_n").over(w).alias("fp"), F.sum("_p").over(everything).alias("positives"), F.sum("_n").over(everything).alias("negatives"))
 
 
 def roc_pr_auc(curve: DataFrame) -> DataFrame:

@@ -122,21 +122,24 @@ def parse_auth_events(lines: DataFrame, year: int, value: str = "value") -> Data
     program, msg = F.trim(F.regexp_extract(v, _SYSLOG, 2)), F.regexp_extract(v, _SYSLOG, 3)
     has = lambda text: F.col("_m").contains(text)
     get = lambda p, i=1: F.nullif(F.regexp_extract("_m", p, i), F.lit(""))
-    p = F.col("program")
+    p, none = F.col("program"), F.lit(None).cast("string")
     ssh, systemd = p == "sshd", p.contains("systemd")
-    action = (
-        F.when(ssh & has("Accepted"), "Login Success").when(ssh & has("Failed"), "Login Failed").when(ssh & (has("Disconnected from") | has("Received disconnect")), "Disconnected")
-        .when(ssh & has("session opened"), "Session Opened").when(ssh & has("session closed"), "Session Closed").when((p == "auth") & has("authentication failure"), "Login Failed")
-        .when((p == "su") & has("Successful su for"), "Privilege Escalation (su)").when((p == "sudo") & has("COMMAND="), "Sudo Command").when(systemd & (has("session opened") | has("New session")), "Systemd Session Opened")
+    login, opened = r"for (?:invalid user )?(\S+) from (\S+)", r"for user (\S+)"
+    # one structure a kind of line: its test, action, user and address
+    kinds = (
+        (ssh & has("Accepted"), "Login Success", get(login), get(login, 2)), (ssh & has("Failed"), "Login Failed", get(login), get(login, 2)),
+        (ssh & (has("Disconnected from") | has("Received disconnect")), "Disconnected", none, get(r"from (?:invalid user )?(\S+)")),
+        (ssh & has("session opened"), "Session Opened", get(opened), none), (ssh & has("session closed"), "Session Closed", get(opened), none),
+        ((p == "auth") & has("authentication failure"), "Login Failed", get(r"rhost=\S+\s+user=(\S+)"), get(r"rhost=(\S+)\s+user=")),
+        ((p == "su") & has("Successful su for"), "Privilege Escalation (su)", get(r"for (\S+) by \S+"), none), ((p == "sudo") & has("COMMAND="), "Sudo Command", get(r"USER=(\S+)\s+;\s+COMMAND="), none),
+        (systemd & (has("session opened") | has("New session")), "Systemd Session Opened", get(r"user (\S+)"), none),
     )
-    login = F.col("action").isin("Login Success", "Login Failed") & ssh
-    user = (
-        F.when(login, get(r"for (?:invalid user )?(\S+) from (\S+)")).when(p == "auth", get(r"rhost=\S+\s+user=(\S+)")).when(p == "su", get(r"for (\S+) by \S+"))
-        .when(p == "sudo", get(r"USER=(\S+)\s+;\s+COMMAND=")).when(systemd, get(r"user (\S+)")).when(F.col("action").isin("Session Opened", "Session Closed"), get(r"for user (\S+)"))
-    )
-    rip = F.when(login, get(r"for (?:invalid user )?\S+ from (\S+)")).when(p == "auth", get(r"rhost=(\S+)\s+user=")).when(F.col("action") == "Disconnected", get(r"from (?:invalid user )?(\S+)"))
-    parsed = lines.withColumns({"program": program, "_m": msg, "ts": syslog_time(F.regexp_extract(v, _SYSLOG, 1), year)}).withColumn("action", action)
-    return parsed.filter("action is not null and ts is not null and program <> 'CRON'").select(*lines.columns, "ts", "program", "action", F.regexp_replace(user, r"\.$", "").alias("user"), rip.alias("rip"))
+    event = None
+    for test, action, user, rip in kinds:
+        found = F.struct(F.lit(action).alias("action"), F.regexp_replace(user, r"\.$", "").alias("user"), rip.alias("rip"))
+        event = F.when(test, found) if event is None else event.when(test, found)
+    parsed = lines.withColumns({"program": program, "_m": msg, "ts": syslog_time(F.regexp_extract(v, _SYSLOG, 1), year)}).filter("program <> 'CRON' and ts is not null")
+    return parsed.select(*lines.columns, "ts", "program", F.explode(F.array_compact(F.array(event))).alias("_e")).select(*lines.columns, "ts", "program", "_e.action", "_e.user", "_e.rip")
 
 
 def parse_rule_events(lines: DataFrame, year: int, value: str = "value") -> DataFrame:

@@ -82,10 +82,15 @@ _ADAPTERS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def adapter(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
     table, columns = _ADAPTERS[name]
     us = "timestampdiff(MICROSECOND, CAST('1970-01-01 00:00:00' AS TIMESTAMP_NTZ), CAST(ts AS TIMESTAMP_NTZ))"
-    read = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    read = spark.read.parquet(path)
+    if stream:
+        # as a pattern, since a stream's plain path must be a folder; with event times that a watermark takes
+        read = spark.readStream.schema(read.schema).parquet(f"{path[:-1]}[{path[-1]}]")
+        read = read.withColumns({c: read[c].cast("timestamp") for c, kind in read.dtypes if kind == "timestamp_ntz"})
     return read.selectExpr(*(f"{sql.replace('{us}', us).replace(chr(92), chr(92) * 2)} AS `{c}`" for c, sql in columns.items()))
 
 

@@ -15,15 +15,18 @@ _SESSION = ["source_ip", "session_seq"]
 _A = "SELECT source_ip || '_' || CAST(session_seq AS STRING) AS session_id, source_ip AS parent_tracking_id, CAST(count(*) AS DOUBLE) AS statistical_threat_score FROM sess WHERE session_seq % 3 <> 1 GROUP BY ALL"
 _B = "SELECT source_ip || '_' || CAST(session_seq AS STRING) AS session_id, source_ip AS parent_tracking_id, CAST(max(event_id % 101) AS DOUBLE) AS markov_threat_score FROM sess WHERE session_seq % 3 <> 2 GROUP BY ALL"
 _SCORES = f"{_STEPS}, a AS ({_A}), b AS ({_B})"
-_ID = F.concat_ws("_", "source_ip", F.col("session_seq").cast("string")).alias("session_id")
+
+
+def _id():
+    return F.concat_ws("_", "source_ip", F.col("session_seq").cast("string")).alias("session_id")
 
 
 def statistical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web_sessions(spark, sf_dir).filter("session_seq % 3 <> 1").groupBy(_ID, F.col("source_ip").alias("parent_tracking_id")).agg(F.count("*").cast("double").alias("statistical_threat_score"))
+    return web_sessions(spark, sf_dir).filter("session_seq % 3 <> 1").groupBy(_id(), F.col("source_ip").alias("parent_tracking_id")).agg(F.count("*").cast("double").alias("statistical_threat_score"))
 
 
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web_sessions(spark, sf_dir).filter("session_seq % 3 <> 2").groupBy(_ID, F.col("source_ip").alias("parent_tracking_id")).agg(F.max(F.col("event_id") % 101).cast("double").alias("markov_threat_score"))
+    return web_sessions(spark, sf_dir).filter("session_seq % 3 <> 2").groupBy(_id(), F.col("source_ip").alias("parent_tracking_id")).agg(F.max(F.col("event_id") % 101).cast("double").alias("markov_threat_score"))
 
 
 @query(f"{_SCORES} SELECT * FROM a JOIN b USING (session_id, parent_tracking_id)")
@@ -58,7 +61,7 @@ def j4_label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_STEPS}, e AS (SELECT source_ip, session_seq, label FROM sess LEFT JOIN ({_LABELS}) USING (host, event_id))
 SELECT source_ip || '_' || CAST(session_seq AS STRING) AS session_id, bool_or(label IS NOT NULL) AS is_attack FROM e GROUP BY ALL""")
 def j5_label_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = web_sessions(spark, sf_dir).withColumn("session_id", _ID)
+    df = web_sessions(spark, sf_dir).withColumn("session_id", _id())
     labelled = joins.label_events(df, _labels(spark, sf_dir), ["host", "event_id"])
     return joins.label_sessions(df.select("session_id").distinct(), labelled, "session_id")
 
