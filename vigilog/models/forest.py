@@ -145,7 +145,7 @@ def per_user_baseline(windows: DataFrame, user: str, time: str, features: list[s
         x = pdf[features].to_numpy(float)
         train = pdf["role"].isin(["train", "both"]).to_numpy()
         if len(pdf) < least or not train.any():
-            return pd.DataFrame({"user": [], time: [], "raw_score": [], "risk": [], "is_anomaly": []})
+            return pd.DataFrame({"user": pdf["user"], time: pdf[time], "raw_score": 0.0, "risk": 0.0, "is_anomaly": False}).iloc[:0]
         mean, sd = x[train].mean(0), x[train].std(0)
         z = (x - mean) / np.where(sd == 0, 1, sd)
         rng = np.random.default_rng(0)
