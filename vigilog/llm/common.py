@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Like cut(), for rows behind large shuffles: a checkpoint keeps the shuffle files behind it as long as it is in use.
+
+    The rows are written as a table first, so that nothing refers to those files any more, and Spark is
+    told to drop them; the table is then checkpointed, for Spark to remove in its time, and deleted.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    del df
+    release(spark)
+    kept = cut(spark.read.parquet(path))
+    drop_path(spark, path)
+    return kept
+
+
+class Tables:
+    """Intermediate tables in the shared folder, for an operator that is done with all of them before it returns.
+
+    Nothing refers to the shuffles behind a written table, so Spark can drop their files at once.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.written = spark, shared_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.written += 1
+        place = f"{self.path}/{self.written}"
+        df.write.parquet(place)
+        del df
+        release(self.spark)
+        return self.spark.read.parquet(place)
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * _M2
@@ -151,8 +194,8 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield pd.concat(rest, ignore_index=True)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node in edges (a, b): the smallest node that it is connected with.
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(node, component) of every node in edges (a, b): the smallest node that it is connected with. keep stores each step's edges.
 
     Alternates large-star and small-star steps (Kiveris and others, 2014): every step is a grouped minimum
     with map-side combining and a join, so that no component meets in one task or on the driver.
@@ -163,18 +206,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         near = both.join(low, "a")
         if large:
-            found = near.filter("b > a").select(F.col("low").alias("a"), "b")
-        else:
-            found = near.filter("b < a").select(F.col("low").alias("a"), "b").union(low.select(F.col("low").alias("a"), F.col("a").alias("b")))
+            return near.filter("b > a").select(F.col("low").alias("a"), "b").filter("a < b")
+        found = near.filter("b < a").select(F.col("low").alias("a"), "b").union(low.select(F.col("low").alias("a"), F.col("a").alias("b")))
         return found.filter("a < b").distinct()
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
 
-    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    now = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     was = mark(now)
     while was[0]:
-        now = cut(star(star(now, True), False))
+        now = keep(star(star(now, True), False))
         if (is_now := mark(now)) == was:
             break
         was = is_now

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,32 +11,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import Words, chunks, connected_components, cut, drop_path, encoded, mix, shared_path, shingle_set, shingles, whole_groups
+from vigilog.llm.common import Tables, Words, chunks, connected_components, cut, encoded, mix, shingle_set, shingles, whole_groups
 
 
 @dataclass(frozen=True)
 class Banding:
-    """bands x rows MinHash samples. Of two sets of similarity s a band collides with probability s ** rows, so at
-    0.75 the defaults miss (1 - 0.75 ** 5) ** 48 = 2 pairs in a million. An odd sketch of sketch_bits folds all
-    samples; candidates whose estimate lies below estimate_at are dropped: at a true 0.75 the estimate's standard
-    error is about 0.03, so the default is five of them away. What passes is confirmed on the full sets.
+    """bands x rows MinHash samples make the band keys. Of two sets of similarity s a band collides with probability
+    s ** rows, so at 0.75 the defaults miss (1 - 0.75 ** 5) ** 48 = 2 pairs in a million.
+
+    The odd sketch folds MinHash samples of its own, the smallest hash in each of `bins` bins of the hash range, into
+    sketch_bits bits: each sample toggles a bit. Candidates whose estimate lies below estimate_at are dropped: at a true
+    0.75 its standard error is at most 0.012 with the defaults, so that is five of them away. What passes is confirmed
+    on the full sets.
     """
 
     bands: int = 48
     rows: int = 5
-    sketch_bits: int = 1024
+    bins: int = 2048
+    sketch_bits: int = 4096
     percent: int = 75
-    estimate_at: float = 0.6
+    estimate_at: float = 0.69
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
-    def most_bits_apart(self) -> int:
-        """The differing sketch bits at an estimate of estimate_at: 2 * samples * (1 - s) samples differ, each toggling a bit."""
-        apart = 2 * self.samples * (1 - self.estimate_at)
-        return math.ceil(self.sketch_bits / 2 * (1 - (1 - 2 / self.sketch_bits) ** apart))
-
 
 #: Members of a bucket up to which its pairs are joined; larger buckets are compared in square blocks of this size.
 BLOCK = 256
@@ -47,8 +45,8 @@ def _seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
-def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (int64) and odd sketches (int64 words) of sets that aren't empty."""
+def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, ...]:
+    """Band keys (int64), odd sketches (int64 words) and filled bins of sets that aren't empty."""
     flat = np.concatenate(hashes)
     first = np.cumsum([0, *(len(h) for h in hashes[:-1])])
     low = np.empty((len(hashes), spec.samples), np.uint64)
@@ -57,14 +55,23 @@ def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray,
     keys = np.broadcast_to(_seeds(spec.bands, 3), (len(hashes), spec.bands)).copy()
     for r in range(spec.rows):
         keys = mix(keys ^ low[:, r :: spec.rows][:, : spec.bands])
-    bit = mix(low ^ _seeds(spec.samples, 4)) % np.uint64(spec.sketch_bits)
-    at = (np.arange(len(hashes))[:, None] * spec.sketch_bits + bit.astype(np.int64)).ravel()
-    odd = (np.bincount(at, minlength=len(hashes) * spec.sketch_bits) & 1).astype(np.uint8).reshape(len(hashes), -1)
-    return keys.view(np.int64), np.packbits(odd, axis=1).view(np.int64)
+    return keys.view(np.int64), *odd_sketches(hashes, spec)
+
+
+def odd_sketches(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketches (int64 words) of sets, and how many bins each fills."""
+    flat = mix(np.concatenate(hashes) + np.uint64(0x9E3779B97F4A7C15))
+    owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    low = np.full(len(hashes) * spec.bins, ~np.uint64(0))
+    np.minimum.at(low, owner * spec.bins + (flat % np.uint64(spec.bins)).astype(np.int64), flat)
+    at = np.flatnonzero(low != ~np.uint64(0))
+    bit = (mix(low[at] ^ np.uint64(0x94D049BB133111EB)) % np.uint64(spec.sketch_bits)).astype(np.int64)
+    odd = (np.bincount(at // spec.bins * spec.sketch_bits + bit, minlength=len(hashes) * spec.sketch_bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(hashes), -1), axis=1).view(np.int64), np.bincount(at // spec.bins, minlength=len(hashes))
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, spec: Banding) -> DataFrame:
-    """(id, class, n, bands, sketch) per row: the class is the same for equal word sequences; n is the set's size."""
+    """(id, class, n, bands, sketch, filled) per row: the class is the same for equal word sequences; n is the set's size."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,20 +83,31 @@ def sign(docs: DataFrame, id_col: str, text_col: str, spec: Banding) -> DataFram
                 own = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
                 sets = [np.unique(shingles(w)) for w in own]
                 full = [s for s in sets if len(s)]
-                bands, sketches = signatures_of(full, spec) if full else ([], [])
-                bands, sketches = iter(bands), iter(sketches)
+                bands, sketches, filled = map(iter, signatures_of(full, spec) if full else ([], [], []))
                 yield pd.DataFrame({
                     "id": ids[part], "class": [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in own], "n": [len(s) for s in sets],
-                    "bands": [next(bands) if len(s) else None for s in sets], "sketch": [next(sketches) if len(s) else None for s in sets],
+                    "bands": [next(bands) if len(s) else None for s in sets], "sketch": [next(sketches) if len(s) else None for s in sets], "filled": [next(filled) if len(s) else 0 for s in sets],
                 })
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, class binary, n long, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, class binary, n long, bands array<long>, sketch array<long>, filled long")
 
 
 def _bits_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _samples_shared(filled: Column, apart: Column, spec: Banding) -> Column:
+    """Samples that two sets share, from their numbers together and the bits in which their sketches differ."""
+    rest = F.greatest(1 - 2 * apart / spec.sketch_bits, F.lit(1e-9))
+    return (filled + F.log(rest) * (spec.sketch_bits / 2)) / 2
+
+
+def _samples_needed(n: Column, spec: Banding) -> Column:
+    """Samples that sets of n elements together share at a similarity of estimate_at: that part of the bins their union fills."""
+    t = spec.estimate_at
+    return t * spec.bins * (1 - F.pow(F.lit(1 - 1 / spec.bins), n / (1 + t)))
+
+
 def _near_enough(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of these sizes can be so similar."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -123,10 +141,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
 
 def _weed(pairs: DataFrame, info: DataFrame, spec: Banding) -> DataFrame:
     """The pairs that set sizes and odd sketches leave."""
-    a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("filled").alias("fa"), F.col("sketch").alias("sa"))
+    b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("filled").alias("fb"), F.col("sketch").alias("sb"))
     left = pairs.join(a, "a").join(b, "b").filter(_near_enough(F.col("na"), F.col("nb"), spec.percent))
-    return left.filter(_bits_apart("sa", "sb") <= spec.most_bits_apart()).select("a", "b").distinct()
+    shared = _samples_shared(F.col("fa") + F.col("fb"), _bits_apart("sa", "sb"), spec)
+    return left.filter(shared >= _samples_needed(F.col("na") + F.col("nb"), spec)).select("a", "b").distinct()
 
 
 def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Banding, nearest_only: bool) -> DataFrame:
@@ -140,16 +159,17 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("node", "key"), blocks)
     to = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own <= j).alias("left")))
-    rows = placed.join(mixed, "key").join(info, "node").select("key", "node", "component", "n", "sketch", own.alias("own"), F.explode(to).alias("to"))
-    rows = rows.select("key", "node", "component", "n", "sketch", "own", F.col("to.i").alias("i"), F.col("to.j").alias("j"))
+    rows = placed.join(mixed, "key").join(info, "node").select("key", "node", "component", "n", "filled", "sketch", "bands", own.alias("own"), F.explode(to).alias("to"))
+    rows = rows.select("key", "node", "component", "n", "filled", "sketch", F.lit(None).alias("bands") if nearest_only else "bands", "own", F.col("to.i").alias("i"), F.col("to.j").alias("j"))
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
-    most = spec.most_bits_apart()
+    t = spec.estimate_at
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "i", "j"]):
             key, i, j, own_ = (pdf[c].to_numpy() for c in ("key", "i", "j", "own"))
-            node, comp, n = (pdf[c].to_numpy() for c in ("node", "component", "n"))
+            node, comp, n, filled = (pdf[c].to_numpy() for c in ("node", "component", "n", "filled"))
             sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+            bands = None if nearest_only else np.stack(pdf["bands"].to_numpy())
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
             found_a, found_b = [], []
             for s, e in zip(edge[:-1], edge[1:]):
@@ -161,7 +181,8 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
                 for k in range(sketch.shape[1]):
                     apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
                 nl, nr = n[left][:, None], n[right][None, :]
-                ok = (apart <= most) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nl, nr) >= spec.percent * np.maximum(nl, nr))
+                shared = (filled[left][:, None] + filled[right][None, :] + np.log(np.maximum(1 - 2 * apart / spec.sketch_bits, 1e-9)) * (spec.sketch_bits / 2)) / 2
+                ok = (shared >= t * spec.bins * (1 - (1 - 1 / spec.bins) ** ((nl + nr) / (1 + t)))) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nl, nr) >= spec.percent * np.maximum(nl, nr))
                 if nearest_only:
                     masked = np.where(ok, apart, 1 << 30)
                     best = np.zeros_like(ok)
@@ -169,6 +190,11 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
                     best[masked.argmin(0), np.arange(len(right))] = True
                     ok &= best
                 p, q = np.nonzero(ok)
+                if bands is not None and len(p):
+                    # a pair is compared in the first band that it shares, and not again in the others
+                    same = bands[left[p]] == bands[right[q]]
+                    first = bands[left[p], same.argmax(1)] == key[s]
+                    p, q = p[first], q[first]
                 found_a.append(node[left[p]])
                 found_b.append(node[right[q]])
             if found_a:
@@ -180,30 +206,34 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
 
 
 def components_of(nodes: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
-    """(node, component) of the nodes that have links; nodes has node, n, bands and sketch, texts has the text of each node.
+    """(node, component) of the nodes that have links; nodes has node, n, filled, bands and sketch, texts has the text of each node.
 
     In each bucket of a band every node is first compared with the smallest node; nodes that this connects
     aren't compared again. What is in different components is compared by sketch in blocks, first the
     nearest of each node, then all that are still apart: so no link between components is lost and no
     pairs within a component are made.
     """
-    spark = nodes.sparkSession
+    tables = Tables(nodes.sparkSession, "candidates")
+    keep = tables.keep
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
-    members = cut(buckets.join(shared, "key").select("key", "node", "pivot").distinct())
-    found = cut(members.select("node").distinct())
-    info = cut(nodes.select("node", "n", "sketch").join(found, "node", "left_semi").distinct())
-    path = shared_path(spark, "candidates")
-    texts.join(found, "node", "left_semi").write.parquet(path)
-    texts = spark.read.parquet(path)
-
-    links = cut(_confirm(_weed(members.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), info, spec), texts, spec).distinct())
-    labels = cut(connected_components(links))
-    for nearest_only in (True, False):
-        more = cut(_confirm(_across(members, labels, info, spec, nearest_only), texts, spec).distinct())
-        links = links.union(more)
-        labels = cut(connected_components(links))
-    drop_path(spark, path)
+    members = keep(buckets.join(shared, "key").select("key", "node", "pivot"))
+    found = keep(members.select("node").distinct())
+    info = keep(nodes.select("node", "n", "filled", "sketch", "bands").join(found, "node", "left_semi").dropDuplicates(["node"]))
+    texts = keep(texts.join(found, "node", "left_semi"))
+
+    stars = members.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = keep(_confirm(keep(_weed(stars, info, spec)), texts, spec).distinct())
+    # what two hops along the links reach is in a node's component: that is enough to leave pairs out
+    hop = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
+    near = keep(hop.join(hop.select(F.col("node").alias("low"), F.col("low").alias("lowest")), "low", "left").select("node", F.coalesce("lowest", "low").alias("component")))
+    more = keep(_confirm(keep(_across(members, near, info, spec, True)), texts, spec).distinct())
+    labels = keep(connected_components(links.union(more), keep))
+    more = keep(_confirm(keep(_across(members, labels, info, spec, False)), texts, spec).distinct())
+    if not more.isEmpty():
+        labels = connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), keep)
+    labels = cut(labels)
+    tables.drop()
     return labels
 
 
@@ -222,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = cut(sign(docs, id_col, text_col, spec))
     classes = cut(signed.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("node")))
-    nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "bands", "sketch")
+    nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "filled", "bands", "sketch")
     labels = components_of(nodes, docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("text is not null"), spec)
     of_class = cut(classes.join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component_id")))
     marked = signed.select("id", "class", "n").join(of_class, "class", "left")
