@@ -66,6 +66,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     release(spark)
     kept = cut(spark.read.parquet(path))
     drop_path(spark, path)
+    release(spark)
     return kept
 
 
@@ -91,7 +92,8 @@ class Tables:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files that nothing refers to any more."""
+    """Lets Spark drop the shuffle files that nothing refers to any more; those of its last job stay in use until another has run."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

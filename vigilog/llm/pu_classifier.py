@@ -141,8 +141,8 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        raw = encoded(texts)
-        return pd.Series(np.concatenate([model.score(features(raw[i : i + 500])) for i in range(0, len(raw), 500)]) if raw else [], dtype=float)
+        parts = [model.score(features(encoded(texts.iloc[i : i + 500]))) for i in range(0, len(texts), 500)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
     scored = docs.drop("score", "predicted").withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn("predicted", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0))

@@ -18,7 +18,7 @@ SPACE = "▁"
 #: What a byte of the fallback costs beyond the dearest piece.
 BYTE_COST = 4.0
 #: Entries after which a worker's cache of composed stretches starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 
 
 class Transducer:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import chunks, cut, encoded, mix, whole_groups
+from vigilog.llm.common import chunks, drop_path, encoded, mix, release, settle, shared_path, whole_groups
 
 #: Bytes of a string that counts as a repeat.
 LENGTH = 50
@@ -21,7 +21,10 @@ _SPAN = LENGTH - GRAM + 1
 #: Bytes to which suffixes are sorted before tries take over.
 SHALLOW = 16
 #: Suffixes that are sorted together, whole groups of them.
-SORTED_AT_ONCE = 1 << 20
+SORTED_AT_ONCE = 1 << 19
+#: Documents for each range of hashes that moves as one, and the fewest ranges: a range stays as small at any size of the input.
+RANGE_DOCS = 64
+LEAST_RANGE_BITS = 12
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -67,7 +70,54 @@ def marks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text_of[first], hashes[own], first, last, own, data
 
 
-def _shared_marks(docs: DataFrame) -> DataFrame:
+def _packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list[bytes] | None = None) -> pd.DataFrame:
+    """(range, data): rows in the order of their key, a compressed block for each range of keys."""
+    order = np.argsort(key, kind="stable")
+    key, columns = key[order], [c[order] for c in columns]
+    of = (key >> np.uint64(64 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    blocks = []
+    for b, e in zip(edge, np.r_[edge[1:], len(key)]):
+        body = [np.uint32(e - b).tobytes(), *(c[b:e].tobytes() for c in (key, *columns))]
+        if strings is not None:
+            own = [strings[i] for i in order[b:e]]
+            body += [np.array([len(x) for x in own], np.uint16).tobytes(), *own]
+        blocks.append(pack(b"".join(body)))
+    return pd.DataFrame({"range": of[edge], "data": blocks})
+
+
+def _unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) -> tuple:
+    """Key and columns of blocks, one after the other, and their strings."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(kinds) + 1)]
+    strings: list[bytes] = []
+    unpack = zstandard.ZstdDecompressor().decompress
+    for block in blocks:
+        raw = unpack(block)
+        n, at = int(np.frombuffer(raw, np.uint32, 1)[0]), 4
+        for part, kind in zip(parts, ["u8", *kinds]):
+            part.append(np.frombuffer(raw, kind, n, at))
+            at += part[-1].nbytes
+        if with_strings:
+            sizes = np.frombuffer(raw, np.uint16, n, at)
+            ends = np.cumsum(sizes, dtype=np.int64) + at + 2 * n
+            strings += [raw[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist())]
+    return (*(np.concatenate(p) for p in parts), strings)
+
+
+def _portions(frames: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """Frames of whole ranges with about `most` bytes of blocks, to be unpacked together."""
+    for pdf in frames:
+        ends = np.flatnonzero(np.r_[(pdf["range"].to_numpy()[1:] != pdf["range"].to_numpy()[:-1]), True]) + 1
+        sizes = np.cumsum(pdf["data"].map(len).to_numpy())[ends - 1]
+        begin = done = 0
+        for i, (end, size) in enumerate(zip(ends, sizes)):
+            if size - done >= most or i == len(ends) - 1:
+                yield pdf.iloc[begin:end]
+                begin, done = end, size
+
+
+def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
     """(id, place) of every mark whose gram is in another document too; place is within the text.
 
     What a batch of documents shares within itself is known there: it goes on under a key of its own, and
@@ -98,19 +148,21 @@ def _shared_marks(docs: DataFrame) -> DataFrame:
             each = np.repeat(known, count)
             key = np.where(each, mix(h ^ mix(doc.view(np.uint64) + place.astype(np.uint64))), h)
             key, doc, place = np.concatenate([key, h[edge][known]]), np.concatenate([doc, lo[known]]), np.concatenate([np.where(each, -2 - place, place), np.full(known.sum(), -1)])
-            yield pd.DataFrame({"key": key.view(np.int64), "id": doc, "place": place.astype(np.int32)})
+            yield _packed(key, [doc, place.astype(np.int32)], bits)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, ["key"]):
-            key, doc, place = pdf["key"].to_numpy(), pdf["id"].to_numpy(), pdf["place"].to_numpy()
+        for pdf in _portions(whole_groups(batches, ["range"])):
+            key, doc, place, _ = _unpacked(pdf["data"], ["i8", "i4"])
+            order = np.argsort(key, kind="stable")
+            key, doc, place = key[order], doc[order], place[order]
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             count = np.diff(np.r_[edge, len(key)])
-            shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | (np.minimum.reduceat(place, edge) == -1)
+            shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | (np.bitwise_or.reduceat(place == -1, edge))
             keep = (np.repeat(shared, count) & (place >= 0)) | (place < -1)
             yield pd.DataFrame({"id": doc[keep], "place": np.where(place < -1, -2 - place, place)[keep]})
 
-    marked = docs.mapInPandas(scan, "key long, id long, place int")
-    return marked.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "id long, place int")
+    marked = docs.mapInPandas(scan, "range long, data binary")
+    return marked.repartition("range").sortWithinPartitions("range").mapInPandas(meet, "id long, place int")
 
 
 def _stretches(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -192,6 +244,11 @@ def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return string, place, classes
 
 
+def _one_of_each(rows: pd.DataFrame, low: str, high: str) -> pd.DataFrame:
+    """One row of each stretch (h, c) with its lowest and highest id."""
+    return rows.groupby(["h", "c"], sort=False).agg(low=(low, "min"), high=(high, "max"), string=("string", "first")).reset_index()
+
+
 def _verdicts(strings: list[bytes], low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
     """Runs (string, first, last, lowest) of windows that are in a document other than the string's only one."""
     string, place, classes = equal_windows(strings)
@@ -222,31 +279,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = cut(_shared_marks(own).groupBy("id").agg(F.collect_list("place").alias("places")))
-    _release(spark)
-    joined = own.join(shared, "id")
+    bits = max(LEAST_RANGE_BITS, (own.count() // RANGE_DOCS).bit_length())
+    shared = settle(_shared_marks(own, bits).groupBy("id").agg(F.collect_list("place").alias("places")), "marks")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, h, _, before, strings in _stretches(pdf):
-                out = pd.DataFrame({"h": h.view(np.int64), "c": _hash64(strings, before), "low": doc, "high": doc, "string": strings})
-                yield out.groupby(["h", "c"], sort=False).agg({"low": "min", "high": "max", "string": "first"}).reset_index()
+            rows = [pd.DataFrame({"h": h, "c": _hash64(strings, before), "doc": doc, "string": strings}) for doc, h, _, before, strings in _stretches(pdf)]
+            if rows:
+                one = _one_of_each(pd.concat(rows), "doc", "doc")
+                yield _packed(one["h"].to_numpy(), [one[c].to_numpy() for c in ("c", "low", "high")], bits, one["string"].tolist())
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, ["h"]):
-            pdf = pdf.groupby(["h", "c"], sort=False).agg({"low": "min", "high": "max", "string": "first"}).reset_index()
-            h = pdf["h"].to_numpy()
+        for pdf in _portions(whole_groups(batches, ["range"])):
+            h, c, low, high, strings = _unpacked(pdf["data"], ["i8", "i8", "i8"], True)
+            one = _one_of_each(pd.DataFrame({"h": h, "c": c, "low": low, "high": high, "string": strings}), "low", "high").sort_values("h", kind="stable", ignore_index=True)
+            h = one["h"].to_numpy()
             edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            windows = np.cumsum(pdf["string"].map(len).to_numpy() - LENGTH + 1)
+            ends = np.r_[edge[1:], len(one)]
+            windows = np.cumsum(one["string"].map(len).to_numpy() - LENGTH + 1)
             begin = 0
-            while begin < len(pdf):
+            while begin < len(one):
                 before = windows[begin - 1] if begin else 0
-                ends = np.r_[edge[1:], len(pdf)]
                 fits = ends[(ends > begin) & (windows[ends - 1] - before <= SORTED_AT_ONCE)]
                 end = int(fits[-1]) if len(fits) else int(ends[ends > begin][0])
-                part = pdf.iloc[begin:end]
+                part = one.iloc[begin:end]
                 found = _verdicts(part["string"].tolist(), part["low"].to_numpy(), part["high"].to_numpy())
-                yield pd.DataFrame({"h": part["h"].to_numpy()[found["string"]], "c": part["c"].to_numpy()[found["string"]], "first": found["first"], "last": found["last"], "lowest": found["lowest"]})
+                yield pd.DataFrame({"h": part["h"].to_numpy()[found["string"]].view(np.int64), "c": part["c"].to_numpy()[found["string"]], "first": found["first"], "last": found["last"], "lowest": found["lowest"]})
                 begin = end
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,11 +312,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for doc, h, first, before, strings in _stretches(pdf):
                 yield pd.DataFrame({"h": h.view(np.int64), "c": _hash64(strings, before), "id": doc, "at": first.astype(np.int32)})
 
-    verdicts = joined.mapInPandas(contexts, "h long, c long, low long, high long, string binary").repartition("h").sortWithinPartitions("h").mapInPandas(sort, "h long, c long, first int, last int, lowest long")
-    found = joined.mapInPandas(occurrences, "h long, c long, id long, at int").join(verdicts, ["h", "c"]).filter("lowest < id")
-    spans = found.groupBy("id").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("b"), (F.col("at") + F.col("last") + LENGTH).alias("e"))).alias("found"))
-    spans = cut(spans)
-    _release(spark)
+    path = shared_path(spark, "verdicts")
+    own.join(shared, "id").mapInPandas(contexts, "range long, data binary").repartition("range").sortWithinPartitions("range").mapInPandas(sort, "h long, c long, first int, last int, lowest long").write.parquet(path)
+    release(spark)
+    found = own.join(shared, "id").mapInPandas(occurrences, "h long, c long, id long, at int").join(spark.read.parquet(path), ["h", "c"]).filter("lowest < id")
+    found = found.groupBy("id").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("b"), (F.col("at") + F.col("last") + LENGTH).alias("e"))).alias("found"))
+    spans = settle(found, "spans")
+    drop_path(spark, path)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -280,9 +340,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     out = own.join(spans, "id", "left").mapInPandas(remove, "id long, spans array<array<long>>, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
-
-
-def _release(spark) -> None:
-    """Lets Spark drop the shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
