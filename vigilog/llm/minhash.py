@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,9 @@ class Banding:
     s ** rows, so at 0.75 the defaults miss (1 - 0.75 ** 5) ** 48 = 2 pairs in a million.
 
     The odd sketch folds MinHash samples of its own, the smallest hash in each of `bins` bins of the hash range, into
-    sketch_bits bits: each sample toggles a bit. Candidates whose estimate lies below estimate_at are dropped: at a true
-    0.75 its standard error is at most 0.012 with the defaults, so that is five of them away. What passes is confirmed
-    on the full sets.
+    sketch_bits bits: each sample toggles a bit. Candidates whose sketches differ in more bits than those of sets of
+    their sizes do at `percent` are dropped (see most_apart): in more by `deviations` standard deviations of that number
+    and `spare` bits, for sets so small that it isn't near a normal distribution. What passes is confirmed on the full sets.
     """
 
     bands: int = 48
@@ -30,7 +31,8 @@ class Banding:
     bins: int = 2048
     sketch_bits: int = 4096
     percent: int = 75
-    estimate_at: float = 0.69
+    deviations: float = 6.0
+    spare: float = 4.0
 
     @property
     def samples(self) -> int:
@@ -46,7 +48,7 @@ def _seeds(n: int, salt: int) -> np.ndarray:
 
 
 def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, ...]:
-    """Band keys (int64), odd sketches (int64 words) and filled bins of sets that aren't empty."""
+    """Band keys (int64) and odd sketches (int64 words) of sets that aren't empty."""
     flat = np.concatenate(hashes)
     first = np.cumsum([0, *(len(h) for h in hashes[:-1])])
     low = np.empty((len(hashes), spec.samples), np.uint64)
@@ -55,7 +57,7 @@ def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray,
     keys = np.broadcast_to(_seeds(spec.bands, 3), (len(hashes), spec.bands)).copy()
     for r in range(spec.rows):
         keys = mix(keys ^ low[:, r :: spec.rows][:, : spec.bands])
-    return keys.view(np.int64), *odd_sketches(hashes, spec)
+    return keys.view(np.int64), odd_sketches(hashes, spec)[0]
 
 
 def odd_sketches(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +73,7 @@ def odd_sketches(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, n
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, spec: Banding) -> DataFrame:
-    """(id, class, n, bands, sketch, filled) per row: the class is the same for equal word sequences; n is the set's size."""
+    """(id, class, n, bands, sketch) per row: the class is the same for equal word sequences; n is the set's size."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,29 +85,39 @@ def sign(docs: DataFrame, id_col: str, text_col: str, spec: Banding) -> DataFram
                 own = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
                 sets = [np.unique(shingles(w)) for w in own]
                 full = [s for s in sets if len(s)]
-                bands, sketches, filled = map(iter, signatures_of(full, spec) if full else ([], [], []))
+                bands, sketches = map(iter, signatures_of(full, spec) if full else ([], []))
                 yield pd.DataFrame({
                     "id": ids[part], "class": [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in own], "n": [len(s) for s in sets],
-                    "bands": [next(bands) if len(s) else None for s in sets], "sketch": [next(sketches) if len(s) else None for s in sets], "filled": [next(filled) if len(s) else 0 for s in sets],
+                    "bands": [next(bands) if len(s) else None for s in sets], "sketch": [next(sketches) if len(s) else None for s in sets],
                 })
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, class binary, n long, bands array<long>, sketch array<long>, filled long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, class binary, n long, bands array<long>, sketch array<long>")
 
 
 def _bits_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _samples_shared(filled: Column, apart: Column, spec: Banding) -> Column:
-    """Samples that two sets share, from their numbers together and the bits in which their sketches differ."""
-    rest = F.greatest(1 - 2 * apart / spec.sketch_bits, F.lit(1e-9))
-    return (filled + F.log(rest) * (spec.sketch_bits / 2)) / 2
+def most_apart(n: Column | np.ndarray, spec: Banding, lib: ModuleType = np) -> Column | np.ndarray:
+    """Bits in which the sketches of two sets, of n elements together, may differ; lib (numpy or Spark's functions) has exp and sqrt.
 
-
-def _samples_needed(n: Column, spec: Banding) -> Column:
-    """Samples that sets of n elements together share at a similarity of estimate_at: that part of the bins their union fills."""
-    t = spec.estimate_at
-    return t * spec.bins * (1 - F.pow(F.lit(1 - 1 / spec.bins), n / (1 + t)))
+    At the least similarity a bin of the union has Poisson numbers of common elements and of those of either set
+    alone. Mean and variance of the samples that differ follow, less what the sets' known sizes take from the
+    variance. Sets of one size differ most. A sketch's odd bits are those of so many balls in sketch_bits boxes.
+    """
+    j, m = spec.percent / 100, spec.sketch_bits
+    union = n / ((1 + j) * spec.bins)
+    none, one = lib.exp(-union), lib.exp(-union * ((1 + j) / 2))
+    g = (1 - none) / union
+    alone, differ = 2 * (one - none), 1 - 2 * one + none - j * (1 - none)
+    mean = alone + 2 * differ
+    by_alone, by_common = one - 2 * j * (none - g), 2 * one - 2 * (g + j * (none - g))
+    variance = spec.bins * (alone + 4 * differ - mean * mean - union * ((1 - j) * by_alone * by_alone + j * by_common * by_common))
+    samples = spec.bins * mean
+    left = lib.exp(-samples * (4 / m))
+    # at these sizes rounding may leave less than nothing
+    spread = lib.abs(left * variance) + lib.abs(m / 4 * (1 - left) - samples * left)
+    return m / 2 * (1 - lib.exp(-samples * (2 / m))) + spec.deviations * lib.sqrt(spread) + spec.spare
 
 
 def _near_enough(a: Column, b: Column, percent: int) -> Column:
@@ -141,11 +153,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
 
 def _weed(pairs: DataFrame, info: DataFrame, spec: Banding) -> DataFrame:
     """The pairs that set sizes and odd sketches leave."""
-    a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("filled").alias("fa"), F.col("sketch").alias("sa"))
-    b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("filled").alias("fb"), F.col("sketch").alias("sb"))
+    a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     left = pairs.join(a, "a").join(b, "b").filter(_near_enough(F.col("na"), F.col("nb"), spec.percent))
-    shared = _samples_shared(F.col("fa") + F.col("fb"), _bits_apart("sa", "sb"), spec)
-    return left.filter(shared >= _samples_needed(F.col("na") + F.col("nb"), spec)).select("a", "b").distinct()
+    most = most_apart(F.col("na") + F.col("nb"), spec, F)
+    return left.filter(_bits_apart("sa", "sb") <= most).select("a", "b").distinct()
 
 
 def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Banding, nearest_only: bool) -> DataFrame:
@@ -159,15 +171,14 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("node", "key"), blocks)
     to = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own <= j).alias("left")))
-    rows = placed.join(mixed, "key").join(info, "node").select("key", "node", "component", "n", "filled", "sketch", "bands", own.alias("own"), F.explode(to).alias("to"))
-    rows = rows.select("key", "node", "component", "n", "filled", "sketch", F.lit(None).alias("bands") if nearest_only else "bands", "own", F.col("to.i").alias("i"), F.col("to.j").alias("j"))
+    rows = placed.join(mixed, "key").join(info, "node").select("key", "node", "component", "n", "sketch", "bands", own.alias("own"), F.explode(to).alias("to"))
+    rows = rows.select("key", "node", "component", "n", "sketch", F.lit(None).alias("bands") if nearest_only else "bands", "own", F.col("to.i").alias("i"), F.col("to.j").alias("j"))
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
-    t = spec.estimate_at
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "i", "j"]):
             key, i, j, own_ = (pdf[c].to_numpy() for c in ("key", "i", "j", "own"))
-            node, comp, n, filled = (pdf[c].to_numpy() for c in ("node", "component", "n", "filled"))
+            node, comp, n = (pdf[c].to_numpy() for c in ("node", "component", "n"))
             sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
             bands = None if nearest_only else np.stack(pdf["bands"].to_numpy())
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
@@ -181,8 +192,7 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
                 for k in range(sketch.shape[1]):
                     apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
                 nl, nr = n[left][:, None], n[right][None, :]
-                shared = (filled[left][:, None] + filled[right][None, :] + np.log(np.maximum(1 - 2 * apart / spec.sketch_bits, 1e-9)) * (spec.sketch_bits / 2)) / 2
-                ok = (shared >= t * spec.bins * (1 - (1 - 1 / spec.bins) ** ((nl + nr) / (1 + t)))) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nl, nr) >= spec.percent * np.maximum(nl, nr))
+                ok = (apart <= most_apart(nl + nr, spec)) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nl, nr) >= spec.percent * np.maximum(nl, nr))
                 if nearest_only:
                     masked = np.where(ok, apart, 1 << 30)
                     best = np.zeros_like(ok)
@@ -206,7 +216,7 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Bandin
 
 
 def components_of(nodes: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
-    """(node, component) of the nodes that have links; nodes has node, n, filled, bands and sketch, texts has the text of each node.
+    """(node, component) of the nodes that have links; nodes has node, n, bands and sketch, texts has the text of each node.
 
     In each bucket of a band every node is first compared with the smallest node; nodes that this connects
     aren't compared again. What is in different components is compared by sketch in blocks, first the
@@ -219,7 +229,7 @@ def components_of(nodes: DataFrame, texts: DataFrame, spec: Banding) -> DataFram
     shared = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     members = keep(buckets.join(shared, "key").select("key", "node", "pivot"))
     found = keep(members.select("node").distinct())
-    info = keep(nodes.select("node", "n", "filled", "sketch", "bands").join(found, "node", "left_semi").dropDuplicates(["node"]))
+    info = keep(nodes.select("node", "n", "sketch", "bands").join(found, "node", "left_semi").dropDuplicates(["node"]))
     texts = keep(texts.join(found, "node", "left_semi"))
 
     stars = members.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -252,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = cut(sign(docs, id_col, text_col, spec))
     classes = cut(signed.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("node")))
-    nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "filled", "bands", "sketch")
+    nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "bands", "sketch")
     labels = components_of(nodes, docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("text is not null"), spec)
     of_class = cut(classes.join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component_id")))
     marked = signed.select("id", "class", "n").join(of_class, "class", "left")

@@ -20,9 +20,8 @@ MIN_RUN_WORDS = 20
 #: A piece begins where the hash of a word and the word before it is smallest among so many to either side.
 PIECE_RADIUS = 5
 MIN_PIECE_WORDS = 4
-#: At a similarity of 0.75, 16 bands of 3 samples miss (1 - 0.75 ** 3) ** 16 = 2 pairs in 10,000; an estimate from 512
-#: bins has a standard error of 0.02 at most.
-BANDING = Banding(bands=16, rows=3, bins=512, sketch_bits=1024, estimate_at=0.65)
+#: At a similarity of 0.75, 16 bands of 3 samples miss (1 - 0.75 ** 3) ** 16 = 2 pairs in 10,000.
+BANDING = Banding(bands=16, rows=3, bins=512, sketch_bits=1024)
 
 
 def _class(words: np.ndarray, salt: int) -> int:
@@ -52,7 +51,7 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _occurrences(docs: DataFrame, signed: bool) -> DataFrame:
-    """(id, begin, end, words, class, is_line) of every unit; if signed, (node, n, filled, bands, sketch) of the lines."""
+    """(id, begin, end, words, class, is_line) of every unit; if signed, (node, n, bands, sketch) of the lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -65,10 +64,10 @@ def _occurrences(docs: DataFrame, signed: bool) -> DataFrame:
                     yield pd.DataFrame({"id": ids[part][text], "begin": b, "end": e, "words": n, "class": name, "is_line": kind == 1})
                 elif len(at):
                     sets = [np.unique(shingles(hashes[x:y])) for x, y in zip(wb[at], we[at])]
-                    bands, sketch, filled = signatures_of(sets, BANDING)
-                    yield pd.DataFrame({"node": name, "n": [len(s) for s in sets], "filled": filled, "bands": list(bands), "sketch": list(sketch)})
+                    bands, sketch = signatures_of(sets, BANDING)
+                    yield pd.DataFrame({"node": name, "n": [len(s) for s in sets], "bands": list(bands), "sketch": list(sketch)})
 
-    schema = "node long, n long, filled long, bands array<long>, sketch array<long>" if signed else "id long, begin int, end int, words int, class long, is_line boolean"
+    schema = "node long, n long, bands array<long>, sketch array<long>" if signed else "id long, begin int, end int, words int, class long, is_line boolean"
     return docs.mapInPandas(run, schema)
 
 
