@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import public_tokenizers
+
 from vigilog.llm.minhash import near_duplicates
+from vigilog.llm.token_store import CachedEncoder
 
 
 def test_links_of_short_texts_at_the_least_similarity(spark):
@@ -17,3 +21,11 @@ def test_links_of_short_texts_at_the_least_similarity(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 3 * n // 4 + 4]))]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(800)}
+
+
+def test_added_tokens_are_encoded_as_in_whole_texts():
+    coder = CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain<|endoftext|>words", "x\ny <|endoftext|>", "a <|endoftext> b", "it's plain"]
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert next(coder.encode(texts[:1])).dtype == np.uint32

@@ -154,7 +154,8 @@ class CachedEncoder:
     Such a tokenizer merges only within the pieces of its splitting pattern. That pattern always divides
     a text before a single space and around a single line feed, and words of letters from what surrounds
     them unless an apostrophe is near; equal parts between such places are encoded once. Texts with other
-    or doubled white space are encoded as they are.
+    or doubled white space, or with the content of an added token, which is found before the pattern divides
+    anything, are encoded as they are.
     """
 
     _doubled = ("  ", "\n\n", " \n", "\n ")
@@ -170,13 +171,14 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._whole = (*self._doubled, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_one(self, text: str) -> np.ndarray:
-        if self._odd.search(text) or any(x in text for x in self._doubled):
+        if self._odd.search(text) or any(x in text for x in self._whole):
             return np.frombuffer(self._encode([text])[0], np.uint32)
         parts = (self._spaced if self._beyond.search(text) else self._parts).findall(text)
         try:
