@@ -188,3 +188,21 @@ def test_written_events_come_back(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.txt").write_text("x\ny\nz\n")
     assert rows(readers.read_log_lines(spark, str(tmp_path / "log")), "line_no", "value") == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_capped_sessions_are_scanned_from_batch_to_batch(spark):
+    rng = random.Random(4)
+    data, expected = [], {}
+    for key in ("a", "b", None):
+        times = sorted(rng.randrange(0, 40_000) * SECOND for _ in range(600))
+        ids = [len(data) + i for i in range(len(times))]
+        data += [(key, t, i, [i]) for t, i in zip(times, ids)]
+        expected |= dict(zip(ids, _naive_caps(times, 900 * SECOND, 3000 * SECOND, 23)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        capped = sessions.capped_sessions(spark.createDataFrame(data, "k string, us long, o long, x array<long>"), "k", "us", "o", 900, 3000, 23)
+        assert "FlatMapGroups" not in capped._jdf.queryExecution().toString()
+        got = capped.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["o"]: r["split_seq"] for r in got} == expected and all(r["x"] == [r["o"]] for r in got)

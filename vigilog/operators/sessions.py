@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilog.functions import web
 
@@ -28,8 +29,9 @@ def capped_sessions(df: DataFrame, key: str, time: str, order: str, gap_seconds:
     """gap_sessions() that also begin anew once older than max_seconds or max_events long; adds session_seq, split_seq and parent_tracking_id.
 
     The parent id is the key and start of the idle session, which all its splits share. Each restart depends
-    on the one before, so sessions that break a cap (and only those) go through a vectorised helper one by
-    one, times only; all others keep split 0.
+    on the one before, so sessions that break a cap (and only those) are scanned in order, from batch to batch:
+    the scan holds where the current split began and how many events it has, not a session's rows. All others
+    keep split 0.
     """
     sessions = gap_sessions(df, key, time, order, gap_seconds)
     span = sessions.groupBy(key, "session_seq").agg(F.min(time).alias("_begin"), F.max(time).alias("_end"), F.count("*").alias("_n"))
@@ -38,20 +40,31 @@ def capped_sessions(df: DataFrame, key: str, time: str, order: str, gap_seconds:
     over = (F.col("_end") - F.col("_begin") > int(max_seconds * SECOND)) | (F.col("_n") > max_events)
     most = int(max_seconds * SECOND)
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, order], kind="stable")
-        t, begin, part = pdf[time].to_numpy(), 0, 0
-        out = np.zeros(len(t), np.int32)
-        while begin < len(t):
-            end = min(int(np.searchsorted(t, t[begin] + most, side="right")), begin + max_events)
-            out[begin:end] = part
-            begin, part = max(end, begin + 1), part + 1
-        return pdf.assign(split_seq=out)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begin, count, part = None, 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, number = batch.column(key), batch.column("session_seq").to_numpy()
+            k, t = keys.dictionary_encode("encode").indices.to_numpy(), batch.column(time).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (number[1:] != number[:-1]), True])
+            out = np.zeros(len(t), np.int32)
+            for i, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if last != (session := (keys[i].as_py(), number[i])):
+                    last, begin, count, part = session, t[i], 0, 0
+                while i < e:
+                    end = min(i + int(np.searchsorted(t[i:e], begin + most, side="right")), i + max_events - count)
+                    end = max(end, i if count else i + 1)
+                    out[i:end] = part
+                    i, count = end, count + end - i
+                    if i < e:
+                        begin, count, part = t[i], 0, part + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "split_seq"])
 
     columns = [*sessions.columns, "_begin"]
     plain = joined.filter(~over).select(*columns, F.lit(0).alias("split_seq"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*columns).schema)
-    capped = joined.filter(over).select(*columns).groupBy(key, "session_seq").applyInPandas(split, f"{fields}, split_seq int")
+    dealt = joined.filter(over).select(*columns).repartition(key, "session_seq").sortWithinPartitions(key, "session_seq", F.asc_nulls_last(time), order)
+    capped = dealt.mapInArrow(scan, T.StructType([*dealt.schema, T.StructField("split_seq", T.IntegerType())]))
     both = plain.unionByName(capped)
     return both.withColumn("parent_tracking_id", F.concat_ws("_", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_begin").cast("string"))).drop("_begin")
 
