@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import same
-from vigilog.llm import queries
+from vigilog.llm import queries, suffix_dedup
 from vigilog.llm.exact_dedup import drop_exact_duplicates, mark_exact_duplicates
 from vigilog.llm.licenses import scan_licenses
 from vigilog.llm.minhash import near_duplicates
@@ -194,7 +194,7 @@ def test_mixing_as_sql(docs, nothing):
     known = docs.filter("doc_id is not null").distinct()
     duck = duckdb.connect()
     duck.register("documents", frame(known))
-    got = mix_sources(known, columns=False).select("doc_id", "size", "source_size", "target", "taken")
+    got = mix_sources(known, columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
     same(got, duck.execute(queries.ORACLE["op8_mix_sources"]).df())
     whole = mix_sources(docs)
     assert whole.count() == len(ROWS) and mix_sources(nothing).count() == 0
@@ -228,13 +228,16 @@ def _removed(texts: dict[int, str]) -> dict[int, tuple]:
     return out
 
 
-def test_repeats_as_brute_force(spark, docs, nothing):
+@pytest.mark.parametrize("hot", [4096, 20, 1])
+def test_repeats_as_brute_force(spark, docs, nothing, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_PLACES", hot)  # grams of so many places go on window by window
     assert remove_repeats(nothing).count() == 0 and remove_repeats(docs).count() == len(ROWS)
     rng = np.random.default_rng(2)
     word = lambda n: "".join(rng.choice(list("abé \n"), n))
     passages = [word(n) for n in (49, 50, 51, 90, 200)]
     texts = {i: "".join(x for _ in range(4) for x in (word(int(rng.integers(0, 60))), passages[int(rng.integers(0, 5))])) for i in range(60)}
-    texts |= {100: "a" * 300, 101: "a" * 300, 102: "", 103: texts[3]}
+    stock = "this phrase is in many of the texts: "
+    texts |= {100: "a" * 300, 101: "a" * 300, 102: "", 103: texts[3]} | {200 + i: word(30) + stock + word(i % 7 + 10) + stock for i in range(60)} | {300: (passages[4] + "\n") * 6000}
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
     assert got == _removed(texts)
 

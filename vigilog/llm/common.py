@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -19,9 +20,10 @@ SHINGLE_WORDS = 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Spans of more bytes are hashed one by one; those up to it all at once.
+_SHORT = 128
+#: Places over which the partners of one node are spread where they meet it.
+SPREAD = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,13 +31,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may do without."""
+    context = spark.sparkContext
+    now = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else None)
     if not found:
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = now.get() if now.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if not now.isDefined():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -54,27 +59,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), for rows behind large shuffles: a checkpoint keeps the shuffle files behind it as long as it is in use.
-
-    The rows are written as a table first, so that nothing refers to those files any more, and Spark is
-    told to drop them; the table is then checkpointed, for Spark to remove in its time, and deleted.
-    """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    del df
-    release(spark)
-    kept = cut(spark.read.parquet(path))
-    drop_path(spark, path)
-    release(spark)
-    return kept
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark removes the shuffle files of each query as soon as the query has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
 
 
 class Tables:
-    """Intermediate tables in the shared folder, for an operator that is done with all of them before it returns.
-
-    Nothing refers to the shuffles behind a written table, so Spark can drop their files at once.
-    """
+    """Intermediate tables in the shared folder, for an operator that is done with all of them before it returns."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.written = spark, shared_path(spark, name), 0
@@ -82,22 +83,14 @@ class Tables:
     def keep(self, df: DataFrame) -> DataFrame:
         self.written += 1
         place = f"{self.path}/{self.written}"
-        df.write.parquet(place)
-        del df
-        release(self.spark)
-        return self.spark.read.parquet(place)
+        with brief_shuffles(self.spark):
+            df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files that nothing refers to any more; those of its last job stay in use until another has run."""
-    spark.range(1).collect()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * _M2
@@ -107,19 +100,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        out = np.ones(size, np.uint64)
-        have = 1
-        step = base
-        while have < size:
-            out[have : 2 * have] = out[:have] * np.uint64(step)
-            step = step * step % (1 << 64)
-            have *= 2
-        _powers[base] = out
-    return _powers[base][:n]
+def span_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight bytes a step through a mixing function, BLAKE2 for long spans."""
+    size = end - begin
+    out = size.astype(np.uint64) * _M1
+    eight = np.ndarray((len(data),), "<u8", buffer=data + bytes(8), strides=(1,))
+    at = np.flatnonzero(size <= _SHORT)
+    for k in range(0, _SHORT, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - k, 8).astype(np.uint64)
+        block = eight[begin[at] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+        out[at] = mix((out[at] ^ block) * _M1 + np.uint64(k))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[slice]:
@@ -144,12 +140,7 @@ class Words:
         inside = ~_SPACES[self.bytes]
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
         self.begin, self.end = edge[::2], edge[1::2]
-        n = len(joined)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.begin]) * _power(_INVERSE, n)[self.begin]
-        self.hash = mix(raw + (self.end - self.begin).astype(np.uint64) * _M1)
+        self.hash = span_hashes(joined, self.begin, self.end)
         self.first = np.searchsorted(self.begin, self.text_at)  # of each text; one more at the end
 
 
@@ -166,11 +157,6 @@ def shingles(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted; A-Z count as lower case."""
-    return np.unique(shingles(Words([(text or "").encode("utf-8", "surrogatepass").lower()]).hash))
-
-
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b"" for x in texts]
 
@@ -196,17 +182,29 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield pd.concat(rest, ignore_index=True)
 
 
+def place(other: str) -> Column:
+    """Where a node meets this partner: one of SPREAD places, so that a node with very many partners meets them in as many tasks."""
+    return F.pmod(F.xxhash64(other), F.lit(SPREAD))
+
+
+def beside(pairs: DataFrame, side: str, other: str, table: DataFrame) -> DataFrame:
+    """pairs joined with the row of table (whose key is named as side) of one of their two nodes, spread by the other."""
+    dealt = pairs.withColumn("s", place(other))
+    return dealt.join(dealt.select(side, "s").distinct().join(table, side), [side, "s"]).drop("s")
+
+
 def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, component) of every node in edges (a, b): the smallest node that it is connected with. keep stores each step's edges.
 
-    Alternates large-star and small-star steps (Kiveris and others, 2014): every step is a grouped minimum
-    with map-side combining and a join, so that no component meets in one task or on the driver.
+    Alternates large-star and small-star steps (Kiveris and others, 2014). Every step is a grouped minimum and a
+    join; the partners of a node are dealt to SPREAD places, so that no component meets in one task or on the driver.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        near = both.join(low, "a")
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("s", place("b"))
+        parts = both.groupBy("a", "s").agg(F.min("b").alias("low"))
+        low = parts.groupBy("a").agg(F.min("low").alias("low")).withColumn("low", F.least("a", "low"))
+        near = both.join(parts.select("a", "s").join(low, "a"), ["a", "s"]).drop("s")
         if large:
             return near.filter("b > a").select(F.col("low").alias("a"), "b").filter("a < b")
         found = near.filter("b < a").select(F.col("low").alias("a"), "b").union(low.select(F.col("low").alias("a"), F.col("a").alias("b")))
@@ -222,4 +220,5 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
         if (is_now := mark(now)) == was:
             break
         was = is_now
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
+    labelled = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    return labelled.union(now.select("a", "a").distinct())

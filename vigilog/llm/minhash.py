@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import Tables, Words, chunks, connected_components, cut, encoded, mix, shingle_set, shingles, whole_groups
+from vigilog.llm.common import Tables, Words, beside, chunks, connected_components, cut, encoded, mix, place, shingles, whole_groups
 
 
 @dataclass(frozen=True)
@@ -39,14 +39,22 @@ class Banding:
         return self.bands * self.rows
 
 
-#: Members of a bucket up to which its pairs are joined; larger buckets are compared in square blocks of this size.
+#: Members of a bucket on each side of a block of pairs that is compared in memory.
 BLOCK = 256
+#: Shingles up to which a block compares the sets themselves, so that it gives confirmed links and not candidates.
+EXACT_SHINGLES = 512
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted; the texts are in lower case already."""
+    words = Words(texts)
+    return [np.unique(shingles(words.hash[a:b])) for a, b in zip(words.first[:-1], words.first[1:])]
+
+
 def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, ...]:
     """Band keys (int64) and odd sketches (int64 words) of sets that aren't empty."""
     flat = np.concatenate(hashes)
@@ -81,13 +89,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, spec: Banding) -> DataFram
             texts = [t.lower() for t in encoded(pdf["text"])]
             ids = pdf["id"].to_numpy()
             for part in chunks(texts):
-                words = Words(texts[part])
-                own = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-                sets = [np.unique(shingles(w)) for w in own]
+                sets = shingle_sets(texts[part])
                 full = [s for s in sets if len(s)]
                 bands, sketches = map(iter, signatures_of(full, spec) if full else ([], []))
                 yield pd.DataFrame({
-                    "id": ids[part], "class": [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in own], "n": [len(s) for s in sets],
+                    "id": ids[part], "class": [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts[part]], "n": [len(s) for s in sets],
                     "bands": [next(bands) if len(s) else None for s in sets], "sketch": [next(sketches) if len(s) else None for s in sets],
                 })
 
@@ -126,122 +132,180 @@ def _near_enough(a: Column, b: Column, percent: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough.
+
+    The partners of a meet it in SPREAD places: each has the text of a once, first, and then the texts of the partners.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+    dealt = pairs.withColumn("s", place("b"))
+    named = lambda c: texts.select(F.col("node").alias(c), "text")
+    first = dealt.select("a", "s").distinct().join(named("a"), "a").select("a", "s", F.lit(None).cast(kind).alias("b"), "text")
+    rest = beside(dealt, "b", "a", named("b")).select("a", place("b").alias("s"), "b", "text")
+    met = first.union(rest).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, one = None, np.zeros(0, np.uint64)
         for pdf in batches:
-            known: dict[str, np.ndarray] = {}
-            size, good = 0, np.zeros(len(pdf), bool)
-            for i, (ta, tb) in enumerate(zip(pdf["ta"], pdf["tb"])):
-                if size > 16 << 20:
-                    known.clear()
-                    size = 0
-                for t in (ta, tb):
-                    if t not in known:
-                        known[t] = shingle_set(t)
-                        size += known[t].nbytes
-                a, b = known[ta], known[tb]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good[i] = 100 * both >= spec.percent * (len(a) + len(b) - both) if both else False
-            yield pdf.loc[good, ["a", "b"]]
+            texts = [t.lower() for t in encoded(pdf["text"])]
+            good = np.zeros(len(pdf), bool)
+            for part in chunks(texts):
+                rows = zip(range(part.start, part.stop), pdf["a"].iloc[part], pdf["s"].iloc[part], pdf["b"].isna().iloc[part], shingle_sets(texts[part]))
+                for i, a, s, is_first, found in rows:
+                    if is_first:
+                        own, one = (a, s), found
+                        continue
+                    if own != (a, s) or not len(found):
+                        continue
+                    both = len(np.intersect1d(one, found, assume_unique=True))
+                    good[i] = 100 * both >= spec.percent * (len(one) + len(found) - both)
+            yield pdf.loc[good, ["a", "b"]].astype("int64")
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}")
+    return met.mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def _weed(pairs: DataFrame, info: DataFrame, spec: Banding) -> DataFrame:
     """The pairs that set sizes and odd sketches leave."""
     a = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    left = pairs.join(a, "a").join(b, "b").filter(_near_enough(F.col("na"), F.col("nb"), spec.percent))
+    left = beside(pairs.join(b, "b"), "a", "b", a).filter(_near_enough(F.col("na"), F.col("nb"), spec.percent))
     most = most_apart(F.col("na") + F.col("nb"), spec, F)
-    return left.filter(_bits_apart("sa", "sb") <= most).select("a", "b").distinct()
-
-
-def _across(members: DataFrame, labels: DataFrame, info: DataFrame, spec: Banding, nearest_only: bool) -> DataFrame:
-    """Candidate pairs (a, b) of one bucket and different components, by odd sketch; with nearest_only the best of each node in each block.
-
-    Buckets whose members are one component already are left out. A bucket of m members is dealt out to blocks
-    of BLOCK x BLOCK pairs, which any tasks compare in memory: no task holds a bucket, and only candidates leave it.
+    return left.filter(_bits_apart("sa", "sb") <= most).select("a", "b")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Of links between places 0 to n - 1 those that join what was apart before."""
+    root = list(range(n))
+    kept_a, kept_b = [], []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = x, y
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        while root[q] != q:
+            root[q] = root[root[q]]
+            q = root[q]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept_a.append(x)
+            kept_b.append(y)
+    return kept_a, kept_b
+
+
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, ok: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of ok (left x right) are similar enough by their full sets."""
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    at = np.cumsum(np.r_[0, size])
+    of_right = np.concatenate([element[at[k] : at[k + 1]] for k in right])
+    begin = np.cumsum(np.r_[0, size[right][:-1]])
+    inside = np.zeros(int(element.max(initial=0)) + 1, np.int32)
+    out = np.zeros_like(ok)
+    for p in np.flatnonzero(ok.any(1)):
+        own = element[at[left[p]] : at[left[p] + 1]]
+        inside[own] = 1
+        both = np.add.reduceat(inside[of_right], begin)
+        inside[own] = 0
+        out[p] = ok[p] & (100 * both >= percent * (len(own) + size[right] - both))
+    return out
+
+
+def _across(members: DataFrame, labels: DataFrame, info: DataFrame, texts: DataFrame, spec: Banding, nearest_only: bool) -> DataFrame:
+    """Pairs (a, b, sure) of one bucket and different components: links that join what is apart in a block, and candidates.
+
+    Buckets whose members are one component already are left out. A bucket of m members is dealt out to blocks of
+    BLOCK x BLOCK pairs, which any tasks compare in memory: no task holds a bucket. Where sketches agree, pairs of sets
+    of up to EXACT_SHINGLES are compared on the full sets at once, and of the links of a block only a spanning forest
+    leaves it. Pairs with a larger set leave as candidates: with nearest_only, which comes first, the best of each node
+    in each block; without it only they are compared, since the others have been.
     """
-    placed = members.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "m")
+    placed = members.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("largest"), F.count("*").alias("m"))
+    mixed = mixed.filter("lo < hi").filter(F.lit(nearest_only) | (F.col("largest") > EXACT_SHINGLES)).select("key", "m")
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("node", "key"), blocks)
-    to = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own <= j).alias("left")))
-    rows = placed.join(mixed, "key").join(info, "node").select("key", "node", "component", "n", "sketch", "bands", own.alias("own"), F.explode(to).alias("to"))
-    rows = rows.select("key", "node", "component", "n", "sketch", F.lit(None).alias("bands") if nearest_only else "bands", "own", F.col("to.i").alias("i"), F.col("to.j").alias("j"))
+    to = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    large = F.col("n") > EXACT_SHINGLES
+    rows = beside(placed, "key", "node", mixed).join(info.drop("n"), "node").join(texts, "node")
+    rows = rows.select(
+        "key", "node", "component", "n", "sketch", F.when(large & F.lit(not nearest_only), F.col("bands")).alias("bands"),
+        F.when(~large & F.lit(nearest_only), F.col("text")).alias("text"), own.alias("own"), F.explode(to).alias("to"),
+    ).select("*", "to.i", "to.j").drop("to")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
 
+    def compare(pdf: pd.DataFrame) -> list[tuple]:
+        """Pairs of one block: places of both, and whether they are sure."""
+        key, i, j = (pdf[c].iloc[0] for c in ("key", "i", "j"))
+        own_, comp, n = (pdf[c].to_numpy() for c in ("own", "component", "n"))
+        left, right = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
+        if not len(left) or not len(right):
+            return []
+        sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+        apart = np.zeros((len(left), len(right)), np.int32)
+        for k in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
+        nl, nr = n[left][:, None], n[right][None, :]
+        ok = (apart <= most_apart(nl + nr, spec)) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nl, nr) >= spec.percent * np.maximum(nl, nr))
+        if i == j:
+            ok &= left[:, None] < right[None, :]
+        exact = (nl <= EXACT_SHINGLES) & (nr <= EXACT_SHINGLES)
+        found = []
+        if nearest_only and (ok & exact).any():
+            sets = shingle_sets([t.lower() for t in encoded(pdf["text"])])
+            p, q = np.nonzero(_linked(sets, left, right, ok & exact, spec.percent))
+            found += [(x, y, True) for x, y in zip(*_forest(left[p], right[q], len(pdf)))]
+        ok &= ~exact
+        if nearest_only:
+            masked = np.where(ok, apart, 1 << 30)
+            best = np.zeros_like(ok)
+            best[np.arange(len(left)), masked.argmin(1)] = True
+            best[masked.argmin(0), np.arange(len(right))] = True
+            ok &= best
+        p, q = np.nonzero(ok)
+        bands = pdf["bands"].to_numpy()
+        for x, y in zip(left[p].tolist(), right[q].tolist()):
+            # two large sets are compared in the first band that they share, and not again in the others
+            if bands[x] is None or bands[y] is None or bands[x][np.argmax(bands[x] == bands[y])] == key:
+                found.append((x, y, False))
+        return found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "i", "j"]):
-            key, i, j, own_ = (pdf[c].to_numpy() for c in ("key", "i", "j", "own"))
-            node, comp, n = (pdf[c].to_numpy() for c in ("node", "component", "n"))
-            sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
-            bands = None if nearest_only else np.stack(pdf["bands"].to_numpy())
+            key, i, j, node = (pdf[c].to_numpy() for c in ("key", "i", "j", "node"))
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-            found_a, found_b = [], []
-            for s, e in zip(edge[:-1], edge[1:]):
-                left = s + np.flatnonzero(own_[s:e] == i[s])
-                right = s + np.flatnonzero(own_[s:e] == j[s])
-                if not len(left) or not len(right):
-                    continue
-                apart = np.zeros((len(left), len(right)), np.int32)
-                for k in range(sketch.shape[1]):
-                    apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
-                nl, nr = n[left][:, None], n[right][None, :]
-                ok = (apart <= most_apart(nl + nr, spec)) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nl, nr) >= spec.percent * np.maximum(nl, nr))
-                if nearest_only:
-                    masked = np.where(ok, apart, 1 << 30)
-                    best = np.zeros_like(ok)
-                    best[np.arange(len(left)), masked.argmin(1)] = True
-                    best[masked.argmin(0), np.arange(len(right))] = True
-                    ok &= best
-                p, q = np.nonzero(ok)
-                if bands is not None and len(p):
-                    # a pair is compared in the first band that it shares, and not again in the others
-                    same = bands[left[p]] == bands[right[q]]
-                    first = bands[left[p], same.argmax(1)] == key[s]
-                    p, q = p[first], q[first]
-                found_a.append(node[left[p]])
-                found_b.append(node[right[q]])
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            found = [(node[s + x], node[s + y], sure) for s, e in zip(edge[:-1], edge[1:]) for x, y, sure in compare(pdf.iloc[s:e])]
+            yield pd.DataFrame([(min(a, b), max(a, b), sure) for a, b, sure in found], columns=["a", "b", "sure"]).drop_duplicates()
 
     kind = members.schema["node"].dataType.simpleString()
-    return dealt.mapInPandas(run, f"a {kind}, b {kind}").filter("a < b").distinct()
+    return dealt.mapInPandas(run, f"a {kind}, b {kind}, sure boolean").distinct()
 
 
 def components_of(nodes: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
     """(node, component) of the nodes that have links; nodes has node, n, bands and sketch, texts has the text of each node.
 
     In each bucket of a band every node is first compared with the smallest node; nodes that this connects
-    aren't compared again. What is in different components is compared by sketch in blocks, first the
-    nearest of each node, then all that are still apart: so no link between components is lost and no
-    pairs within a component are made.
+    aren't compared again. What is in different components is compared in blocks, large sets first with the
+    nearest only, then all that are still apart: so no link between components is lost and no pairs within
+    a component are made.
     """
     tables = Tables(nodes.sparkSession, "candidates")
     keep = tables.keep
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
-    members = keep(buckets.join(shared, "key").select("key", "node", "pivot"))
+    buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = keep(buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot"))
+    members = keep(buckets.join(shared, "key").select("key", "node", "n", "pivot"))
     found = keep(members.select("node").distinct())
     info = keep(nodes.select("node", "n", "sketch", "bands").join(found, "node", "left_semi").dropDuplicates(["node"]))
     texts = keep(texts.join(found, "node", "left_semi"))
 
     stars = members.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = keep(_confirm(keep(_weed(stars, info, spec)), texts, spec).distinct())
-    # what two hops along the links reach is in a node's component: that is enough to leave pairs out
-    hop = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
-    near = keep(hop.join(hop.select(F.col("node").alias("low"), F.col("low").alias("lowest")), "low", "left").select("node", F.coalesce("lowest", "low").alias("component")))
-    more = keep(_confirm(keep(_across(members, near, info, spec, True)), texts, spec).distinct())
-    labels = keep(connected_components(links.union(more), keep))
-    more = keep(_confirm(keep(_across(members, labels, info, spec, False)), texts, spec).distinct())
-    if not more.isEmpty():
-        labels = connected_components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), keep)
+    links = keep(_confirm(keep(_weed(stars, info, spec)), texts, spec))
+    labels = keep(connected_components(links, keep))
+    for nearest_only in (True, False):
+        found = keep(_across(members, labels, info, texts, spec, nearest_only))
+        if found.isEmpty():
+            break
+        more = found.filter("sure").select("a", "b").union(_confirm(found.filter("not sure").select("a", "b"), texts, spec))
+        known = labels.filter("component < node").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        labels = keep(connected_components(known.union(more), keep))
     labels = cut(labels)
     tables.drop()
     return labels

@@ -40,8 +40,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return placed.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", columns: bool = True) -> DataFrame:
-    """The rows of docs with size, source_size, target, epochs and taken.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", columns: list[str] | None = None) -> DataFrame:
+    """The rows of docs (or the named columns of them) with size, source_size, target, epochs and taken.
 
     Every row has a random key, the MD5 of seed and id, and each source is in the order of its keys (ties:
     id, then size). A source whose target is q whole passes and a rest takes each row q times, and the
@@ -49,28 +49,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     half of it or more lies before the cut. Sums up to each row are those of the key ranges before its
     range plus those within the range: a source with most rows has as many ranges as it needs, and no
     task holds a source. Null texts have size 0; null ids count as the text "null"; null sources are one
-    source; rows repeat as given. Only id, source and size take part: texts follow only if columns is true.
+    source; rows repeat as given. Columns of docs with the names of the new ones are replaced; other names
+    don't matter.
     """
+    own = [c for c in columns or docs.columns if c not in ("size", "source_size", "target", "epochs", "taken")]
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    own = docs.columns if columns else [id_col, source_col]
-    own = [c for c in own if c not in ("size", "source_size", "target", "epochs", "taken")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in own), F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), size.alias("size"), key.alias("_key"))
-    count = docs.select(F.count("*").alias("_rows"))
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("_rows") / RANGE_ROWS))
-    at = F.conv(F.substring("_key", 1, RANGE_DIGITS), 16, 10).cast("bigint")
-    rows = rows.crossJoin(F.broadcast(count)).withColumn("_range", F.floor(at * ranges / F.lit(16**RANGE_DIGITS))).drop("_rows")
-    sums = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_in_range"))
-    sources = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_in_range").alias("source_size"))
-    targets = source_targets(sources, weights)
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_in_range").over(before), F.lit(0)))
-    offsets = offsets.join(targets, offsets["_source"].eqNullSafe(targets["source"])).select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), "_offset", "source_size", "target")
-    within = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_sum", F.sum("size").over(within))
-    rows = rows.join(offsets, rows["_source"].eqNullSafe(offsets["_s"]) & (rows["_range"] == offsets["_r"]))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), size.alias("size"), key.alias("key"))
+    count = docs.select(F.count("*").alias("rows"))
+    ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / RANGE_ROWS))
+    at = F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("bigint")
+    rows = rows.crossJoin(F.broadcast(count)).withColumn("range", F.floor(at * ranges / F.lit(16**RANGE_DIGITS))).drop("rows")
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("in_range").alias("source_size")), weights)
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
+    offsets = offsets.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("range").alias("nth"), "offset", "source_size", "target")
+    within = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("sum", F.sum("size").over(within)).join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("nth")))
     whole = F.least(F.floor(F.try_divide("target", "source_size")), F.lit(MOST_EPOCHS))
     rest = F.col("target") - F.col("source_size") * whole
-    more = (F.col("_offset") + F.col("_sum") - F.col("size") / 2 <= rest) & (rest > 0) & (whole < MOST_EPOCHS)
+    more = (F.col("offset") + F.col("sum") - F.col("size") / 2 <= rest) & (rest > 0) & (whole < MOST_EPOCHS)
     epochs = F.coalesce(whole + more.cast("bigint"), F.lit(0)).cast("bigint")
-    return rows.select(*(F.col(f"`{c}`") for c in own), "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in own), "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"))

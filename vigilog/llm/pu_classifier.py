@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,25 +66,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 1e-3, seed: int = 0) -> Model:
-    """Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) for a linear score under the logistic loss.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled texts, from scores that rank them (Blanchard and others, 2010).
 
-    Where the second part of a step's risk falls below 0, the step climbs back out of it instead, as in
-    the paper. Without positives or unlabelled texts every score is the prior.
+    Negatives only add to a tail: above any score, the unlabelled share is at least prior times the positive
+    share, and where a tail is all positives it is just that. So the smallest such ratio is taken, over tails
+    with half of the positives or more, which chance moves little.
     """
-    both = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
-        logit = np.log(prior / (1 - prior))
-        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), float(logit), prior)
-    mean, scale = both.mean(0, dtype=np.float64).astype(np.float32), np.maximum(both.std(0, dtype=np.float64), 0.01).astype(np.float32)
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(SIZE), 0.0
+        return 0.5
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(np.quantile(p, np.linspace(0.0, 0.5, 51)))
+    of_p, of_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    return float(np.clip((of_u / of_p).min(), 0.02, 0.98))
+
+
+def _risk_steps(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float, steps: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+    w, b = np.zeros(SIZE, np.float32), 0.0
     m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     rng = np.random.default_rng(seed)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    some = lambda x, n: (x[rng.choice(len(x), min(len(x), n), replace=False)] - mean) / scale
     for step in range(1, steps + 1):
-        pi = p[rng.choice(len(p), min(len(p), 1024), replace=False)]
-        ui = u[rng.choice(len(u), min(len(u), 2048), replace=False)]
+        pi, ui = some(positive, 1024), some(unlabelled, 2048)
         zp, zu = pi @ w + b, ui @ w + b
         minus = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_plus, gp_minus, gu_minus = -sigmoid(-zp) / len(pi), sigmoid(zp) / len(pi), sigmoid(zu) / len(ui)
@@ -92,11 +96,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             gp, gu = prior * (gp_plus - gp_minus), gu_minus
         else:
             gp, gu = prior * gp_minus, -gu_minus
-        grad = np.concatenate([pi.T @ gp + ui.T @ gu + decay * w, [gp.sum() + gu.sum()]])
+        grad = np.concatenate([pi.T @ gp.astype(np.float32) + ui.T @ gu.astype(np.float32) + decay * w, [gp.sum() + gu.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return Model(mean, scale, w, float(b), prior)
+        w, b = w - move[:-1].astype(np.float32), b - move[-1]
+    return w, float(b)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.02, decay: float = 1e-3, seed: int = 0) -> Model:
+    """Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) for a linear score under the logistic loss.
+
+    Where the second part of a step's risk falls below 0, the step climbs back out of it instead, as in
+    the paper. Without a prior, one is estimated from a first fit at an even prior. Samples may be of half
+    precision: only a step's rows are widened. Without positives or unlabelled texts every score is the prior.
+    """
+    if min(len(positive), len(unlabelled)) < (1 if prior else 2):
+        prior = prior or 0.5
+        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), float(np.log(prior / (1 - prior))), prior)
+    n = len(positive) + len(unlabelled)
+    mean = ((positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n).astype(np.float32)
+    spread = sum(((x[i : i + 512] - mean) ** 2).sum(0, dtype=np.float64) for x in (positive, unlabelled) for i in range(0, len(x), 512))
+    scale = np.maximum(np.sqrt(spread / n), 0.01).astype(np.float32)
+    if prior is None:
+        # fitted on half of either sample, so that the scores of the other halves are as those of new texts
+        first = Model(mean, scale, *_risk_steps(positive[::2], unlabelled[::2], mean, scale, 0.5, steps // 3, rate, decay, seed), 0.5)
+        prior = estimate_prior(*(np.concatenate([first.score(x[i : i + 512]) for i in range(0, len(x), 512)]) for x in (positive[1::2], unlabelled[1::2])))
+    return Model(mean, scale, *_risk_steps(positive, unlabelled, mean, scale, prior, steps, rate, decay, seed), prior)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -107,42 +132,48 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _featured(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype(str), "x": [r.tobytes() for r in features(encoded(pdf["text"]))]})
+            yield pd.DataFrame({"id": pdf["id"].astype(str), "x": [r.tobytes() for r in features(encoded(pdf["text"])).astype(np.float16)]})
 
     # at most MOST_POSITIVES or MOST_UNLABELLED rows, in the same order whatever the partitions are
-    rows = sorted(docs.select("id", "text").mapInPandas(run, "id string, x binary").collect(), key=tuple)
-    return np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), SIZE)
+    rows = docs.select("id", "text").mapInPandas(run, "id string, x binary").collect()
+    rows.sort()
+    out = np.empty((len(rows), SIZE), np.float16)
+    for i, row in enumerate(rows):
+        out[i] = np.frombuffer(row["x"], np.float16)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from trusted positives (label 1, not held out), unlabelled texts (not held out) and the share of 1 among the labels that aren't held out.
+    """A model from trusted positives (label 1, not held out) and unlabelled texts (not held out); the class prior is estimated from both.
 
-    Both samples are bounded by MOST_POSITIVES and MOST_UNLABELLED ids, first by a hash of the id; their
-    texts come by a join with those ids. Labels that are null don't count; of differing labels of an id the
-    smaller counts.
+    Labels of 0 play no part. Both samples are bounded by MOST_POSITIVES and MOST_UNLABELLED ids, first by a
+    hash of the id; their texts come by a join with those ids. Labels that are null don't count; of differing
+    labels of an id the smaller counts.
     """
     known = labels.filter(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
-    n, ones = known.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
-    prior = float(np.clip(ones / n, 0.02, 0.98)) if n else 0.5
     texts = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     first = lambda ids, most: F.broadcast(ids.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most))
     positive = texts.join(first(known.filter("label = 1"), MOST_POSITIVES), "id", "left_semi")
     unlabelled = texts.join(first(texts, MOST_UNLABELLED), "id", "left_semi")
-    return fit(_featured(positive), _featured(unlabelled), prior)
+    return fit(_featured(positive), _featured(unlabelled))
 
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= PREDICT_AT), whatever else its columns are.
-
-    The whole text is scored; null and empty texts have the score of their (empty) features. Columns
-    named score or predicted are replaced; null ids and repeated rows change nothing. An empty table
-    gives an empty result.
-    """
+def scorer(model: Model) -> Callable[[str | Column], Column]:
+    """A column function that gives the score (0 to 1) of a whole text; null and empty texts have that of their (empty) features."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         parts = [model.score(features(encoded(texts.iloc[i : i + 500]))) for i in range(0, len(texts), 500)]
         return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
-    scored = docs.drop("score", "predicted").withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
+    return lambda text: score(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 if score >= PREDICT_AT), whatever else its columns are.
+
+    The whole text is scored. Columns named score or predicted are replaced; null ids and repeated rows
+    change nothing. An empty table gives an empty result.
+    """
+    scored = docs.drop("score", "predicted").withColumn("score", scorer(model)(text_col))
     return scored.withColumn("predicted", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import read, shared_path
+from vigilog.llm.common import cut, drop_path, read, shared_path
 from vigilog.llm.exact_dedup import mark_exact_duplicates
 from vigilog.llm.licenses import scan_licenses
 from vigilog.llm.minhash import near_duplicates
@@ -63,7 +63,9 @@ def op4_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, vocabulary = shared_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json")
     write_token_shards(read(spark, sf_dir, "documents"), path, lambda: shared_encoder(vocabulary))
-    return read_token_shards(spark, path)
+    found = cut(read_token_shards(spark, path))
+    drop_path(spark, path)
+    return found
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return mark_exact_duplicates(docs, columns=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return mark_exact_duplicates(docs, columns=["doc_id", "text_sha256"], sha_col="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE["op7_exact_dedup"] = """
@@ -85,7 +87,7 @@ FROM documents"""
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents"), columns=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(read(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE["op8_mix_sources"] = r"""

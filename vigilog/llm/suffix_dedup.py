@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import chunks, drop_path, encoded, mix, release, settle, shared_path, whole_groups
+from vigilog.llm.common import Tables, chunks, cut, encoded, mix, span_hashes, whole_groups
 
 #: Bytes of a string that counts as a repeat.
 LENGTH = 50
@@ -25,8 +24,14 @@ SORTED_AT_ONCE = 1 << 19
 #: Documents for each range of hashes that moves as one, and the fewest ranges: a range stays as small at any size of the input.
 RANGE_DOCS = 64
 LEAST_RANGE_BITS = 12
+#: A gram is hot if it marks so many places, and one in HOT_SHARE of all at least: so no more than HOT_SHARE grams are.
+HOT_PLACES = 4096
+HOT_SHARE = 1 << 20
+#: Spans that a task gathers before it hands them on by document.
+SPANS_AT_ONCE = 1 << 21
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_PLACE = np.uint64((1 << 32) - 1)
 
 
 def _words(data: np.ndarray, order: str = "<") -> np.ndarray:
@@ -49,9 +54,15 @@ def marks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none, none, data
     words = _words(data)
-    hashes = mix(words[: n - 8] * _A ^ mix(words[8:n] + _B))
-    bits = np.uint64(max(20, n.bit_length()))
-    low = hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)
+    hashes = words[: n - 8] * _A
+    hashes += words[8:n] * _B
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= _C
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= _A
+    # the first 32 bits decide, then the place: the same in texts of any length
+    low = hashes & ~_PLACE
+    low |= np.arange(len(hashes), dtype=np.uint64)
     size = 1
     while size * 2 <= _SPAN:
         low = np.minimum(low[:-size], low[size:])
@@ -63,33 +74,38 @@ def marks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if not len(begin):
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none, none, data
-    mark = (low[begin] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    mark = (low[begin] & _PLACE).astype(np.int64)
     edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
     first, last = begin[edge], begin[np.r_[edge[1:], len(begin)] - 1]
     own = mark[edge]
     return text_of[first], hashes[own], first, last, own, data
 
 
-def _packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list[bytes] | None = None) -> pd.DataFrame:
-    """(range, data): rows in the order of their key, a compressed block for each range of keys."""
-    order = np.argsort(key, kind="stable")
+def _packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list[bytes] | None = None, places: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
+    """(range, data): rows in the order of their key, a compressed block for each range of keys.
+
+    With strings, rows are in that order already, the last column says how many places each has, and places has them.
+    """
+    order = np.argsort(key, kind="stable") if strings is None else np.arange(len(key))
     key, columns = key[order], [c[order] for c in columns]
     of = (key >> np.uint64(64 - bits)).astype(np.int64)
     edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
     pack = zstandard.ZstdCompressor(level=1).compress
     blocks = []
+    upto = np.cumsum(np.r_[0, columns[-1]]) if places else None
     for b, e in zip(edge, np.r_[edge[1:], len(key)]):
         body = [np.uint32(e - b).tobytes(), *(c[b:e].tobytes() for c in (key, *columns))]
         if strings is not None:
-            own = [strings[i] for i in order[b:e]]
-            body += [np.array([len(x) for x in own], np.uint16).tobytes(), *own]
+            own = strings[b:e]
+            body += [np.array([len(x) for x in own], np.uint16).tobytes(), *own, *(x[upto[b] : upto[e]].tobytes() for x in places)]
         blocks.append(pack(b"".join(body)))
     return pd.DataFrame({"range": of[edge], "data": blocks})
 
 
 def _unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) -> tuple:
-    """Key and columns of blocks, one after the other, and their strings."""
+    """Key and columns of blocks, one after the other, and their strings, with the ids and numbers of their places."""
     parts: list[list[np.ndarray]] = [[] for _ in range(len(kinds) + 1)]
+    doc, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     strings: list[bytes] = []
     unpack = zstandard.ZstdDecompressor().decompress
     for block in blocks:
@@ -102,7 +118,11 @@ def _unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) -
             sizes = np.frombuffer(raw, np.uint16, n, at)
             ends = np.cumsum(sizes, dtype=np.int64) + at + 2 * n
             strings += [raw[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist())]
-    return (*(np.concatenate(p) for p in parts), strings)
+            held, at = int(parts[-1][-1].sum()), int(sizes.sum()) + at + 2 * n
+            if held:
+                doc.append(np.frombuffer(raw, np.int64, held, at))
+                first.append(np.frombuffer(raw, np.int32, held, at + 8 * held))
+    return (*(np.concatenate(p) for p in parts), strings, *((np.concatenate(doc), np.concatenate(first)) if with_strings else ()))
 
 
 def _portions(frames: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[pd.DataFrame]:
@@ -118,10 +138,11 @@ def _portions(frames: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[p
 
 
 def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
-    """(id, place) of every mark whose gram is in another document too; place is within the text.
+    """(id, place, gram, n): id and place of every mark whose gram is in another document too; gram and n of frequent grams.
 
-    What a batch of documents shares within itself is known there: it goes on under a key of its own, and
-    one row tells the others. So a gram's key gets a row a batch and not a row a document.
+    place is within the text. What a batch of documents shares within itself is known there: it goes on under
+    a key of its own, and one row with their number tells the others. So a gram's key gets a row a batch and
+    not a row a document.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,26 +168,32 @@ def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
             known = lo != np.maximum.reduceat(doc, edge)
             each = np.repeat(known, count)
             key = np.where(each, mix(h ^ mix(doc.view(np.uint64) + place.astype(np.uint64))), h)
-            key, doc, place = np.concatenate([key, h[edge][known]]), np.concatenate([doc, lo[known]]), np.concatenate([np.where(each, -2 - place, place), np.full(known.sum(), -1)])
-            yield _packed(key, [doc, place.astype(np.int32)], bits)
+            # places from -2 on are known to be shared; -1 tells the others, with the number of the batch's
+            key, doc = np.concatenate([key, h[edge][known]]), np.concatenate([doc, lo[known]])
+            n = np.concatenate([np.where(each, 0, 1), count[known]])
+            place = np.concatenate([np.where(each, -2 - place, place), np.full(known.sum(), -1)])
+            yield _packed(key, [doc, place.astype(np.int32), n.astype(np.int32)], bits)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _portions(whole_groups(batches, ["range"])):
-            key, doc, place, _ = _unpacked(pdf["data"], ["i8", "i4"])
+            key, doc, place, n, _ = _unpacked(pdf["data"], ["i8", "i4", "i4"])
             order = np.argsort(key, kind="stable")
-            key, doc, place = key[order], doc[order], place[order]
+            key, doc, place, n = key[order], doc[order], place[order], n[order]
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             count = np.diff(np.r_[edge, len(key)])
             shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | (np.bitwise_or.reduceat(place == -1, edge))
             keep = (np.repeat(shared, count) & (place >= 0)) | (place < -1)
-            yield pd.DataFrame({"id": doc[keep], "place": np.where(place < -1, -2 - place, place)[keep]})
+            yield pd.DataFrame({"id": pd.array(doc[keep], "Int64"), "place": np.where(place < -1, -2 - place, place)[keep], "gram": None, "n": None})
+            total = np.add.reduceat(n.astype(np.int64), edge)
+            hot = total >= HOT_PLACES
+            yield pd.DataFrame({"id": None, "place": None, "gram": pd.array(key[edge][hot].view(np.int64), "Int64"), "n": total[hot]})
 
     marked = docs.mapInPandas(scan, "range long, data binary")
-    return marked.repartition("range").sortWithinPartitions("range").mapInPandas(meet, "id long, place int")
+    return marked.repartition("range").sortWithinPartitions("range").mapInPandas(meet, "id long, place int, gram long, n long")
 
 
 def _stretches(pdf: pd.DataFrame) -> Iterator[tuple]:
-    """Id, mark's hash, first and last place, and the bytes of each shared mark's strings, for chunks of documents."""
+    """Id, mark's hash, first place and bytes (begin, end) of each shared mark's strings and where the mark is, for chunks of documents; then the joined texts."""
     texts, ids, places = encoded(pdf["text"]), pdf["id"].to_numpy(), pdf["places"].to_numpy()
     for part in chunks(texts):
         own = texts[part]
@@ -178,15 +205,16 @@ def _stretches(pdf: pd.DataFrame) -> Iterator[tuple]:
             wanted[found[found < len(data)]] = True
         keep = wanted[mark]
         text, h, first, last = text[keep], h[keep], first[keep], last[keep]
-        raw = data.tobytes()
-        strings = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
-        yield ids[part][text], h, first - at[text], mark[keep] - first, strings
+        yield ids[part][text].astype(np.int64), h, first - at[text], first, last + LENGTH, mark[keep] - first, data.tobytes()
 
 
-def _hash64(strings: list[bytes], before: np.ndarray) -> np.ndarray:
-    """A hash of each string and of where its mark is."""
-    raw = b"".join(hashlib.blake2b(s, digest_size=8).digest() for s in strings)
-    return mix(np.frombuffer(raw, np.uint64) + before.astype(np.uint64)).view(np.int64)
+def _windows(h: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, before: np.ndarray, doc: np.ndarray, raw: bytes) -> tuple[np.ndarray, ...]:
+    """Each window of LENGTH bytes of some strings as a string of its own, under a key of its bytes."""
+    count = end - begin - LENGTH + 1
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    h, first, begin, before, doc = (np.repeat(x, count) for x in (h, first, begin, before, doc))
+    begin = begin + step
+    return mix(h ^ span_hashes(raw, begin, begin + LENGTH)), first + step, begin, begin + LENGTH, before - step, doc
 
 
 def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,11 +272,6 @@ def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return string, place, classes
 
 
-def _one_of_each(rows: pd.DataFrame, low: str, high: str) -> pd.DataFrame:
-    """One row of each stretch (h, c) with its lowest and highest id."""
-    return rows.groupby(["h", "c"], sort=False).agg(low=(low, "min"), high=(high, "max"), string=("string", "first")).reset_index()
-
-
 def _verdicts(strings: list[bytes], low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
     """Runs (string, first, last, lowest) of windows that are in a document other than the string's only one."""
     string, place, classes = equal_windows(strings)
@@ -277,55 +300,138 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an id are one document: none loses by another. Ids must be integers. Very long texts are taken whole.
     Columns of docs other than id and text play no part; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    tables = Tables(docs.sparkSession, "repeats")
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = max(LEAST_RANGE_BITS, (own.count() // RANGE_DOCS).bit_length())
-    shared = settle(_shared_marks(own, bits).groupBy("id").agg(F.collect_list("place").alias("places")), "marks")
+    rows, size = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    bits = max(LEAST_RANGE_BITS, (rows // RANGE_DOCS).bit_length())
+    marked = tables.keep(_shared_marks(own, bits))
+    # a mark has GRAM bytes and more to itself, so that no more grams than HOT_SHARE are so frequent
+    least = (size or 0) // GRAM // HOT_SHARE
+    frequent = marked.filter(F.col("gram").isNotNull() & (F.col("n") >= least)).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+    shared = tables.keep(marked.filter("id is not null").groupBy("id").agg(F.collect_list("place").alias("places")))
+
+    def is_hot(h: np.ndarray) -> np.ndarray:
+        known = hot.value
+        return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+    def split(found: tuple) -> Iterator[tuple]:
+        """Whether they are of hot grams, and: id, key, class, first place, bytes of strings; those of hot grams window by window."""
+        doc, h, first, begin, end, before, raw = found
+        frequent = is_hot(h)
+        for which in (False, True):
+            k = np.flatnonzero(frequent == which)
+            if len(k):
+                own = tuple(x[k] for x in (h, first, begin, end, before, doc))
+                key, at, b, e, to_mark, ids = _windows(*own, raw) if which else own
+                yield which, ids, key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), at, b, e, raw
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [pd.DataFrame({"h": h, "c": _hash64(strings, before), "doc": doc, "string": strings}) for doc, h, _, before, strings in _stretches(pdf)]
-            if rows:
-                one = _one_of_each(pd.concat(rows), "doc", "doc")
-                yield _packed(one["h"].to_numpy(), [one[c].to_numpy() for c in ("c", "low", "high")], bits, one["string"].tolist())
+            parts, strings, joined = [], [], 0
+            for found in _stretches(pdf):
+                for which, doc, key, c, first, begin, end, raw in split(found):
+                    order = np.argsort(c, kind="stable")
+                    new = np.r_[True, (c[order][1:] != c[order][:-1]) | (key[order][1:] != key[order][:-1])]
+                    one = order[new]
+                    parts.append((key, c, doc, first.astype(np.int32), np.full(len(c), which)))
+                    at = np.empty(len(c), np.int64)
+                    at[order] = np.cumsum(new) - 1 + joined
+                    parts[-1] += (at,)
+                    strings += [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
+                    joined += len(one)
+            if not parts:
+                continue
+            key, c, doc, first, which, at = (np.concatenate(x) for x in zip(*parts))
+            # one string for all its places in the batch
+            order = np.lexsort((c, key))
+            key, c, doc, first, which, at = (x[order] for x in (key, c, doc, first, which, at))
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])])
+            count = np.where(which[edge], 0, np.diff(np.r_[edge, len(key)]))
+            low, high = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge)
+            yield _packed(key[edge], [c[edge], low, high, count.astype(np.int32)], bits, [strings[i] for i in at[edge]], (doc[~which], first[~which]))
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gathered: list[tuple] = []
         for pdf in _portions(whole_groups(batches, ["range"])):
-            h, c, low, high, strings = _unpacked(pdf["data"], ["i8", "i8", "i8"], True)
-            one = _one_of_each(pd.DataFrame({"h": h, "c": c, "low": low, "high": high, "string": strings}), "low", "high").sort_values("h", kind="stable", ignore_index=True)
-            h = one["h"].to_numpy()
-            edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            ends = np.r_[edge[1:], len(one)]
-            windows = np.cumsum(one["string"].map(len).to_numpy() - LENGTH + 1)
+            key, c, low, high, count, strings, doc, first = _unpacked(pdf["data"], ["u8", "i8", "i8", "i4"], True)
+            own = np.repeat(np.arange(len(key)), count)
+            order = np.lexsort((c, key))
+            new = np.r_[True, (key[order][1:] != key[order][:-1]) | (c[order][1:] != c[order][:-1])]
+            edge = np.flatnonzero(new)
+            one = np.empty(len(key), np.int64)
+            one[order] = np.cumsum(new) - 1
+            low, high = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge)
+            key, c, strings = key[order][edge], c[order][edge], [strings[i] for i in order[edge]]
+            # places by string
+            by = np.argsort(one[own], kind="stable")
+            doc, first, places = doc[by], first[by], np.searchsorted(one[own][by], np.arange(len(edge) + 1))
+            ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            windows = np.cumsum([len(x) - LENGTH + 1 for x in strings])
             begin = 0
-            while begin < len(one):
+            while begin < len(key):
                 before = windows[begin - 1] if begin else 0
                 fits = ends[(ends > begin) & (windows[ends - 1] - before <= SORTED_AT_ONCE)]
                 end = int(fits[-1]) if len(fits) else int(ends[ends > begin][0])
-                part = one.iloc[begin:end]
-                found = _verdicts(part["string"].tolist(), part["low"].to_numpy(), part["high"].to_numpy())
-                yield pd.DataFrame({"h": part["h"].to_numpy()[found["string"]].view(np.int64), "c": part["c"].to_numpy()[found["string"]], "first": found["first"], "last": found["last"], "lowest": found["lowest"]})
+                found = _verdicts(strings[begin:end], low[begin:end], high[begin:end])
+                string = found["string"].to_numpy() + begin
+                n = places[string + 1] - places[string]
+                at = np.repeat(places[string], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                run = np.repeat(np.arange(len(string)), n)
+                run, at = (x[found["lowest"].to_numpy()[run] < doc[at]] for x in (run, at))
+                gathered.append((doc[at], first[at] + found["first"].to_numpy(np.int32)[run], first[at] + found["last"].to_numpy(np.int32)[run] + np.int32(LENGTH)))
+                spread = n == 0
+                yield pd.DataFrame({"range": None, "data": None, "h": key[string[spread]].view(np.int64), "c": c[string[spread]].view(np.int64), "lowest": found["lowest"].to_numpy()[spread]})
                 begin = end
+            if sum(len(x[0]) for x in gathered) >= SPANS_AT_ONCE:
+                yield by_document(gathered)
+                gathered = []
+        if gathered:
+            yield by_document(gathered)
+
+    def by_document(gathered: list[tuple]) -> pd.DataFrame:
+        doc, b, e = (np.concatenate(x) for x in zip(*gathered))
+        out = _packed(mix(doc.view(np.uint64)), [doc, b, e], bits)
+        out["h"] = out["c"] = out["lowest"] = None
+        return out
+
+    def hot_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for found in _stretches(pdf):
+                for which, doc, key, c, first, _, _, _ in split(found):
+                    if which:
+                        yield pd.DataFrame({"h": key.view(np.int64), "c": c.view(np.int64), "id": doc, "at": first.astype(np.int32)})
 
-    def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, h, first, before, strings in _stretches(pdf):
-                yield pd.DataFrame({"h": h.view(np.int64), "c": _hash64(strings, before), "id": doc, "at": first.astype(np.int32)})
+            doc, b = pdf["id"].to_numpy(np.int64), pdf["at"].to_numpy(np.int32)
+            yield _packed(mix(doc.view(np.uint64)), [doc, b, b + np.int32(LENGTH)], bits)
 
-    path = shared_path(spark, "verdicts")
-    own.join(shared, "id").mapInPandas(contexts, "range long, data binary").repartition("range").sortWithinPartitions("range").mapInPandas(sort, "h long, c long, first int, last int, lowest long").write.parquet(path)
-    release(spark)
-    found = own.join(shared, "id").mapInPandas(occurrences, "h long, c long, id long, at int").join(spark.read.parquet(path), ["h", "c"]).filter("lowest < id")
-    found = found.groupBy("id").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("b"), (F.col("at") + F.col("last") + LENGTH).alias("e"))).alias("found"))
-    spans = settle(found, "spans")
-    drop_path(spark, path)
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _portions(whole_groups(batches, ["range"])):
+            _, doc, b, e, _ = _unpacked(pdf["data"], ["i8", "i4", "i4"])
+            order = np.lexsort((b, doc))
+            doc, b, e = doc[order], b[order], e[order]
+            edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            ends = np.r_[edge[1:], len(doc)]
+            yield pd.DataFrame({"id": doc[edge], "found": [np.stack([b[x:y], e[x:y]]).tobytes() for x, y in zip(edge, ends)]})
+
+    with_places = own.join(shared, "id")
+    verdicts = tables.keep(with_places.mapInPandas(contexts, "range long, data binary").repartition("range").sortWithinPartitions("range").mapInPandas(sort, "range long, data binary, h long, c long, lowest long"))
+    found = verdicts.filter("range is not null").select("range", "data")
+    if len(frequent):
+        repeated = verdicts.filter("range is null").select("h", "c", "lowest")
+        more = with_places.mapInPandas(hot_places, "h long, c long, id long, at int").join(repeated, ["h", "c"]).filter("lowest < id").select("id", "at")
+        found = found.union(more.mapInPandas(to_documents, "range long, data binary"))
+    spans = cut(found.repartition("range").sortWithinPartitions("range").mapInPandas(gather, "id long, found binary"))
+    tables.drop()
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text, found in zip(encoded(pdf["text"]), pdf["found"]):
                 merged: list[list[int]] = []
-                for b, e in sorted((x["b"], x["e"]) for x in found) if found is not None else ():
+                for b, e in np.frombuffer(found, np.int32).reshape(2, -1).T.tolist() if found is not None else ():
                     e = min(e, len(text))
                     if merged and b <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
