@@ -8,20 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import drop_path, read, shared_path
+from vigilog.llm.common import cut, drop_path, read, shared_path
 from vigilog.llm.exact_dedup import drop_exact_duplicates
 from vigilog.llm.minhash import near_duplicates
 from vigilog.llm.mixing import mix_sources
-from vigilog.llm.pu_classifier import classify, train
+from vigilog.llm.pu_classifier import PREDICT_AT, scorer, train
 from vigilog.llm.sentencepiece_fst import encode_pieces
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier predicts to be good; null and empty texts are scored like others."""
-    model = train(docs, read(spark, sf_dir, "labels"))
-    # scored in an operator of its own, so that the columns of docs may have any names
-    keep = F.col("predicted") == 1
-    return classify(docs, model).filter(keep).select([F.col(f"`{c}`") for c in docs.columns])
+    score = scorer(train(docs, read(spark, sf_dir, "labels")))
+    return docs.filter(score("text") >= PREDICT_AT)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +37,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
-    mixed = mix_sources(docs).filter("epochs > 0")
-    return mixed.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), "epochs"))).select([F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the mix takes, as often as it takes them; their own columns move as one, whatever their names."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    mixed = mix_sources(docs.select("doc_id", "text", "source", whole), columns=["document"]).filter("epochs > 0")
+    return mixed.select("document", F.explode(F.sequence(F.lit(1).cast("bigint"), "epochs")).alias("epoch")).select("document.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             drop_path(spark, before)
         docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    found = cut(STAGES[-1][1](spark, docs, sf_dir))
+    drop_path(spark, before)
+    return found
