@@ -23,7 +23,7 @@ from vigilog.llm.pu_classifier import Model, SIZE, classify, held_out, train
 from vigilog.llm.quality_rules import judge_quality
 from vigilog.llm.sentencepiece_fst import encode_pieces
 from vigilog.llm.suffix_dedup import remove_repeats
-from vigilog.llm.token_store import CachedEncoder, read_token_shards, write_token_shards
+from vigilog.llm.token_store import CachedEncoder, find_token, read_token_shards, write_token_shards
 
 PROSE = " ".join(f"word{i * 7919 % 1009}" for i in range(120))
 OTHER = " ".join(f"term{i * 104729 % 2003}" for i in range(130))
@@ -162,6 +162,11 @@ def test_tokens_come_back(spark, docs, nothing, tmp_path):
     for doc_id, text, *_ in ROWS:
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         assert zlib.crc32(ids.tobytes()) in set(got.loc[got["doc_id"].isna() if doc_id is None else got["doc_id"] == doc_id, "ids_crc32"])
+    from collections import Counter
+
+    token = Counter(plain.encode(OTHER, add_special_tokens=False).ids).most_common(1)[0][0]
+    places = Counter((r["doc_id"], r["place"]) for r in find_token(spark, f"file://{tmp_path}/t", token).collect())
+    assert places == Counter((doc_id, k) for doc_id, text, *_ in ROWS for k, x in enumerate(plain.encode(text or "", add_special_tokens=False).ids) if x == token)
     write_token_shards(nothing, f"file://{tmp_path}/n", lambda: CachedEncoder(path))
     assert read_token_shards(spark, f"file://{tmp_path}/n").count() == 0
 

@@ -10,15 +10,17 @@ from vigilog.llm.licenses import evaluate, to_postfix
 from vigilog.llm.minhash import Banding, odd_sketches
 from vigilog.llm.quality_rules import fit_votes
 from vigilog.llm.suffix_dedup import LENGTH, equal_windows
-from vigilog.llm.token_store import WaveletMatrix, pack_shard, unpack_shard
+from vigilog.llm.token_store import Shard, WaveletMatrix, pack_shard
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 70_000), max_size=300))
 def test_wavelet_matrix(ids):
     x = np.array(ids, np.uint32)
-    names, lengths, m = unpack_shard(pack_shard([1], [len(x)], x))
-    assert (names, lengths.tolist()) == ([1], [len(x)]) and m.decode().tolist() == ids
+    data = pack_shard([1], [len(x)], x)
+    shard = Shard(lambda at, size: data[at : at + size])
+    m = shard.matrix
+    assert (shard.doc_ids, shard.lengths.tolist()) == ([1], [len(x)]) and m.decode().tolist() == ids
     for t in {*ids[:5], 3}:
         assert m.occurrences(t) == [i for i, v in enumerate(ids) if v == t] and m.count(t) == ids.count(t)
         assert m.rank(t, len(ids) // 2) == ids[: len(ids) // 2].count(t)
@@ -27,6 +29,29 @@ def test_wavelet_matrix(ids):
         WaveletMatrix.build(x).select(3, len(ids) + 1)
 
 
+def test_a_look_into_a_shard_unpacks_little_of_it():
+    x = np.random.default_rng(0).integers(0, 50_000, 1_000_000).astype(np.uint32)
+    data = pack_shard([1, 2], [400_000, 600_000], x)
+    shard = Shard(lambda at, size: data[at : at + size])
+    m, levels = shard.matrix, shard.matrix.levels
+    for i in (0, 65_535, 65_536, 999_999):
+        before = shard.blocks_read
+        assert m.access(i) == x[i] and shard.blocks_read - before <= levels
+    token = int(x[777_777])
+    at = np.flatnonzero(x == token)
+    before = shard.blocks_read
+    assert m.rank(token, 800_000) == (at < 800_000).sum() and shard.blocks_read - before <= 2 * levels
+    assert m.occurrences(token) == at.tolist() and m.rank(token, m.n) == len(at)
+
+
+def test_words_of_equal_polynomials_differ():
+    """Two Thue-Morse words: any polynomial of their bytes modulo a power of two is the same."""
+    bits = np.array([bin(i).count("1") & 1 for i in range(2048)], np.uint8)
+    one, other = bytes(97 + bits), bytes(98 - bits)
+    hashes = Words([one, other, one[:100], other[:100]]).hash
+    assert len(set(hashes.tolist())) == 4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aé \n\tb", max_size=30), min_size=1, max_size=8))
 def test_words_are_those_of_each_text(texts):

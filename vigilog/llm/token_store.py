@@ -7,7 +7,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,25 +17,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilog.llm.common import chunks, encoded
+from vigilog.llm.units import UnitCache, byte_pair_edges, join
+
 END_ID = 0
 #: Ids after which a shard is closed; a document is never divided.
 SHARD_TOKENS = 1 << 22
-#: Entries after which a worker's cache of encoded pieces of text starts anew.
-CACHE_ENTRIES = 1_000_000
-MAGIC = b"WVM1"
-_BLOCK = 512
+#: Units after which a worker's cache of encoded units of text starts anew.
+CACHE_UNITS = 1_000_000
+MAGIC = b"WVM2"
+#: Bytes of a plane that are compressed together: what a look at one bit unpacks.
+BLOCK_BYTES = 1 << 13
+_BLOCK = 8 * BLOCK_BYTES
 
 
 class WaveletMatrix:
     """Ids as bit planes, highest bit first; each plane's ids are those of the plane before, zeros first.
 
-    access, rank, select and occurrences touch one bit or one block of 512 bits a plane; decode() unpacks all.
+    access, rank, select and occurrences look at a block or two of each plane and at the ones before each block,
+    which are stored; block(level, k) gives a block, from memory or from a file. decode() unpacks all.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        # ones before each block of each plane
-        self.blocks = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), _BLOCK // 8), dtype=np.int64))]) if len(p) else np.zeros(1, np.int64) for p in planes]
+    def __init__(self, n: int, zeros: list[int], ones: np.ndarray, block: Callable[[int, int], np.ndarray]):
+        self.n, self.zeros, self.ones, self.block, self.levels = n, zeros, ones, block, len(zeros)
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int | None = None) -> WaveletMatrix:
@@ -48,28 +51,35 @@ class WaveletMatrix:
             low = ids[~bits]
             zeros.append(len(low))
             ids = np.concatenate([low, ids[bits]])
-        return cls(len(ids), planes, zeros)
+        edges = np.arange(0, len(planes[0]), BLOCK_BYTES)
+        ones = np.zeros((levels, len(edges) + 1), np.int64)
+        for k, plane in enumerate(planes):
+            if len(edges):
+                ones[k, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(plane), edges, dtype=np.int64))
+        return cls(len(ids), zeros, ones, lambda level, k: planes[level][k * BLOCK_BYTES : (k + 1) * BLOCK_BYTES])
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (i & 7) & 1)
+        return int(self.block(level, i // _BLOCK)[i % _BLOCK >> 3] >> (i & 7) & 1)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        block, plane = i // _BLOCK, self.planes[level]
-        found = int(self.blocks[level][block]) + int(np.bitwise_count(plane[block * _BLOCK // 8 : i >> 3]).sum())
-        return found + int(plane[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else found
+        found, rest = int(self.ones[level, i // _BLOCK]), i % _BLOCK
+        if not rest:
+            return found
+        block = self.block(level, i // _BLOCK)
+        found += int(np.bitwise_count(block[: rest >> 3]).sum(dtype=np.int64))
+        return found + int(block[rest >> 3] & ((1 << (rest & 7)) - 1)).bit_count() if rest & 7 else found
 
     def _place(self, level: int, bit: int, k: int) -> int:
         """Where the k-th (from 0) bit of this value is in a plane."""
-        blocks = self.blocks[level]
-        before = blocks if bit else np.arange(len(blocks)) * _BLOCK - blocks
+        before = self.ones[level] if bit else np.arange(self.ones.shape[1]) * _BLOCK - self.ones[level]
         block = int(np.searchsorted(before, k, side="right")) - 1
-        part = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (block + 1) * _BLOCK // 8], bitorder="little")
+        part = np.unpackbits(self.block(level, block), bitorder="little")
         return block * _BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         found = 0
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             bit = self._bit(level, i)
             ones = self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
@@ -79,11 +89,11 @@ class WaveletMatrix:
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """The places in the last order of those of the first i ids that are the token."""
         begin, end = 0, i
-        if token >> len(self.planes):
+        if token >> self.levels:
             return 0, 0
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             b, e = self._ones(level, begin), self._ones(level, end)
-            if token >> (len(self.planes) - 1 - level) & 1:
+            if token >> (self.levels - 1 - level) & 1:
                 begin, end = self.zeros[level] + b, self.zeros[level] + e
             else:
                 begin, end = begin - b, end - e
@@ -103,96 +113,109 @@ class WaveletMatrix:
         if not 0 <= k < end - begin:
             raise IndexError(k)
         i = begin + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = token >> (len(self.planes) - 1 - level) & 1
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
             i = self._place(level, bit, i - self.zeros[level] if bit else i)
         return i
 
     def occurrences(self, token: int) -> list[int]:
         return [self.select(token, k) for k in range(self.count(token))]
 
+    def plane(self, level: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint8), *(self.block(level, k) for k in range(self.ones.shape[1] - 1))])
+
     def decode(self) -> np.ndarray:
         ids = np.zeros(self.n, np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+        for level in range(self.levels - 1, -1, -1):
+            bits = np.unpackbits(self.plane(level), count=self.n, bitorder="little").astype(bool)
             back = np.empty(self.n, np.uint32)
             back[~bits] = ids[: self.zeros[level]]
-            back[bits] = ids[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            back[bits] = ids[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
             ids = back
         return ids
 
 
 def pack_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    """A shard file: magic, then compressed: sizes, document ids (JSON), ids a document, and the bit planes."""
+    """A shard file: magic, size of the head, the head, then the blocks of the planes, each compressed.
+
+    The head, compressed too, has: numbers of ids, planes, blocks a plane and documents; size of the document ids;
+    zeros of each plane; ones before and end of each block; ids a document; document ids (JSON).
+    """
     matrix = WaveletMatrix.build(ids)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    n_blocks = matrix.ones.shape[1] - 1
+    blocks = [pack(matrix.block(level, k).tobytes()) for level in range(matrix.levels) for k in range(n_blocks)]
     names = json.dumps(doc_ids).encode()
-    head = struct.pack("<QIIQ", matrix.n, len(matrix.planes), len(lengths), len(names))
-    body = [head, np.array(matrix.zeros, "<u8").tobytes(), np.array(lengths, "<u8").tobytes(), names, *(p.tobytes() for p in matrix.planes)]
-    return MAGIC + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
-
-
-def unpack_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
-    """Document ids, their numbers of ids and the matrix."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a token shard")
-    body = zstandard.ZstdDecompressor().decompress(data[4:])
-    n, levels, docs, size = struct.unpack_from("<QIIQ", body)
-    at = struct.calcsize("<QIIQ")
-    zeros = np.frombuffer(body, "<u8", levels, at).tolist()
-    lengths = np.frombuffer(body, "<u8", docs, at + 8 * levels).astype(np.int64)
-    at += 8 * levels + 8 * docs
-    names = json.loads(body[at : at + size])
-    at += size
-    width = (n + 7) // 8
-    planes = [np.frombuffer(body, np.uint8, width, at + k * width) for k in range(levels)]
-    return names, lengths, WaveletMatrix(n, planes, zeros)
+    head = [struct.pack("<QIIIQ", matrix.n, matrix.levels, n_blocks, len(lengths), len(names))]
+    head += [np.array(x, "<u8").tobytes() for x in (matrix.zeros, matrix.ones.ravel(), np.cumsum([0, *map(len, blocks)]), lengths)]
+    packed = pack(b"".join([*head, names]))
+    return b"".join([MAGIC, struct.pack("<I", len(packed)), packed, *blocks])
+
+
+class Shard:
+    """A shard file by its reader (place, size) -> bytes: the head is read at once, blocks as they are needed, a few held."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        first = read(0, 8)
+        if first[:4] != MAGIC:
+            raise ValueError("not a token shard")
+        size = struct.unpack("<I", first[4:])[0]
+        unpack = zstandard.ZstdDecompressor().decompress
+        head = unpack(read(8, size))
+        n, levels, n_blocks, docs, name_bytes = struct.unpack_from("<QIIIQ", head)
+        at, parts = struct.calcsize("<QIIIQ"), []
+        for k in (levels, levels * (n_blocks + 1), levels * n_blocks + 1, docs):
+            parts.append(np.frombuffer(head, "<u8", k, at).astype(np.int64))
+            at += 8 * k
+        zeros, ones, ends, self.lengths = parts
+        self.doc_ids: list = json.loads(head[at : at + name_bytes])
+        self.blocks_read = 0
+
+        @lru_cache(maxsize=64)
+        def block(level: int, k: int) -> np.ndarray:
+            self.blocks_read += 1
+            at = level * n_blocks + k
+            return np.frombuffer(unpack(read(8 + size + int(ends[at]), int(ends[at + 1] - ends[at]))), np.uint8)
+
+        self.matrix = WaveletMatrix(n, zeros.tolist(), ones.reshape(levels, n_blocks + 1), block)
 
 
 class CachedEncoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, with a bounded cache.
 
-    Such a tokenizer merges only within the pieces of its splitting pattern. That pattern always divides
-    a text before a single space and around a single line feed, and words of letters from what surrounds
-    them unless an apostrophe is near; equal parts between such places are encoded once. Texts with other
-    or doubled white space, or with the content of an added token, which is found before the pattern divides
-    anything, are encoded as they are.
+    Such a tokenizer merges only within the pieces of its splitting pattern, and that pattern divides texts at
+    some places whatever stands on either side of them (see units.byte_pair_edges): equal units between such places are
+    encoded once. Texts with white space beyond ASCII, where that isn't so, or with the content of an added
+    token, which is found before the pattern divides anything, are encoded as they are.
     """
 
-    _doubled = ("  ", "\n\n", " \n", "\n ")
-    _odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
-    _beyond = re.compile("[\u0250-\U0010ffff]")
-    #: Letters up to U+024F, the pattern's own class there.
-    _letters = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-    _parts = re.compile(f"\n| ?[^ \n']*'[^ \n]*| ?[{_letters}]+| ?[^ \n{_letters}']+| ")
-    _spaced = re.compile("\n| ?[^ \n]+| ")
+    _odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._whole = (*self._doubled, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_one(self, text: str) -> np.ndarray:
-        if self._odd.search(text) or any(x in text for x in self._whole):
-            return np.frombuffer(self._encode([text])[0], np.uint32)
-        parts = (self._spaced if self._beyond.search(text) else self._parts).findall(text)
-        try:
-            return np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), np.uint32)
-        except KeyError:
-            missing = [x for x in set(parts) if x not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = list(set(parts))
-        self.cache.update(zip(missing, self._encode(missing)))
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), np.uint32)
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = UnitCache(lambda units: self._encode([x.decode() for x in units]), CACHE_UNITS)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _is_odd(self, text: str) -> bool:
+        return any(x in text for x in self._added) or not text.isascii() and bool(self._odd.search(text)) or any(x in text for x in "\x1c\x1d\x1e\x1f")
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        return map(self.encode_one, texts)
+        """The ids of each text in turn."""
+        raw = encoded(texts)
+        for part in chunks(raw):
+            odd = [self._is_odd(x) for x in texts[part]]
+            joined, starts = join([b"" if o else x for x, o in zip(raw[part], odd)])
+            data = np.frombuffer(joined, np.uint8)
+            ids, sizes = self.cache(joined, starts, byte_pair_edges(data, starts[:-1])) if len(data) else (np.zeros(0, np.uint32), np.zeros(len(odd), np.int64))
+            ends = np.cumsum(sizes)
+            for text, o, e, n in zip(texts[part], odd, ends.tolist(), sizes.tolist()):
+                yield self._encode([text])[0] if o else ids[e - n : e]
 
 
 @lru_cache(maxsize=2)
@@ -203,13 +226,15 @@ def shared_encoder(path: str) -> CachedEncoder:
 
 def _put(uri: str, data: bytes) -> None:
     """Writes a file beside its place and moves it there, so that a task that runs again replaces it whole."""
-    from pyarrow.fs import FileSystem
+    from pyarrow.fs import FileSystem, FileType
 
     fs, path = FileSystem.from_uri(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     aside = f"{os.path.dirname(path)}/_{os.path.basename(path)}.{TaskContext.get().taskAttemptId()}"
     with fs.open_output_stream(aside) as out:
         out.write(data)
+    if fs.get_file_info(path).type != FileType.NotFound:
+        fs.delete_file(path)  # of an attempt that got this far; not every store moves onto a file
     fs.move(aside, path)
 
 
@@ -270,8 +295,8 @@ def read_token_shards(spark: SparkSession, path: str, id_type: str = "bigint") -
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["file"], pdf["content"]):
-                names, lengths, matrix = unpack_shard(bytes(content))
-                ids = matrix.decode().astype("<u4")
+                shard = Shard(lambda at, size, data=bytes(content): data[at : at + size])
+                names, lengths, ids = shard.doc_ids, shard.lengths, shard.matrix.decode().astype("<u4")
                 ends = np.cumsum(lengths)
                 yield pd.DataFrame({
                     "file": name, "doc_id": pd.array(names, dtype="string" if text_ids else "Int64"), "begin": ends - lengths, "n_tokens": lengths,
@@ -284,3 +309,27 @@ def read_token_shards(spark: SparkSession, path: str, id_type: str = "bigint") -
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     found = named.mapInPandas(read, f"file string, doc_id {id_type}, begin long, n_tokens long, ids_crc32 long")
     return found.join(offsets, "file").select("doc_id", (F.col("offset") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def find_token(spark: SparkSession, path: str, token: int, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, place) of every occurrence of a token in the shards under path; place counts ids of the document from 0.
+
+    Of each shard its head is read and, by rank and select, the blocks on the way to the occurrences; no shard is unpacked.
+    """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    text_ids = id_type == "string"
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for pdf in batches:
+            for name in pdf["file"]:
+                fs, place = FileSystem.from_uri(f"{path}/shards/{name}")
+                with fs.open_input_file(place) as file:
+                    shard = Shard(lambda at, size, file=file: file.read_at(size, at))
+                    at = np.array(shard.matrix.occurrences(token), np.int64)
+                ends = np.cumsum(shard.lengths)
+                doc = np.searchsorted(ends, at, side="right")
+                yield pd.DataFrame({"doc_id": pd.array([shard.doc_ids[k] for k in doc], dtype="string" if text_ids else "Int64"), "place": at - (ends - shard.lengths)[doc]})
+
+    return manifest.select(F.format_string("%06d-%06d.wvm", "part", "shard").alias("file")).mapInPandas(find, f"doc_id {id_type}, place long")
