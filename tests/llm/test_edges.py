@@ -206,14 +206,65 @@ def test_mixing_as_sql(docs, nothing):
     same(whole, mix_sources(docs.repartition(7)).toPandas())
 
 
-def test_passages(spark, docs, nothing):
+def _passages(texts: dict[int, str]) -> dict[int, int]:
+    """Removed words of each text, from all pairs of paragraphs and all windows of 50 words."""
+    import re
+
+    lines = [(i, m.start(), m.group()) for i in sorted(texts) for m in re.finditer("[^\n]+", texts[i]) if len(m.group().split()) >= 20]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.lower().split() for _, _, x in lines)]
+    low = list(range(len(lines)))
+    for _ in lines:
+        before = list(low)
+        for x in range(len(lines)):
+            for y in range(x):
+                if low[x] != low[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                    low[x] = low[y] = min(low[x], low[y])
+        if low == before:
+            break
+    gone = {i: set() for i in texts}
+    for k, (i, at, line) in enumerate(lines):
+        if low[k] != k:
+            gone[i] |= {at + m.start() for m in re.finditer(r"\S+", line)}
+    owner: dict[tuple, set[int]] = {}
+    windows = [(i, [m.start() for m in re.finditer(r"\S+", texts[i])], texts[i].lower().split()) for i in sorted(texts)]
+    for i, _, words in windows:
+        for k in range(len(words) - 49):
+            owner.setdefault(tuple(words[k : k + 50]), set()).add(i)
+    seen = set()
+    for i, at, words in windows:
+        for k in range(len(words) - 49):
+            w = tuple(words[k : k + 50])
+            if len(owner[w]) > 1 and w in seen:
+                gone[i] |= set(at[k : k + 50])
+            seen.add(w)
+    return {i: len(x) for i, x in gone.items()}
+
+
+def test_passages_as_brute_force(spark, docs, nothing):
     assert remove_passages(nothing).count() == 0 and remove_passages(docs).count() == len(ROWS)
-    passage = " ".join(f"p{i * 31 % 997}" for i in range(60))
-    plain = [" ".join(f"{k}q{i * 17 % 499}" for i in range(200)) for k in range(3)]
-    texts = [plain[0], plain[1] + " " + passage + " end here", "start " + plain[2] + " " + passage, passage.replace("p31 ", "changed ") + "\n" + "short line"]
-    got = table(remove_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    assert [got[i]["n_removed_words"] > 20 for i in range(4)] == [False, False, True, True]
-    assert got[0]["kept"] == texts[0] and got[1]["kept"] == texts[1] and got[2]["kept"].startswith("start " + plain[2][:500])
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+    passages = [prose(n) for n in (49, 50, 51, 120)]
+    paragraphs = [prose(n) for n in (19, 20, 40)]
+    texts = {}
+    for i in range(60):
+        parts: list[str] = []
+        for _ in range(3):
+            parts += prose(int(rng.integers(3, 30)))
+            chosen = list(passages[int(rng.integers(4))]) if rng.integers(2) else [*paragraphs[int(rng.integers(3))], "\n"]
+            if rng.integers(3) == 0:
+                chosen[int(rng.integers(len(chosen) - 1))] = f"X{i}"
+            parts += ["\n", *chosen] if chosen[-1] == "\n" else chosen
+        width = int(rng.integers(9, 60))
+        texts[i] = " ".join(parts) if i % 2 else "\n".join(" ".join(parts[k : k + width]) for k in range(0, len(parts), width)).replace("\n \n", "\n")
+    texts |= {100: "", 101: texts[3], 102: texts[3].upper(), 103: " ".join(passages[3] * 900), 104: "y" * 2_000_000 + " " + " ".join(passages[1])}
+    got = table(remove_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)))
+    assert {i: r["n_removed_words"] for i, r in got.items()} == _passages(texts)
+    for i, r in got.items():
+        left, at = b"", 0
+        for b, e in r["spans"]:
+            left, at = left + texts[i].encode()[at:b], e
+        assert r["kept"].encode() == left + texts[i].encode()[at:]
 
 
 def _removed(texts: dict[int, str]) -> dict[int, tuple]:

@@ -216,7 +216,7 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
     now = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     was = mark(now)
     while was[0]:
-        now = keep(star(star(now, True), False))
+        now = keep(star(keep(star(now, True)), False))
         if (is_now := mark(now)) == was:
             break
         was = is_now

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from types import ModuleType
 
@@ -55,17 +55,20 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(shingles(words.hash[a:b])) for a, b in zip(words.first[:-1], words.first[1:])]
 
 
-def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, ...]:
-    """Band keys (int64) and odd sketches (int64 words) of sets that aren't empty."""
-    flat = np.concatenate(hashes)
-    first = np.cumsum([0, *(len(h) for h in hashes[:-1])])
-    low = np.empty((len(hashes), spec.samples), np.uint64)
+def band_keys(flat: np.ndarray, first: np.ndarray, spec: Banding) -> np.ndarray:
+    """Band keys (int64) of sets that aren't empty, given one after the other; elements may repeat."""
+    low = np.empty((len(first), spec.samples), np.uint64)
     for k, (a, x) in enumerate(zip(_seeds(spec.samples, 1) | np.uint64(1), _seeds(spec.samples, 2))):
         low[:, k] = np.minimum.reduceat((flat ^ x) * a, first)
-    keys = np.broadcast_to(_seeds(spec.bands, 3), (len(hashes), spec.bands)).copy()
+    keys = np.broadcast_to(_seeds(spec.bands, 3), (len(first), spec.bands)).copy()
     for r in range(spec.rows):
         keys = mix(keys ^ low[:, r :: spec.rows][:, : spec.bands])
-    return keys.view(np.int64), odd_sketches(hashes, spec)[0]
+    return keys.view(np.int64)
+
+
+def signatures_of(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (int64) and odd sketches (int64 words) of sets that aren't empty."""
+    return band_keys(np.concatenate(hashes), np.cumsum([0, *(len(h) for h in hashes[:-1])]), spec), odd_sketches(hashes, spec)[0]
 
 
 def odd_sketches(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +200,14 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, ok: np.
     size = np.array([len(s) for s in sets])
     at = np.cumsum(np.r_[0, size])
     of_right = np.concatenate([element[at[k] : at[k + 1]] for k in right])
-    begin = np.cumsum(np.r_[0, size[right][:-1]])
+    upto = np.cumsum(np.r_[0, size[right]])
     inside = np.zeros(int(element.max(initial=0)) + 1, np.int32)
     out = np.zeros_like(ok)
     for p in np.flatnonzero(ok.any(1)):
         own = element[at[left[p]] : at[left[p] + 1]]
         inside[own] = 1
-        both = np.add.reduceat(inside[of_right], begin)
+        found = np.cumsum(np.r_[0, inside[of_right]])
+        both = found[upto[1:]] - found[upto[:-1]]
         inside[own] = 0
         out[p] = ok[p] & (100 * both >= percent * (len(own) + size[right] - both))
     return out
@@ -279,33 +283,43 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, texts: DataF
     return dealt.mapInPandas(run, f"a {kind}, b {kind}, sure boolean").distinct()
 
 
-def components_of(nodes: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
-    """(node, component) of the nodes that have links; nodes has node, n, bands and sketch, texts has the text of each node.
+def _confirmed(found: DataFrame, texts: DataFrame, spec: Banding, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The links among pairs of _across."""
+    found = keep(found)
+    return found.filter("sure").select("a", "b").union(_confirm(found.filter("not sure").select("a", "b"), texts, spec))
+
+
+def components_of(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame], spec: Banding) -> DataFrame:
+    """(node, component) of the nodes that have links.
 
-    In each bucket of a band every node is first compared with the smallest node; nodes that this connects
-    aren't compared again. What is in different components is compared in blocks, large sets first with the
-    nearest only, then all that are still apart: so no link between components is lost and no pairs within
-    a component are made.
+    nodes has node, n (shingles, at most) and bands, and may repeat rows; describe gives node, n (size of the
+    set), sketch and text of the nodes that are asked for, those that share a bucket. In each bucket of a band every
+    node is first compared with the smallest node; nodes that this connects aren't compared again. What is in different
+    components is compared in blocks, large sets first with the nearest only, then all that are still apart: so no link
+    between components is lost and no pairs within a component are made.
     """
     tables = Tables(nodes.sparkSession, "candidates")
     keep = tables.keep
     buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keep(buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot"))
-    members = keep(buckets.join(shared, "key").select("key", "node", "n", "pivot"))
+    members = keep(buckets.join(shared, "key").select("key", "node", "n", "pivot").distinct())
     found = keep(members.select("node").distinct())
-    info = keep(nodes.select("node", "n", "sketch", "bands").join(found, "node", "left_semi").dropDuplicates(["node"]))
-    texts = keep(texts.join(found, "node", "left_semi"))
+    bands = nodes.select("node", "bands").join(found, "node", "left_semi").dropDuplicates(["node"])
+    facts = keep(describe(found).dropDuplicates(["node"]).join(bands, "node"))
+    info, texts = facts.drop("text"), facts.select("node", "text")
 
     stars = members.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = keep(_confirm(keep(_weed(stars, info, spec)), texts, spec))
+    # what two hops along the links reach is in a node's component: that is enough to leave pairs out
+    hop = keep(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low")))
+    near = hop.join(hop.select(F.col("node").alias("low"), F.col("low").alias("lowest")), "low", "left").select("node", F.coalesce("lowest", "low").alias("component"))
+    links = keep(links.union(_confirmed(_across(members, keep(near), info, texts, spec, True), texts, spec, keep)))
     labels = keep(connected_components(links, keep))
-    for nearest_only in (True, False):
-        found = keep(_across(members, labels, info, texts, spec, nearest_only))
-        if found.isEmpty():
-            break
-        more = found.filter("sure").select("a", "b").union(_confirm(found.filter("not sure").select("a", "b"), texts, spec))
-        known = labels.filter("component < node").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        labels = keep(connected_components(known.union(more), keep))
+    if not members.filter(F.col("n") > EXACT_SHINGLES).isEmpty():
+        more = keep(_confirmed(_across(members, labels, info, texts, spec, False), texts, spec, keep))
+        if not more.isEmpty():
+            known = labels.filter("component < node").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            labels = connected_components(known.union(more), keep)
     labels = cut(labels)
     tables.drop()
     return labels
@@ -327,7 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(sign(docs, id_col, text_col, spec))
     classes = cut(signed.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("node")))
     nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "bands", "sketch")
-    labels = components_of(nodes, docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("text is not null"), spec)
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("text is not null")
+    labels = components_of(nodes, lambda found: nodes.drop("bands").join(found, "node", "left_semi").join(texts.join(found, "node", "left_semi"), "node"), spec)
     of_class = cut(classes.join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component_id")))
     marked = signed.select("id", "class", "n").join(of_class, "class", "left")
     component = F.coalesce("component_id", F.col("id"))

@@ -20,7 +20,7 @@ _SPAN = LENGTH - GRAM + 1
 #: Bytes to which suffixes are sorted before tries take over.
 SHALLOW = 16
 #: Suffixes that are sorted together, whole groups of them.
-SORTED_AT_ONCE = 1 << 19
+SORTED_AT_ONCE = 1 << 18
 #: Documents for each range of hashes that moves as one, and the fewest ranges: a range stays as small at any size of the input.
 RANGE_DOCS = 64
 LEAST_RANGE_BITS = 12
@@ -28,7 +28,7 @@ LEAST_RANGE_BITS = 12
 HOT_PLACES = 4096
 HOT_SHARE = 1 << 20
 #: Spans that a task gathers before it hands them on by document.
-SPANS_AT_ONCE = 1 << 21
+SPANS_AT_ONCE = 1 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = np.uint64((1 << 32) - 1)
@@ -40,6 +40,27 @@ def _words(data: np.ndarray, order: str = "<") -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))).view(f"{order}u8").ravel()
 
 
+def window_marks(hashes: np.ndarray, span: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mark of each window of `span` hashes that begins at one of the places begin: windows with one mark are from first to last.
+
+    The mark is the smallest hash of the window, the leftmost of such. The first 32 bits decide, then the place:
+    the same wherever the window is, in texts of any length.
+    """
+    if not len(begin):
+        return begin, begin, begin
+    low = hashes & ~_PLACE
+    low |= np.arange(len(hashes), dtype=np.uint64)
+    size = 1
+    while size * 2 <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < span:
+        low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
+    mark = (low[begin] & _PLACE).astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+    return begin[edge], begin[np.r_[edge[1:], len(begin)] - 1], mark[edge]
+
+
 def marks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Text, hash, first place, last place and own place of each mark; places are in the joined texts, which come last.
 
@@ -60,28 +81,12 @@ def marks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     hashes *= _C
     hashes ^= hashes >> np.uint64(32)
     hashes *= _A
-    # the first 32 bits decide, then the place: the same in texts of any length
-    low = hashes & ~_PLACE
-    low |= np.arange(len(hashes), dtype=np.uint64)
-    size = 1
-    while size * 2 <= _SPAN:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < _SPAN:
-        low = np.minimum(low[: len(low) - (_SPAN - size)], low[_SPAN - size :])
-    text_of = np.repeat(np.arange(len(texts)), np.diff(at))[: len(low)]
-    begin = np.flatnonzero(np.arange(len(low)) + LENGTH < at[1:][text_of])
-    if not len(begin):
-        none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none, none, data
-    mark = (low[begin] & _PLACE).astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-    first, last = begin[edge], begin[np.r_[edge[1:], len(begin)] - 1]
-    own = mark[edge]
+    text_of = np.repeat(np.arange(len(texts)), np.diff(at))[: n - LENGTH]
+    first, last, own = window_marks(hashes, _SPAN, np.flatnonzero(np.arange(n - LENGTH) + LENGTH < at[1:][text_of]))
     return text_of[first], hashes[own], first, last, own, data
 
 
-def _packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list[bytes] | None = None, places: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
+def packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list[bytes] | None = None, places: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
     """(range, data): rows in the order of their key, a compressed block for each range of keys.
 
     With strings, rows are in that order already, the last column says how many places each has, and places has them.
@@ -102,7 +107,7 @@ def _packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list
     return pd.DataFrame({"range": of[edge], "data": blocks})
 
 
-def _unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) -> tuple:
+def unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) -> tuple:
     """Key and columns of blocks, one after the other, and their strings, with the ids and numbers of their places."""
     parts: list[list[np.ndarray]] = [[] for _ in range(len(kinds) + 1)]
     doc, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
@@ -125,7 +130,7 @@ def _unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) -
     return (*(np.concatenate(p) for p in parts), strings, *((np.concatenate(doc), np.concatenate(first)) if with_strings else ()))
 
 
-def _portions(frames: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[pd.DataFrame]:
+def portions(frames: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """Frames of whole ranges with about `most` bytes of blocks, to be unpacked together."""
     for pdf in frames:
         ends = np.flatnonzero(np.r_[(pdf["range"].to_numpy()[1:] != pdf["range"].to_numpy()[:-1]), True]) + 1
@@ -137,46 +142,33 @@ def _portions(frames: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[p
                 begin, done = end, size
 
 
-def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
-    """(id, place, gram, n): id and place of every mark whose gram is in another document too; gram and n of frequent grams.
+def pack_marks(h: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: int) -> pd.DataFrame:
+    """(range, data) of the marks of a batch of documents, for meet_marks.
 
-    place is within the text. What a batch of documents shares within itself is known there: it goes on under
-    a key of its own, and one row with their number tells the others. So a gram's key gets a row a batch and
-    not a row a document.
+    What the batch shares within itself is known here: it goes on under a key of its own, and one row with its
+    number tells the others. So a mark's key gets a row a batch and not a row a document.
     """
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["id"].notna()]
-            ids, texts = pdf["id"].to_numpy().astype(np.int64), encoded(pdf["text"])
-            found: list[tuple] = []
-            for part in chunks(texts):
-                own = texts[part]
-                text, h, _, _, place, _ = marks(own)
-                at = np.cumsum([0, *(len(t) + 1 for t in own)])
-                found.append((h, ids[part][text], place - at[text]))
-            if not found:
-                continue
-            h, doc, place = (np.concatenate(x) for x in zip(*found))
-            if not len(h):
-                continue
-            order = np.argsort(h, kind="stable")
-            h, doc, place = h[order], doc[order], place[order]
-            edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            count = np.diff(np.r_[edge, len(h)])
-            lo = np.minimum.reduceat(doc, edge)
-            known = lo != np.maximum.reduceat(doc, edge)
-            each = np.repeat(known, count)
-            key = np.where(each, mix(h ^ mix(doc.view(np.uint64) + place.astype(np.uint64))), h)
-            # places from -2 on are known to be shared; -1 tells the others, with the number of the batch's
-            key, doc = np.concatenate([key, h[edge][known]]), np.concatenate([doc, lo[known]])
-            n = np.concatenate([np.where(each, 0, 1), count[known]])
-            place = np.concatenate([np.where(each, -2 - place, place), np.full(known.sum(), -1)])
-            yield _packed(key, [doc, place.astype(np.int32), n.astype(np.int32)], bits)
+    order = np.argsort(h, kind="stable")
+    h, doc, place = h[order], doc[order], place[order]
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    count = np.diff(np.r_[edge, len(h)])
+    lo = np.minimum.reduceat(doc, edge)
+    known = lo != np.maximum.reduceat(doc, edge)
+    each = np.repeat(known, count)
+    key = np.where(each, mix(h ^ mix(doc.view(np.uint64) + place.astype(np.uint64))), h)
+    # places from -2 on are known to be shared; -1 tells the others, with the number of the batch's
+    key, doc = np.concatenate([key, h[edge][known]]), np.concatenate([doc, lo[known]])
+    n = np.concatenate([np.where(each, 0, 1), count[known]])
+    place = np.concatenate([np.where(each, -2 - place, place), np.full(known.sum(), -1)])
+    return packed(key, [doc, place.astype(np.int32), n.astype(np.int32)], bits)
+
+
+def meet_marks(marked: DataFrame) -> DataFrame:
+    """(id, place, gram, n) from rows of pack_marks: id and place of every mark that is in another document too; mark and number of frequent ones."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _portions(whole_groups(batches, ["range"])):
-            key, doc, place, n, _ = _unpacked(pdf["data"], ["i8", "i4", "i4"])
+        for pdf in portions(whole_groups(batches, ["range"])):
+            key, doc, place, n, _ = unpacked(pdf["data"], ["i8", "i4", "i4"])
             order = np.argsort(key, kind="stable")
             key, doc, place, n = key[order], doc[order], place[order], n[order]
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -188,10 +180,70 @@ def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
             hot = total >= HOT_PLACES
             yield pd.DataFrame({"id": None, "place": None, "gram": pd.array(key[edge][hot].view(np.int64), "Int64"), "n": total[hot]})
 
-    marked = docs.mapInPandas(scan, "range long, data binary")
     return marked.repartition("range").sortWithinPartitions("range").mapInPandas(meet, "id long, place int, gram long, n long")
 
 
+def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
+    """meet_marks of all documents; place is within the text."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["id"].notna()]
+            ids, texts = pdf["id"].to_numpy().astype(np.int64), encoded(pdf["text"])
+            found: list[tuple] = []
+            for part in chunks(texts):
+                own = texts[part]
+                text, h, _, _, place, _ = marks(own)
+                at = np.cumsum([0, *(len(t) + 1 for t in own)])
+                found.append((h, ids[part][text], place - at[text]))
+            if found and sum(len(x[0]) for x in found):
+                yield pack_marks(*(np.concatenate(x) for x in zip(*found)), bits)
+
+    return meet_marks(docs.mapInPandas(scan, "range long, data binary"))
+
+
+def spans_by_document(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, bits: int) -> pd.DataFrame:
+    """(range, data) of spans of documents, for gather_spans; spans that meet go as one."""
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order], end[order]
+    if len(doc):
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])])
+        doc, begin, end = doc[new], begin[new], np.maximum.reduceat(end, new)
+    return packed(mix(doc.view(np.uint64)), [doc, begin.astype(np.int32), end.astype(np.int32)], bits)
+
+
+def gather_spans(found: DataFrame) -> DataFrame:
+    """(id, found): the spans of each document, all begins in order and then their ends, from rows of spans_by_document."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in portions(whole_groups(batches, ["range"])):
+            _, doc, b, e, _ = unpacked(pdf["data"], ["i8", "i4", "i4"])
+            order = np.lexsort((b, doc))
+            doc, b, e = doc[order], b[order], e[order]
+            edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            ends = np.r_[edge[1:], len(doc)]
+            yield pd.DataFrame({"id": doc[edge], "found": [np.stack([b[x:y], e[x:y]]).tobytes() for x, y in zip(edge, ends)]})
+
+    return found.repartition("range").sortWithinPartitions("range").mapInPandas(gather, "id long, found binary")
+
+
+def merged_spans(found: bytes | None, length: int) -> list[list[int]]:
+    """Spans of gather_spans within a text of this length, overlaps merged."""
+    merged: list[list[int]] = []
+    for b, e in np.frombuffer(found, np.int32).reshape(2, -1).T.tolist() if found is not None else ():
+        e = min(e, length)
+        if merged and b <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        elif b < e:
+            merged.append([b, e])
+    return merged
+
+
+def range_bits(rows: int) -> int:
+    """Bits of the ranges of hashes for so many documents."""
+    return max(LEAST_RANGE_BITS, (rows // RANGE_DOCS).bit_length())
+
+
 def _stretches(pdf: pd.DataFrame) -> Iterator[tuple]:
     """Id, mark's hash, first place and bytes (begin, end) of each shared mark's strings and where the mark is, for chunks of documents; then the joined texts."""
     texts, ids, places = encoded(pdf["text"]), pdf["id"].to_numpy(), pdf["places"].to_numpy()
@@ -292,9 +344,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removes each byte of a whole UTF-8 text that lies in a string of LENGTH bytes which also begins in a
     document with a smaller id; overlaps count, strings are judged on the input, and none crosses documents.
 
-    Only strings whose mark is in two documents or more can repeat. Of those, equal stretches of bytes are
-    one with the lowest id before they move; stretches with the same mark meet and their windows are sorted
-    as suffixes; the lowest id of equal windows goes back to the documents as runs of places.
+    Only strings whose mark is in two documents or more can repeat. Of those, equal stretches of bytes of a batch of
+    documents go on as one, with its places in the batch's first document; the others are repeats already.
+    Stretches with the same mark meet and their windows are sorted as suffixes; those that a document with a lower
+    id has too are handed on by document. Stretches of very frequent marks go on window by window, under keys of
+    their bytes, so that no task has to take all that surrounds a common phrase.
 
     Null texts are empty. Rows with a null id lose nothing and no other row loses by them. Rows that share
     an id are one document: none loses by another. Ids must be integers. Very long texts are taken whole.
@@ -303,7 +357,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = Tables(docs.sparkSession, "repeats")
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, size = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    bits = max(LEAST_RANGE_BITS, (rows // RANGE_DOCS).bit_length())
+    bits = range_bits(rows)
     marked = tables.keep(_shared_marks(own, bits))
     # a mark has GRAM bytes and more to itself, so that no more grams than HOT_SHARE are so frequent
     least = (size or 0) // GRAM // HOT_SHARE
@@ -316,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
     def split(found: tuple) -> Iterator[tuple]:
-        """Whether they are of hot grams, and: id, key, class, first place, bytes of strings; those of hot grams window by window."""
+        """Id, key, class, first place and bytes (begin, end, raw) of strings; those of hot grams window by window."""
         doc, h, first, begin, end, before, raw = found
         frequent = is_hot(h)
         for which in (False, True):
@@ -324,45 +378,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if len(k):
                 own = tuple(x[k] for x in (h, first, begin, end, before, doc))
                 key, at, b, e, to_mark, ids = _windows(*own, raw) if which else own
-                yield which, ids, key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), at, b, e, raw
+                yield ids, key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), at, b, e, raw
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts, strings, joined = [], [], 0
             for found in _stretches(pdf):
-                for which, doc, key, c, first, begin, end, raw in split(found):
-                    order = np.argsort(c, kind="stable")
+                for doc, key, c, first, begin, end, raw in split(found):
+                    order = np.lexsort((key, c))
                     new = np.r_[True, (c[order][1:] != c[order][:-1]) | (key[order][1:] != key[order][:-1])]
                     one = order[new]
-                    parts.append((key, c, doc, first.astype(np.int32), np.full(len(c), which)))
                     at = np.empty(len(c), np.int64)
                     at[order] = np.cumsum(new) - 1 + joined
-                    parts[-1] += (at,)
+                    parts.append((key, c, doc, first.astype(np.int32), (end - begin).astype(np.int32), at))
                     strings += [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
                     joined += len(one)
             if not parts:
                 continue
-            key, c, doc, first, which, at = (np.concatenate(x) for x in zip(*parts))
-            # one string for all its places in the batch
+            key, c, doc, first, size, at = (np.concatenate(x) for x in zip(*parts))
+            # one string for all its places in the batch; what isn't in the batch's first document is a repeat for sure
             order = np.lexsort((c, key))
-            key, c, doc, first, which, at = (x[order] for x in (key, c, doc, first, which, at))
+            key, c, doc, first, size, at = (x[order] for x in (key, c, doc, first, size, at))
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])])
-            count = np.where(which[edge], 0, np.diff(np.r_[edge, len(key)]))
-            low, high = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge)
-            yield _packed(key[edge], [c[edge], low, high, count.astype(np.int32)], bits, [strings[i] for i in at[edge]], (doc[~which], first[~which]))
+            low = np.minimum.reduceat(doc, edge)
+            again = doc > np.repeat(low, np.diff(np.r_[edge, len(key)]))
+            yield spans_by_document(doc[again], first[again], (first + size)[again], bits).assign(sure=True)
+            count = np.add.reduceat(~again, edge, dtype=np.int32)
+            yield packed(key[edge], [c[edge], low, count], bits, [strings[i] for i in at[edge]], (doc[~again], first[~again])).assign(sure=False)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gathered: list[tuple] = []
-        for pdf in _portions(whole_groups(batches, ["range"])):
-            key, c, low, high, count, strings, doc, first = _unpacked(pdf["data"], ["u8", "i8", "i8", "i4"], True)
+        for pdf in portions(whole_groups(batches, ["range"])):
+            yield pdf.loc[pdf["sure"], ["range", "data"]]
+            pdf = pdf[~pdf["sure"]]
+            if not len(pdf):
+                continue
+            key, c, low, count, strings, doc, first = unpacked(pdf["data"], ["i8", "i8", "i4"], True)
             own = np.repeat(np.arange(len(key)), count)
             order = np.lexsort((c, key))
             new = np.r_[True, (key[order][1:] != key[order][:-1]) | (c[order][1:] != c[order][:-1])]
             edge = np.flatnonzero(new)
             one = np.empty(len(key), np.int64)
             one[order] = np.cumsum(new) - 1
-            low, high = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge)
-            key, c, strings = key[order][edge], c[order][edge], [strings[i] for i in order[edge]]
+            low, high = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(low[order], edge)
+            key, strings = key[order][edge], [strings[i] for i in order[edge]]
             # places by string
             by = np.argsort(one[own], kind="stable")
             doc, first, places = doc[by], first[by], np.searchsorted(one[own][by], np.arange(len(edge) + 1))
@@ -380,63 +439,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 run = np.repeat(np.arange(len(string)), n)
                 run, at = (x[found["lowest"].to_numpy()[run] < doc[at]] for x in (run, at))
                 gathered.append((doc[at], first[at] + found["first"].to_numpy(np.int32)[run], first[at] + found["last"].to_numpy(np.int32)[run] + np.int32(LENGTH)))
-                spread = n == 0
-                yield pd.DataFrame({"range": None, "data": None, "h": key[string[spread]].view(np.int64), "c": c[string[spread]].view(np.int64), "lowest": found["lowest"].to_numpy()[spread]})
                 begin = end
             if sum(len(x[0]) for x in gathered) >= SPANS_AT_ONCE:
-                yield by_document(gathered)
+                yield spans_by_document(*(np.concatenate(x) for x in zip(*gathered)), bits)
                 gathered = []
         if gathered:
-            yield by_document(gathered)
-
-    def by_document(gathered: list[tuple]) -> pd.DataFrame:
-        doc, b, e = (np.concatenate(x) for x in zip(*gathered))
-        out = _packed(mix(doc.view(np.uint64)), [doc, b, e], bits)
-        out["h"] = out["c"] = out["lowest"] = None
-        return out
-
-    def hot_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for found in _stretches(pdf):
-                for which, doc, key, c, first, _, _, _ in split(found):
-                    if which:
-                        yield pd.DataFrame({"h": key.view(np.int64), "c": c.view(np.int64), "id": doc, "at": first.astype(np.int32)})
-
-    def to_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            doc, b = pdf["id"].to_numpy(np.int64), pdf["at"].to_numpy(np.int32)
-            yield _packed(mix(doc.view(np.uint64)), [doc, b, b + np.int32(LENGTH)], bits)
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _portions(whole_groups(batches, ["range"])):
-            _, doc, b, e, _ = _unpacked(pdf["data"], ["i8", "i4", "i4"])
-            order = np.lexsort((b, doc))
-            doc, b, e = doc[order], b[order], e[order]
-            edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            ends = np.r_[edge[1:], len(doc)]
-            yield pd.DataFrame({"id": doc[edge], "found": [np.stack([b[x:y], e[x:y]]).tobytes() for x, y in zip(edge, ends)]})
+            yield spans_by_document(*(np.concatenate(x) for x in zip(*gathered)), bits)
 
-    with_places = own.join(shared, "id")
-    verdicts = tables.keep(with_places.mapInPandas(contexts, "range long, data binary").repartition("range").sortWithinPartitions("range").mapInPandas(sort, "range long, data binary, h long, c long, lowest long"))
-    found = verdicts.filter("range is not null").select("range", "data")
-    if len(frequent):
-        repeated = verdicts.filter("range is null").select("h", "c", "lowest")
-        more = with_places.mapInPandas(hot_places, "h long, c long, id long, at int").join(repeated, ["h", "c"]).filter("lowest < id").select("id", "at")
-        found = found.union(more.mapInPandas(to_documents, "range long, data binary"))
-    spans = cut(found.repartition("range").sortWithinPartitions("range").mapInPandas(gather, "id long, found binary"))
+    strings = own.join(shared, "id").mapInPandas(contexts, "range long, data binary, sure boolean").repartition("range").sortWithinPartitions("range")
+    spans = cut(gather_spans(tables.keep(strings.mapInPandas(sort, "range long, data binary"))))
     tables.drop()
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text, found in zip(encoded(pdf["text"]), pdf["found"]):
-                merged: list[list[int]] = []
-                for b, e in np.frombuffer(found, np.int32).reshape(2, -1).T.tolist() if found is not None else ():
-                    e = min(e, len(text))
-                    if merged and b <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    elif b < e:
-                        merged.append([b, e])
+                merged = merged_spans(found, len(text))
                 begin = [0, *(e for _, e in merged)]
                 end = [*(b for b, _ in merged), len(text)]
                 rows.append((merged, len(text), sum(e - b for b, e in merged), len(merged), b"".join(text[b:e] for b, e in zip(begin, end))))
