@@ -89,6 +89,15 @@ def test_licence_expressions():
     assert evaluate("GPL-2.0-only OR MIT")[1] == 1.0 and evaluate("GPL-2.0-only AND MIT")[1] == 0.4 and evaluate("GPL-2.0+ WITH Foo-exception")[1] == 0.5
 
 
+def test_licence_expressions_end_where_prose_begins():
+    assert evaluate("MIT and other terms") == evaluate("MIT") and evaluate("MIT or so they say") == evaluate("MIT")
+    assert evaluate("MIT and Apache-2.0")[0] == {"mit", "apache"} and evaluate("MIT or bsd")[0] == {"mit", "bsd"}
+    assert evaluate("MIT WITH (A OR B)") is None and evaluate("MIT AND") is None and evaluate("AND MIT") is None
+    assert evaluate("(MIT OR (Apache-2.0 AND GPL-2.0-only)) see the file")[1] == 1.0
+    assert evaluate("GPL-2.0-only WITH Classpath-exception-2.0")[0] == {"gpl", "with-classpath-exception-2.0"}
+    assert evaluate("MIT) in the header") == evaluate("MIT") and evaluate("(MIT") is None and evaluate("") is None
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng, spec = np.random.default_rng(1), Banding()
     for n in (150, 900, 6000):
@@ -101,11 +110,44 @@ def test_odd_sketches_estimate_high_similarities():
         assert abs(shared / union - 0.9 / 1.1) < 0.05
 
 
-def test_votes_agree_with_their_belief():
-    patterns = np.array([[1, 0], [1, -1], [-1, -1], [0, 0]])
-    belief = np.array([((0.01, 0.19, 0.8), (0.4, 0.4, 0.2)), ((0.002, 0.996, 0.002), (0.4, 0.598, 0.002))])
-    good = fit_votes(patterns, np.array([900.0, 60.0, 30.0, 10.0]), belief)
-    assert good[0] > 0.9 and good[2] < 0.05 and good[1] < good[3] and len(fit_votes(patterns[:0], np.zeros(0), belief)) == 0
+def _simulated(n: int, share: list[float], detect: list[float], alarm: list[float], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of rules on n texts, and the class of each: good, or bad in the way of a rule; how often rules vote for texts differs by class."""
+    rng = np.random.default_rng(seed)
+    kind = rng.choice(len(share), n, p=share)
+    favours = np.where(np.arange(len(share))[:, None] == 0, 0.9, rng.choice([0.05, 0.5, 0.95], (len(share), len(detect))))
+    votes = np.zeros((n, len(detect)), int)
+    for j, (d, f) in enumerate(zip(detect, alarm)):
+        favour = favours[kind, j]
+        votes[:, j] = np.where(rng.random(n) < np.where(kind == j + 1, d, f), -1, np.where(rng.random(n) < favour, 1, 0))
+    return votes, kind
+
+
+def test_votes_recover_the_accuracies_of_rules():
+    share, detect, alarm = [0.75, 0.05, 0.04, 0.05, 0.06, 0.05], [0.9, 0.7, 0.8, 0.75, 0.6], [0.02, 0.05, 0.01, 0.03, 0.02]
+    votes, kind = _simulated(200_000, share, detect, alarm, seed=2)
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good, found, rates = fit_votes(patterns, counts.astype(float))
+    assert np.abs(found - share).max() < 0.03
+    assert max(abs(rates[j + 1, j, 0] - d) for j, d in enumerate(detect)) < 0.03 and max(abs(rates[0, j, 0] - f) for j, f in enumerate(alarm)) < 0.03
+    assert ((good[which] >= 0.5) == (kind == 0)).mean() > 0.93
+
+
+def test_the_start_fades_as_texts_come_in():
+    share, detect, alarm = [0.75, 0.05, 0.04, 0.05, 0.06, 0.05], [0.9, 0.7, 0.8, 0.75, 0.6], [0.02, 0.05, 0.01, 0.03, 0.02]
+    apart = []
+    for n in (300, 200_000):
+        patterns, counts = np.unique(_simulated(n, share, detect, alarm, seed=2)[0], axis=0, return_counts=True)
+        rates = fit_votes(patterns, counts.astype(float))[2]
+        apart.append(max(abs(rates[j + 1, j, 0] - d) for j, d in enumerate(detect)))
+    assert apart[1] < 0.03 < apart[0]
+
+
+def test_a_rule_that_accuses_nearly_all_texts_says_nothing():
+    votes, _ = _simulated(20_000, [0.9, 0.1], [0.9], [0.02])
+    patterns, which, counts = np.unique(np.c_[votes, np.where(np.random.default_rng(1).random(20_000) < 0.97, -1, 0)], axis=0, return_inverse=True, return_counts=True)
+    alone, alone_which, alone_counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    with_it, without = fit_votes(patterns, counts.astype(float))[0][which], fit_votes(alone, alone_counts.astype(float))[0][alone_which]
+    assert ((with_it >= 0.5) == (without >= 0.5)).all() and (with_it >= 0.5).mean() > 0.8
 
 
 def test_components(spark):

@@ -37,9 +37,13 @@ FREEDOM = {
 EXCEPTION_GAIN = 0.1
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-_TAGGED = re.compile(r"spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier[^\S\n]*:?([^\n]*)", re.I)
+#: A line from where the tag stands.
+_TAGGED = re.compile(r"[^0-9a-z\n]*license[^0-9a-z\n]+identifier[^\S\n]*:?([^\n]*)", re.I)
 _TOKENS = re.compile(r"[()]|[0-9A-Za-z][0-9A-Za-z.+-]*")
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
+#: Identifiers have a version or a sign, or are the name of a family; other words are prose.
+_IDENTIFIER = re.compile(r"(?=.*[0-9])[0-9A-Za-z]+([.-][0-9A-Za-z]+)+\+?|LicenseRef-[0-9A-Za-z.-]+|[0-9]*[A-Z][0-9A-Za-z]*(-[0-9A-Za-z]+)+\+?")
+_FREE = {"with", "and", "or"}
 
 
 def label_of(identifier: str) -> str:
@@ -51,32 +55,45 @@ def label_of(identifier: str) -> str:
     return name
 
 
+def is_identifier(token: str) -> bool:
+    """Whether a word after a tag names a licence: by its form, or as a family of FREEDOM."""
+    return token.lower() not in _FREE and (token.lower().rstrip("+") in FREEDOM or bool(_IDENTIFIER.fullmatch(token)))
+
+
 def to_postfix(expression: str) -> list[str] | None:
-    """The expression's tokens, operators after their operands; None if it isn't an expression."""
+    """The expression's tokens, operators after their operands; None if it isn't an expression.
+
+    AND, OR and WITH are operators, in lower case where an identifier follows. What else follows an operand is prose
+    and ends the expression. The right side of WITH is one identifier.
+    """
+    tokens = _TOKENS.findall(expression)
     out: list[str] = []
     held: list[str] = []
     operand_next = True
-    for token in _TOKENS.findall(expression):
+    for k, token in enumerate(tokens):
         operator = token.upper() if token.upper() in _RANK else None
-        if token == "(" or not (operator or token == ")"):
-            if not operand_next:
-                break  # the expression has ended; prose follows
+        after = next((x for x in tokens[k + 1 :] if x != "("), "")
+        if operand_next:
+            if operator or token == ")" or (token == "(" and held[-1:] == ["WITH"]):
+                return None
             (held if token == "(" else out).append(token)
             operand_next = token == "("
             continue
-        if operand_next:
-            return None
-        if token == ")":
+        if operator:
+            if token != operator and not is_identifier(after):
+                break  # in lower case it is a word of prose as well
+            while held and held[-1] != "(" and _RANK[held[-1]] >= _RANK[operator]:
+                out.append(held.pop())
+            held.append(operator)
+            operand_next = True
+        elif token == ")":
             while held and held[-1] != "(":
                 out.append(held.pop())
             if not held:
-                return None
+                break  # a bracket of the prose around
             held.pop()
-            continue
-        while held and held[-1] != "(" and _RANK[held[-1]] >= _RANK[operator]:
-            out.append(held.pop())
-        held.append(operator)
-        operand_next = True
+        else:
+            break
     if operand_next or "(" in held:
         return None
     return out + held[::-1]
@@ -112,30 +129,42 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def scan_text(text: str, raw: bytes) -> tuple:
-    words = _WORDS.findall(raw.lower())
+    low = raw.lower()
+    words = _WORDS.findall(low)
     joined = " " + b" ".join(words).decode("latin-1") + " "
+    tags: list[int] = []
     base: list[tuple[int, str]] = []
     labels: set[str] = set()
     freedoms: list[float] = []
-    tagged = False
     upto, at = 0, 0
+
+    def word_at(begin: int) -> int:
+        # matches end in order but may begin a little earlier than the last one did
+        nonlocal upto, at
+        at = at + joined.count(" ", upto, begin) if begin >= upto else at - joined.count(" ", begin, upto)
+        upto = begin
+        return at
+
     for end, (phrase, back) in _automaton().iter(joined):
         begin = end - back
         if phrase == TAG:
-            tagged = True
+            tags.append(word_at(begin))
             continue
         label = BASE_PHRASES.get(phrase)
         if label:
-            # matches end in order but may begin a little earlier than the last one did
-            at = at + joined.count(" ", upto, begin) if begin >= upto else at - joined.count(" ", begin, upto)
-            upto = begin
-            base.append((at, label))
+            base.append((word_at(begin), label))
         labels.add(label := label or NOTICE_PHRASES[phrase])
         freedoms.append(FREEDOM[label])
     n_tags = n_invalid = 0
-    for expression in _TAGGED.findall(text) if tagged else ():
+    begins = [m.start() for m in _WORDS.finditer(low)] if tags else []
+    for word in tags:
+        # the automaton has told where the tag is: its line is parsed from there
+        begin, end = begins[word] + len("spdx"), raw.find(b"\n", begins[word])
+        place = _TAGGED.match(raw[begin : end if end >= 0 else len(raw)].decode("utf-8", "replace"))
+        if not place:
+            continue  # its three words are on different lines
         n_tags += 1
-        if found := evaluate(expression.strip()):
+        if found := evaluate(place[1].strip()):
             labels |= found[0]
             freedoms.append(found[1])
         else:

@@ -17,11 +17,12 @@ WINDOW_WORDS = 3
 SYMBOLS = b"#*$%&|<>"
 #: A text is kept if its posterior probability of good quality is this or more.
 KEEP_AT = 0.5
-#: What EM starts from: the share of good texts, and how often a rule votes against, abstains and votes for good and bad texts.
-FIRST_PRIOR = 0.85
-BELIEF = ((0.002, 0.996, 0.002), (0.4, 0.598, 0.002))
-#: Of rules that also vote for texts, or that good texts often break: short ones, and lists of numbers.
-BELIEF_OF = {"length": ((0.1, 0.4, 0.5), (0.2, 0.4, 0.4)), "repeats": ((0.004, 0.196, 0.8), (0.3, 0.3, 0.4)), "digits": ((0.05, 0.946, 0.004), (0.15, 0.846, 0.004))}
+#: What EM starts from, for any rule: the share of good texts, how often it votes against good ones, and against its own kind of bad ones.
+FIRST_GOOD, FALSE_ALARM, DETECTION = 0.85, 0.01, 0.8
+#: How many texts that start weighs as, in each class, whatever the number of texts is.
+PSEUDO_TEXTS = 50.0
+#: A rule that votes against more texts than this is about something else than quality, where most texts are good.
+MOST_AGAINST = 0.5
 
 _SYMBOL, _UPPER, _LOWER, _DIGIT = (np.isin(np.arange(256), list(x)) for x in (SYMBOLS, bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"))
 _CONTINUED = (np.arange(256) & 0xC0) == 0x80
@@ -88,33 +89,47 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, belief: np.ndarray, strength: float = 2.0, rounds: int = 200) -> np.ndarray:
-    """P(good | votes) of each pattern (rows of -1, 0, 1), by EM over how often each rule gives each vote to good and to bad texts.
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(good | votes) of each pattern (rows of -1, 0, 1); the share of each class; the rate of each vote (class, rule, vote) by EM.
 
-    belief[j] has the believed rates of rule j for votes -1, 0, 1: for good texts, then for bad ones. EM
-    starts there and holds the belief as a Dirichlet prior that weighs as `strength` of all texts do, so
-    that "good" keeps its meaning: without it the two classes may become any two clusters of the texts.
-    A rule that abstains says nothing about a text.
+    A text is good, or bad in the way that one of the rules looks for: class 0, then one class for each rule. Within
+    a class rules vote independently of each other. EM estimates how often each rule votes against, abstains and votes
+    for the texts of each class: its detection rate is that against its own kind, its false alarms those against good
+    ones. It starts where each rule finds DETECTION of its kind and accuses FALSE_ALARM of all others; that start
+    stays in the estimates as PSEUDO_TEXTS texts a class, so that it fades as texts come in. A rule is better than
+    chance: one that accuses its kind no more often than good texts has the rates of good texts there. Rules that
+    accuse more than MOST_AGAINST of all texts are taken to abstain.
     """
+    n_rules = patterns.shape[1] if patterns.ndim == 2 else 0
     if not len(patterns):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(n_rules + 1), np.zeros((n_rules + 1, n_rules, 3))
     n = counts.sum()
-    rates, prior = belief.copy(), FIRST_PRIOR
-    good = np.zeros(len(patterns))
+    against = np.array([counts[patterns[:, j] == -1].sum() for j in range(n_rules)]) / n
+    votes = np.where(against > MOST_AGAINST, 0, patterns) + 1
+    favours = (votes == 2).any(0)
+    belief = np.empty((n_rules + 1, n_rules, 3))
+    for k in range(n_rules + 1):
+        for j in range(n_rules):
+            bad = DETECTION if k == j + 1 else FALSE_ALARM
+            belief[k, j] = (bad, (1 - bad) / 2, (1 - bad) / 2) if favours[j] else (bad, 1 - bad - 1e-6, 1e-6)
+    first = np.r_[FIRST_GOOD, np.full(n_rules, (1 - FIRST_GOOD) / max(n_rules, 1))]
+    rates, share, last = belief.copy(), first.copy(), None
     for _ in range(rounds):
-        odds = np.full(len(patterns), np.log(prior / (1 - prior)))
-        for j in range(patterns.shape[1]):
-            odds += np.where(patterns[:, j] == 0, 0, np.log(rates[j, 0] / rates[j, 1])[patterns[:, j] + 1])
-        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        if np.abs(new - good).max() < 1e-9:
+        odds = np.log(share)[:, None] + sum(np.log(rates[:, j])[:, votes[:, j]] for j in range(n_rules))
+        classes = np.exp(odds - odds.max(0))
+        classes /= classes.sum(0)
+        if last is not None and np.abs(classes - last).max() < 1e-7:
             break
-        good = new
-        prior = (good @ counts + strength * n * FIRST_PRIOR) / (n + strength * n)
-        for k, share in enumerate((good * counts, (1 - good) * counts)):
-            for j in range(patterns.shape[1]):
-                votes_of = np.array([share[patterns[:, j] == v].sum() for v in (-1, 0, 1)])
-                rates[j, k] = (votes_of + strength * n * belief[j, k]) / (share.sum() + strength * n)
-    return good
+        last = classes
+        weight = classes * counts
+        total = weight.sum(1)
+        share = (total + PSEUDO_TEXTS * first) / (n + PSEUDO_TEXTS)
+        for j in range(n_rules):
+            for v in range(3):
+                rates[:, j, v] = (weight[:, votes[:, j] == v].sum(1) + PSEUDO_TEXTS * belief[:, j, v]) / (total + PSEUDO_TEXTS)
+            if rates[j + 1, j, 0] < rates[0, j, 0]:
+                rates[j + 1, j] = rates[0, j]
+    return classes[0], share, rates
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,8 +155,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     voted = cut(measured.select("id", *_FEATURES, F.concat_ws(",", *(v.cast("string") for v in rules.values())).alias("votes")))
     seen = voted.groupBy("votes").count().orderBy("votes").collect()
     patterns = np.array([[int(x) for x in r["votes"].split(",")] for r in seen]).reshape(len(seen), len(rules))
-    belief = np.array([BELIEF_OF.get(name, BELIEF) for name in rules])
-    good = fit_votes(patterns, np.array([float(r["count"]) for r in seen]), belief)
+    good = fit_votes(patterns, np.array([float(r["count"]) for r in seen]))[0]
     verdicts = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(seen, good)], "votes string, quality double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = voted.join(F.broadcast(verdicts), "votes", "left")
