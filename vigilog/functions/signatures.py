@@ -7,34 +7,61 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.decode import normalize_payload, unescape_html
 
-#: class, tier, kind (text: a substring; regex: a pattern that Java and RE2 read alike), pattern. Texts are lower case.
+#: class, tier, kind (text: a substring; regex: a Java pattern), pattern. Texts are lower case. Each tier is a kind of sign.
 SIGNATURES: tuple[tuple[str, str, str, str], ...] = (
-    ("sqli", "word", "text", "information_schema"), ("sqli", "word", "text", "xp_cmdshell"), ("sqli", "word", "text", "load_file("), ("sqli", "word", "text", "into outfile"),
-    ("sqli", "word", "text", "into dumpfile"), ("sqli", "word", "text", "pg_sleep("), ("sqli", "word", "text", "waitfor delay"), ("sqli", "word", "text", "benchmark("), ("sqli", "word", "text", "extractvalue("),
-    ("sqli", "word", "text", "updatexml("), ("sqli", "word", "text", "sys.objects"), ("sqli", "word", "text", "sqlite_master"), ("sqli", "word", "text", "dbms_pipe"), ("sqli", "word", "text", "utl_http"),
-    ("sqli", "chain", "regex", r"\bunion\s+(all\s+|distinct\s+)?select\b"), ("sqli", "chain", "regex", r"\bselect\b.{1,200}?\bfrom\b.{1,200}?(\bwhere\b|--|#|/\*)"), ("sqli", "chain", "regex", r";\s*(drop|alter|truncate|create|shutdown|insert|update|delete)\b"),
-    ("sqli", "chain", "regex", r"\b(order|group)\s+by\s+\d+\s*(--|#)"), ("sqli", "chain", "regex", r"\bsleep\s*\(\s*\d"), ("sqli", "chain", "regex", r"\bexec(ute)?\s*[( ]\s*(sp_|xp_|@)"), ("sqli", "chain", "regex", r"\bcase\s+when\b.{1,200}?\bthen\b"),
-    ("sqli", "tautology", "regex", r"\b(or|and|xor)\b\s*\(?\s*\d+\s*(=|<|>|like)\s*\d+"), ("sqli", "tautology", "regex", r"['\"]\s*(or|and)\s*['\"]?\w{1,40}['\"]?\s*=\s*['\"]?\w{1,40}"), ("sqli", "tautology", "regex", r"\bor\s+(true|not\s+false)\b"), ("sqli", "tautology", "regex", r"\bhaving\s+\d+\s*=\s*\d+"),
-    ("sqli", "structure", "regex", r"['\"]\s*(--|#|/\*)"), ("sqli", "structure", "regex", r"\b(char|chr|concat|ascii|substring|mid)\s*\(.{1,80}?\)\s*(=|<|>|,\s*0x)"),
+    # names that only a database's own catalogue or file and time functions have
+    ("sqli", "catalogue", "regex", r"\b(information_schema|sqlite_(master|schema)|pg_catalog|sysobjects|sys\.objects|all_tables|mysql\.user)\b"),
+    ("sqli", "catalogue", "regex", r"@@[a-z_]{3,40}|\b(current|session|system)_user\b"),
+    ("sqli", "function", "regex", r"\b(version|database|schema|user)\s*\(\s*\)"),
+    ("sqli", "function", "regex", r"\b(pg_sleep|sleep|benchmark|load_file|extractvalue|updatexml|group_concat|randomblob|substr(ing)?|exec(ute)?|utl_http|utl_inaddr|dbms_\w{2,30})\s*[(.]"),
+    ("sqli", "function", "regex", r"\bxp_\w{3,30}|\bwaitfor\s+(delay|time)\b|\binto\s+(outfile|dumpfile)\b|\bexec(ute)?\s+(sp_|xp_|@)"),
+    ("sqli", "function", "regex", r"\b(char|chr|concat|ascii|mid)\s*\(.{1,80}?\)\s*(=|<|>|,\s*0x)"),
+    # statements
+    ("sqli", "statement", "regex", r"\bunion\s+((all|distinct)\s+)?select\b|\binsert\s+into\b|\bdelete\s+from\b|\bupdate\s.{1,200}?\sset\b"),
+    ("sqli", "statement", "regex", r"\b(select|union|insert|update|delete|drop|alter)\b.{0,200}?\b(from|into|table|where|set)\b"),
+    ("sqli", "statement", "regex", r"\b(drop|alter|truncate|create)\s+(table|database|view|user|procedure)\b|;\s*(shutdown|drop|alter|truncate|create|insert|update|delete)\b"),
+    ("sqli", "clause", "regex", r"\b(order|group)\s+by\b|\bhaving\s+\d|\bcase\s+when\b.{1,200}?\bthen\b"),
+    # conditions that always hold
+    ("sqli", "tautology", "regex", r"(?<!\d)(?<number>\d{1,20})\s*=\s*\k<number>(?!\d)"),
+    ("sqli", "tautology", "regex", r"(?<quote>['\"])(?<word>\w{0,40})\k<quote>\s*=\s*\k<quote>\k<word>(\k<quote>|$)"),
+    ("sqli", "tautology", "regex", r"\b(or|and|xor|having)\b\s*\(?\s*(\d+|['\"]\w*['\"]?)\s*(=|<|>|like)\s*(\d+|['\"]\w*)"),
+    ("sqli", "tautology", "regex", r"['\"]\s*(or|and)\s*['\"]?\w{1,40}['\"]?\s*=\s*['\"]?\w{1,40}|\bor\s+(true|not\s+false)\b|\blike\s+['\"]|\)\s*or\s*\("),
+    ("sqli", "cut", "regex", r"['\"]\s*(--|#|/\*)"),
     ("xss", "tag", "regex", r"<[/]?(script|iframe|svg|object|embed|applet|meta|base|link|math|video|audio|marquee)[/>=a-z]"), ("xss", "tag", "regex", r"<img[^>]{0,200}on\w+="), ("xss", "handler", "regex", r"\bon(load|error|click|focus|blur|mouse\w{1,12}|toggle|begin|start|key\w{1,8}|submit|animation\w{1,12})="),
     ("xss", "handler", "regex", r"[/\"']on\w{3,20}="), ("xss", "scheme", "regex", r"(javascript|vbscript|livescript):"), ("xss", "scheme", "regex", r"data:text/html"), ("xss", "code", "regex", r"\b(alert|prompt|confirm|eval|settimeout|setinterval)[(`]"),
     ("xss", "code", "regex", r"document\.(cookie|write|location|domain)"), ("xss", "code", "regex", r"string\.fromcharcode|window\.location|\.innerhtml"), ("xss", "style", "regex", r"expression\(|-moz-binding|@import"),
-    ("rce", "shell", "regex", r"[;|&`]\s*(cat|ls|id|whoami|uname|wget|curl|nc|netcat|bash|sh|ping|nslookup|ifconfig|ps|python\d?|perl|php|ruby|chmod|rm|cp|mv|echo|powershell|cmd)\b"), ("rce", "shell", "regex", r"\$\([^)]{1,200}\)"), ("rce", "shell", "regex", r"`[^`]{1,200}`"),
-    ("rce", "path", "regex", r"/bin/(ba|da|z|k|c)?sh\b|/etc/(passwd|shadow|hosts)\b|cmd\.exe|powershell(\.exe)?\s"), ("rce", "code", "regex", r"\b(system|exec|shell_exec|passthru|popen|proc_open|eval|assert)\s*\("), ("rce", "code", "regex", r"/dev/(tcp|udp)/|\bmkfifo\b|\bbase64\s+-d\b"),
-    ("rce_output", "stderr", "regex", r"(ba)?sh: (line )?\d+: .{1,200}?(not found|syntax error)"), ("rce_output", "stderr", "regex", r"(command not found|permission denied: /|no such file or directory: /)"), ("rce_output", "stderr", "regex", r"^(cat|ls|wget|curl|chmod|rm): "), ("rce_output", "stderr", "regex", r"(resolving|connecting to) \S+\.{3}|saving to: "),
+    # a command after what ends or nests another one
+    ("rce", "chain", "regex", r"([;|&`\r\n]|\$\()[\s$]*(cat|tac|ls|id|who(ami)?|uname|hostname|wget|curl|nc|netcat|ncat|bash|sh|zsh|ping|nslookup|dig|ifconfig|ipconfig|ps|tasklist|python\d?|perl|php|ruby|gcc|awk|sed|grep|find|head|tail|dir|type|echo|sleep|base64|chmod|chown|rm|cp|mv|powershell|cmd)\b(?!\s*=)"),
+    ("rce", "nested", "regex", r"\$\([^)]{1,200}\)|`[^`]{1,200}`|\|\||&&"),
+    ("rce", "redirect", "regex", r"\d?>{1,2}\s*(&\s*\d|[\w./-])|<{1,2}\s*[\w./-]"),
+    ("rce", "path", "regex", r"/(s?bin|etc|usr|var|tmp|windows|system32)/[\w-]|\bcmd\.exe\b|\bpowershell(\.exe)?\s"),
+    # a command by itself, as a web shell takes it
+    ("rce", "command", "regex", r"\b(whoami|ifconfig|ipconfig|id|uname\s+-\w+|netstat\s+-\w+|ip\s+addr?|cat\s+/\w+)\b(?!\s*=)"),
+    ("rce", "reverse", "regex", r"/dev/(tcp|udp)/|\b(nc|ncat|netcat)\s+-\w*e|\b(ba|z|da)?sh\s+-[ic]\b|\bmkfifo\b|\bbase64\s+(-d|--decode)\b"),
+    ("rce", "code", "regex", r"\b(system|exec|shell_exec|passthru|popen|proc_open|eval|assert)\s*\("),
+    ("rce_output", "shell", "regex", r"\b(ba|da|z|k)?sh: (line )?\d+: |command not found|permission denied: /|no such file or directory: /"),
+    ("rce_output", "tool", "regex", r"^(cat|ls|wget|curl|chmod|rm): |\b(resolving|connecting to) \S+?(\.{3}|\|)|connected\.$|saving to: "),
+    ("rce_output", "tool", "regex", r"uid=\d+(\([^)]{0,60}\))? gid=\d+|term environment variable not set|no lsb modules are available"),
     ("lfi", "path", "regex", r"(\.\.[/\\]){1,}"), ("lfi", "path", "regex", r"(/|\\)(etc/(passwd|shadow|hosts|group|issue)|proc/(self|version|cpuinfo)|windows[/\\](win\.ini|system32)|boot\.ini|var/log/)"), ("lfi", "wrapper", "regex", r"\b(php|zip|phar|expect|glob|data|file)://"), ("lfi", "path", "regex", r"\.\.(%2f|%5c|;/)"),
-    ("ssrf", "host", "text", "169.254.169.254"), ("ssrf", "host", "text", "metadata.google.internal"), ("ssrf", "path", "text", "/latest/meta-data"), ("ssrf", "path", "text", "/computemetadata/v1"), ("ssrf", "scheme", "regex", r"\b(gopher|dict|ldap|tftp|sftp|jar|netdoc)://"),
-    ("ssrf", "loopback", "regex", r"https?://(localhost|127\.\d{1,3}\.\d{1,3}\.\d{1,3}|0\.0\.0\.0|\[?::1?\]?|0x7f[0-9a-f]{0,6}|2130706433|017700000001)([:/]|$)"),
+    ("ssrf", "metadata", "regex", r"\b169\.254\.(169\.25[34]|170\.2)\b|\b100\.100\.100\.200\b|\bmetadata\.(google|azure)\.\w+"),
+    ("ssrf", "metadata", "regex", r"latest/(meta-data|user-data|api/token)|computemetadata/v1|metadata-flavor|x-aws-ec2-metadata-token|metadata:\s*true"),
+    ("ssrf", "scheme", "regex", r"\b(gopher|dict|file|ldaps?|tftp|sftp|jar|netdoc|wss?)://"),
+    # a machine's own address in any of its spellings: short, octal, hexadecimal, one number
+    ("ssrf", "loopback", "regex", r"\blocalhost\b|(?<![\d.])127(\.\d{1,3}){1,3}(?![\d.])|\b0\.0\.0\.0\b|\[?::1\]|\b0x7f(0{4,5}1|[0-9a-f]{6}|(\.0x[0-9a-f]{1,2}){1,3})\b|\b2130706433\b|(?<![\d.])0177(\.\d{1,4}){1,3}|\b017700000001\b"),
     ("protocol", "split", "regex", r"[\r\n]\s*(set-cookie|location|content-type|content-length|host)\s*:"), ("protocol", "redirect", "regex", r"[?&](url|next|redirect|return|dest|goto|continue)=(https?:)?//"), ("protocol", "template", "regex", r"\{\{.{1,100}?\}\}|\$\{.{1,100}?\}|<%=.{1,100}?%>"),
-    ("scanner", "tool", "regex", r"sqlmap|nikto|nessus|acunetix|netsparker|openvas|w3af|arachni|burp"), ("scanner", "tool", "regex", r"nmap|masscan|zgrab|dirbuster|gobuster|ffuf|feroxbuster|wfuzz|wpscan|nuclei"), ("scanner", "tool", "regex", r"hydra|metasploit|python-requests|go-http-client|libwww-perl|curl/|wget/"),
+    ("scanner", "scanner", "regex", r"sqlmap|nikto|nessus|acunetix|netsparker|openvas|w3af|arachni|burp|nmap|masscan|zgrab|nuclei|projectdiscovery|wpscan|commix"),
+    ("scanner", "guesser", "regex", r"dirbuster|gobuster|feroxbuster|ffuf|wfuzz|hydra|medusa|patator|metasploit"),
+    ("scanner", "library", "regex", r"python-requests|python-urllib|urllib|aiohttp|go-http-client|libwww-perl|httpclient|\bokhttp|\b(curl|wget)/|\b(ruby|php|perl|java)\b|postman"),
+    ("scanner", "malware", "regex", r"jndi:|log4j|zmeu|morfeus|hello-world|susie|\(\)\s*\{"),
 )
-SEARCH_BOTS = r"googlebot|bingbot|duckduckbot|yandexbot|baiduspider"
+SEARCH_BOTS = r"googlebot|bingbot|duckduckbot|yandexbot|baiduspider|slurp|twitterbot|linkedinbot|facebookexternalhit"
 #: Error messages that are notices and no output of a command.
 NOTICE_CODES = ("ah00094", "ah00558")
 #: Substrings without which no row of a class can match: one cheap look before the patterns.
 GATES = {
-    "rce": (";", "|", "&", "`", "$(", "/bin/", "/etc/", "cmd.exe", "powershell", "(", "/dev/", "mkfifo", "base64"),
-    "ssrf": ("://", "169.254", "metadata"),
+    "sqli": ("=", "'", '"', "(", " by", "select", "union", "insert", "update", "delete", "drop", "alter", "truncate", "create", "@@", "_user", "xp_", "waitfor", "outfile", "dumpfile", "having", "exec", " true", " false", "schema", "sqlite", "catalog", "objects", "tables", "mysql", "like", "case", "dbms", "utl_"),
+    "rce": (";", "|", "&", "`", "\r", "\n", "$(", "<", ">", "/", "cmd", "powershell", "whoami", "config", "id", "uname", "netstat", "ip ", "cat ", "nc", "sh -", "mkfifo", "base64", "("),
+    "ssrf": ("://", "169.254", "100.100", "meta", "latest/", "localhost", "127.", "0.0.0.0", "::1", "0x7f", "2130706433", "0177"),
     "protocol": ("\r", "\n", "=http", "=//", "{{", "${", "<%="),
 }
 
@@ -67,8 +94,10 @@ def _matches(text: Column, name: str) -> Column:
 
 
 def detect_sqli(payload: Column) -> Column:
-    """After comments and runs of white space are one space."""
-    return _matches(F.regexp_replace(F.regexp_replace(F.lower(payload), r"/\*.*?\*/", " "), r"\s+", " "), "sqli")
+    """After comments and runs of white space are one space; what a conditional comment holds is read."""
+    text = F.lower(payload)
+    open_ = F.when(text.contains("/*"), F.regexp_replace(F.regexp_replace(text, r"(?s)/\*!\d*(.*?)\*/", " $1 "), r"(?s)/\*.*?\*/", " ")).otherwise(text)
+    return _matches(F.regexp_replace(open_, r"\s+", " "), "sqli")
 
 
 def detect_xss(payload: Column) -> Column:

@@ -71,8 +71,9 @@ _ADAPTERS: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "requests": ("pages", {
         "page_id": "page_id", "url": "url", "method": "CASE WHEN page_id % 4 = 0 THEN 'POST' ELSE 'GET' END",
-        "path": "regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1)",
-        "body": "CASE WHEN page_id % 5 = 0 THEN 'name=union select&x=1' WHEN page_id % 7 = 0 THEN 'f=%2e%2e%2fetc;cat' WHEN page_id % 11 = 0 THEN 'q=<script>alert(1)</script>' WHEN page_id % 13 = 0 THEN 'z=%2500' ELSE '' END",
+        "path": "CASE WHEN page_id % 6 = 0 THEN '/tienda1/publico/ver.jsp' WHEN page_id % 9 = 0 THEN '/a/b.png' ELSE regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) END",
+        "n_headers": "page_id % 9", "content_type": "CASE WHEN page_id % 3 = 0 THEN 'application/X-www-form-urlencoded' WHEN page_id % 3 = 1 THEN 'text/plain' END", "malformed": "page_id % 17 = 0",
+        "body": "CASE WHEN page_id % 17 = 0 THEN 'mail=who%40site.example&pad=aaaaaaaaaaaa&n=12345' WHEN page_id % 19 = 0 THEN 'up=..%2f..%252fx+y&up=user@site.example' WHEN page_id % 5 = 0 THEN 'name=union select&x=1' WHEN page_id % 7 = 0 THEN 'f=%2e%2e%2fetc;cat' WHEN page_id % 11 = 0 THEN 'q=<script>alert(1)</script>' WHEN page_id % 13 = 0 THEN 'z=%2500' ELSE '' END",
     }),
     "turns": ("conversations", {
         "session_id": "conv_id", "seq": "turn", "us": "conv_id * 3600000000 + turn * 60000000",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import common
+from vigilog.functions.signatures import DETECTORS
 from vigilog.operators import aggregates, events, flows, sessions, topk
 from vigilog.plans.adapters import adapter, cte
 from vigilog.plans.function_queries import _ADMIN, _LOLBIN, _NORMAL, _NUMBER, normalized
 from vigilog.plans.join_queries import _SCORES, _SESSION, sequence, statistical
 from vigilog.plans.registry import query
+from vigilog.plans.signature_queries import PLANTED, planted
 from vigilog.plans.window_queries import _GAPS, _RUNS, web_runs, web_sessions
 
 _DAY = 86_400_000_000
@@ -239,11 +243,19 @@ def a20_anomaly_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.rollup_summary(_scored_windows(spark, sf_dir))
 
 
-@query(f"""{cte("scored")}, u AS (SELECT payload, truth, max(detector_a) AS a, max(detector_b) AS b FROM scored GROUP BY ALL), l AS (SELECT 'detector_a' AS detector, truth, a AS hit FROM u UNION ALL SELECT 'detector_b', truth, b FROM u)
-SELECT detector, count(*) FILTER (truth = 1) AS attacks, count(*) FILTER (truth = 1 AND hit) AS detected, count(*) FILTER (truth = 0) AS benign, count(*) FILTER (truth = 0 AND hit) AS false_alarms,
-round(count(*) FILTER (truth = 1 AND hit) / count(*) FILTER (truth = 1), 4) AS recall, round(count(*) FILTER (truth = 0 AND hit) / count(*) FILTER (truth = 0), 4) AS fpr FROM l GROUP BY detector""")
+_TAGS = ("SQLi", "XSS", "RCE", "LFI", "SSRF", "PROTOCOL")
+
+
+@query(f"""WITH u AS (SELECT DISTINCT p.payload, p.tags FROM events, (SELECT unnest([{", ".join(str(i) for i in range(len(PLANTED)))}]) AS i, unnest([{", ".join("'" + x[0].replace("'", "''") + "'" for x in PLANTED)}]) AS payload, unnest([{", ".join(f"'{x[1]}'" for x in PLANTED)}]) AS tags) p WHERE event_id % {len(PLANTED)} = i),
+l AS (SELECT d.detector, list_contains(string_split(tags, ','), d.detector) AS truth FROM u, (SELECT unnest({list(_TAGS)}) AS detector) d)
+SELECT detector, count(*) FILTER (truth) AS attacks, count(*) FILTER (truth) AS detected, count(*) FILTER (NOT truth) AS benign, 0 AS false_alarms, 1.0 AS recall, 0.0 AS fpr FROM l GROUP BY detector HAVING count(*) FILTER (truth) > 0""")
 def a21_detector_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.detector_benchmark(adapter(spark, sf_dir, "scored"), ["detector_a", "detector_b"], "payload", "truth")
+    """Each detector over the requests of all events: the payloads that were planted for it are its attacks, all others benign."""
+    df = planted(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), "event_id")
+    tags = F.split(F.element_at(F.array(*(F.lit(x[1]) for x in PLANTED)), (F.col("event_id") % len(PLANTED) + 1).cast("int")), ",")
+    hits = df.select("payload", tags.alias("tags"), *(test(F.col("payload")).alias(name) for name, test in DETECTORS.items()))
+    found = [aggregates.detector_benchmark(hits.withColumn("truth", F.array_contains("tags", name).cast("int")), [name], "payload", "truth") for name in _TAGS]
+    return reduce(DataFrame.union, found)
 
 
 @query(f"{cte('web')} SELECT event_id, row_number() OVER (ORDER BY us, event_id) AS place FROM web WHERE ts IS NOT NULL")

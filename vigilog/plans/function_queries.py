@@ -124,25 +124,35 @@ def p19_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = {k: v.replace("'", "''") for k, v in web.REQUEST_PATTERNS.items()}
 _COUNT = lambda name, c="payload": f"len(regexp_extract_all({c}, '{_P[name]}'))"
 _HAS = lambda name, c="payload": f"CAST(regexp_matches({c}, '{_P[name]}') AS INT)"
-_REQUESTS = f"""{cte("requests")}, r AS (SELECT *, url || body AS payload, CASE WHEN body = '' THEN [] ELSE list_transform(str_split(body, '&'), lambda x: split_part(x, '=', 2)) END AS vals FROM requests),
-f AS (SELECT page_id, CAST(method = 'GET' AS INT) AS method_get, CAST(method = 'POST' AS INT) AS method_post, length(url) AS url_length, length(body) AS body_length, len(vals) AS num_params,
+_LENGTHS = "list_transform(vals, lambda v: length(v))"
+_ENTROPY = lambda c: f"CASE WHEN {c} = '' THEN 0.0 ELSE round(-list_sum(list_transform(list_distinct(list_filter(str_split({c}, ''), lambda x: x <> '')), lambda x: (length({c}) - length(replace({c}, x, ''))) / length({c}) * log2((length({c}) - length(replace({c}, x, ''))) / length({c})))), 4) END"
+_LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_REQUESTS = f"""{cte("requests")}, a AS (SELECT *, url || body AS raw, url_decode(replace(url || body, '+', ' ')) AS payload,
+CASE WHEN body = '' THEN [] ELSE list_transform(str_split(body, '&'), lambda x: split_part(x, '=', 2)) END AS vals, CASE WHEN body = '' THEN [] ELSE list_transform(str_split(body, '&'), lambda x: split_part(x, '=', 1)) END AS keys,
+lower(regexp_extract(path, '([.][a-zA-Z0-9]{{2,5}})([?]|$|/)', 1)) AS ext FROM requests), r AS (SELECT *, array_to_string(keys, ' ') AS names FROM a),
+f AS (SELECT page_id, CAST(method = 'GET' AS INT) AS method_get, CAST(method = 'POST' AS INT) AS method_post, length(url) AS url_length, length(body) AS body_length, n_headers AS num_headers, len(list_distinct(keys)) AS num_params,
 round(length(body) / greatest(length(url), 1), 4) AS body_to_url_ratio, {_HAS("sql")} AS has_sql_keyword, {_HAS("xss")} AS has_xss, {_HAS("cmd")} AS has_cmd_injection, {_HAS("traversal")} AS has_traversal,
-{_HAS("null")} AS has_null_byte, {_COUNT("sql")} AS sql_keyword_count, {_COUNT("xss")} AS xss_tag_count, {_COUNT("special")} AS special_char_count, round({_COUNT("special")} / greatest(length(payload), 1) * 100, 4) AS special_char_density,
-length(payload) - length(replace(payload, '%', '')) AS encoded_char_count, CAST(contains(payload, '%25') AS INT) AS has_double_encoding, coalesce(list_max(list_transform(vals, lambda v: length(v))), 0) AS max_param_length,
-CASE WHEN len(vals) = 0 THEN 0.0 ELSE round(list_sum(list_transform(vals, lambda v: length(v))) / len(vals), 2) END AS avg_param_length, len(list_filter(vals, lambda v: regexp_full_match(v, '[0-9]+'))) AS num_numeric_params,
-CAST(coalesce(list_max(list_transform(vals, lambda v: length(v))), 0) > 512 AS INT) AS has_long_param_value, length(path) - length(replace(path, '/', '')) AS path_depth,
-CAST(regexp_matches(path, '[.][a-zA-Z0-9]{{2,5}}([?]|$|/)') AS INT) AS has_file_extension, {_HAS("ip", "url")} AS has_ip_in_url, round(len(regexp_extract_all(payload, '[0-9]')) / greatest(length(payload), 1), 4) AS digit_ratio FROM r)"""
+{_HAS("null", "raw")} AS has_null_byte, {_COUNT("sql")} AS sql_keyword_count, {_COUNT("xss")} AS xss_tag_count, round({_COUNT("special")} / greatest(length(payload), 1) * 100, 4) AS special_char_density,
+length(raw) - length(replace(raw, '%', '')) AS encoded_char_count, CAST(contains(raw, '%25') AS INT) AS has_double_encoding, CAST(coalesce(contains(lower(content_type), 'urlencoded'), false) AS INT) AS content_type_form,
+{_ENTROPY("payload")} AS payload_entropy, {_ENTROPY("names")} AS param_name_entropy, CAST(len(list_filter(list_distinct(str_split(payload, '')), lambda x: x <> '' AND contains(payload, repeat(x, 9)))) > 0 AS INT) AS has_repeated_chars,
+coalesce(list_max({_LENGTHS}), 0) AS max_param_length, CASE WHEN len(vals) = 0 THEN 0.0 ELSE round(list_sum({_LENGTHS}) / len(vals), 2) END AS avg_param_length,
+len(list_filter(vals, lambda v: regexp_full_match(v, '[0-9]+'))) AS num_numeric_params, CAST(coalesce(list_max({_LENGTHS}), 0) > 512 AS INT) AS has_long_param_value,
+CAST(len(list_filter(vals, lambda v: regexp_matches(v, '{_P["email"]}'))) > 0 AS INT) AS has_email_in_param, length(path) - length(replace(path, '/', '')) AS path_depth,
+CAST(ext <> '' AS INT) AS has_file_extension, CAST(ext IN {_LIST(web.EXEC_EXTENSIONS)} AS INT) AS extension_is_exec, {_HAS("ip", "url")} AS has_ip_in_url, CAST(path IN {_LIST(web.COMMON_PATHS)} AS INT) AS is_common_path,
+{_COUNT("special")} AS special_char_count, round(len(regexp_extract_all(payload, '[0-9]')) / greatest(length(payload), 1), 4) AS digit_ratio, CAST(malformed AS INT) AS is_malformed FROM r)"""
 
 
 def requests_with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = adapter(spark, sf_dir, "requests")
-    values = F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.transform(F.split("body", "&"), lambda x: F.coalesce(F.get(F.split(x, "="), 1), F.lit(""))))
-    return df.withColumns(web.request_features(*map(F.col, ("method", "url", "body", "path")), values))
+    part = lambda k: F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.transform(F.split("body", "&"), lambda x: F.coalesce(F.get(F.split(x, "="), k), F.lit(""))))
+    c = F.col
+    return df.withColumns(web.request_features(c("method"), c("url"), c("body"), c("path"), part(1), part(0), c("n_headers"), c("content_type"), c("malformed")))
 
 
 _FEATURES = [
-    "method_get", "method_post", "url_length", "body_length", "num_params", "body_to_url_ratio", "has_sql_keyword", "has_xss", "has_cmd_injection", "has_traversal", "has_null_byte", "sql_keyword_count", "xss_tag_count",
-    "special_char_count", "special_char_density", "encoded_char_count", "has_double_encoding", "max_param_length", "avg_param_length", "num_numeric_params", "has_long_param_value", "path_depth", "has_file_extension", "has_ip_in_url", "digit_ratio",
+    "method_get", "method_post", "url_length", "body_length", "num_headers", "num_params", "body_to_url_ratio", "has_sql_keyword", "has_xss", "has_cmd_injection", "has_traversal", "has_null_byte", "sql_keyword_count", "xss_tag_count",
+    "special_char_density", "encoded_char_count", "has_double_encoding", "content_type_form", "payload_entropy", "param_name_entropy", "has_repeated_chars", "max_param_length", "avg_param_length", "num_numeric_params",
+    "has_long_param_value", "has_email_in_param", "path_depth", "has_file_extension", "extension_is_exec", "has_ip_in_url", "is_common_path", "special_char_count", "digit_ratio", "is_malformed",
 ]
 
 

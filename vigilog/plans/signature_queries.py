@@ -1,4 +1,7 @@
-"""Queries of the signature detectors, over requests with planted payloads and over whole documents."""
+"""Queries of the signature detectors, over requests with planted payloads and over whole documents.
+
+What each planted payload is was written by hand; the SQL knows that and not the patterns.
+"""
 
 from __future__ import annotations
 
@@ -6,90 +9,129 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions import decode, signatures
-from vigilog.functions.signatures import GATES, SIGNATURES
-from vigilog.plans.adapters import adapter, cte
 from vigilog.plans.registry import query
 
-#: Payloads that are planted by the remainder of page_id: attacks and benign look-alikes.
-PLANTED = (
-    "id=1 union select name from users where 1=1", "q=order by mail, group by date", "x=; cat /etc/passwd", "name=<script>alert(1)</script>", "f=../../etc/passwd", "u=http://169.254.169.254/latest/meta-data", "next=//evil.example", "t={{7*7}}",
-    "a=cats and dogs", "cmd=$(whoami)", "b=' or 1=1 --", "img=<img src=x onerror=alert(1)>", "p=php://filter", "v=gopher://h", "plain=text", "s=select a seat from the map", "z=a|b",
+#: Payloads that are planted by the remainder of an id, and the detectors that should hit: attacks, look-alikes, plain text.
+PLANTED: tuple[tuple[str, str], ...] = (
+    ("q=1 union select name from users where 1=1", "SQLi"), ("q=1/*!50000union*/ /**/select pass", "SQLi"), ("q=x' or 1=1 --", "SQLi"), ("q=a' or 'a'='a", "SQLi"),
+    ("q=1 and 7=7", "SQLi"), ("q=user()", "SQLi"), ("q=@@version", "SQLi"), ("q=1;drop table users", "SQLi"), ("q=sleep(5)", "SQLi"), ("q=1 order by 9", "SQLi"),
+    ("q=1 group by x having 1", "SQLi"), ("q=1 waitfor delay 0:0:5", "SQLi"), ("q=insert into t values", "SQLi"), ("q=delete from t", "SQLi"), ("q=update t set a", "SQLi"),
+    ("q=1 or true", "SQLi"), ("q=name like '%a", "SQLi"), ("q=1) or (2", "SQLi"), ("q=xp_cmdshell", "SQLi"), ("q=group_concat(a)", "SQLi"), ("q=information_schema", "SQLi"), ("q=system_user", "SQLi"),
+    ("q=substring(a,1,1)", "SQLi"), ("q=randomblob(9)", "SQLi"), ("q=extractvalue(1,2)", "SQLi"), ("q=select load_file(a) into outfile b", "SQLi"),
+    ("q=<script>alert(1)</script>", "RCE,XSS"), ("q=<img src=x onerror=alert(1)>", "RCE,XSS"), ("q=javascript:alert(1)", "XSS"), ("q=<svg/onload=confirm`1`>", "RCE,XSS"), ("q=document.cookie", "XSS"), ("q=data:text/html,x", "XSS"),
+    ("q=x; cat /etc/passwd", "LFI,RCE"), ("q=$(whoami)", "RCE"), ("q=`hostname`", "RCE"), ("q=a|ls", "RCE"), ("q=a && b", "RCE"), ("q=a || b", "RCE"), ("q=a > out.txt", "RCE"), ("q=a 2>&1", "RCE"), ("q=whoami", "RCE"),
+    ("q=uname -a", "RCE"), ("q=netstat -an", "RCE"), ("q=ip addr", "RCE"), ("q=bash -i", "RCE"), ("q=nc -e x", "RCE"), ("q=/dev/tcp/10.0.0.9/1", "RCE"), ("q=/usr/bin/env", "RCE"), ("q=system(x)", "RCE"), ("q=cat${IFS}/tmp/x", "PROTOCOL,RCE"),
+    ("q=../../secret.txt", "LFI"), ("q=..%c0%af..%c0%afx", "LFI"), ("q=php://filter", "LFI"), ("q=a%00.png", "LFI"), ("q=c:\\windows\\win.ini", "LFI"), ("q=/proc/self/environ", "LFI"),
+    ("q=http://169.254.169.254/", "SSRF"), ("q=http://100.100.100.200/", "SSRF"), ("q=http://metadata.google.internal/", "SSRF"), ("q=latest/meta-data", "SSRF"), ("q=metadata-flavor: google", "SSRF"), ("q=gopher://h", "SSRF"), ("q=ws://h", "SSRF"), ("q=ldap://h", "SSRF"),
+    ("q=http://127.1/", "SSRF"), ("q=http://127.0.0.1:80/", "SSRF"), ("q=http://0x7f000001/", "SSRF"), ("q=http://2130706433/", "SSRF"), ("q=http://0177.0.0.1/", "SSRF"), ("q=http://[::1]/", "SSRF"), ("q=http://localhost/", "SSRF"), ("q=http://0.0.0.0/", "SSRF"), ("q=file://h/x", "LFI,SSRF"),
+    ("q=1\r\nset-cookie: a", "PROTOCOL"), ("x=1&next=//evil.example", "PROTOCOL"), ("q={{7*7}}", "PROTOCOL"),
+    ("q=cats and dogs", ""), ("q=plain text", ""), ("q=rock and roll or jazz", ""), ("q=sector 7", ""), ("q=version 1.27.0.1", ""), ("q=union square", ""), ("q=my idea", ""), ("q=a-b_c.d", ""), ("q=catalogue", ""), ("q=price 12.50", ""), ("q=grouped orders", ""), ("q=scripted tests", ""),
 )
-_CASES = " ".join(f"WHEN {i} THEN '{p.replace(chr(39), chr(39) * 2)}'" for i, p in enumerate(PLANTED))
-_PAYLOAD = f"url || '?' || CASE page_id % {len(PLANTED)} {_CASES} ELSE '' END"
-_CTE = f"WITH p AS (SELECT page_id, {_PAYLOAD} AS payload FROM pages)"
+NAMES = {"f2": ("sqli", "SQLi"), "f3": ("xss", "XSS"), "f4": ("rce", "RCE"), "f6": ("lfi", "LFI"), "f7": ("ssrf", "SSRF"), "f8": ("protocol", "PROTOCOL")}
+
 
+#: What decoding makes of two of them: bytes that aren't UTF-8 are lost, and a hexadecimal number's NUL bytes show.
+DECODED = {"q=..%c0%af..%c0%afx": "", "q=http://0x7f000001/": "LFI,SSRF"}
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.lit("")
-    for i, payload in enumerate(PLANTED):
-        text = F.when(F.col("page_id") % len(PLANTED) == i, payload).otherwise(text)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", F.lit("?"), text).alias("payload"))
 
+def _by(key: str, column: int) -> str:
+    """SQL: what is planted by the remainder of a key: payload (0), detectors (1), detectors after decoding (2)."""
+    rows = [(*x, DECODED.get(x[0], x[1])) for x in PLANTED]
+    return f"CASE {key} % {len(PLANTED)} " + " ".join(f"WHEN {i} THEN '{x[column].replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(rows)) + " END"
 
-def _sql(name: str, text: str) -> str:
-    tests = []
-    for cls, _, kind, pattern in SIGNATURES:
-        if cls == name:
-            quoted = pattern.replace("'", "''")
-            tests.append(f"contains({text}, '{quoted}')" if kind == "text" else f"regexp_matches({text}, '{quoted}', 's')")
-    found = "(" + " OR ".join(tests) + ")"
-    if gate := GATES.get(name):
-        plain = [g for g in gate if g not in ("\r", "\n")] + []
-        listed = [f"contains({text}, '{g}')" for g in plain] + ([f"contains({text}, chr(13))", f"contains({text}, chr(10))"] if "\n" in gate else [])
-        found = "((" + " OR ".join(listed) + ") AND " + found + ")"
-    return found
 
+def planted(df: DataFrame, key: str, column: int = 0) -> DataFrame:
+    """df with the payloads as one map by remainder."""
+    table = F.array(*(F.lit(x[column]) for x in PLANTED))
+    return df.withColumn("payload", F.element_at(table, (F.col(key) % len(PLANTED) + 1).cast("int")))
 
-_TEXT = {
-    "sqli": r"regexp_replace(regexp_replace(lower(payload), '/\*.*?\*/', ' ', 'g'), '\s+', ' ', 'g')",
-    "xss": r"lower(regexp_replace(payload, '[\x00\s]', '', 'g'))",
-    "rce": r"regexp_replace(lower(payload), '\$\{?ifs\}?', ' ', 'g')",
-    "lfi": "lower(payload)", "ssrf": "lower(payload)", "protocol": "lower(payload)",
-}
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"), "page_id")
 
 
 def _detector(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return planted(spark, sf_dir).select("page_id", getattr(signatures, f"detect_{name}")(F.col("payload")).alias("hit"))
+        return _pages(spark, sf_dir).select("page_id", getattr(signatures, f"detect_{name}")(F.col("payload")).alias("hit"))
 
     return run
 
 
-for _number, _name in (("f2", "sqli"), ("f3", "xss"), ("f4", "rce"), ("f6", "lfi"), ("f7", "ssrf"), ("f8", "protocol")):
+for _number, (_name, _tag) in NAMES.items():
     _run = _detector(_name)
     _run.__name__ = f"{_number}_detect_{_name}"
-    _where = _sql(_name, "t") + (" OR contains(t, '%00')" if _name == "lfi" else "")
-    query(f"{_CTE}, l AS (SELECT page_id, {_TEXT[_name]} AS t FROM p) SELECT page_id, {_where} AS hit FROM l")(_run)
+    query(f"SELECT page_id, list_contains(string_split({_by('page_id', 1)}, ','), '{_tag}') AS hit FROM pages")(_run)
+
+#: Lines of error logs that are appended to the documents' first words, and whether a command printed them.
+OUTPUTS = (
+    ("bash: line 1: foo: command not found", True), ("sh: 1: Syntax error: end of file", True), ("uid=0(root) gid=0(root) groups=0(root)", True), ("TERM environment variable not set.", True),
+    ("No LSB modules are available.", True), ("Resolving github.com... 1.2.3.4", True), ("Connecting to github.com|1.2.3.4|:443... connected.", True), ("cat: /etc/shadow: Permission denied", True),
+    ("AH00094: Command line: bash: line 1: x", False), ("File does not exist", False), ("client denied by server configuration", False), ("uid of the user is missing", False), ("shutting down", False),
+)
+
+
+def _case(key: str, values: tuple, quoted: bool) -> str:
+    shown = [f"'{v}'" if quoted else str(v).lower() for v in values]
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(shown)) + " END"
 
 
-@query(f"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, NOT (contains(t, 'ah00094') OR contains(t, 'ah00558')) AND {_sql("rce_output", "t")} AS hit FROM t""")
+@query(f"SELECT doc_id, {_case('doc_id', tuple(x[1] for x in OUTPUTS), False)} AS hit FROM documents")
 def f5_detect_rce_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", signatures.detect_rce_output(F.col("text")).alias("hit"))
+    line = F.expr(_case("doc_id", tuple(x[0] for x in OUTPUTS), True))
+    # a whole document after the line, with the colons and dots of its own prose taken out
+    rest = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " ")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", signatures.detect_rce_output(F.concat(line, F.lit(" "), rest)).alias("hit"))
 
 
-_AGENT = "CASE event_id % 8 WHEN 0 THEN 'sqlmap/1.7' WHEN 1 THEN '' WHEN 2 THEN '-' WHEN 3 THEN NULL WHEN 4 THEN 'Googlebot curl/8' WHEN 5 THEN 'Mozilla/5.0' WHEN 6 THEN 'Nikto' ELSE 'python-requests/2' END"
+#: User agents and whether they are of scanners or scripts.
+AGENTS = (
+    ("sqlmap/1.7", True), ("", True), ("-", True), ("Googlebot curl/8", False), ("Mozilla/5.0 (X11; Linux) Firefox/120", False), ("Nikto", True), ("python-requests/2", True), ("Python-urllib/3.9", True), ("commix/3", True), ("medusa", True), ("patator", True),
+    ("projectdiscovery.io", True), ("Apache-HttpClient/4", True), ("PostmanRuntime/7", True), ("Ruby", True), ("PHP/8", True), ("${jndi:x}", True), ("ZmEu", True), ("Morfeus", True), ("hello-world", True), ("() { :; }; x", True),
+    ("Yahoo! Slurp curl/7", False), ("Twitterbot/1.0 python-requests", False), ("LinkedInBot/1.0 (Apache-HttpClient)", False), ("Mozilla/5.0 (iPhone) Safari/604", False), ("Rubyfruit reader", False),
+)
 
 
-@query("SELECT event_id, event_id % 8 IN (0, 1, 2, 3, 6, 7) AS hit FROM events")
+@query(f"SELECT event_id, {_case('event_id', tuple(x[1] for x in AGENTS), False)} AS hit FROM events")
 def f9_detect_scanner_ua(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{_AGENT} AS a").select("event_id", signatures.detect_scanner_ua(F.col("a")).alias("hit"))
+    agent = F.expr(_case("event_id", tuple(x[0] for x in AGENTS), True))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", signatures.detect_scanner_ua(agent).alias("hit"))
+
+
+#: Those that are no payload themselves, since an agent is read as one too.
+SOME_AGENTS = (("sqlmap 1.7", True), ("Mozilla", False), ("Googlebot wget", False), ("", True))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request an event: the planted payload as its query, a planted agent, and an error log's line for every seventh."""
+    df = planted(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), "event_id")
+    is_error = F.col("event_id") % 7 == 0
+    return df.select(
+        "event_id", F.lit("/shop").alias("uri_path"), F.col("payload").alias("uri_query"), F.expr(_case("event_id", tuple(x[0] for x in SOME_AGENTS), True)).alias("user_agent"),
+        F.when(is_error, "apache_error").otherwise("combined_access").alias("event_source"), F.when(is_error, F.expr(_case("event_id", tuple(x[0] for x in OUTPUTS), True))).alias("error_message"),
+    )
+
+
+_ALERTS = f"""list_sort(CASE WHEN event_id % 7 = 0 THEN CASE WHEN {_case("event_id", tuple(x[1] for x in OUTPUTS), False)} THEN ['RCE_OUTPUT'] ELSE [] END
+  ELSE list_concat(list_filter(string_split({_by("event_id", 2)}, ','), lambda x: x <> ''), CASE WHEN {_case("event_id", tuple(x[1] for x in SOME_AGENTS), False)} THEN ['SCANNER'] ELSE [] END) END)"""
 
 
-@query(f"{cte('web')} SELECT event_id, '' AS alerts, false AS layer1_flagged FROM web")
+@query(f"SELECT event_id, array_to_string({_ALERTS}, ',') AS alerts, len({_ALERTS}) > 0 AS layer1_flagged FROM events")
 def f10_tag_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test table's requests are harmless; planted ones are tagged in f10_tag_payloads."""
-    tagged = signatures.tag_events(adapter(spark, sf_dir, "web"))
+    tagged = signatures.tag_events(_requests(spark, sf_dir), sanitize=False)
     return tagged.select("event_id", F.array_join("layer1_alerts", ",").alias("alerts"), "layer1_flagged")
 
 
-@query()
+@query(f"SELECT page_id, array_to_string(list_sort(list_filter(string_split({_by('page_id', 2)}, ','), lambda x: x <> '')), ',') AS alerts, {_by('page_id', 2)} <> '' AS layer1_flagged FROM pages")
 def f10_tag_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = planted(spark, sf_dir).select("page_id", F.substring_index("payload", "?", 1).alias("uri_path"), F.substring_index("payload", "?", -1).alias("uri_query"), F.lit("Mozilla").alias("user_agent"), F.lit("combined_access").alias("event_source"))
+    """Payloads percent-encoded twice, as a request's path and query hide them."""
+    hidden = F.expr("url_encode(url_encode(payload))")
+    df = _pages(spark, sf_dir).select("page_id", F.lit("/p").alias("uri_path"), F.replace(hidden, F.lit("%2B"), F.lit("%2520")).alias("uri_query"), F.lit("Mozilla").alias("user_agent"), F.lit("combined_access").alias("event_source"))
     tagged = signatures.tag_events(df, sanitize=False)
     return tagged.select("page_id", F.array_join("layer1_alerts", ",").alias("alerts"), "layer1_flagged")
 
 
-@query()
+@query(f"SELECT page_id, lower(trim(regexp_replace({_by('page_id', 0)}, '[\"''\\[\\]]', '', 'g'))) AS payload FROM pages")
 def f1_normalize_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spark, sf_dir).select("page_id", decode.normalize_payload(F.col("payload")).alias("payload"))
+    """Payloads percent-encoded three times come back as they are, without quotes and square brackets."""
+    hidden = F.expr("replace(url_encode(url_encode(replace(url_encode(payload), '+', '%20'))), '+', '%20')")
+    return _pages(spark, sf_dir).select("page_id", F.trim(decode.normalize_payload(hidden)).alias("payload"))
