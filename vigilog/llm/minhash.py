@@ -40,7 +40,9 @@ class Banding:
 
 
 #: Members of a bucket on each side of a block of pairs that is compared in memory.
-BLOCK = 256
+BLOCK = 128
+#: Members up to which buckets are compared many at a time, by lists of their pairs.
+FEW = 32
 #: Shingles up to which a block compares the sets themselves, so that it gives confirmed links and not candidates.
 EXACT_SHINGLES = 512
 
@@ -272,11 +274,52 @@ def _across(members: DataFrame, labels: DataFrame, info: DataFrame, texts: DataF
                 found.append((x, y, False))
         return found
 
+    def compare_few(pdf: pd.DataFrame, count: np.ndarray) -> list[tuple]:
+        """compare() for blocks of few members each, one after the other; count is that of each row's block that follow it."""
+        comp, n, bands, keys = (pdf[c].to_numpy() for c in ("component", "n", "bands", "key"))
+        sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+        p = np.repeat(np.arange(len(pdf)), count)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+        ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= spec.percent * np.maximum(n[p], n[q]))
+        p, q = p[ok], q[ok]
+        apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(sketch[p[k : k + 4096]] ^ sketch[q[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(p), 4096))])
+        ok = apart <= most_apart(n[p] + n[q], spec)
+        p, q, apart = p[ok], q[ok], apart[ok]
+        exact = (n[p] <= EXACT_SHINGLES) & (n[q] <= EXACT_SHINGLES)
+        found: list[tuple] = []
+        if nearest_only and exact.any():
+            rows = np.unique(np.r_[p[exact], q[exact]])
+            sets = dict(zip(rows.tolist(), shingle_sets([t.lower() for t in encoded(pdf["text"].iloc[rows])])))
+            for x, y in zip(p[exact].tolist(), q[exact].tolist()):
+                a, b = sets[x], sets[y]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= spec.percent * (len(a) + len(b) - both):
+                    found.append((x, y, True))
+        p, q, apart = p[~exact], q[~exact], apart[~exact]
+        if nearest_only and len(p):
+            best = np.full(len(pdf), 1 << 30)
+            np.minimum.at(best, p, apart)
+            np.minimum.at(best, q, apart)
+            ok = (apart == best[p]) | (apart == best[q])
+            p, q = p[ok], q[ok]
+        for x, y in zip(p.tolist(), q.tolist()):
+            if bands[x] is None or bands[y] is None or bands[x][np.argmax(bands[x] == bands[y])] == keys[x]:
+                found.append((x, y, False))
+        return found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "i", "j"]):
-            key, i, j, node = (pdf[c].to_numpy() for c in ("key", "i", "j", "node"))
-            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-            found = [(node[s + x], node[s + y], sure) for s, e in zip(edge[:-1], edge[1:]) for x, y, sure in compare(pdf.iloc[s:e])]
+            key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            size = np.diff(np.r_[edge, len(pdf)])
+            few = np.repeat((size <= FEW) & (i[edge] == j[edge]), size)
+            follow = np.repeat(edge + size, size) - np.arange(len(pdf)) - 1
+            node = pdf["node"].to_numpy()
+            own = node[few]
+            found = [(own[x], own[y], sure) for x, y, sure in compare_few(pdf[few], follow[few])] if few.any() else []
+            for s, m in zip(edge, size):
+                if not few[s]:
+                    found += [(node[s + x], node[s + y], sure) for x, y, sure in compare(pdf.iloc[s : s + m])]
             yield pd.DataFrame([(min(a, b), max(a, b), sure) for a, b, sure in found], columns=["a", "b", "sure"]).drop_duplicates()
 
     kind = members.schema["node"].dataType.simpleString()
