@@ -130,8 +130,15 @@ def f10_tag_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("page_id", F.array_join("layer1_alerts", ",").alias("alerts"), "layer1_flagged")
 
 
-@query(f"SELECT page_id, lower(trim(regexp_replace({_by('page_id', 0)}, '[\"''\\[\\]]', '', 'g'))) AS payload FROM pages")
+#: What decoding makes of three of them, ~ for NUL: bytes that aren't UTF-8, a NUL sign, and the text of a hexadecimal number.
+_TEXTS = {"q=..%c0%af..%c0%afx": "q=..\ufffd\ufffd..\ufffd\ufffdx", "q=a%00.png": "q=a~.png", "q=http://0x7f000001/": "q=http://0x7f000001/ \x7f~~\x01"}
+_PLAIN = _by("page_id", 0)
+for _before, _after in _TEXTS.items():
+    _PLAIN = _PLAIN.replace(f"'{_before}'", f"'{_after}'")
+
+
+@query(f"SELECT page_id, lower(trim(regexp_replace({_PLAIN}, '[\"''\\[\\]]', '', 'g'))) AS payload FROM pages")
 def f1_normalize_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads percent-encoded three times come back as they are, without quotes and square brackets."""
     hidden = F.expr("replace(url_encode(url_encode(replace(url_encode(payload), '+', '%20'))), '+', '%20')")
-    return _pages(spark, sf_dir).select("page_id", F.trim(decode.normalize_payload(hidden)).alias("payload"))
+    return _pages(spark, sf_dir).select("page_id", F.trim(F.replace(decode.normalize_payload(hidden), F.lit("\0"), F.lit("~"))).alias("payload"))
