@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilog.operators.aggregates import exact_percentile
+
 #: Rows from which all trees draw their samples; a forest uses 256 a tree, whatever the table's size is.
 MOST_ROWS = 16_384
 SAMPLE = 256
@@ -61,30 +63,43 @@ class Forest:
     size: np.ndarray
     sample: int
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Minus the anomaly score of each row: -1 is the oddest, about -0.5 an average row."""
+    def _lengths(self, x: np.ndarray) -> np.ndarray:
+        """Path lengths of rows over all trees: rows go down all trees at once, a level a step."""
+        row = np.tile(np.arange(len(x)), len(self.roots))
+        at = np.repeat(self.roots, len(x))
         total = np.zeros(len(x))
-        for root in self.roots:
-            at = np.full(len(x), root)
-            length = np.zeros(len(x))
+        leaf = np.where(self.feature < 0, _average_path(self.size), 0.0)
+        depth = 0
+        while len(row):
             inner = self.feature[at] >= 0
-            while inner.any():
-                rows = np.flatnonzero(inner)
-                here = at[rows]
-                goes_left = x[rows, self.feature[here]] < self.threshold[here]
-                at[rows] = np.where(goes_left, self.left[here], self.right[here])
-                length[rows] += 1
-                inner[rows] = self.feature[at[rows]] >= 0
-            total += length + _average_path(self.size[at])
+            ended = ~inner
+            total += np.bincount(row[ended], depth + leaf[at[ended]], len(x))
+            row, at = row[inner], at[inner]
+            at = np.where(x[row, self.feature[at]] < self.threshold[at], self.left[at], self.right[at])
+            depth += 1
+        return total
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Minus the anomaly score of each row: -1 is the oddest, about -0.5 an average row."""
+        total = np.concatenate([np.zeros(0), *(self._lengths(x[k : k + 2048]) for k in range(0, len(x), 2048))])
         return -(2.0 ** (-total / len(self.roots) / max(float(_average_path(self.sample)), 1e-9)))
 
 
-def fit_table(df: DataFrame, features: list[str], n_trees: int = 100, sample: int = SAMPLE, feature_fraction: float = 1.0, seed: int = 0) -> DataFrame:
-    """The nodes of a forest as a table. Rows for the trees are the first MOST_ROWS by hash; missing values count as 0."""
+def draw_rows(df: DataFrame, features: list[str], most: int, id_cols: tuple[str, ...] = (), seed: int = 0) -> np.ndarray:
+    """The values of `most` rows at random, in the order of a hash of their ids: equal rows are drawn as often as they are there.
+
+    Without ids a random number of the seed takes the hash's place. Missing values count as 0.
+    """
+    key = F.xxhash64(*id_cols, F.lit(seed)) if id_cols else F.rand(seed)
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features)]
+    drawn = df.select(key.alias("_key"), *values).orderBy("_key", *(f"_{i}" for i in range(len(features)))).limit(most).collect()
+    return np.array([tuple(r)[1:] for r in drawn], float).reshape(len(drawn), len(features))
+
+
+def fit_table(df: DataFrame, features: list[str], n_trees: int = 100, sample: int = SAMPLE, feature_fraction: float = 1.0, seed: int = 0, id_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The nodes of a forest as a table. Trees draw from MOST_ROWS rows by draw_rows."""
     spark = df.sparkSession
-    values = df.select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features)))
-    drawn = values.orderBy(F.xxhash64(*values.columns), *values.columns).limit(MOST_ROWS).collect()
-    x = np.array([tuple(r) for r in drawn], float).reshape(len(drawn), len(features))
+    x = draw_rows(df, features, MOST_ROWS, id_cols, seed)
     k = max(1, round(feature_fraction * len(features)))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +139,7 @@ def score_column(forest: Forest) -> Column:
 
 def tail_threshold(scores: DataFrame, score: str = "score", percent: float = 2.0) -> DataFrame:
     """One row: the score below which `percent` percent of the training rows lie."""
-    return scores.agg(F.percentile(score, F.lit(percent / 100)).alias("threshold"))
+    return exact_percentile(scores, score, percent / 100, "threshold")
 
 
 def flag_tail(scored: DataFrame, threshold: DataFrame, score: str = "score") -> DataFrame:

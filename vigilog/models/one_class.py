@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of the training sample, first by hash. The boundary approximates the kernel machine's by design.
+from vigilog.models.forest import draw_rows
+
+#: Rows of the training sample. The boundary approximates the kernel machine's by design.
 MOST_ROWS = 8192
 
 
@@ -30,14 +32,18 @@ class OneClass:
         return z @ self.weights - self.offset
 
 
-def fit(df: DataFrame, features: list[str], nu: float = 0.02, n_features: int = 256, steps: int = 300, seed: int = 0) -> OneClass:
-    """Minimises |w|^2 / 2 - r + mean(max(0, r - w z)) / nu over random features z of an RBF kernel with gamma 1 / (features x variance)."""
-    values = df.select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features)))
-    drawn = values.orderBy(F.xxhash64(*values.columns), *values.columns).limit(MOST_ROWS).collect()
-    x = np.array([tuple(r) for r in drawn], float).reshape(len(drawn), len(features))
+def fit(df: DataFrame, features: list[str], nu: float = 0.02, n_features: int = 256, steps: int = 300, seed: int = 0, id_cols: tuple[str, ...] = ()) -> OneClass:
+    """Means and deviations are those of all rows; the boundary is fitted to MOST_ROWS rows by draw_rows.
+
+    Minimises |w|^2 / 2 - r + mean(max(0, r - w z)) / nu over random features z of an RBF kernel with gamma 1 / (features x variance).
+    """
+    x = draw_rows(df, features, MOST_ROWS, id_cols, seed)
     if not len(x):
         x = np.zeros((1, len(features)))
-    mean, scale = x.mean(0), np.where(x.std(0) == 0, 1, x.std(0))
+    value = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    stats = df.agg(*(F.coalesce(f(v), F.lit(0.0)) for f in (F.avg, F.stddev_pop) for v in value)).first()
+    mean, scale = np.array(stats[: len(features)]), np.array(stats[len(features) :])
+    scale = np.where(scale == 0, 1, scale)
     rng = np.random.default_rng(seed)
     s = (x - mean) / scale
     gamma = 1 / (len(features) * max(s.var(), 1e-9))

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.models import forest
 
 
-def fit_two_stage(train: DataFrame, features: list[str], label: str = "label", n_trees: int = 300, depth: int = 20, least: int = 5, forest_trees: int = 200, seed: int = 42):
+def fit_two_stage(train: DataFrame, features: list[str], label: str = "label", n_trees: int = 300, depth: int = 20, least: int = 5, forest_trees: int = 200, seed: int = 42, id_cols: tuple[str, ...] = ()):
     """(forest, random forest): the forest is fitted on normal rows and its score is a feature of the second; classes weigh alike."""
-    first = forest.fit(train.filter(F.col(label) == 0), features, n_trees=forest_trees, sample=512, feature_fraction=0.8)
+    first = forest.fit(train.filter(F.col(label) == 0), features, n_trees=forest_trees, sample=512, feature_fraction=0.8, id_cols=id_cols)
     counts = train.agg(F.count("*").alias("_n"), F.count_if(F.col(label) == 1).alias("_p"))
     weighted = train.crossJoin(F.broadcast(counts)).withColumn("_w", F.col("_n") / (2 * F.when(F.col(label) == 1, F.greatest("_p", F.lit(1))).otherwise(F.greatest(F.col("_n") - F.col("_p"), F.lit(1)))))
     assembled = _assemble(weighted, first)
@@ -42,16 +43,16 @@ def feature_importance(spark, first: forest.Forest, model) -> DataFrame:
 
 
 def fit_phishing(train: DataFrame, text: str = "text", label: str = "label", vocabulary: int = 1 << 16):
-    """Words and word pairs weighted by smoothed inverse document frequency, of unit length, for a multinomial naive Bayes."""
+    """Words and word pairs weighted by smoothed inverse document frequency, of unit length, for a multinomial naive Bayes.
+
+    The vocabulary has the most frequent terms that two texts or more have; vectors stay sparse throughout.
+    """
     words = _terms(train, text)
     counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocabulary, minDF=2).fit(words)
     df = counter.transform(words)
-    n = train.count()
-    found = df.select(F.posexplode(F.transform(vector_to_array("_tf"), lambda x: (x > 0).cast("int")))).groupBy("pos").agg(F.sum("col").alias("df")).orderBy("pos").collect() if counter.vocabulary else []
-
-
-    idf = [float(np.log((1 + n) / (1 + r["df"])) + 1) for r in found]
-    return counter, idf, NaiveBayes(featuresCol="_x", labelCol=label).fit(_weigh(df, idf))
+    rarity = IDF(inputCol="_tf").fit(df).idf.toArray() + 1 if counter.vocabulary else np.zeros(0)
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(rarity), inputCol="_tf", outputCol="_s")
+    return counter, weigh, NaiveBayes(featuresCol="_x", labelCol=label).fit(_scaled(df, weigh))
 
 
 def _terms(df: DataFrame, text: str) -> DataFrame:
@@ -60,16 +61,14 @@ def _terms(df: DataFrame, text: str) -> DataFrame:
     return NGram(n=2, inputCol="_w", outputCol="_b").transform(words).withColumn("_terms", F.concat("_w", "_b")).drop("_text", "_w", "_b")
 
 
-def _weigh(df: DataFrame, idf: list[float]) -> DataFrame:
-    weights = F.array(*map(F.lit, idf)) if len(idf) < 1000 else F.from_json(F.lit(str(idf)), "array<double>")
-    scaled = df.withColumn("_s", array_to_vector(F.zip_with(vector_to_array("_tf"), weights, lambda a, b: a * b)))
-    return Normalizer(inputCol="_s", outputCol="_x", p=2.0).transform(scaled)
+def _scaled(df: DataFrame, weigh: ElementwiseProduct) -> DataFrame:
+    return Normalizer(inputCol="_s", outputCol="_x", p=2.0).transform(weigh.transform(df))
 
 
 def score_phishing(df: DataFrame, model, text: str = "text", least: int = 10, suspicious: float = 60.0) -> DataFrame:
     """df with phishing_percent and is_suspicious (at least 60); texts under 10 characters aren't scored."""
-    counter, idf, bayes = model
-    scored = bayes.transform(_weigh(counter.transform(_terms(df, text)), idf))
+    counter, weigh, bayes = model
+    scored = bayes.transform(_scaled(counter.transform(_terms(df, text)), weigh))
     percent = F.when(F.length(text) >= least, F.round(vector_to_array("probability")[1] * 100, 2))
     return scored.withColumn("phishing_percent", percent).withColumn("is_suspicious", F.coalesce(F.col("phishing_percent") >= suspicious, F.lit(False))).select(*df.columns, "phishing_percent", "is_suspicious")
 

@@ -97,6 +97,28 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: tuple[int
     return long.select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), F.round(F.try_divide("tp", "_p"), 6).alias("recall"), F.round(F.try_divide("fp", "_n"), 6).alias("fpr"))
 
 
+#: Accuracy of the sketch that brackets an exact percentile: its rank is off by at most one row in so many.
+SKETCH_ACCURACY = 10_000
+
+
+def exact_percentile(df: DataFrame, column: str, share: float, name: str = "percentile") -> DataFrame:
+    """One row: the value below which `share` (0 to 1) of the rows lie, between neighbours by proportion; null without rows.
+
+    A mergeable sketch brackets it; the rows below are only counted, and only those in between, a few in ten
+    thousand, are put in order. No task holds a column's different values.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    margin = 3 / SKETCH_ACCURACY
+    ends = [F.percentile_approx("x", F.lit(min(max(share + d, 0.0), 1.0)), F.lit(SKETCH_ACCURACY)) for d in (-margin, margin)]
+    bracket = x.agg(ends[0].alias("lo"), ends[1].alias("hi"))
+    near = x.crossJoin(F.broadcast(bracket))
+    place = near.agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("lo")).alias("below")).select("below", ((F.col("n") - 1) * F.lit(share)).alias("place"))
+    within = near.filter("x between lo and hi").groupBy("x").agg(F.count("*").alias("m"))
+    ranked = within.crossJoin(F.broadcast(place)).withColumn("upto", F.col("below") + F.sum("m").over(Window.orderBy("x")))
+    found = ranked.agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("x"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("x"))).alias("b"), F.first("place").alias("place"))
+    return found.select((F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))).alias(name))
+
+
 def detector_benchmark(df: DataFrame, detectors: list[str], payload: str, truth: str) -> DataFrame:
     """Per detector: recall on different attack payloads and false-positive rate on different benign ones."""
     unique = df.groupBy(payload, truth).agg(*(F.max(F.col(d).cast("int")).alias(d) for d in detectors))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.operators.aggregates import exact_percentile
+
 
 def flow_ratio_features(df: DataFrame) -> DataFrame:
     """Log ratios and rates of a flow. byte_rate divides by the elapsed time's logarithm plus one, as its models were trained."""
@@ -47,7 +49,7 @@ def host_risk_score(hosts: DataFrame, quantile: float = 0.9, eps: float = 1e-6)
     ratio = (F.col("anomaly_ratio") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + eps)
     risk = 0.7 * ratio + 0.3 * (F.col("anomaly_flows") / (F.col("_most") + eps))
     scored = hosts.crossJoin(F.broadcast(ends)).withColumn("risk_score", risk).drop("_lo", "_hi", "_most")
-    limit = scored.agg(F.percentile("risk_score", F.lit(quantile)).alias("_limit"))
+    limit = exact_percentile(scored, "risk_score", quantile, "_limit")
     return scored.crossJoin(F.broadcast(limit)).withColumn("apt_flag", (F.col("risk_score") >= F.col("_limit")).cast("int")).drop("_limit")
 
 
@@ -58,3 +60,10 @@ def anomaly_report(flows: DataFrame, hosts: DataFrame, threshold: float = 0.0) -
     odd = flows.filter(F.col("score") < threshold)
     flow = F.struct("source_ip", "destination_ip", "bytes", "packets", "score", "label")
     return odd.join(of_host, odd["source_ip"] == of_host["_ip"]).select("flow_id", flow.alias("flow"), "host")
+
+
+def report_metadata(flows: DataFrame, hosts: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """One row of counts that go with a report: flows, anomalous flows, hosts, hosts with an anomaly, flagged hosts."""
+    of_flows = flows.agg(F.count("*").alias("total_flows"), F.count_if(F.col("score") < threshold).alias("anomalous_flows"))
+    of_hosts = hosts.agg(F.count("*").alias("hosts"), F.count_if(F.col("anomaly_flows") > 0).alias("anomalous_hosts"), F.count_if(F.col("apt_flag") == 1).alias("flagged_hosts"))
+    return of_flows.crossJoin(of_hosts)

@@ -8,22 +8,47 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed formats of web logs, in the order in which ties are decided.
-FORMATS = {
-    "vhost_combined_access": (r'^(\S+) (\S+) (\S+) (\S+) \[([^\]]*)\] "(\S+)\s+(\S+)\s+([^"]+)" (\d+) (\S+) "([^"]*)" "([^"]*)"', ("vhost", "source_ip", "ident", "user_id", "time", "http_method", "raw_uri", "protocol", "status", "bytes", "referer", "user_agent")),
-    "combined_access": (r'^(\S+) (\S+) (\S+) \[([^\]]*)\] "(\S+)\s+(\S+)\s+([^"]+)" (\d+) (\S+) "([^"]*)" "([^"]*)"', ("source_ip", "ident", "user_id", "time", "http_method", "raw_uri", "protocol", "status", "bytes", "referer", "user_agent")),
-    "common_access": (r'^(\S+) (\S+) (\S+) \[([^\]]*)\] "(\S+)\s+(\S+)\s+([^"]+)" (\d+) (\S+)', ("source_ip", "ident", "user_id", "time", "http_method", "raw_uri", "protocol", "status", "bytes")),
-    "apache_error": (r"^\[([^\]]+)\] \[([^\]]+)\] (?:\[pid (\d+)(?::tid \d+)?\] )?(?:\[client ([^\]]+?)(?::\d+)?\] )?(.*)", ("time", "error_module", "pid", "source_ip", "error_message")),
-    "nginx_error": (r'^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] (\d+)#\d+: (?:\*\d+ )?(.*?)(?:, client: ([^,]+))?(?:, server: [^,]+)?(?:, request: "[^"]+")?$', ("time", "error_module", "pid", "error_message", "source_ip")),
-}
+#: A field of an access log, as the servers document it: quoted (a quote inside has a backslash before it), in square brackets, or bare.
+FIELD = r'"(?:[^"\\]|\\.)*"|\[[^\]]*\]|[^\s"\[]\S*'
+_COMMON = ("source_ip", "ident", "user_id", "time", "request", "status", "bytes")
+#: Fields of access formats, in order; the formats in the order in which ties are decided.
+ACCESS_FORMATS = {"vhost_combined_access": ("vhost", *_COMMON, "referer", "user_agent"), "combined_access": (*_COMMON, "referer", "user_agent"), "common_access": _COMMON}
+FORMATS = (*ACCESS_FORMATS, "apache_error", "nginx_error")
+_BRACKETED, _QUOTED = ("time",), ("request", "referer", "user_agent")
+#: What an error log has before its message: time and module, then process and client in brackets; or time, level and numbers.
+_APACHE_LEAD = r"^((?:\[[^\]]*\] ){2}(?:\[(?:pid|tid|client|remote) [^\]]*\] ?)*)(.*)$"
+_NGINX_LEAD = r"^(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(\w+)\] \d+#\d+: (?:\*\d+ )?(.*)$"
 ERROR_TIMES = ("EEE MMM d HH:mm:ss.SSSSSS yyyy", "EEE MMM d HH:mm:ss yyyy", "yyyy/MM/dd HH:mm:ss")
 SAMPLE_LINES = 20
 
 
+def access_fields(value: Column) -> Column:
+    """The fields of a line, with their quotes and brackets; one pass for all access formats."""
+    return F.regexp_extract_all(value, F.lit(FIELD), F.lit(0))
+
+
+def _fits(fields: Column, name: str) -> Column:
+    """Whether fields are those of an access format: each of its kind, a request of three parts, a numeric status."""
+    at = {f: F.get(fields, i) for i, f in enumerate(ACCESS_FORMATS[name])}
+    ok = at["request"].rlike(r'^"\S+\s+\S+\s+[^"]+"$') & at["status"].rlike("^[0-9]+$") & at["bytes"].isNotNull()
+    for f, field in at.items():
+        opening = field.substr(1, 1)
+        ok = ok & (opening == "[" if f in _BRACKETED else opening == '"' if f in _QUOTED else ~opening.isin("[", '"'))
+    return F.coalesce(ok, F.lit(False))
+
+
+def matches(value: Column, name: str) -> Column:
+    """Whether a line is of a format."""
+    if name in ACCESS_FORMATS:
+        return _fits(access_fields(value), name)
+    return value.rlike(_APACHE_LEAD if name == "apache_error" else _NGINX_LEAD)
+
+
 def detect_log_format(lines: DataFrame, file: str = "source_file", line_no: str = "line_no", value: str = "value") -> DataFrame:
     """(source_file, format) by most matches among the first 20 lines of a file, ties in the order of FORMATS; null if none matches."""
-    first = lines.filter(F.col(line_no) <= SAMPLE_LINES)
-    counts = first.groupBy(file).agg(*(F.count_if(F.col(value).rlike(p)).alias(name) for name, (p, _) in FORMATS.items()))
+    first = lines.filter(F.col(line_no) <= SAMPLE_LINES).select(file, value, access_fields(F.col(value)).alias("_fields"))
+    test = {name: _fits(F.col("_fields"), name) if name in ACCESS_FORMATS else matches(F.col(value), name) for name in FORMATS}
+    counts = first.groupBy(file).agg(*(F.count_if(t).alias(name) for name, t in test.items()))
     top = F.greatest(*FORMATS)
     found = F.lit(None).cast("string")
     for name in reversed(FORMATS):
@@ -31,11 +56,6 @@ def detect_log_format(lines: DataFrame, file: str = "source_file", line_no: str
     return counts.select(file, found.alias("format"))
 
 
-def _groups(value: Column, name: str) -> dict[str, Column]:
-    pattern, fields = FORMATS[name]
-    return {f: F.regexp_extract(value, pattern, i + 1) for i, f in enumerate(fields)}
-
-
 def access_time(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
 
@@ -48,28 +68,40 @@ def error_time(text: Column) -> Column:
 
 def parse_access_log(lines: DataFrame, name: str = "combined_access", value: str = "value") -> DataFrame:
     """Typed columns of the lines that match: address, user ('-' is null), UTC time, method, raw_uri, status, bytes ('-' is 0), referer, agent, vhost."""
-    g = _groups(F.col(value), name)
-    empty = F.lit(None).cast("string")
-    dash = lambda c: F.when(c != "-", c)
-    return lines.filter(F.col(value).rlike(FORMATS[name][0])).select(
-        *lines.columns, F.lit(name).alias("event_source"), g["source_ip"].alias("source_ip"), dash(g["user_id"]).alias("user_id"), access_time(g["time"]).alias("ts"),
-        g["http_method"].alias("http_method"), g["raw_uri"].alias("raw_uri"), g["status"].cast("int").alias("status_code"), F.coalesce(F.when(g["bytes"].rlike("^[0-9]{1,18}$"), g["bytes"]).cast("bigint"), F.lit(0)).alias("bytes_sent"),
-        g.get("referer", empty).alias("referer"), g.get("user_agent", empty).alias("user_agent"), g.get("vhost", empty).alias("vhost"),
+    found = lines.select(*lines.columns, access_fields(F.col(value)).alias("_fields")).filter(_fits(F.col("_fields"), name))
+    at = {f: F.get("_fields", F.lit(i)) for i, f in enumerate(ACCESS_FORMATS[name])}
+    inner = lambda f: F.substring(at[f], F.lit(2), F.length(at[f]) - 2) if f in at else F.lit(None).cast("string")
+    part = lambda i: F.get(F.split(inner("request"), r"\s+", 3), F.lit(i))
+    size = F.when(at["bytes"].rlike("^[0-9]{1,18}$"), at["bytes"]).cast("bigint")
+    return found.select(
+        *lines.columns, F.lit(name).alias("event_source"), at["source_ip"].alias("source_ip"), F.when(at["user_id"] != "-", at["user_id"]).alias("user_id"), access_time(inner("time")).alias("ts"),
+        part(0).alias("http_method"), part(1).alias("raw_uri"), at["status"].cast("int").alias("status_code"), F.coalesce(size, F.lit(0)).alias("bytes_sent"),
+        inner("referer").alias("referer"), inner("user_agent").alias("user_agent"), at.get("vhost", F.lit(None).cast("string")).alias("vhost"),
     )
 
 
 def parse_error_log(lines: DataFrame, name: str = "apache_error", value: str = "value") -> DataFrame:
-    """Typed columns of the lines that match: UTC time, module or level, process, address (null if none), message."""
-    g = _groups(F.col(value), name)
-    return lines.filter(F.col(value).rlike(FORMATS[name][0])).select(
-        *lines.columns, F.lit(name).alias("event_source"), error_time(g["time"]).alias("ts"), g["error_module"].alias("error_module"),
-        F.when(g["source_ip"] != "", g["source_ip"]).alias("source_ip"), g["error_message"].alias("error_message"),
+    """Typed columns of the lines that match: UTC time, module or level, address (null if none, without its port), message."""
+    v = F.col(value)
+    found = lines.filter(matches(v, name))
+    if name == "apache_error":
+        lead = F.regexp_extract_all(F.regexp_extract(v, _APACHE_LEAD, 1), F.lit(r"\[([^\]]*)\]"), F.lit(1))
+        client = F.get(F.filter("_lead", lambda x: x.startswith("client ")), F.lit(0))
+        time, module, message = F.get("_lead", F.lit(0)), F.get("_lead", F.lit(1)), F.regexp_extract(v, _APACHE_LEAD, 2)
+        address = F.regexp_replace(F.substring(client, F.lit(8), F.length(client)), r":\d+$", "")
+    else:
+        lead = F.split(F.regexp_extract(v, _NGINX_LEAD, 3), ", (?=(?:client|server|request|upstream|host|referrer): )")
+        client = F.get(F.filter("_lead", lambda x: x.startswith("client: ")), F.lit(0))
+        time, module, message = F.regexp_extract(v, _NGINX_LEAD, 1), F.regexp_extract(v, _NGINX_LEAD, 2), F.get("_lead", F.lit(0))
+        address = F.substring(client, F.lit(9), F.length(client))
+    return found.select(*lines.columns, lead.alias("_lead")).select(
+        *lines.columns, F.lit(name).alias("event_source"), error_time(time).alias("ts"), module.alias("error_module"), F.nullif(address, F.lit("")).alias("source_ip"), message.alias("error_message"),
     )
 
 
 def reject_rows(lines: DataFrame, name: str, value: str = "value") -> DataFrame:
     """Lines that aren't blank and don't match."""
-    return lines.filter((F.trim(value) != "") & ~F.col(value).rlike(FORMATS[name][0]))
+    return lines.filter((F.trim(value) != "") & ~matches(F.col(value), name))
 
 
 def split_uri(df: DataFrame, raw: str = "raw_uri", most: int = 5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilog.operators.aggregates import exact_percentile
 from vigilog.functions import web
 
 SECOND = 1_000_000
@@ -95,7 +96,7 @@ def adaptive_gap(df: DataFrame, time: str, user_gap_seconds: float = 600, floor_
     inner = b.select((F.col("t") - F.lag("t").over(Window.partitionBy("b").orderBy("t"))).alias("d"))
     ends = b.groupBy("b").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     between = ends.select((F.col("lo") - F.lag("hi").over(Window.orderBy("b"))).alias("d"))
-    p95 = inner.union(between).filter("d is not null").agg(F.percentile("d", F.lit(0.95)).alias("p95"))
+    p95 = exact_percentile(inner.union(between), "d", 0.95, "p95")
     gap = F.least(F.greatest(F.col("p95") * factor / SECOND, F.lit(float(floor_seconds))), F.lit(float(user_gap_seconds)))
     return p95.select(F.coalesce(gap, F.lit(float(user_gap_seconds))).alias("gap_seconds"))
 

@@ -16,6 +16,8 @@ from vigilog.plans.join_queries import _SCORES, _SESSION, sequence, statistical
 from vigilog.plans.registry import query
 from vigilog.plans.signature_queries import PLANTED, planted
 from vigilog.plans.window_queries import _GAPS, _RUNS, web_runs, web_sessions
+from vigilog.sources import writers
+from vigilog.sources.storage import shared_path
 
 _DAY = 86_400_000_000
 _FLAGGED = f"""{_NORMAL}, masked AS (SELECT *, {_NUMBER} AS m, {_LOLBIN} AS is_lolbin, {_ADMIN} AS is_admin, EventID IN (4656, 4660, 4663, 5140, 5145) AS carries FROM norm)"""
@@ -70,8 +72,17 @@ def a3_host_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_HOSTS}, q AS (SELECT quantile_cont(risk_score, 0.9) AS q FROM risky)
 SELECT flow_id, flows.source_ip, bytes, total_flows, round(risk_score, 6) AS risk_score, CASE WHEN risk_score >= q THEN 1 ELSE 0 END AS apt_flag FROM flows JOIN risky USING (source_ip), q WHERE score < 0""")
 def s11_anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = flows.anomaly_report(adapter(spark, sf_dir, "flows"), flows.host_risk_score(hosts(spark, sf_dir)))
-    return report.select("flow_id", "flow.source_ip", "flow.bytes", "host.total_flows", "host.risk_score", "host.apt_flag")
+    """The report as it is written and read back."""
+    report, path = flows.anomaly_report(adapter(spark, sf_dir, "flows"), flows.host_risk_score(hosts(spark, sf_dir))), shared_path(spark, "report")
+    writers.write_report(report, path)
+    return spark.read.schema(report.schema).json(path).select("flow_id", "flow.source_ip", "flow.bytes", "host.total_flows", "host.risk_score", "host.apt_flag")
+
+
+@query(f"""{_HOSTS}, q AS (SELECT quantile_cont(risk_score, 0.9) AS q FROM risky)
+SELECT (SELECT count(*) FROM flows) AS total_flows, (SELECT count(*) FROM flows WHERE score < 0) AS anomalous_flows, count(*) AS hosts, count(*) FILTER (hosts.anomaly_flows > 0) AS anomalous_hosts, count(*) FILTER (risk_score >= q) AS flagged_hosts
+FROM hosts JOIN risky USING (source_ip), q""")
+def s11_report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.report_metadata(adapter(spark, sf_dir, "flows"), flows.host_risk_score(hosts(spark, sf_dir)))
 
 
 _EXT = "CASE WHEN contains(uri_path, '.') THEN '.' || lower(split_part(uri_path, '.', -1)) ELSE '' END"

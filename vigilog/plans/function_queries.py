@@ -172,6 +172,22 @@ def p20_owasp_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("c.apt_phase").alias("apt_phase"), F.col("c.confidence").cast("double").alias("confidence"))
 
 
+#: Requests and the state of each: source, method, status, path, query.
+_STATES = (
+    ("apache_error_stderr", "GET", 200, "/", "", "UNHANDLED_STDERR"), ("apache_error", "GET", 200, "/", "", "SERVER_INTERNAL_ERROR"), ("combined_access", "GET", 404, "/login", "", "CLIENT_ERR"), ("combined_access", "GET", 503, "/a", "", "SERVER_ERR"),
+    ("combined_access", "POST", 200, "/wp-login.php", "", "AUTH_ACTION"), ("combined_access", "GET", 200, "/Admin/x.png", "", "ADMIN_ACTION"), ("combined_access", "GET", 304, "/img/a.PNG", "v=1", "STATIC_ASSET"), ("combined_access", "GET", 200, "/dump.sql", "", "SENSITIVE_FILE_ACCESS"),
+    ("combined_access", "PUT", 201, "/form", "a=1", "FORM_SUBMISSION"), ("combined_access", "GET", 200, "/find", "q=1", "DYNAMIC_QUERY"), ("combined_access", "GET", 200, "/find", "-", "GENERIC_GET"), ("combined_access", "GET", None, None, None, "GENERIC_GET"),
+)
+
+
+@query(f"SELECT event_id, list_extract([{', '.join(repr(x[-1]) for x in _STATES)}], CAST(event_id % {len(_STATES)} + 1 AS INT)) AS state FROM events")
+def p21_navigation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eleven states, each from the first test that holds."""
+    pick = lambda k, kind: F.element_at(F.array(*(F.lit(x[k]).cast(kind) for x in _STATES)), (F.col("event_id") % len(_STATES) + 1).cast("int"))
+    state = web.navigation_state(pick(0, "string"), pick(1, "string"), pick(2, "int"), pick(3, "string"), pick(4, "string"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", state.alias("state"))
+
+
 @query(f"{cte('flows')} SELECT flow_id, CASE WHEN label IS NULL THEN NULL WHEN upper(trim(label)) <> 'NORMAL' THEN 1 ELSE 0 END AS y_true FROM flows")
 def p23_binarize_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter(spark, sf_dir, "flows").select("flow_id", common.binary_label(F.col("label")).alias("y_true"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ _FLOW = ["byte_ratio", "packet_ratio", "bytes_per_packet", "connection_intensity
 
 def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flows.flow_ratio_features(adapter(spark, sf_dir, "flows"))
-    return df.drop("score").withColumn("score", forest.score_column(forest.fit(df, _FLOW, n_trees=100)))
+    return df.drop("score").withColumn("score", forest.score_column(forest.fit(df, _FLOW, n_trees=100, id_cols=("flow_id",))))
 
 
 @query()
@@ -43,10 +45,13 @@ def m3_tail_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BEHAVIOUR = ["total_requests", "req_per_min", "error_404_rate", "error_50x_rate", "post_rate", "unique_path_ratio", "static_asset_ratio", "avg_payload_bytes"]
 
 
+_SESSION_ID = ("source_ip", "session_seq")
+
+
 @query()
 def m4_statistical_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sessions.session_features(web_sessions(spark, sf_dir), _SESSION)
-    scored = df.withColumn("forest", forest.score_column(forest.fit(df, _BEHAVIOUR))).withColumn("one_class", one_class.score_column(one_class.fit(df, _BEHAVIOUR)))
+    scored = df.withColumn("forest", forest.score_column(forest.fit(df, _BEHAVIOUR, id_cols=_SESSION_ID))).withColumn("one_class", one_class.score_column(one_class.fit(df, _BEHAVIOUR, id_cols=_SESSION_ID)))
     return one_class.ensemble_score(scored, scored).select("source_ip", "session_seq", "statistical_threat_score")
 
 
@@ -54,25 +59,31 @@ def _labelled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests_with_features(spark, sf_dir).withColumn("label", (F.col("body") != "").cast("int"))
 
 
+#: Folds of the request detector: no row is scored by a model that has seen it.
+_FOLDS = 5
+
+
 @query()
 def m7_two_stage_http_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on rows by hash, scored on the others: training rows are never scored."""
-    df = _labelled_requests(spark, sf_dir)
-    held = F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0
-    first, model = supervised.fit_two_stage(df.filter(~held), _FEATURES, n_trees=30, depth=8, forest_trees=50)
-    return supervised.score_two_stage(df.filter(held), first, model).select("page_id", "label", "score")
+    """All rows, each scored by the model that was trained on the other folds."""
+    df = _labelled_requests(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("page_id"), F.lit(_FOLDS)))
+    scored = []
+    for fold in range(_FOLDS):
+        first, model = supervised.fit_two_stage(df.filter(F.col("fold") != fold), _FEATURES, n_trees=60, depth=12, forest_trees=50, id_cols=("page_id",))
+        scored.append(supervised.score_two_stage(df.filter(F.col("fold") == fold), first, model).select("page_id", "label", "score"))
+    return reduce(DataFrame.union, scored)
 
 
 @query()
 def m8_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervised.feature_importance(spark, *supervised.fit_two_stage(_labelled_requests(spark, sf_dir), _FEATURES, n_trees=30, depth=8, forest_trees=50))
+    return supervised.feature_importance(spark, *supervised.fit_two_stage(_labelled_requests(spark, sf_dir), _FEATURES, n_trees=60, depth=12, forest_trees=50, id_cols=("page_id",)))
 
 
 @query()
 def m9_phishing_text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     train = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
-    return supervised.score_phishing(docs, supervised.fit_phishing(train, vocabulary=2048)).select("doc_id", "phishing_percent", "is_suspicious")
+    return supervised.score_phishing(docs, supervised.fit_phishing(train)).select("doc_id", "phishing_percent", "is_suspicious")
 
 
 @query(f"""{cte("auth")}, k AS (SELECT DISTINCT "user" FROM auth WHERE us < 1704200000000000 AND "user" IS NOT NULL)
@@ -98,5 +109,5 @@ def s13_model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilog.sources.storage import shared_path
 
     df, path = flows.flow_ratio_features(adapter(spark, sf_dir, "flows")), shared_path(spark, "forest")
-    forest.save(forest.fit_table(df, _FLOW, n_trees=20), path)
+    forest.save(forest.fit_table(df, _FLOW, n_trees=20, id_cols=("flow_id",)), path)
     return df.drop("score").withColumn("score", forest.score_column(forest.load(spark, path, _FLOW))).select("flow_id", "score")

@@ -55,15 +55,34 @@ def p3_parse_error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_error_log(lines).select("event_id", "source_ip", F.unix_seconds("ts").alias("seconds"), "error_module", "error_message")
 
 
+@query(f"""{cte("web")} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE source_ip END AS source_ip, us // 1000000 AS seconds, 'error' AS error_module, 'failure ' || CAST(event_id % 3 AS STRING) AS error_message FROM web WHERE event_source = 'apache_error'""")
+def p3_parse_nginx_error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = adapter(spark, sf_dir, "web").filter("event_source = 'apache_error'")
+    client = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(", client: "), "source_ip", F.lit(', server: shop, request: "GET /, x HTTP/1.1"')))
+    lines = df.select("event_id", F.concat(_time("yyyy/MM/dd HH:mm:ss"), F.lit(" [error] 7#9: *3 "), "error_message", client).alias("value"))
+    return parse.parse_error_log(lines, "nginx_error").select("event_id", "source_ip", F.unix_seconds("ts").alias("seconds"), "error_module", "error_message")
+
+
+@query(f"SELECT event_id, list_extract(['{"', '".join(parse.FORMATS)}', NULL], CAST(event_id % 6 + 1 AS INT)) AS format FROM events")
+def p1_detect_each_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a file of two lines in one of the five formats, or none."""
+    access = '10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] "GET /a HTTP/1.1" 200 5'
+    both = (f'shop:443 {access} "-" "M \\"x\\""', f'{access} "-" "M"', access, "[Mon Jan 01 00:00:00 2024] [core:error] [client 10.0.0.1:80] gone", "2024/01/01 00:00:00 [error] 1#2: *3 gone, client: 10.0.0.1", "nothing known")
+    line = F.element_at(F.array(*map(F.lit, both)), (F.col("event_id") % 6 + 1).cast("int"))
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("source_file"), line.alias("value"), F.explode(F.array(F.lit(1), F.lit(2))).alias("line_no"))
+    return parse.detect_log_format(files).select(F.col("source_file").alias("event_id"), "format")
+
+
 @query(f"{_ACCESS} SELECT event_id, uri_path, uri_query, 0 AS decode_depth, false AS is_evasion_attempt FROM a WHERE kind = 'good'")
 def p4_split_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parse.split_uri(parse.parse_access_log(access_lines(spark, sf_dir).select("event_id", "value")))
     return df.select("event_id", "uri_path", "uri_query", "decode_depth", "is_evasion_attempt")
 
 
-@query()
+@query(f"""{cte("web")} SELECT event_id, uri_path || '/' || CASE event_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN '%41' ELSE '%' || repeat('25', CAST(event_id % 5 - 1 AS INT)) || '41' END AS uri_path, 'q=a+b%zz' AS uri_query,
+CAST(event_id % 5 + 1 AS INT) AS decode_depth, event_id % 5 >= 2 AS is_evasion_attempt FROM web WHERE uri_path IS NOT NULL""")
 def p4_split_encoded_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with paths that are encoded up to four times, which SQL can't decode."""
+    """The same with paths that are encoded up to five times; plus signs and percent signs without digits stay."""
     df = adapter(spark, sf_dir, "web").filter("uri_path is not null")
     percent = F.col("event_id") % 5
     raw = F.concat("uri_path", F.lit("/%"), F.repeat(F.lit("25"), percent.cast("int")), F.lit("41?q=a+b%zz"))

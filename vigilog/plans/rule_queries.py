@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigilog.operators import rules
 from vigilog.plans.adapters import adapter, cte
-from vigilog.plans.registry import query
+from vigilog.plans.registry import ORACLE, query
 
 _FAIL = "(contains(action, 'Disconnected') OR contains(action, 'auth failed'))"
 _DAY = 86_400
@@ -77,6 +77,9 @@ def r8_first_time_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.new_ip(adapter(spark, sf_dir, "mail"))
 
 
-@query()
+_PARTS = [f"r{i}_{x}" for i, x in enumerate(("brute_force", "password_spraying", "off_hours_login", "smtp_enumeration", "relay_attempt", "mass_outbound", "impossible_travel", "first_time_ip"), 1)]
+
+
+@query(" UNION ALL ".join(f"SELECT alert_type, severity, source_ip, target_user, us, event_id FROM ({ORACLE[x]})" for x in _PARTS))
 def r9_run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.run_rules(adapter(spark, sf_dir, "mail"), (3, 2 * _DAY), 5, (4, 3 * _DAY), (3, 4 * _DAY), 50)

@@ -32,11 +32,17 @@ def s2_read_windows_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("TaskName").cast("bigint").alias("event_id"), "EventID", F.unix_seconds("TimeCreated").alias("seconds"), "SubjectUserName", "ObjectName")
 
 
-@query(f"""{cte("windows")} SELECT event_id, EventID AS "EventID", "SubjectUserName" FROM windows""")
+@query(f"""{cte("windows")} SELECT encoding, event_id, EventID AS "EventID", "SubjectUserName" || ' Jos\u00e9' AS "SubjectUserName" FROM windows, (SELECT unnest(['UTF-8', 'UTF-16', 'ISO-8859-1']) AS encoding)""")
 def s4_read_windows_events_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, df = shared_path(spark, "csv"), adapter(spark, sf_dir, "windows")
-    df.select(F.col("EventID").alias("EVENT ID"), F.col("SubjectUserName").alias("Account Name"), F.col("event_id").alias("number ")).write.option("header", True).csv(path)
-    return readers.read_windows_events_csv(spark, path).select(F.col("number").cast("bigint").alias("event_id"), F.col("EventID").cast("int").alias("EventID"), "SubjectUserName")
+    """The events as exports in three encodings, which the reader finds out."""
+    df, found = adapter(spark, sf_dir, "windows"), []
+    for encoding in readers.CSV_ENCODINGS:
+        path = shared_path(spark, "csv")
+        user = F.concat("SubjectUserName", F.lit(" Jos\u00e9"))
+        df.select(F.col("EventID").alias("EVENT ID"), user.alias("Account Name"), F.col("event_id").alias("number ")).coalesce(1).write.option("header", True).option("encoding", encoding).csv(path)
+        read = readers.read_windows_events_csv(spark, path)
+        found.append(read.select(F.lit(encoding).alias("encoding"), F.col("number").cast("bigint").alias("event_id"), F.col("EventID").cast("int").alias("EventID"), "SubjectUserName"))
+    return found[0].union(found[1]).union(found[2])
 
 
 @query(f"""{cte("flows")} SELECT flow_id, CASE WHEN flow_id % 5 = 0 THEN 0.0 ELSE CAST(bytes AS DOUBLE) END AS bytes, CAST(packets AS DOUBLE) AS packets FROM flows""")
@@ -72,10 +78,26 @@ def s8_read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_labels(spark, path).select("line", F.get("labels", 0).alias("label"))
 
 
-@query("""SELECT doc_id, md5(text) AS content_hash, doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_duplicate FROM documents""")
+@query("""SELECT doc_id, md5(text) AS content_hash, doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_duplicate, CAST(NULL AS STRING) AS format, doc_id * 1000 AS first_us, doc_id * 1000 + 7 AS last_us FROM documents
+UNION ALL SELECT -1, md5(l), false, 'common_access', NULL, NULL FROM (SELECT '10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] "GET /a HTTP/1.1" 200 5' || chr(10) AS l)""")
 def s9_ingest_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.format_string("%012d", "doc_id").alias("path"), F.octet_length("text").cast("bigint").alias("length"), F.col("text").cast("binary").alias("content"))
-    return readers.ingest_catalog(files).select(F.col("path").cast("bigint").alias("doc_id"), "content_hash", "is_duplicate")
+    """The documents as files, with the times of two events each, and one file of an access log."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    log = spark.range(1).select(F.lit(-1).cast("bigint").alias("doc_id"), F.lit('10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] "GET /a HTTP/1.1" 200 5\n').alias("text"))
+    files = docs.select("doc_id", "text").union(log).select(F.format_string("%012d", "doc_id").alias("path"), F.octet_length("text").cast("bigint").alias("length"), F.col("text").cast("binary").alias("content"))
+    events = docs.select(F.format_string("%012d", "doc_id").alias("source_file"), F.explode(F.array(F.col("doc_id") * 1000, F.col("doc_id") * 1000 + 7)).alias("us"))
+    return readers.ingest_catalog(files, events).select(F.col("path").cast("bigint").alias("doc_id"), "content_hash", "is_duplicate", "format", "first_us", "last_us")
+
+
+@query(f"""{cte("web")} SELECT kind, event_id, source_ip FROM web, (SELECT unnest(['json', 'csv']) AS kind)""")
+def s10_write_event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines and as CSV, read back."""
+    found = []
+    for kind in ("json", "csv"):
+        path = shared_path(spark, "texts")
+        writers.write_events(adapter(spark, sf_dir, "web").select("event_id", "source_ip"), path, kind=kind)
+        found.append(spark.read.format(kind).option("header", True).schema("event_id long, source_ip string").load(path).select(F.lit(kind).alias("kind"), "event_id", "source_ip"))
+    return found[0].union(found[1])
 
 
 @query(f"""{cte("web")} SELECT event_id, source_ip, CAST(CAST(ts AS DATE) AS STRING) AS date FROM web""")

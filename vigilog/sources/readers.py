@@ -59,10 +59,26 @@ def read_windows_events_json(spark: SparkSession, path: str, multi_line: bool =
 CSV_SYNONYMS = {"EventID": ("eventid", "event id", "id", "event_id"), "TimeCreated": ("timecreated", "time created", "date and time", "timestamp", "timegenerated"), "SubjectUserName": ("subjectusername", "user", "username", "account name"), "Message": ("message", "description")}
 
 
-def read_windows_events_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Columns of CSV exports under their standard names; headers are matched by synonym in any case and others kept."""
-    df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(path)
-    by_name = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
+#: Encodings that exports have, in the order in which they are tried.
+CSV_ENCODINGS = ("UTF-8", "UTF-16", "ISO-8859-1")
+#: Lines whose bytes decide about an encoding.
+ENCODING_LINES = 100
+
+
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    """The first of CSV_ENCODINGS that the first lines' bytes can be: without NUL and valid UTF-8, with NUL UTF-16, else the last."""
+    head = spark.read.text(path).limit(ENCODING_LINES)
+    nul, bad = head.agg(F.count_if(F.instr("value", "\0") > 0), F.count_if(~F.is_valid_utf8("value"))).first()
+    return CSV_ENCODINGS[1] if nul else CSV_ENCODINGS[2] if bad else CSV_ENCODINGS[0]
+
+
+def read_windows_events_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Columns of CSV exports under their standard names; headers are matched by synonym in any case and others kept.
+
+    Without an encoding those of CSV_ENCODINGS are tried in turn on the first lines.
+    """
+    df = spark.read.option("header", True).option("encoding", encoding or csv_encoding(spark, path)).option("multiLine", True).csv(path)
+    by_name = {c.strip().lstrip("\ufeff").lower(): c for c in df.columns}
     chosen = {by_name[s]: standard for standard, names in CSV_SYNONYMS.items() for s in reversed(names) if s in by_name}
     known = {f.lower(): f for f in FIELDS}
     return df.toDF(*(chosen.get(c) or known.get(c.strip().lower(), c.strip()) for c in df.columns))
@@ -118,10 +134,19 @@ def read_labels(spark: SparkSession, path: str, keep_empty: bool = False) -> Dat
 
 
 def ingest_catalog(files: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """(path, length, content_hash, is_duplicate[, first_us, last_us]) of binary files: of equal contents the first path is no duplicate."""
+    """(path, length, content_hash, is_duplicate, format[, first_us, last_us]) of binary files: of equal contents the first path is no duplicate.
+
+    The format is that of a file's first lines (see detect_log_format), null if they are of none. events, if there are any, give
+    the first and last time of each file.
+    """
+    from vigilog.operators.parse import SAMPLE_LINES, detect_log_format
+
     hashed = files.select("path", "length", F.md5("content").alias("content_hash"))
     first = hashed.groupBy("content_hash").agg(F.min("path").alias("_first"))
     found = hashed.join(first, "content_hash").withColumn("is_duplicate", F.col("path") != F.col("_first")).drop("_first")
+    head = F.slice(F.split(F.col("content").cast("string"), "\n", SAMPLE_LINES + 1), 1, SAMPLE_LINES)
+    lines = files.select(F.col("path").alias("source_file"), F.posexplode(head).alias("line_no", "value")).withColumn("line_no", F.col("line_no") + 1)
+    found = found.join(detect_log_format(lines).withColumnRenamed("source_file", "path"), "path", "left")
     if events is None:
         return found
     spans = events.groupBy(F.col("source_file").alias("path")).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place under spark.checkpoint.dir, or under a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/vigilog"
+    """A new place under spark.checkpoint.dir; only a local master, as in tests, may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/vigilog"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -66,11 +66,19 @@ def stateless_alerts(events: DataFrame) -> DataFrame:
     return off_hours_login(events).unionByName(relay_attempt(events))
 
 
-def login_alerts(events: DataFrame, limit_kmh: float = 1000, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Impossible travel and first-time addresses over a stream: a user's last place and known addresses are its state."""
+def login_alerts(events: DataFrame, limit_kmh: float = 1000, ts: str = "ts", late: str = "10 minutes", forget_days: float = 180) -> DataFrame:
+    """Impossible travel and first-time addresses over a stream: a user's last place and known addresses are its state.
+
+    The state goes when the user hasn't logged in for forget_days of event time; the next login is a first one again.
+    """
+    keep_ms = int(forget_days * 86_400_000)
     logins = logins_of(events).withWatermark(ts, late).select(F.col("user").alias("k"), "ip", "lat", "lon", "us", "event_id", ts)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=ALERT_COLUMNS)
+            return
         known, last = (list(state.get[0]), tuple(state.get[1:])) if state.exists else ([], (None, None, None, None))
         seen, rows, out = set(known), pd.concat(list(batches)).sort_values(["us", "event_id"]), []
         for r in rows.itertuples():
@@ -87,9 +95,10 @@ def login_alerts(events: DataFrame, limit_kmh: float = 1000, ts: str = "ts", lat
                         out.append(("Impossible Travel", "CRITICAL", r.ip, k[0], r.us, r.event_id))
                 last = (r.ip, float(r.lat), float(r.lon), int(r.us))
         state.update((list(seen), *last))
+        state.setTimeoutTimestamp(max(int(rows["us"].iloc[-1]) // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=ALERT_COLUMNS)
 
-    return logins.groupBy("k").applyInPandasWithState(run, _ALERT, "known array<string>, ip string, lat double, lon double, us long", "append", GroupStateTimeout.NoTimeout)
+    return logins.groupBy("k").applyInPandasWithState(run, _ALERT, "known array<string>, ip string, lat double, lon double, us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gap_session_stream(events: DataFrame, key: str, ts: str = "ts", gap: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
