@@ -306,3 +306,25 @@ def test_stages_keep_the_columns(spark, docs, nothing, tmp_path):
             assert out.columns == rows.columns, name
             assert (out.count() == 0) == (rows is nothing), name
     assert corpus_pipeline.encode(spark, docs, "").count() == len(ROWS)
+
+
+OWN = ("score", "predicted", "kept", "size", "target", "taken", "epochs", "keep_id", "group_size", "source_size", "_sha", "_prefix", "_length", "_key", "_source", "_id", "_s", "_rows", "row", "id", "key", "sha", "length", "prefix", "component_id", "node", "document", "epoch", "own", "range")
+
+
+def test_values_of_clashing_columns_stay(spark, tmp_path):
+    """Every stage and operator leaves the document's own columns as they are, whatever their names are."""
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i, f"{PROSE} {i % 3}" if i < 6 else OTHER, "en", f"s{i % 2}", i, *(f"{c}-{i}" for c in OWN)) for i in range(1, 9)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in OWN))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns, name
+        found = out.collect()
+        assert found and all(tuple(r) == rows[r["doc_id"] - 1] for r in found), name
+    ours = {"keep_id", "group_size", "kept"}
+    for r in mark_exact_duplicates(wide).collect():
+        assert all(r[c] == f"{c}-{r['doc_id']}" for c in OWN if c not in ours)
+    ours = {"size", "source_size", "target", "epochs", "taken"}
+    for r in mix_sources(wide).collect():
+        assert all(r[c] == f"{c}-{r['doc_id']}" for c in OWN if c not in ours)
+    assert near_duplicates(wide).count() == remove_repeats(wide).count() == remove_passages(wide).count() == judge_quality(wide).count() == scan_licenses(wide).count() == len(rows)

@@ -29,3 +29,51 @@ def test_added_tokens_are_encoded_as_in_whole_texts():
     for text, ids in zip(texts, coder.encode(texts)):
         assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
     assert next(coder.encode(texts[:1])).dtype == np.uint32
+
+
+def test_classifier_on_documents_it_has_not_seen():
+    """Held-out labels of the given documents: ranking, verdicts and the estimated prior."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    from vigilog.llm.common import encoded
+    from vigilog.llm.pu_classifier import PREDICT_AT, features, fit
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    labels = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas().drop_duplicates("doc_id").set_index("doc_id")["quality"]
+    label = docs["doc_id"].map(labels)
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in docs["doc_id"]])
+    row = lambda which: features(encoded(docs["text"][which])).astype(np.float16)
+    model = fit(row(~held & (label == 1)), row(np.flatnonzero(~held)[::2]))
+    share = (label[~held] == 1).sum() / label[~held].notna().sum()
+    assert abs(model.prior - share) < 0.04
+    seen = held & label.notna()
+    score, good = model.score(row(seen)), label[seen].to_numpy() == 1
+    assert np.subtract.outer(score[good], score[~good]).__gt__(0).mean() > 0.97 and ((score >= PREDICT_AT) == good).mean() > 0.95
+
+
+def test_the_pipeline_from_end_to_end(spark, tmp_path):
+    """Three small corpora: no two documents of the result are the same or near, every kept text is encoded whole, sources are near their targets."""
+    import corpus_pipeline
+    import sentencepiece
+    from vigilog.llm.mixing import mix_sources
+
+    decoder = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        prose = lambda n: " ".join(f"{w} said." if k % 9 == 8 else w for k, w in enumerate(rng.choice([f"word{x}" for x in "abcdefghijklmnopqrstuvwxyz"], n)))
+        base = [prose(int(rng.integers(60, 200))) for _ in range(40)]
+        texts = base + base[:10] + [f"{t} tail" for t in base[10:15]] + [None, ""]
+        folder = tmp_path / str(seed)
+        docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        found = corpus_pipeline.run(spark, str(folder)).collect()
+        distinct = {r["doc_id"] for r in found}
+        kept = [texts[i] or "" for i in distinct]
+        assert len(set(kept)) == len(kept) and not {texts[i] for i in range(10, 15) if i in distinct} & {texts[i - 40][: -len(" tail")] for i in distinct if 50 <= i < 55}
+        for r in found:
+            assert decoder.decode([int(x) for x in r["ids"]]) == (texts[r["doc_id"]] or "") and r["n_pieces"] == len(r["ids"])
+        left = docs.filter(docs["doc_id"].isin([*distinct]))
+        assert found and left.count() == len(distinct) and mix_sources(left).count() == len(distinct)
