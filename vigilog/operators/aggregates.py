@@ -110,7 +110,8 @@ def exact_percentile(df: DataFrame, column: str, share: float, name: str = "perc
     x = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
     margin = 3 / SKETCH_ACCURACY
     ends = [F.percentile_approx("x", F.lit(min(max(share + d, 0.0), 1.0)), F.lit(SKETCH_ACCURACY)) for d in (-margin, margin)]
-    bracket = x.agg(ends[0].alias("lo"), ends[1].alias("hi"))
+    few = F.count("*") * F.lit(margin) < 4  # then neighbours may lie outside, and all rows are few
+    bracket = x.agg(F.when(few, F.min("x")).otherwise(ends[0]).alias("lo"), F.when(few, F.max("x")).otherwise(ends[1]).alias("hi"))
     near = x.crossJoin(F.broadcast(bracket))
     place = near.agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("lo")).alias("below")).select("below", ((F.col("n") - 1) * F.lit(share)).alias("place"))
     within = near.filter("x between lo and hi").groupBy("x").agg(F.count("*").alias("m"))
