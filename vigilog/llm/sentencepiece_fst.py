@@ -204,7 +204,7 @@ class Transducer:
             out.append((float(best[k, len(unit)]), path[::-1]))
         return out
 
-    def _unit_paths(self, raw: list[bytes]) -> list[np.ndarray]:
+    def _unit_paths(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         units = [x.decode().replace(" ", SPACE) for x in raw]
         out: list[np.ndarray] = [None] * len(units)
         by_size = sorted(range(len(units)), key=lambda k: len(units[k]))
@@ -218,7 +218,7 @@ class Transducer:
             for k, (_, ids) in zip(by_size[begin:end], self.shortest_paths([units[k] for k in by_size[begin:end]])):
                 out[k] = np.array(ids, np.uint32)
             begin = end
-        return out
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each whole text in turn."""

@@ -24,7 +24,7 @@ END_ID = 0
 #: Ids after which a shard is closed; a document is never divided.
 SHARD_TOKENS = 1 << 22
 #: Units after which a worker's cache of encoded units of text starts anew.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 2_000_000
 MAGIC = b"WVM2"
 #: Bytes of a plane that are compressed together: what a look at one bit unpacks.
 BLOCK_BYTES = 1 << 13
@@ -45,8 +45,9 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, levels: int | None = None) -> WaveletMatrix:
         levels = levels or max(1, int(ids.max(initial=0)).bit_length())
         planes, zeros = [], []
+        ids = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         for level in range(levels - 1, -1, -1):
-            bits = (ids >> level & 1).astype(bool)
+            bits = (ids & ids.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(bits, bitorder="little"))
             low = ids[~bits]
             zeros.append(len(low))
@@ -125,14 +126,15 @@ class WaveletMatrix:
         return np.concatenate([np.zeros(0, np.uint8), *(self.block(level, k) for k in range(self.ones.shape[1] - 1))])
 
     def decode(self) -> np.ndarray:
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            bits = np.unpackbits(self.plane(level), count=self.n, bitorder="little").astype(bool)
-            back = np.empty(self.n, np.uint32)
+            bits = np.unpackbits(self.plane(level), count=self.n, bitorder="little").view(bool)
+            back = np.empty(self.n, kind)
             back[~bits] = ids[: self.zeros[level]]
-            back[bits] = ids[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            back[bits] = ids[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             ids = back
-        return ids
+        return ids.astype(np.uint32)
 
 
 def pack_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
@@ -197,11 +199,28 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = UnitCache(lambda units: self._encode([x.decode() for x in units]), CACHE_UNITS)
+        self._feed = self._encode(["\n"])[0]
+        self.cache = UnitCache(self._encode_units, CACHE_UNITS)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after the other, and how many each has; units of words go as lines of one text, which the pattern divides at each end."""
+        out: list[np.ndarray] = [None] * len(units)
+        lines = [i for i, x in enumerate(units) if len(self._feed) == 1 and x[-1] not in b" \t\n\x0b\x0c\r"]
+        for k in range(0, len(lines), 4096):
+            part = lines[k : k + 4096]
+            ids = self._encode([b"\n".join(units[i] for i in part).decode()])[0]
+            cuts = np.flatnonzero(ids == self._feed[0])
+            if len(cuts) == len(part) - 1:
+                for i, b, e in zip(part, np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()):
+                    out[i] = ids[b:e]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._encode([units[i].decode() for i in rest])):
+            out[i] = ids
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
     def _is_odd(self, text: str) -> bool:
         return any(x in text for x in self._added) or not text.isascii() and bool(self._odd.search(text)) or any(x in text for x in "\x1c\x1d\x1e\x1f")
 

@@ -75,29 +75,54 @@ def piece_edges(data: np.ndarray, starts: np.ndarray, divide_letters: bool) -> n
 
 
 class UnitCache:
-    """Ids of units, encoded once each; a bounded number of units is remembered, by 64-bit hashes."""
+    """Ids of units, encoded once each; a bounded number of units is remembered, by 64-bit hashes.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], most: int):
+    encode gives the ids of many units, one after the other, and how many each has. Hashes are looked up all at once in an
+    open-addressed table that is never more than half full.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.count, self.used = 0, 0
+        self.mask = (1 << (2 * self.most - 1).bit_length()) - 1
+        self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint32)
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, hashes: list[int], found: list[np.ndarray]) -> None:
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where it isn't known. No hash is 0."""
+        out = np.full(len(hashes), -1, np.int64)
+        rows, at = np.arange(len(hashes)), (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(rows):
+            key = self.keys[at]
+            hit = key == hashes[rows]
+            out[rows[hit]] = self.slots[at[hit]]
+            on = ~hit & (key != 0)
+            rows, at = rows[on], (at[on] + 1) & self.mask
+        return out
+
+    def _add(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.r_[self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)]
-        self.ids[self.used : self.used + len(flat)] = flat
-        n, more = len(self.known), len(found)
+        n, more = self.count, len(hashes)
         if n + more > len(self.size):
             self.begin, self.size = (np.r_[x[:n], np.zeros(n + 2 * more, np.int64)] for x in (self.begin, self.size))
-        self.size[n : n + more] = [len(x) for x in found]
-        self.begin[n : n + more] = self.used + np.cumsum(self.size[n : n + more]) - self.size[n : n + more]
-        self.known.update(zip(hashes, range(n, n + more)))
-        self.used += len(flat)
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.size[n : n + more] = sizes
+        self.begin[n : n + more] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.count = self.used + len(flat), n + more
+        rows, at = np.arange(more), (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(rows):
+            free = np.flatnonzero(self.keys[at] == 0)
+            place, first = np.unique(at[free], return_index=True)
+            done = rows[free[first]]
+            self.keys[place], self.slots[place] = hashes[done], n + done
+            left = np.ones(len(rows), bool)
+            left[free[first]] = False
+            rows, at = rows[left], (at[left] + 1) & self.mask
 
     def __call__(self, joined: bytes, starts: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
@@ -105,16 +130,17 @@ class UnitCache:
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(starts) - 1, np.int64)
         end = np.r_[begin[1:], len(joined)]
-        hashes, at, which = np.unique(span_hashes(joined, begin, end), return_index=True, return_inverse=True)
-        names = hashes.tolist()
-        missing = [i for i, x in enumerate(names) if x not in self.known]
-        if missing and len(self.known) + len(missing) > self.most:
-            self._clear()
-            missing = list(range(len(names)))
-        if missing:
-            units = [joined[begin[at[i]] : end[at[i]]] for i in missing]
-            self._add([names[i] for i in missing], self.encode(units))
-        slot = np.array([self.known[x] for x in names])[which]
+        hashes = np.maximum(span_hashes(joined, begin, end), np.uint64(1))
+        slot = self._find(hashes)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            if self.count + len(new) > self.most:
+                self._clear()
+                new, at = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            self._add(new, *self.encode([joined[begin[i] : end[i]] for i in missing[at]]))
+            slot[missing] = self._find(hashes[missing])
         size = self.size[slot]
         upto = np.cumsum(size)
         place = np.arange(upto[-1]) + np.repeat(self.begin[slot] - upto + size, size)
