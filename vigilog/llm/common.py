@@ -118,8 +118,8 @@ def span_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[slice]:
-    """Slices of whole texts of about `most` bytes together, so that arrays over their bytes stay small."""
+def chunks(texts: list[bytes] | list[str], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of whole texts of about `most` bytes (or characters) together, so that arrays over their bytes stay small."""
     begin = size = 0
     for i, text in enumerate(texts):
         if size and size + len(text) > most:

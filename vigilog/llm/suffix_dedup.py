@@ -24,6 +24,8 @@ SORTED_AT_ONCE = 1 << 18
 #: Documents for each range of hashes that moves as one, and the fewest ranges: a range stays as small at any size of the input.
 RANGE_DOCS = 64
 LEAST_RANGE_BITS = 12
+#: Characters of texts whose strings are put together before they move.
+MET_AT_ONCE = 6 << 20
 #: A gram is hot if it marks so many places, and one in HOT_SHARE of all at least: so no more than HOT_SHARE grams are.
 HOT_PLACES = 4096
 HOT_SHARE = 1 << 20
@@ -381,7 +383,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield ids, key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), at, b, e, raw
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (pdf.iloc[part] for pdf in batches for part in chunks(pdf["text"].tolist(), MET_AT_ONCE)):
             parts, strings, joined = [], [], 0
             for found in _stretches(pdf):
                 for doc, key, c, first, begin, end, raw in split(found):
@@ -396,6 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if not parts:
                 continue
             key, c, doc, first, size, at = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
             # one string for all its places in the batch; what isn't in the batch's first document is a repeat for sure
             order = np.lexsort((c, key))
             key, c, doc, first, size, at = (x[order] for x in (key, c, doc, first, size, at))
