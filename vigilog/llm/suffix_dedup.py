@@ -132,7 +132,7 @@ def unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) ->
     return (*(np.concatenate(p) for p in parts), strings, *((np.concatenate(doc), np.concatenate(first)) if with_strings else ()))
 
 
-def portions(frames: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[pd.DataFrame]:
+def portions(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Frames of whole ranges with about `most` bytes of blocks, to be unpacked together."""
     for pdf in frames:
         ends = np.flatnonzero(np.r_[(pdf["range"].to_numpy()[1:] != pdf["range"].to_numpy()[:-1]), True]) + 1
@@ -188,18 +188,19 @@ def meet_marks(marked: DataFrame) -> DataFrame:
 def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
     """meet_marks of all documents; place is within the text."""
 
+    def marks_of(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        ids, texts = pdf["id"].to_numpy().astype(np.int64), encoded(pdf["text"])
+        found: list[tuple] = []
+        for part in chunks(texts):
+            own = texts[part]
+            text, h, _, _, place, _ = marks(own)
+            at = np.cumsum([0, *(len(t) + 1 for t in own)])
+            found.append((h, ids[part][text], (place - at[text]).astype(np.int32)))
+        return [pack_marks(*(np.concatenate(x) for x in zip(*found)), bits)] if sum(len(x[0]) for x in found) else []
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["id"].notna()]
-            ids, texts = pdf["id"].to_numpy().astype(np.int64), encoded(pdf["text"])
-            found: list[tuple] = []
-            for part in chunks(texts):
-                own = texts[part]
-                text, h, _, _, place, _ = marks(own)
-                at = np.cumsum([0, *(len(t) + 1 for t in own)])
-                found.append((h, ids[part][text], place - at[text]))
-            if found and sum(len(x[0]) for x in found):
-                yield pack_marks(*(np.concatenate(x) for x in zip(*found)), bits)
+            yield from marks_of(pdf[pdf["id"].notna()])
 
     return meet_marks(docs.mapInPandas(scan, "range long, data binary"))
 
@@ -382,32 +383,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 key, at, b, e, to_mark, ids = _windows(*own, raw) if which else own
                 yield ids, key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), at, b, e, raw
 
+    def met(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        # a function of its own, so that what one portion needs is gone before the next
+        parts, strings, joined = [], [], 0
+        for found in _stretches(pdf):
+            for doc, key, c, first, begin, end, raw in split(found):
+                order = np.lexsort((key, c))
+                new = np.r_[True, (c[order][1:] != c[order][:-1]) | (key[order][1:] != key[order][:-1])]
+                one = order[new]
+                at = np.empty(len(c), np.int64)
+                at[order] = np.cumsum(new) - 1 + joined
+                parts.append((key, c, doc, first.astype(np.int32), (end - begin).astype(np.int32), at))
+                strings += [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
+                joined += len(one)
+        if not parts:
+            return []
+        key, c, doc, first, size, at = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        # one string for all its places in the batch; what isn't in the batch's first document is a repeat for sure
+        order = np.lexsort((c, key))
+        key, c, doc, first, size, at = (x[order] for x in (key, c, doc, first, size, at))
+        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])])
+        low = np.minimum.reduceat(doc, edge)
+        again = doc > np.repeat(low, np.diff(np.r_[edge, len(key)]))
+        repeats = spans_by_document(doc[again], first[again], (first + size)[again], bits).assign(sure=True)
+        count = np.add.reduceat(~again, edge, dtype=np.int32)
+        return [repeats, packed(key[edge], [c[edge], low, count], bits, [strings[i] for i in at[edge]], (doc[~again], first[~again])).assign(sure=False)]
+
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (pdf.iloc[part] for pdf in batches for part in chunks(pdf["text"].tolist(), MET_AT_ONCE)):
-            parts, strings, joined = [], [], 0
-            for found in _stretches(pdf):
-                for doc, key, c, first, begin, end, raw in split(found):
-                    order = np.lexsort((key, c))
-                    new = np.r_[True, (c[order][1:] != c[order][:-1]) | (key[order][1:] != key[order][:-1])]
-                    one = order[new]
-                    at = np.empty(len(c), np.int64)
-                    at[order] = np.cumsum(new) - 1 + joined
-                    parts.append((key, c, doc, first.astype(np.int32), (end - begin).astype(np.int32), at))
-                    strings += [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
-                    joined += len(one)
-            if not parts:
-                continue
-            key, c, doc, first, size, at = (np.concatenate(x) for x in zip(*parts))
-            parts.clear()
-            # one string for all its places in the batch; what isn't in the batch's first document is a repeat for sure
-            order = np.lexsort((c, key))
-            key, c, doc, first, size, at = (x[order] for x in (key, c, doc, first, size, at))
-            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])])
-            low = np.minimum.reduceat(doc, edge)
-            again = doc > np.repeat(low, np.diff(np.r_[edge, len(key)]))
-            yield spans_by_document(doc[again], first[again], (first + size)[again], bits).assign(sure=True)
-            count = np.add.reduceat(~again, edge, dtype=np.int32)
-            yield packed(key[edge], [c[edge], low, count], bits, [strings[i] for i in at[edge]], (doc[~again], first[~again])).assign(sure=False)
+        for pdf in batches:
+            for part in chunks(pdf["text"].tolist(), MET_AT_ONCE):
+                yield from met(pdf.iloc[part])
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gathered: list[tuple] = []
