@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigilog.llm.common import cut, drop_path, read, shared_path
 from vigilog.llm.exact_dedup import mark_exact_duplicates
 from vigilog.llm.licenses import scan_licenses
+from vigilog.llm.line_dedup import drop_repeated_lines
 from vigilog.llm.minhash import near_duplicates
 from vigilog.llm.mixing import mix_sources
 from vigilog.llm.paragraph_dedup import remove_passages
@@ -130,6 +131,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op11_line_dedup"] = r"""
+WITH flat AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  FROM flat),
+often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (often.key IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (often.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
@@ -141,4 +159,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
