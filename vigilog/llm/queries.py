@@ -17,6 +17,7 @@ from vigilog.llm.mixing import mix_sources
 from vigilog.llm.paragraph_dedup import remove_passages
 from vigilog.llm.pu_classifier import classify, held_out, train
 from vigilog.llm.quality_rules import judge_quality
+from vigilog.llm.resampling import resample
 from vigilog.llm.sentencepiece_fst import encode_pieces
 from vigilog.llm.suffix_dedup import remove_repeats
 from vigilog.llm.token_store import read_token_shards, shared_encoder, write_token_shards
@@ -148,6 +149,41 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (often.key IS NOT NULL) AS n
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (often.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id"""
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, read(spark, sf_dir, "benchmark"), columns=["doc_id"])
+
+
+ORACLE["op12_resample"] = r"""
+WITH table_of AS (
+  SELECT list(list_reduce([k] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY k) AS crcs
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS k)),
+worded AS (
+  SELECT doc_id, true AS ours, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT NULL, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+flat AS (SELECT doc_id, ours, unnest(w) AS word FROM worded),
+coded AS (
+  SELECT word, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, strlen(word) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)),
+                                           lambda c, b: xor(c // 256, crcs[1 + xor(c % 256, b)]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM flat), table_of),
+counts AS (
+  SELECT bucket, count(*) FILTER (ours) AS s, count(*) FILTER (NOT ours) AS t FROM flat JOIN coded USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * ((SELECT sum(s) FROM counts) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT sum(t) FROM counts) + 10000)))) AS BIGINT) AS gain
+  FROM counts),
+weighed AS (
+  SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM flat JOIN coded USING (word) JOIN gains USING (bucket) WHERE ours GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weighed ON d.doc_id = weighed.doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS fit
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM ranked"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
@@ -160,4 +196,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_resample": op12_resample,
 }
