@@ -105,15 +105,14 @@ def _share(n: Column | str, total: Column | str, terms: Column | str) -> Column:
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sums of differences of shares over the terms of one slice, for the pairs of sources of two blocks (or of one)."""
     heads, rows = pdf[pdf["head"]].sort_values("no"), pdf[~pdf["head"]]
-    no, least = heads["no"].to_numpy(), heads["p"].to_numpy(np.int64)
+    no, block, least = heads["no"].to_numpy(), heads["block"].to_numpy(), heads["p"].to_numpy(np.int64)
     term = rows.groupby(["digest", "nth"], sort=False).ngroup().to_numpy()
     seen = int(term.max()) + 1 if len(term) else 0
     share = np.tile(least, (seen, 1))
     share[term, np.searchsorted(no, rows["no"].to_numpy())] = rows["p"].to_numpy(np.int64)
-    a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-    right = np.flatnonzero(no // BLOCK_SOURCES == b)
+    right = np.flatnonzero(block == pdf["b"].iloc[0])
     out = []
-    for g in np.flatnonzero(no // BLOCK_SOURCES == a).tolist():
+    for g in np.flatnonzero(block == pdf["a"].iloc[0]).tolist():
         others = right[no[right] > no[g]]
         out.append(pd.DataFrame({"one": no[g], "other": no[others], "total": np.abs(share[:, others] - share[:, [g]]).sum(0)}))
     found = pd.concat(out, ignore_index=True)
@@ -132,7 +131,7 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     rows = shares.join(own, ["lang", "source"]).select("lang", "no", "blocks", "digest", "nth", "p", F.lit(False).alias("head"), slice_of.alias("slice"))
     heads = own.select("lang", "no", "blocks", F.lit(0).cast("bigint").alias("digest"), F.lit(0).alias("nth"), F.col("p0").alias("p"), F.lit(True).alias("head"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
     dealt = rows.unionByName(heads).withColumn("block", F.floor(F.col("no") / BLOCK_SOURCES)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("lang", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "slice", "no", "digest", "nth", "p", "head")
+    dealt = dealt.select("lang", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "slice", "no", "block", "digest", "nth", "p", "head")
     sums = dealt.groupBy("lang", "a", "b", "slice").applyInPandas(_compare, "lang string, one long, other long, total long, seen long")
     sums = sums.groupBy("lang", "one", "other").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"))
     left = groups.select("lang", "source", "no", "terms", "p0")

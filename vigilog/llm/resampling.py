@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vigilog.llm.common import chunks, cut
 
@@ -72,10 +73,10 @@ def bucket_gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.floor(1000 * np.log((t + 1) * (s.sum() + size) / ((s + 1) * (t.sum() + size)))).astype(np.int64)
 
 
-def weigh(docs: DataFrame, gains: np.ndarray, text_col: str = "text", longest: int = LONGEST, columns: list[str] | None = None) -> DataFrame:
-    """row (the named columns of docs), n_features, n_words and weight (sum of the gains of all n-grams) of each row of docs."""
+def weigh(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST, columns: list[str] | None = None) -> DataFrame:
+    """row (the named columns of docs), id, n_features, n_words and weight (sum of the gains of all n-grams) of each row of docs."""
     own = F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns)).alias("row")
-    rows = docs.select(own, F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(own, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(gains)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +90,10 @@ def weigh(docs: DataFrame, gains: np.ndarray, text_col: str = "text", longest: i
                 ends = np.cumsum(n)
                 found.append(np.stack([n, n_words, upto[ends] - upto[ends - n]]))
             measures = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, measures)], names=["row", "n_features", "n_words", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *map(pa.array, measures)], names=["row", "id", "n_features", "n_words", "weight"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(measure, f"row {kind}, n_features long, n_words long, weight long")
+    kinds = StructType([rows.schema["row"], rows.schema["id"], *(StructField(c, LongType()) for c in ("n_features", "n_words", "weight"))])
+    return rows.mapInArrow(measure, kinds)
 
 
 def with_places(df: DataFrame, *order) -> DataFrame:
@@ -127,13 +128,12 @@ def resample(
         for r in bucket_counts(table, text_col, longest, buckets).collect():
             found[r["bucket"]] = r["n"]
         counts.append(found)
-    named = docs.withColumn("_id", F.col(id_col))
-    rows = weigh(named, bucket_gains(*counts), text_col, longest, [*own, "_id"])
-    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row._id").cast("string"), F.lit("null"))), 256), 1, 8)
+    rows = weigh(docs, bucket_gains(*counts), id_col, text_col, longest, own)
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))), 256), 1, 8)
     noise = F.floor(-1000 * F.log(-F.log((F.conv(digits, 16, 10).cast("double") + 0.5) / 2**32)))
     scored = cut(rows.withColumn("score", (F.col("weight") + noise).cast("bigint")))
     fit = F.col("n_words") >= least_words
     drawn = scored.filter(fit).count() * percent // 100
-    placed = with_places(scored.withColumn("nth_row", F.monotonically_increasing_id()), (~fit), F.desc("score"), F.col("row._id").asc_nulls_last(), "nth_row")
+    placed = with_places(scored.withColumn("nth_row", F.monotonically_increasing_id()), (~fit), F.desc("score"), F.col("id").asc_nulls_last(), "nth_row")
     rank = F.when(fit & (F.col("place") <= drawn), F.col("place"))
     return placed.select(*(F.col(f"row.`{c}`") for c in own), "n_features", "weight", "score", rank.cast("bigint").alias("rank"))
