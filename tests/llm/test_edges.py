@@ -328,3 +328,31 @@ def test_values_of_clashing_columns_stay(spark, tmp_path):
     for r in mix_sources(wide).collect():
         assert all(r[c] == f"{c}-{r['doc_id']}" for c in OWN if c not in ours)
     assert near_duplicates(wide).count() == remove_repeats(wide).count() == remove_passages(wide).count() == judge_quality(wide).count() == scan_licenses(wide).count() == len(rows)
+
+
+LARGE = (2**53 + 1, 2**53 + 3, 2**63 - 1)
+
+
+def test_large_ids_beside_null(spark, tmp_path):
+    """Ids beyond 2 ** 53 in one partition with a null id come back as they are, and links and removals by them hold."""
+    texts = [PROSE, PROSE + " more", OTHER]
+    docs = spark.createDataFrame([*zip(LARGE, texts), (None, OTHER + " none")], "doc_id long, text string").coalesce(1)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    expected = sorted([*LARGE, None], key=str)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    write_token_shards(docs, f"file://{tmp_path}/t", lambda: CachedEncoder(path))
+    for found in (near_duplicates(docs), scan_licenses(docs), judge_quality(docs), read_token_shards(spark, f"file://{tmp_path}/t"), encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")), remove_passages(docs), remove_repeats(docs), mark_exact_duplicates(docs), mix_sources(docs.withColumn("source", F.lit("s")))):
+        assert ids(found) == expected
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect() if r["doc_id"]} == {LARGE[0]: LARGE[0], LARGE[1]: LARGE[0], LARGE[2]: LARGE[2]}
+    assert table(remove_repeats(docs))[LARGE[1]]["n_removed"] == len(PROSE) and ids(corpus_pipeline.near(spark, docs, "")) == sorted([LARGE[0], LARGE[2], None], key=str)
+
+
+def test_rows_that_share_an_id_are_linked_apart(spark):
+    """Each text of a repeated id has its own links, however the rows are dealt out."""
+    texts = [(5, PROSE), (5, OTHER), (2, OTHER + " tail"), (7, PROSE + " end"), (5, PROSE), (9, "seven words that nothing else in here has"), (2, "six words of quite another kind")]
+    expected = sorted([(5, 5), (5, 2), (2, 2), (7, 5), (5, 5), (9, 9), (2, 2)])
+    for n in (1, 3, 7):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(n)
+        assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()) == expected
+    left = corpus_pipeline.near(spark, docs.distinct(), "")
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted({t for t in texts if t not in [(5, OTHER), (7, PROSE + " end")]})

@@ -84,7 +84,8 @@ def test_equal_windows(parts, shift):
 
 def test_licence_expressions():
     assert to_postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["MIT", "Apache-2.0", "BSD-3-Clause", "AND", "OR"]
-    assert to_postfix("(MIT OR Apache-2.0) AND x more prose") == ["MIT", "Apache-2.0", "OR", "x", "AND"]
+    assert to_postfix("(MIT OR Apache-2.0) AND zlib more prose") == ["MIT", "Apache-2.0", "OR", "zlib", "AND"]
+    assert to_postfix("(MIT OR Apache-2.0) AND x more prose") is None
     assert to_postfix("MIT AND") is None and to_postfix(")") is None and to_postfix("(MIT") is None and to_postfix("") is None
     assert evaluate("GPL-2.0-only OR MIT")[1] == 1.0 and evaluate("GPL-2.0-only AND MIT")[1] == 0.4 and evaluate("GPL-2.0+ WITH Foo-exception")[1] == 0.5
 
@@ -155,3 +156,37 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {**{n: 1 for n in (1, 2, 3, 7, 8, 9, 10)}, 4: 4, 5: 4}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_of_prose_are_no_licences():
+    for prose in ("see LICENSE file", "the MIT license", "MIT AND other terms", "none of it", "c stuff", "LICENSE"):
+        assert evaluate(prose) is None
+    assert evaluate("NONE") == evaluate("NOASSERTION") == (frozenset(), 0.0)
+
+
+def test_licence_expressions_as_brute_force():
+    """Random expressions as a recursive evaluator reads them."""
+    import random
+
+    from vigilog.llm.licenses import EXCEPTION_GAIN, FREEDOM, label_of
+
+    rng = random.Random(3)
+    names = ["MIT", "Apache-2.0", "GPL-3.0-only", "BSD-3-Clause", "MPL-2.0", "LicenseRef-x", "CC-BY-NC-4.0"]
+
+    def make(depth):
+        """Text and value (labels, freedom) of a random expression, and how tightly it binds."""
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            name = rng.choice(names)
+            label = label_of(name)
+            if rng.random() < 0.2:
+                return f"{name} WITH Some-exception", {label, "with-some-exception"}, min(1.0, FREEDOM.get(label, 0.0) + EXCEPTION_GAIN), 3
+            return name, {label}, FREEDOM.get(label, 0.0), 3
+        operator, rank = rng.choice([("AND", 2), ("OR", 1)])
+        left, right = make(depth - 1), make(depth - 1)
+        wrapped = [f"({x[0]})" if x[3] < rank or rng.random() < 0.2 else x[0] for x in (left, right)]
+        return f" {operator} ".join(wrapped), left[1] | right[1], (max if operator == "OR" else min)(left[2], right[2]), rank
+
+    for _ in range(300):
+        text, labels, freedom, _ = make(4)
+        assert evaluate(text) == (frozenset(labels), freedom), text

@@ -53,6 +53,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def map_named(docs: DataFrame, id_col: str, text_col: str, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Frames of (id, text) of docs through run, which gives id and the columns of schema; the result's ids have the type of docs' ids.
+
+    Ids travel as text: pandas makes integers beside a null floats, which round those beyond 2 ** 53.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"id string, {schema}").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder; Spark removes them when nothing refers to them."""
     shared_dir(df.sparkSession)

@@ -9,9 +9,8 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from vigilog.llm.common import encoded
+from vigilog.llm.common import encoded, map_named
 
 #: Phrases of the base scan and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -33,6 +32,8 @@ FREEDOM = {
     "cc-by": 0.9, "cc": 0.6, "mpl": 0.7, "lgpl": 0.6, "epl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "agpl": 0.3,
     "cc-by-nd": 0.2, "cc-by-nc": 0.2, "reserved": 0.1, "proprietary": 0.0,
 }
+#: What stands for an expression where a text has no licence, or its author doesn't say.
+NO_LICENCE = ("NONE", "NOASSERTION")
 #: What an exception adds to the freedom of the licence before it.
 EXCEPTION_GAIN = 0.1
 
@@ -63,8 +64,9 @@ def is_identifier(token: str) -> bool:
 def to_postfix(expression: str) -> list[str] | None:
     """The expression's tokens, operators after their operands; None if it isn't an expression.
 
-    AND, OR and WITH are operators, in lower case where an identifier follows. What else follows an operand is prose
-    and ends the expression. The right side of WITH is one identifier.
+    Operands are identifiers; where one is due and another word stands, there is no expression. AND, OR and WITH are
+    operators, in lower case where an identifier follows. What else follows an operand is prose and ends the
+    expression. The right side of WITH is one identifier.
     """
     tokens = _TOKENS.findall(expression)
     out: list[str] = []
@@ -74,7 +76,7 @@ def to_postfix(expression: str) -> list[str] | None:
         operator = token.upper() if token.upper() in _RANK else None
         after = next((x for x in tokens[k + 1 :] if x != "("), "")
         if operand_next:
-            if operator or token == ")" or (token == "(" and held[-1:] == ["WITH"]):
+            if operator or token == ")" or (token == "(" and held[-1:] == ["WITH"]) or not (token == "(" or is_identifier(token)):
                 return None
             (held if token == "(" else out).append(token)
             operand_next = token == "("
@@ -101,7 +103,12 @@ def to_postfix(expression: str) -> list[str] | None:
 
 @lru_cache(maxsize=4096)
 def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
-    """Labels of the licences that the expression names, and its freedom: the best side of OR, the worst of AND."""
+    """Labels of the licences that the expression names, and its freedom: the best side of OR, the worst of AND.
+
+    NONE and NOASSERTION, alone, are valid and name no licence.
+    """
+    if expression in NO_LICENCE:
+        return frozenset(), 0.0
     postfix = to_postfix(expression)
     if postfix is None:
         return None
@@ -189,8 +196,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     it is 0. A null text is empty: no words, no places, empty labels. Rows are independent of each other,
     so repeated rows repeat their result, null ids stay null, and other columns of docs play no part.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
@@ -200,5 +205,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found[c] = found[c].astype("Int64")
             yield found
 
-    schema = f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_tags long, n_invalid long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(scan, schema).withColumnRenamed("id", id_col)
+    schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_tags long, n_invalid long"
+    return map_named(docs, id_col, text_col, scan, schema).withColumnRenamed("id", id_col)

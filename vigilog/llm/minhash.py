@@ -85,24 +85,30 @@ def odd_sketches(hashes: list[np.ndarray], spec: Banding) -> tuple[np.ndarray, n
     return np.packbits(odd.reshape(len(hashes), -1), axis=1).view(np.int64), np.bincount(at // spec.bins, minlength=len(hashes))
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, spec: Banding) -> DataFrame:
-    """(id, class, n, bands, sketch) per row: the class is the same for equal word sequences; n is the set's size."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, text_hash, class, n, bands, sketch) per row: the class is the same for equal word sequences; n is the set's size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t.lower() for t in encoded(pdf["text"])]
-            ids = pdf["id"].to_numpy()
+            ids, hashes = pdf["id"].to_numpy(), pdf["text_hash"].to_numpy()
             for part in chunks(texts):
                 sets = shingle_sets(texts[part])
                 full = [s for s in sets if len(s)]
                 bands, sketches = map(iter, signatures_of(full, spec) if full else ([], []))
                 yield pd.DataFrame({
-                    "id": ids[part], "class": [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts[part]], "n": [len(s) for s in sets],
+                    "id": ids[part], "text_hash": hashes[part], "class": [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts[part]], "n": [len(s) for s in sets],
                     "bands": [next(bands) if len(s) else None for s in sets], "sketch": [next(sketches) if len(s) else None for s in sets],
                 })
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, class binary, n long, bands array<long>, sketch array<long>")
+    # ids travel as text: pandas makes integers beside a null floats
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("text_hash"))
+    signed = rows.mapInPandas(run, "id string, text_hash long, class binary, n long, bands array<long>, sketch array<long>")
+    return signed.withColumn("id", F.col("id").cast("bigint"))
 
 
 def _bits_apart(a: str, b: str) -> Column:
@@ -139,14 +145,14 @@ def _near_enough(a: Column, b: Column, percent: int) -> Column:
 def _confirm(pairs: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
-    The partners of a meet it in SPREAD places: each has the text of a once, first, and then the texts of the partners.
+    The partners of a meet it in SPREAD places: each has the text of a once, first (as a pair with itself), and then the texts of the partners.
     """
     kind = pairs.schema["a"].dataType.simpleString()
     dealt = pairs.withColumn("s", place("b"))
     named = lambda c: texts.select(F.col("node").alias(c), "text")
-    first = dealt.select("a", "s").distinct().join(named("a"), "a").select("a", "s", F.lit(None).cast(kind).alias("b"), "text")
+    first = dealt.select("a", "s").distinct().join(named("a"), "a").select("a", "s", F.col("a").alias("b"), "text")
     rest = beside(dealt, "b", "a", named("b")).select("a", place("b").alias("s"), "b", "text")
-    met = first.union(rest).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+    met = first.union(rest).repartition("a", "s").sortWithinPartitions("a", "s", F.expr("a != b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, one = None, np.zeros(0, np.uint64)
@@ -154,7 +160,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
             texts = [t.lower() for t in encoded(pdf["text"])]
             good = np.zeros(len(pdf), bool)
             for part in chunks(texts):
-                rows = zip(range(part.start, part.stop), pdf["a"].iloc[part], pdf["s"].iloc[part], pdf["b"].isna().iloc[part], shingle_sets(texts[part]))
+                rows = zip(range(part.start, part.stop), pdf["a"].iloc[part], pdf["s"].iloc[part], (pdf["a"] == pdf["b"]).iloc[part], shingle_sets(texts[part]))
                 for i, a, s, is_first, found in rows:
                     if is_first:
                         own, one = (a, s), found
@@ -163,7 +169,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: Banding) -> DataFrame:
                         continue
                     both = len(np.intersect1d(one, found, assume_unique=True))
                     good[i] = 100 * both >= spec.percent * (len(one) + len(found) - both)
-            yield pdf.loc[good, ["a", "b"]].astype("int64")
+            yield pdf.loc[good, ["a", "b"]]
 
     return met.mapInPandas(run, f"a {kind}, b {kind}")
 
@@ -368,6 +374,33 @@ def components_of(nodes: DataFrame, describe: Callable[[DataFrame], DataFrame],
     return labels
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, spec: Banding) -> DataFrame:
+    """The rows of near_duplicates() with the hash of their texts."""
+    signed = cut(sign(docs, id_col, text_col, spec))
+    first = signed.filter("n > 0 and id is not null").groupBy("class").agg(F.min(F.struct("id", "text_hash")).alias("first")).select("class", "first.*")
+    # a class is named by its smallest id; where several have the same, by a hash of the class
+    taken = first.groupBy("id").agg(F.count("*").alias("classes")).filter("classes > 1")
+    classes = cut(first.join(taken, "id", "left").withColumn("node", F.when(F.col("classes").isNull(), F.col("id")).otherwise(F.xxhash64("class"))).drop("classes"))
+    nodes = signed.join(classes, ["class", "id", "text_hash"]).select("node", "n", "bands", "sketch")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), _text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def describe(found: DataFrame) -> DataFrame:
+        named = classes.join(found, "node", "left_semi").select("node", "id", "text_hash")
+        return nodes.drop("bands").join(found, "node", "left_semi").join(texts.join(named, ["id", "text_hash"]).select("node", "text"), "node")
+
+    labels = components_of(nodes, describe, spec)
+    of_class = cut(classes.join(labels, "node", "left").select("class", "id", "node", F.coalesce("component", "node").alias("component")))
+    # only where a node isn't an id, the smallest node needn't be the smallest id
+    hashed = of_class.filter("node != id").select("component").distinct()
+    lowest = cut(of_class.join(hashed, "component", "left_semi").groupBy("component").agg(F.min("id").alias("low")))
+    if not lowest.isEmpty():
+        of_class = of_class.join(lowest, "component", "left").withColumn("component", F.coalesce("low", "component"))
+    of_class = of_class.select("class", F.col("component").alias("component_id"))
+    marked = signed.select("id", "text_hash", "class", "n").join(of_class, "class", "left")
+    component = F.coalesce("component_id", F.col("id"))
+    return marked.select("id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Banding = Banding()) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable over links), kept.
 
@@ -377,16 +410,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the smallest id of them.
 
     Null texts are empty. Rows with a null id are linked with nothing of another word sequence, have the
-    component of their word sequence, or null, and aren't kept. Rows that share an id are one node
-    whatever their texts are; repeated rows repeat their result. Ids must be integers. An empty table
+    component of their word sequence, or null, and aren't kept. Rows that share an id but not the word sequence are
+    nodes of their own, each with its links and its component; repeated rows repeat their result. Ids must be
+    integers. An empty table
     gives an empty result; other columns of docs play no part.
     """
-    signed = cut(sign(docs, id_col, text_col, spec))
-    classes = cut(signed.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("node")))
-    nodes = signed.join(classes, (signed["class"] == classes["class"]) & (signed["id"] == classes["node"])).select("node", "n", "bands", "sketch")
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("text is not null")
-    labels = components_of(nodes, lambda found: nodes.drop("bands").join(found, "node", "left_semi").join(texts.join(found, "node", "left_semi"), "node"), spec)
-    of_class = cut(classes.join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("component_id")))
-    marked = signed.select("id", "class", "n").join(of_class, "class", "left")
-    component = F.coalesce("component_id", F.col("id"))
-    return marked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return _marked(docs, id_col, text_col, spec).drop("text_hash").withColumnRenamed("id", id_col)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Banding = Banding()) -> DataFrame:
+    """The rows of docs without those that near_duplicates() doesn't keep; columns stay as they are, whatever their names.
+
+    A row goes by its id and its text, so that a row which shares only the id with one that goes stays. Rows without words are
+    linked with nothing and stay; so do rows without an id, which can't be named.
+    """
+    gone = _marked(docs, id_col, text_col, spec).filter("not kept and id is not null").select("id", "text_hash").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("bigint").alias("id"), _text_hash(text_col).alias("text_hash"))
+    return rows.join(gone, ["id", "text_hash"], "left_anti").select("row.*")

@@ -219,8 +219,9 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept = b"".join(text[b:e] for b, e in zip(begin, end)).decode("utf-8", "replace")
                 rows.append((sum(len(x.split()) >= MIN_WORDS for x in text.split(b"\n")), sum(len(text[b:e].split()) for b, e in merged), merged, kept))
             out = pd.DataFrame(rows, columns=["n_paragraphs", "n_removed_words", "spans", "kept"])
-            out.insert(0, "id", pdf["id"].astype("Int64"))
+            out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
-    out = own.join(spans, "id", "left").mapInPandas(remove, "id long, n_paragraphs long, n_removed_words long, spans array<array<long>>, kept string")
-    return out.withColumnRenamed("id", id_col)
+    out = own.join(spans, "id", "left").withColumn("id", F.col("id").cast("string"))  # pandas would make numbers beside a null floats
+    out = out.mapInPandas(remove, "id string, n_paragraphs long, n_removed_words long, spans array<array<long>>, kept string")
+    return out.withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", id_col)

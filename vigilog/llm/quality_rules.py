@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import Words, chunks, cut, encoded, shingles
+from vigilog.llm.common import Words, chunks, cut, encoded, map_named, shingles
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -142,7 +142,6 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result. Other columns of docs play no part.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,7 +149,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found.insert(0, "id", pdf["id"].to_numpy())
             yield found
 
-    measured = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, " + ", ".join(f"{c} long" for c in _FEATURES))
+    measured = map_named(docs, id_col, text_col, run, ", ".join(f"{c} long" for c in _FEATURES))
     rules = votes()
     voted = cut(measured.select("id", *_FEATURES, F.concat_ws(",", *(v.cast("string") for v in rules.values())).alias("votes")))
     seen = voted.groupBy("votes").count().orderBy("votes").collect()

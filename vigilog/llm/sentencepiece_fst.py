@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import chunks, encoded
+from vigilog.llm.common import chunks, encoded, map_named
 from vigilog.llm.units import UnitCache, join, piece_edges
 
 SPACE = "▁"
@@ -257,8 +257,6 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     rows repeat their result, null ids stay null, an empty table gives an empty result; other columns
     play no part.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fst = compiled(model_path)
         is_byte = np.zeros(max(fst.bytes_of, default=0) + 1, bool)
@@ -272,5 +270,5 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 same = [fst.decode(x) == plain(t) for x, t in zip(ids, texts)] if check else [None] * len(ids)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "ids": ids, "n_pieces": [len(x) for x in ids], "n_fallback": [int(is_byte[x].sum()) for x in ids], "round_trip": same})
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, n_pieces long, n_fallback long, round_trip boolean")
+    found = map_named(docs, id_col, text_col, run, "ids array<int>, n_pieces long, n_fallback long, round_trip boolean")
     return found.withColumnRenamed("id", id_col)

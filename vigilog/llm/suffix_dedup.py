@@ -189,7 +189,7 @@ def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
     """meet_marks of all documents; place is within the text."""
 
     def marks_of(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-        ids, texts = pdf["id"].to_numpy().astype(np.int64), encoded(pdf["text"])
+        ids, texts = pdf["id"].to_numpy(np.int64), encoded(pdf["text"])
         found: list[tuple] = []
         for part in chunks(texts):
             own = texts[part]
@@ -200,9 +200,9 @@ def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield from marks_of(pdf[pdf["id"].notna()])
+            yield from marks_of(pdf)
 
-    return meet_marks(docs.mapInPandas(scan, "range long, data binary"))
+    return meet_marks(docs.filter("id is not null").mapInPandas(scan, "range long, data binary"))
 
 
 def spans_by_document(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, bits: int) -> pd.DataFrame:
@@ -471,5 +471,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
-    out = own.join(spans, "id", "left").mapInPandas(remove, "id long, spans array<array<long>>, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = own.join(spans, "id", "left").withColumn("id", F.col("id").cast("string"))  # pandas would make numbers beside a null floats
+    out = out.mapInPandas(remove, "id string, spans array<array<long>>, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", id_col)

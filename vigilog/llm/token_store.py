@@ -16,6 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vigilog.llm.common import chunks, encoded
 from vigilog.llm.units import UnitCache, byte_pair_edges, join
@@ -267,6 +268,8 @@ def write_token_shards(docs: DataFrame, path: str, encoder: Callable[[], CachedE
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordered = docs.select(F.col(id_col).alias("id"), text.alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.octet_length("text"), F.xxhash64("text"))
+    numbers = isinstance(docs.schema[id_col].dataType, IntegralType)
+    ordered = ordered.select(F.col("id").cast("string"), "text")  # pandas would make numbers beside a null floats
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, shard = TaskContext.get().partitionId(), 0
@@ -285,9 +288,8 @@ def write_token_shards(docs: DataFrame, path: str, encoder: Callable[[], CachedE
             return row
 
         for pdf in batches:
-            ids = [None if pd.isna(x) else x for x in pdf["id"].tolist()]
-            for name, found in zip(ids, coder.encode(pdf["text"].tolist())):
-                names.append(int(name) if isinstance(name, float) else name)
+            for name, found in zip(pdf["id"], coder.encode(pdf["text"].tolist())):
+                names.append(int(name) if numbers and name is not None else name)
                 held.append(np.append(found, np.uint32(end_id)))
                 size += len(found) + 1
                 if size >= shard_tokens:
