@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilog.llm.common import cut, drop_path, read, shared_path
 from vigilog.llm.exact_dedup import drop_exact_duplicates
-from vigilog.llm.minhash import near_duplicates
+from vigilog.llm.minhash import drop_near_duplicates
 from vigilog.llm.mixing import mix_sources
 from vigilog.llm.pu_classifier import PREDICT_AT, scorer, train
 from vigilog.llm.sentencepiece_fst import encode_pieces
@@ -28,12 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id.
-
-    Documents without words are linked with nothing and stay; so do documents without an id, which can't be named.
-    """
-    dropped = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near duplicates, that with the smallest id; rows without words or without an id stay."""
+    return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
