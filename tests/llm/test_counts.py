@@ -149,10 +149,10 @@ def audited(rows, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("digests", "block", "terms", "held"), [(None, 256, 4096, 1 << 19), (7, 2, 3, 5), (1, 3, 4096, 1)])
-def test_audit_as_brute_force(spark, monkeypatch, digests, block, terms, held):
-    """Also with digests that terms share, blocks of few sources, slices of few terms, and tasks that hold few terms."""
-    for name, value in (("BLOCK_SOURCES", block), ("SLICE_TERMS", terms), ("HELD_TERMS", held)):
+@pytest.mark.parametrize(("digests", "block", "terms", "held", "most"), [(None, 256, 4096, 1 << 19, 1 << 18), (7, 2, 3, 5, 0), (1, 3, 4096, 1, 1 << 18)])
+def test_audit_as_brute_force(spark, monkeypatch, digests, block, terms, held, most):
+    """Also with digests that terms share, blocks of few sources, slices of few terms, tasks that hold few terms, and nothing broadcast."""
+    for name, value in (("BLOCK_SOURCES", block), ("SLICE_TERMS", terms), ("HELD_TERMS", held), ("MOST_TERMS", most)):
         monkeypatch.setattr(divergence, name, value)
     rng = np.random.default_rng(5)
     words = [*(f"term{c}" for c in "abcdefghijklmnop"), "É", "é", "日本", "TermA", "a1b", "x'y"]

@@ -20,6 +20,10 @@ PRIOR = 5
 SCALE = 1_000_000_000
 #: Terms a task counts before it hands its counts on.
 HELD_TERMS = 1 << 19
+#: Rows in which they leave it.
+ROWS = 1 << 16
+#: Frequent digests up to which they are broadcast.
+MOST_TERMS = 1 << 18
 #: Bytes of a text whose words are taken at once.
 PIECE = 1 << 20
 #: Sources in a block, and terms in a slice, on average: a group of the pairwise comparison has two blocks and one slice.
@@ -40,59 +44,70 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(lang, source, term, n, n_docs): occurrences and documents of each term, some rows a task and term; the rows of a term add up."""
+    """(lang, source, term, n, n_docs): occurrences n of each term in a source, and, where source is null, its documents n_docs.
+
+    Each task gives a row or more for each term that it has met; the rows of a term add up.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = defaultdict(lambda: (Counter(), Counter()))
+        places: dict = defaultdict(Counter)
+        documents: dict = defaultdict(Counter)
+        held = 0
 
-        def packed() -> pa.RecordBatch:
-            rows = [(lang, source, term, k, docs[term]) for (lang, source), (n, docs) in found.items() for term, k in n.items()]
-            found.clear()
-            columns = list(zip(*rows)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()])], names=["lang", "source", "term", "n", "n_docs"])
+        def packed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), n in [*places.items(), *(((x, None), n) for x, n in documents.items())]:
+                counts = pa.array(list(n.values()), pa.int64())
+                none = pa.nulls(len(n), pa.int64())
+                own = pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)), pa.array(list(n), pa.binary())
+                found = pa.RecordBatch.from_arrays([*own, *((none, counts) if source is None else (counts, none))], names=["lang", "source", "term", "n", "n_docs"])
+                yield from (found.slice(k, ROWS) for k in range(0, len(n), ROWS))
+            places.clear()
+            documents.clear()
 
-        held = 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                n, n_docs = found[lang, source]
-                before, own = len(n), set()
+                n, own = places[lang, source], set()
+                before = len(n)
                 for piece in _pieces(text):
                     words = _TERM.findall(piece.translate(_LOWER))
                     n.update(words)
                     own.update(words)
-                n_docs.update(own)
+                documents[lang].update(own)
                 held += len(n) - before
                 if held >= HELD_TERMS:
-                    yield packed()
+                    yield from packed()
                     held = 0
-        yield packed()
+        yield from packed()
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(count, "lang string, source string, term binary, n long, n_docs long").withColumn("term", F.col("term").cast("string"))
 
 
-def _kept_terms(partial: DataFrame, tables: Tables, least_docs: int) -> tuple[DataFrame, DataFrame]:
+def _kept_terms(counted: DataFrame, digest: Callable[[str], Column], tables: Tables, least_docs: int) -> tuple[DataFrame, DataFrame]:
     """Terms in least_docs documents or more of their language: (lang, digest, nth, term) and (lang, source, digest, nth, n).
 
-    Only digests are shuffled to find them. The smallest and largest text of each digest that is frequent tells
-    whether two terms share it: such terms are counted again by their text and numbered within the digest.
+    Only digests are shuffled to find them and to count them by source. The smallest and largest text of each digest that
+    is frequent tells whether two terms share it: such terms are counted again by their text, and numbered within the
+    digest. The frequent digests are broadcast up to MOST_TERMS of them.
     """
-    of_term = Window.partitionBy("lang", "digest")
-    counts = partial.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
-    counts = tables.keep(counts.withColumn("all_docs", F.sum("n_docs").over(of_term)).filter(F.col("all_docs") >= least_docs).select("lang", "source", "digest", "n"))
-    often = tables.keep(counts.select("lang", "digest").distinct())
-    texts = partial.join(often, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    key = ["lang", "digest"]
+    partial = counted.select("lang", "source", digest("term").alias("digest"), F.when(F.col("source").isNull(), F.col("term")).alias("term"), "n", "n_docs")
+    partial = tables.keep(partial)
+    of_lang, of_source = partial.filter("source is null"), partial.filter("source is not null")
+    often = tables.keep(of_lang.groupBy(*key).agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= least_docs).select(*key))
+    few = F.broadcast(often) if often.count() <= MOST_TERMS else often
+    texts = of_lang.select(*key, "term").join(few, key, "left_semi").groupBy(*key).agg(F.min("term").alias("term"), F.max("term").alias("last"))
     texts = tables.keep(texts.withColumn("nth", F.lit(0)))
-    whole, shared = texts.filter("term = last").drop("last"), texts.filter("term < last").select("lang", "digest")
-    kept = counts.join(whole.select("lang", "digest"), ["lang", "digest"], "left_semi").withColumn("nth", F.lit(0))
+    counts = tables.keep(of_source.select("lang", "source", "digest", "n").join(few, key, "left_semi").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n")).withColumn("nth", F.lit(0)))
+    shared = texts.filter("term < last").select(*key)
     if not shared.take(1):
-        return whole, kept
-    split = partial.join(shared, ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
-    split = tables.keep(split)
-    apart = split.groupBy("lang", "digest", "term").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
-    apart = tables.keep(apart.select("lang", "digest", "term", F.row_number().over(of_term.orderBy("term")).alias("nth")))
-    return whole.unionByName(apart), kept.unionByName(split.join(apart, ["lang", "digest", "term"]).drop("term", "n_docs"))
+        return texts.drop("last"), counts
+    split = tables.keep(counted.withColumn("digest", digest("term")).join(shared, key, "left_semi"))
+    apart = split.filter("source is null").groupBy(*key, "term").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+    apart = tables.keep(apart.select(*key, "term", F.row_number().over(Window.partitionBy(*key).orderBy("term")).alias("nth")))
+    split = split.filter("source is not null").join(apart, [*key, "term"]).groupBy("lang", "source", "digest", "nth").agg(F.sum("n").alias("n"))
+    return texts.filter("term = last").drop("last").unionByName(apart), counts.join(shared, key, "left_anti").unionByName(split)
 
 
 def _share(n: Column | str, total: Column | str, terms: Column | str) -> Column:
@@ -159,9 +174,7 @@ def audit_sources(
     "pair" grow with the square of a language's sources, which is what is asked for.
     """
     tables = Tables(docs.sparkSession, "divergence")
-    partial = tables.keep(count_terms(docs, lang_col, source_col, text_col).withColumn("digest", digest("term")))
-    texts, counts = _kept_terms(partial, tables, least_docs)
-    texts, counts = tables.keep(texts), tables.keep(counts)
+    texts, counts = map(tables.keep, _kept_terms(count_terms(docs, lang_col, source_col, text_col), digest, tables, least_docs))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source")).distinct()
     groups = groups.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(texts.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left")
