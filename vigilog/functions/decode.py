@@ -18,6 +18,10 @@ MOST_DECODINGS = 5
 _PADDED = re.compile(r"[A-Za-z0-9+/]{10,}={1,2}")
 _BARE = re.compile(r"[A-Za-z0-9+/]{40,}")
 _HEX = re.compile(r"0x([0-9a-fA-F]{8,})")
+#: How base64 of a JSON array of texts begins: that of its first two bytes, as far as they decide it.
+JSON_START = base64.b64encode(b'["').decode()[:3]
+_JSON = re.compile(JSON_START + "[A-Za-z0-9+/]+")
+_READABLE = re.compile(r"[\w/ -]{3}", re.ASCII)
 
 
 def decode_depth(text: str) -> int:
@@ -38,18 +42,15 @@ def fully_decoded(text: str) -> str:
 
 
 def _fragments(text: str) -> str:
-    """What base64 and hexadecimal fragments of a text say, where they say text."""
-    found = []
-    for match in (*_PADDED.finditer(text), *_BARE.finditer(text)):
-        raw = match.group().rstrip("=")
+    """The ASCII part of what base64 and hexadecimal fragments of a text say, each once, where three characters in a row can be read."""
+    raw: list[bytes] = []
+    for code in dict.fromkeys(m.group().rstrip("=") for pattern in (_PADDED, _BARE, _JSON) for m in pattern.finditer(text)):
         try:
-            found.append(base64.b64decode(raw + "=" * (-len(raw) % 4)).decode("utf-8"))
-        except (binascii.Error, UnicodeDecodeError):
+            raw.append(base64.b64decode(code + "=" * (-len(code) % 4)))
+        except binascii.Error:
             continue
-    for match in _HEX.finditer(text):
-        digits = match.group(1)
-        found.append(bytes.fromhex(digits[: len(digits) // 2 * 2]).decode("utf-8", "ignore"))
-    return " ".join(found)
+    raw += [bytes.fromhex(x[: len(x) // 2 * 2]) for x in dict.fromkeys(_HEX.findall(text))]
+    return " ".join(x for x in (r.decode("ascii", "ignore") for r in raw) if _READABLE.search(x))
 
 
 def payload_of(text: str, sanitize: bool) -> str:
@@ -67,13 +68,13 @@ def decode_uri(uri: Column) -> Column:
     return _decode_uri(uri)
 
 
-def normalize_payload(*parts: Column, sanitize: bool = True) -> Column:
+def normalize_payload(*parts: Column, sanitize: bool = True, between: str = " ") -> Column:
     """Path, query, body, agent and referer as one lower-case text, decoded up to five times, with what its encoded fragments say.
 
-    Texts without a percent sign, '0x' or a long run of base64 characters stay in the JVM.
+    Texts without a percent sign, '0x', a long run of base64 characters or the start of a JSON array in it stay in the JVM.
     """
-    joined = F.concat_ws(" ", *parts)
-    needs = joined.contains("%") | joined.contains("0x") | joined.rlike("[A-Za-z0-9+/]{10,}={1,2}|[A-Za-z0-9+/]{40,}")
+    joined = F.concat_ws(between, *parts)
+    needs = joined.contains("%") | joined.contains("0x") | joined.contains(JSON_START) | joined.rlike("[A-Za-z0-9+/]{10,}={1,2}|[A-Za-z0-9+/]{40,}")
 
     @F.pandas_udf(T.StringType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

