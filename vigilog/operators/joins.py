@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions.common import ip_to_long, is_private_ip
+from vigilog.operators import timelines
 
 SECOND = 1_000_000
 
@@ -46,19 +47,27 @@ def flag_unknown_users(events: DataFrame, whitelist: DataFrame, user: str = "use
     return marked.withColumn("unknown_user", unknown).drop("_known")
 
 
-def fill_logout_ip(events: DataFrame, user: str = "user", time: str = "us", order: str = "event_id", columns: tuple[str, ...] = ("rip", "lip")) -> DataFrame:
-    """Rows without addresses get the latest ones that the user had before."""
+def fill_logout_ip(events: DataFrame, user: str = "user", time: str = "us", order: str = "event_id", columns: tuple[str, ...] = ("rip", "lip"), cuts: DataFrame | None = None) -> DataFrame:
+    """Rows without addresses get the latest ones that the user had before. With cuts (of timeline_cuts()) hot users are filled a segment at a time."""
+    if cuts is not None:
+        known = timelines.last_known(timelines.in_segments(events, user, time, cuts), user, time, order, {f"_known_{c}": F.col(c) for c in columns})
+        return known.withColumns({c: F.coalesce(c, f"_known_{c}") for c in columns}).select(events.columns)
     w = Window.partitionBy(user).orderBy(time, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return events.withColumns({c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(w)) for c in columns})
 
 
-def attribute_errors(events: DataFrame, host: str = "host", ip: str = "source_ip", time: str = "us", order: str = "event_id", seconds: float = 2) -> DataFrame:
+def attribute_errors(events: DataFrame, host: str = "host", ip: str = "source_ip", time: str = "us", order: str = "event_id", seconds: float = 2, cuts: DataFrame | None = None) -> DataFrame:
     """Events without an address get that of the latest event of their host with one, if it is at most `seconds` earlier.
 
-    An as-of join within one window over the host, without pairs. attributed tells whether it happened.
+    An as-of join within one window over the host, without pairs. attributed tells whether it happened. With cuts (of
+    timeline_cuts()) hot hosts are scanned a segment at a time.
     """
-    w = Window.partitionBy(host).orderBy(time, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col(ip).isNotNull(), F.struct(F.col(time).alias("t"), F.col(ip).alias("ip"))), ignorenulls=True).over(w)
+    located = F.when(F.col(ip).isNotNull(), F.struct(F.col(time).alias("t"), F.col(ip).alias("ip")))
+    if cuts is not None:
+        events = timelines.last_known(timelines.in_segments(events, host, time, cuts), host, time, order, {"_last": located}).drop(timelines.SEGMENT)
+        last = F.col("_last")
+    else:
+        last = F.last(located, ignorenulls=True).over(Window.partitionBy(host).orderBy(time, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = F.when(F.col(time) - F.col("_last.t") <= int(seconds * SECOND), F.col("_last.ip"))
     found = events.withColumn("_last", last).withColumn("_near", near)
     return found.withColumn("attributed", F.col(ip).isNull() & F.col("_near").isNotNull()).withColumn(ip, F.coalesce(ip, "_near")).drop("_last", "_near")

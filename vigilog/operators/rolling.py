@@ -6,20 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions.common import PRIVILEGED_ACTIONS, haversine_km
+from vigilog.operators import timelines
 
 SECOND = 1_000_000
 
 
-def rolling_velocity(df: DataFrame, key: str = "rip", time: str = "us", order: str = "event_id", seconds: int = 60) -> DataFrame:
-    """velocity: events of the key in the last `seconds` (open at the far end), those of the same time only up to the row itself."""
+def _hot_velocity(hot: DataFrame, key: str, time: str, order: str, seconds: int, cuts: DataFrame) -> DataFrame:
+    """rolling_velocity() of hot keys: the place of a row on its time line less that of the last row before the span.
+
+    Every row asks for the number of rows up to the time `seconds` ago by a question at that time; places of rows and
+    answers are running counts by segment, and the two meet by the row's own identity.
+    """
+    columns = [F.struct(*(F.col(f"`{c}`") for c in hot.columns)).alias("_row"), F.col(key).alias("_key"), F.col(order).alias("_order")]
+    rows = hot.select(*columns, F.col(time).alias("_t"), F.lit(0).alias("_asks"))
+    asks = hot.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), *columns[1:], (F.col(time) - seconds * SECOND).alias("_t"), F.lit(1).alias("_asks"))
+    both = timelines.in_segments(rows.unionByName(asks), "_key", "_t", cuts)
+    counted = timelines.running_sum(both, "_key", [F.col("_t"), F.col("_asks"), F.col("_order")], (1 - F.col("_asks")).cast("bigint"), "_n")
+    met = counted.groupBy("_key", "_order").agg(F.max("_row").alias("_row"), F.sum(F.when(F.col("_asks") == 0, F.col("_n")).otherwise(-F.col("_n"))).alias("velocity"))
+    return met.select("_row.*", "velocity")
+
+
+def rolling_velocity(df: DataFrame, key: str = "rip", time: str = "us", order: str = "event_id", seconds: int = 60, cuts: DataFrame | None = None) -> DataFrame:
+    """velocity: events of the key in the last `seconds` (open at the far end), those of the same time only up to the row itself.
+
+    With cuts (of timeline_cuts()) hot keys are counted a segment at a time; order then has to tell a key's rows apart, and
+    they need a time.
+    """
+    if cuts is not None:
+        hot, cold = _by_heat(df, key, cuts)
+        return _hot_velocity(hot, key, time, order, seconds, cuts).unionByName(rolling_velocity(cold, key, time, order, seconds))
     trailing = Window.partitionBy(key).orderBy(time).rangeBetween(-(seconds * SECOND - 1), 0)
     peers = Window.partitionBy(key, time)
     upto = peers.orderBy(order)
     return df.withColumn("velocity", F.count("*").over(trailing) - F.count("*").over(peers) + F.row_number().over(upto))
 
 
-def cumulative_distinct_users(df: DataFrame, key: str = "rip", user: str = "user", time: str = "us", order: str = "event_id") -> DataFrame:
-    """unique_users: different users of the key so far; null is no user. First appearances are marked and summed, no set is kept."""
+def _by_heat(df: DataFrame, key: str, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys, and the others."""
+    marked = lambda how: df.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("cut_key")), how)
+    return marked("left_semi"), marked("left_anti")
+
+
+def _hot_users(hot: DataFrame, key: str, user: str, time: str, order: str, cuts: DataFrame) -> DataFrame:
+    """cumulative_distinct_users() of hot keys: first appearances, a row a user, are put before the rows where they are and summed by segment."""
+    rows = hot.select(F.struct(*(F.col(f"`{c}`") for c in hot.columns)).alias("_row"), F.col(key).alias("_key"), F.col(time).alias("_t"), F.col(order).alias("_order"), F.lit(1).alias("_is_row"))
+    first = hot.filter(F.col(user).isNotNull()).groupBy(F.col(key).alias("_key"), user).agg(F.min(F.struct(F.col(time).isNotNull(), F.col(time).alias("t"), F.col(order).alias("o"))).alias("f"))
+    first = first.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_key", F.col("f.t").alias("_t"), F.col("f.o").alias("_order"), F.lit(0).alias("_is_row"))
+    both = timelines.in_segments(rows.unionByName(first), "_key", "_t", cuts)
+    summed = timelines.running_sum(both, "_key", [F.col("_t"), F.col("_order"), F.col("_is_row")], (1 - F.col("_is_row")).cast("bigint"), "unique_users")
+    return summed.filter("_is_row = 1").select("_row.*", "unique_users")
+
+
+def cumulative_distinct_users(df: DataFrame, key: str = "rip", user: str = "user", time: str = "us", order: str = "event_id", cuts: DataFrame | None = None) -> DataFrame:
+    """unique_users: different users of the key so far; null is no user. First appearances are marked and summed, no set is kept.
+
+    With cuts (of timeline_cuts()) hot keys are summed a segment at a time.
+    """
+    if cuts is not None:
+        hot, cold = _by_heat(df, key, cuts)
+        return _hot_users(hot, key, user, time, order, cuts).unionByName(cumulative_distinct_users(cold, key, user, time, order))
     first = F.row_number().over(Window.partitionBy(key, user).orderBy(time, order)) == 1
     marked = df.withColumn("_first", (first & F.col(user).isNotNull()).cast("int"))
     w = Window.partitionBy(key).orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)

@@ -12,17 +12,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
-from vigilog.operators.aggregates import exact_percentile
 from vigilog.functions import web
+from vigilog.operators import timelines
+from vigilog.operators.aggregates import exact_percentile
 
 SECOND = 1_000_000
 
 
-def gap_sessions(df: DataFrame, key: str, time: str, order: str, gap_seconds: float, name: str = "session_seq") -> DataFrame:
-    """df with the number (from 0) of each row's session within its key: a new one begins after more than gap_seconds without an event."""
+def gap_sessions(df: DataFrame, key: str, time: str, order: str, gap_seconds: float, name: str = "session_seq", cuts: DataFrame | None = None) -> DataFrame:
+    """df with the number (from 0) of each row's session within its key: a new one begins after more than gap_seconds without an event.
+
+    With cuts (of timeline_cuts()) the time lines of hot keys are numbered a segment at a time.
+    """
+    gap = int(gap_seconds * SECOND)
+    if cuts is not None:
+        rows = timelines.in_segments(df, key, time, cuts)
+        w = Window.partitionBy(key, timelines.SEGMENT).orderBy(time, order)
+        rows = rows.withColumn("_starts", F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(0))).withColumn(name, F.sum("_starts").over(timelines.upto(w)))
+
+        def carry(segments: DataFrame, s: WindowSpec) -> DataFrame:
+            # a segment may begin a session too, and what has begun before it counts
+            begins = F.coalesce((F.col("_lo") - F.max("_hi").over(timelines.before(s)) > gap).cast("int"), F.lit(0))
+            return segments.withColumn("_begins", begins).withColumn("_in", F.coalesce(F.sum("_n").over(timelines.before(s)), F.lit(0)) + F.sum("_begins").over(timelines.upto(s))).drop("_begins")
+
+        rows = timelines.with_carry(rows, key, {"_lo": F.min(time), "_hi": F.max(time), "_n": F.sum("_starts")}, carry)
+        # the times that are null come before the first event, in the first segment
+        return rows.withColumn(name, F.col(name) + F.coalesce("_in", F.lit(0))).drop("_in", "_starts", timelines.SEGMENT)
     w = Window.partitionBy(key).orderBy(time, order)
-    starts = (F.col(time) - F.lag(time).over(w) > int(gap_seconds * SECOND)).cast("int")
+    starts = (F.col(time) - F.lag(time).over(w) > gap).cast("int")
     return df.withColumn("_starts", F.coalesce(starts, F.lit(0))).withColumn(name, F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
 
 
@@ -137,26 +156,73 @@ def session_features(events: DataFrame, session: list[str], key: str = "source_i
     )
 
 
-def transitions(events: DataFrame, session: list[str], time: str = "us", order: str = "event_id", state: str = "state") -> DataFrame:
-    """(session, state, next) of neighbouring events: next is the speed of the step and the state it leads to."""
-    w = Window.partitionBy(*session).orderBy(time, order)
-    seconds = F.greatest(F.lit(0.0), (F.lead(time).over(w) - F.col(time)) / SECOND)
-    next_state = F.lead(state).over(w)
+def transitions(events: DataFrame, session: list[str], time: str = "us", order: str = "event_id", state: str = "state", cuts: DataFrame | None = None) -> DataFrame:
+    """(session, state, next) of neighbouring events: next is the speed of the step and the state it leads to.
+
+    With cuts (of timeline_cuts(), by the first column of session) the last event of a hot key's segment finds the next one in
+    the segments after it.
+    """
+    if cuts is not None:
+        key, rest = session[0], session[1:]
+        rows = timelines.in_segments(events, key, time, cuts)
+        w = Window.partitionBy(key, timelines.SEGMENT).orderBy(time, order)
+        own = F.struct(F.col(time).alias("t"), F.col(state).alias("state"), F.struct(*rest, F.lit(0)).alias("session"))
+        rows = rows.withColumn("_own", own).withColumn("_next", F.lead("_own").over(w))
+        first = {"_first": F.min(F.struct(F.col(time).isNotNull(), F.col(time), F.col(order), F.col("_own").alias("v")))["v"]}
+        rows = timelines.with_carry(rows, key, first, lambda t, s: t.withColumn("_in", F.lead("_first").over(s)))
+        rows = rows.withColumn("_next", F.coalesce("_next", "_in")).filter(F.col("_next.session").eqNullSafe(F.col("_own.session")))
+        seconds, next_state = F.greatest(F.lit(0.0), (F.col("_next.t") - F.col(time)) / SECOND), F.col("_next.state")
+        events = rows
+    else:
+        w = Window.partitionBy(*session).orderBy(time, order)
+        seconds = F.greatest(F.lit(0.0), (F.lead(time).over(w) - F.col(time)) / SECOND)
+        next_state = F.lead(state).over(w)
     found = events.select(*session, F.col(time), F.col(order), F.col(state).alias("state"), seconds.alias("_s"), next_state.alias("_n")).filter("_n is not null")
     return found.select(*session, time, order, "state", F.col("_n").alias("next_state"), F.concat_ws("_", web.speed_bin(F.col("_s")), "_n").alias("next"))
 
 
-def compress_runs(events: DataFrame, group: str, what: Column, flagged: Column, time: str = "us", order: str = "event_id", longest: int = 5) -> DataFrame:
+def _runs_in_segments(marked: DataFrame, group: str, time: str, order: str, cuts: DataFrame, longest: int) -> DataFrame:
+    """compress_runs() a segment at a time: a run is from one break to the next, and its length is the difference of their places."""
+    by = [F.col(time), F.col(order)]
+    rows = timelines.in_segments(marked, group, time, cuts)
+    rows = timelines.running_sum(rows, group, by, F.lit(1).cast("bigint"), "_i")
+    w = Window.partitionBy(group, timelines.SEGMENT).orderBy(*by)
+    rows = rows.withColumn("_own", F.struct(F.col("_what").alias("what"), F.col("_flag").alias("flag"))).withColumn("_last", F.lag("_own").over(w))
+    end = {"_end": F.max(F.struct("_i", F.col("_own").alias("v")))["v"]}
+    rows = timelines.with_carry(rows, group, end, lambda t, s: t.withColumn("_in", F.lag("_end").over(s)))
+    last = F.coalesce("_last", "_in")
+    breaks = last["what"].isNull() | F.col("_what").isNull() | (last["what"] != F.col("_what")) | F.col("_flag") | last["flag"]
+    rows = rows.withColumn("_break", F.when(F.coalesce(breaks, F.lit(True)), F.col("_i"))).drop("_in", "_last", "_own")
+    following = w.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("_from", F.max("_break").over(timelines.upto(w))).withColumn("_to", F.min("_break").over(following))
+    ends = {"_max": F.max("_break"), "_min": F.min("_break"), "_top": F.max("_i")}
+
+    def carry(segments: DataFrame, s: WindowSpec) -> DataFrame:
+        return segments.withColumn("_before", F.max("_max").over(timelines.before(s))).withColumn("_after", F.coalesce(F.min("_min").over(timelines.after(s)), F.max("_top").over(Window.partitionBy("_k")) + 1))
+
+    rows = timelines.with_carry(rows, group, ends, carry)
+    # the last run of a key that isn't hot ends with its last row
+    end_of_key = F.max("_i").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1
+    return rows.withColumn("_island", F.coalesce("_from", "_before")).withColumn("_n", F.coalesce("_to", "_after", end_of_key) - F.col("_island"))
+
+
+def compress_runs(events: DataFrame, group: str, what: Column, flagged: Column, time: str = "us", order: str = "event_id", longest: int = 5, cuts: DataFrame | None = None) -> DataFrame:
     """Runs of more than `longest` neighbouring events with equal `what` as one row (is_run, count, first and last time); others row by row.
 
-    Flagged events and those whose `what` is null never join a run.
+    Flagged events and those whose `what` is null never join a run. With cuts (of timeline_cuts(), by group) hot groups are
+    scanned a segment at a time.
     """
     w = Window.partitionBy(group).orderBy(time, order)
     marked = events.select(F.col(group), F.col(time), F.col(order), what.alias("_what"), flagged.alias("_flag"))
+    if cuts is not None:
+        return _rows_of_runs(_runs_in_segments(marked, group, time, order, cuts, longest), group, time, order, longest)
     breaks = F.lag("_what").over(w).isNull() | F.col("_what").isNull() | (F.lag("_what").over(w) != F.col("_what")) | F.col("_flag") | F.lag("_flag").over(w)
     marked = marked.withColumn("_island", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     islands = Window.partitionBy(group, "_island")
-    sized = marked.withColumn("_n", F.count("*").over(islands))
+    return _rows_of_runs(marked.withColumn("_n", F.count("*").over(islands)), group, time, order, longest)
+
+
+def _rows_of_runs(sized: DataFrame, group: str, time: str, order: str, longest: int) -> DataFrame:
     runs = sized.filter(F.col("_n") > longest).groupBy(group, "_island").agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count("*").alias("count"), F.min(order).alias(order))
     alone = sized.filter(F.col("_n") <= longest).select(group, "_island", F.col(time).alias("start_us"), F.col(time).alias("end_us"), F.lit(1).cast("bigint").alias("count"), order)
     return runs.unionByName(alone).withColumn("is_run", F.col("count") > longest).drop("_island")

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from vigilog.plans import aggregate_queries, function_queries, join_queries, model_queries, parse_queries, rule_queries, signature_queries, source_queries, stream_queries, window_queries  # noqa: F401
+    from vigilog.plans import aggregate_queries, function_queries, hot_queries, join_queries, model_queries, parse_queries, rule_queries, signature_queries, source_queries, stream_queries, window_queries  # noqa: F401
 
 
 _loaded = False

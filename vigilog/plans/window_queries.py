@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions import web
@@ -143,9 +143,13 @@ compressed AS (SELECT host, min(us) AS start_us, max(us) AS end_us, count(*) AS
 UNION ALL SELECT host, us, us, 1, event_id, false FROM n WHERE c <= 2)"""
 
 
+def run_of() -> Column:
+    """What makes a run of web events."""
+    return F.when(F.col("event_source") == "apache_error", F.concat(F.lit("e"), "error_message")).otherwise(F.concat(F.lit("a"), F.substring("uri_path", 1, 3)))
+
+
 def web_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    what = F.when(F.col("event_source") == "apache_error", F.concat(F.lit("e"), "error_message")).otherwise(F.concat(F.lit("a"), F.substring("uri_path", 1, 3)))
-    return sessions.compress_runs(adapter(spark, sf_dir, "web"), "host", what, F.col("flagged"), longest=2)
+    return sessions.compress_runs(adapter(spark, sf_dir, "web"), "host", run_of(), F.col("flagged"), longest=2)
 
 
 @query(f"{_RUNS} SELECT * FROM compressed")
