@@ -63,3 +63,19 @@ def test_empty_time_lines(spark):
     cuts = timelines.timeline_cuts(none, "key", "us")
     assert cuts.count() == 0 and sessions.gap_sessions(none, "key", "us", "event_id", 60, cuts=cuts).count() == 0
     assert rolling.rolling_velocity(none, "key", cuts=cuts).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["different", "ties", "two values", "one value", "skewed"])
+def test_exact_percentile_sorts_little(spark, kind):
+    """numpy's percentiles, also where far fewer values are put in order than there are."""
+    import numpy as np
+
+    from vigilog.operators.aggregates import exact_percentile
+
+    rng = np.random.default_rng(1)
+    x = {"different": rng.normal(size=20_000), "ties": np.r_[np.full(12_000, 3.5), rng.random(8_000) * 7], "two values": np.repeat([1.0, 2.0], [9_000, 11_000]), "one value": np.full(5_000, 4.0), "skewed": rng.lognormal(0, 4, 20_000)}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 9, "x double").repartition(4).cache()
+    for share in (0.0, 0.02, 0.45, 0.5, 0.95, 1.0):
+        for most in (50, 100_000):
+            assert exact_percentile(df, "x", share, "p", most).first()["p"] == pytest.approx(np.percentile(x, share * 100), rel=1e-12), (share, most)
+    assert exact_percentile(df.limit(0), "x", 0.5, "p").first()["p"] is None

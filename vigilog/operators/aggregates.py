@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,27 +99,55 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: tuple[int
     return long.select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), F.round(F.try_divide("tp", "_p"), 6).alias("recall"), F.round(F.try_divide("fp", "_n"), 6).alias("fpr"))
 
 
-#: Accuracy of the sketch that brackets an exact percentile: its rank is off by at most one row in so many.
-SKETCH_ACCURACY = 10_000
+#: Accuracy of the sketches that narrow an exact percentile down, and the quantiles that are taken of each.
+SKETCH_ACCURACY, GRID = 10_000, 1_000
+#: Values that are put in order at the end, whatever the number of rows.
+MOST_SORTED = 100_000
 
 
-def exact_percentile(df: DataFrame, column: str, share: float, name: str = "percentile") -> DataFrame:
+def exact_percentile(df: DataFrame, column: str, share: float, name: str = "percentile", most: int = MOST_SORTED) -> DataFrame:
     """One row: the value below which `share` (0 to 1) of the rows lie, between neighbours by proportion; null without rows.
 
-    A mergeable sketch brackets it; the rows below are only counted, and only those in between, a few in ten
-    thousand, are put in order. No task holds a column's different values.
+    Round by round the rows between two bounds are counted and a mergeable sketch of them gives the next bounds, some
+    thousandth of them apart, until no more than `most` rows are left or the value is a bound itself, as where many rows are
+    equal. Counts, not the sketch, tell whether the value lies between. Only what is left is put in order. Every round
+    reads df; ten thousand million rows take three.
     """
     x = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
+    shares = F.array(*(F.lit(i / GRID) for i in range(1, GRID)))
+    lo = hi = safe_lo = safe_hi = None
     margin = 3 / SKETCH_ACCURACY
-    ends = [F.percentile_approx("x", F.lit(min(max(share + d, 0.0), 1.0)), F.lit(SKETCH_ACCURACY)) for d in (-margin, margin)]
-    few = F.count("*") * F.lit(margin) < 4  # then neighbours may lie outside, and all rows are few
-    bracket = x.agg(F.when(few, F.min("x")).otherwise(ends[0]).alias("lo"), F.when(few, F.max("x")).otherwise(ends[1]).alias("hi"))
-    near = x.crossJoin(F.broadcast(bracket))
-    place = near.agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("lo")).alias("below")).select("below", ((F.col("n") - 1) * F.lit(share)).alias("place"))
-    within = near.filter("x between lo and hi").groupBy("x").agg(F.count("*").alias("m"))
-    ranked = within.crossJoin(F.broadcast(place)).withColumn("upto", F.col("below") + F.sum("m").over(Window.orderBy("x")))
-    found = ranked.agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("x"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("x"))).alias("b"), F.first("place").alias("place"))
-    return found.select((F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))).alias(name))
+    while True:
+        above = F.lit(True) if lo is None else F.col("x") > lo
+        below = F.lit(True) if hi is None else F.col("x") < hi
+        inside = above & below
+        r = x.agg(
+            F.count("*").alias("n"), F.count_if(F.lit(False) if lo is None else F.col("x") < lo).alias("lt_lo"), F.count_if(~above).alias("le_lo"), F.count_if(below).alias("lt_hi"),
+            F.count_if(F.lit(True) if hi is None else F.col("x") <= hi).alias("le_hi"), F.percentile_approx(F.when(inside, F.col("x")), shares, F.lit(SKETCH_ACCURACY)).alias("grid"),
+        ).first()
+        n, le, lt = r["n"], r["le_lo"], r["lt_hi"]
+        place = (n - 1) * share
+        first, second = math.floor(place), math.ceil(place)
+        if n and (r["lt_lo"] > first or r["le_hi"] <= second):
+            # the sketch was further off than it should be: back to bounds that hold, and more room
+            lo, hi, margin = safe_lo, safe_hi, margin * 4
+            continue
+        safe_lo, safe_hi, within = lo, hi, lt - le
+        if within <= most or not any(le <= k < lt for k in (first, second)):
+            break
+        down, up = math.floor(((first - le) / within - margin) * GRID) - 1, math.ceil(((second - le) / within + margin) * GRID) - 1
+        lo = r["grid"][min(down, GRID - 2)] if down >= 0 else lo
+        hi = r["grid"][max(up, 0)] if up < GRID - 1 else hi
+        if (lo, hi) == (safe_lo, safe_hi):
+            break
+    ranked = x.filter(inside).groupBy("x").agg(F.count("*").alias("m")).withColumn("upto", F.lit(le) + F.sum("m").over(Window.orderBy("x")))
+
+    def at(k: int) -> Column:
+        """The value of rank k."""
+        return F.lit(lo).cast("double") if k < le else F.lit(hi).cast("double") if k >= lt else F.min(F.when(F.col("upto") > k, F.col("x")))
+
+    found = ranked.agg(F.max("x").alias("any"), at(first).alias("a"), at(second).alias("b"))
+    return found.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(place - first)).alias(name)) if n else found.select(F.lit(None).cast("double").alias(name))
 
 
 def detector_benchmark(df: DataFrame, detectors: list[str], payload: str, truth: str) -> DataFrame:
