@@ -224,18 +224,26 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, ok: np.
 def _across(members: DataFrame, labels: DataFrame, info: DataFrame, texts: DataFrame, spec: Banding, nearest_only: bool) -> DataFrame:
     """Pairs (a, b, sure) of one bucket and different components: links that join what is apart in a block, and candidates.
 
-    Buckets whose members are one component already are left out. A bucket of m members is dealt out to blocks of
-    BLOCK x BLOCK pairs, which any tasks compare in memory: no task holds a bucket. Where sketches agree, pairs of sets
+    Buckets whose members are one component already are left out. A larger bucket is dealt out to blocks of BLOCK x BLOCK
+    pairs, which any tasks compare in memory: no task holds a bucket. Members of its largest component, who needn't be
+    compared with each other, meet the others only: what is sent grows with the product of both numbers. Where sketches agree, pairs of sets
     of up to EXACT_SHINGLES are compared on the full sets at once, and of the links of a block only a spanning forest
     leaves it. Pairs with a larger set leave as candidates: with nearest_only, which comes first, the best of each node
     in each block; without it only they are compared, since the others have been.
     """
     placed = members.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("largest"), F.count("*").alias("m"))
-    mixed = mixed.filter("lo < hi").filter(F.lit(nearest_only) | (F.col("largest") > EXACT_SHINGLES)).select("key", "m")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    own = F.pmod(F.xxhash64("node", "key"), blocks)
-    to = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"), F.max("n").alias("largest"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("major"), F.sum("size").alias("m"), F.max("largest").alias("largest"), F.count("*").alias("parts"))
+    mixed = mixed.filter("parts > 1").filter(F.lit(nearest_only) | (F.col("largest") > EXACT_SHINGLES))
+    few = F.col("m") <= BLOCK
+    minor_blocks = F.when(few, 1).otherwise(F.ceil((F.col("m") - F.col("major.size")) / BLOCK)).cast("bigint")
+    major_blocks = F.when(few, 0).otherwise(F.ceil(F.col("major.size") / BLOCK)).cast("bigint")
+    mixed = mixed.select("key", F.when(~few, F.col("major.component")).alias("major"), minor_blocks.alias("minor_blocks"), major_blocks.alias("major_blocks"))
+    # blocks of the largest component's members are numbered after the others'
+    of_major, hashed, first = F.col("component").eqNullSafe(F.col("major")), F.xxhash64("node", "key"), F.lit(0).cast("bigint")
+    own = F.when(of_major, F.col("minor_blocks") + F.pmod(hashed, F.greatest("major_blocks", F.lit(1)))).otherwise(F.pmod(hashed, F.col("minor_blocks")))
+    last = F.when(of_major, F.col("minor_blocks")).otherwise(F.col("minor_blocks") + F.col("major_blocks")) - 1
+    to = F.transform(F.sequence(first, last), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     large = F.col("n") > EXACT_SHINGLES
     rows = beside(placed, "key", "node", mixed).join(info.drop("n"), "node").join(texts, "node")
     rows = rows.select(
