@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from vigilog.functions.common import micros
 from vigilog.operators import rules
 from vigilog.plans.adapters import adapter, cte
+from vigilog.plans import window_queries  # noqa: F401
 from vigilog.plans.registry import ORACLE, query
 from vigilog.plans.rule_queries import _DAY
 from vigilog.sources.storage import shared_path
 from vigilog.streaming import jobs
+from vigilog.streaming.processors import RuleSet, rule_stream
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -36,6 +38,13 @@ def r9_stateless_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, jobs.stateless_alerts(adapter(spark, sf_dir, "mail", stream=True)), "r9")
 
 
+@query(ORACLE["r9_run_rules"])
+def r9_rule_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules as one stream."""
+    chosen = RuleSet(rules.Threshold(3, 2 * _DAY), rules.Threshold(5, None, True), rules.Threshold(4, 3 * _DAY), rules.Threshold(3, 4 * _DAY), 50)
+    return _run(spark, rule_stream(adapter(spark, sf_dir, "mail", stream=True), chosen), "r9s")
+
+
 @query(f"({ORACLE['r7_impossible_travel']}) UNION ALL ({ORACLE['r8_first_time_ip']})")
 def r7_login_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, jobs.login_alerts(adapter(spark, sf_dir, "mail", stream=True), 50), "r7")
@@ -52,7 +61,13 @@ def r10_gap_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_ip", micros(F.col("start")).alias("start_us"), micros(F.col("end")).alias("end_us"), "total_requests", "bytes_sent")
 
 
-@query()
+_CAPPED = ORACLE["w6_capped_sessions"]
+_WALK = _CAPPED[: _CAPPED.index("SELECT event_id, session_seq")]
+
+
+@query(f"""{_WALK}, parts AS (SELECT source_ip, min(first_us) AS parent_us, session_seq, split_seq, min(us) AS start_us, max(us) AS end_us, count(*) AS total_requests, max(split_seq) OVER (PARTITION BY source_ip, session_seq) AS last FROM walk GROUP BY source_ip, session_seq, split_seq),
+ended AS (SELECT *, lead(start_us) OVER (PARTITION BY source_ip ORDER BY start_us) IS NOT NULL AS over FROM parts)
+SELECT source_ip, parent_us, start_us, end_us, total_requests FROM ended WHERE over OR (end_us + 21600000000) // 1000 + 1 <= (SELECT max(us) FROM web) // 1000 - 600000""")
 def r10_capped_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, jobs.capped_session_stream(adapter(spark, sf_dir, "web", stream=True), "source_ip", gap_seconds=21600, max_seconds=14400, max_events=5), "r10c")
 
