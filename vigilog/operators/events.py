@@ -83,28 +83,49 @@ def normalize_windows_events(df: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of values that windows count the different ones of, and the columns of the counts.
+DIFFERENT = {"file": "distinct_files_accessed", "process": "distinct_processes_used", "ip": "distinct_logon_source_ips", "parent": "distinct_parent_processes", "share": "distinct_shares_accessed"}
+
+
+def values_of_event() -> Column:
+    """An event's values (kind, value), by the rules of each kind: without those that it doesn't have."""
+    eid = F.col("EventID")
+    filled = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
+    of = lambda kind, name, test: F.when(test, F.struct(F.lit(kind).alias("kind"), F.col(name).alias("value")))
+    address = ~F.coalesce(F.col("IpAddress"), F.lit("")).isin("", "local", "-")
+    return F.array_compact(F.array(
+        of("file", "ObjectName", F.col("ObjectName").isNotNull()), of("process", "ProcessName", filled("ProcessName")), of("process", "NewProcessName", filled("NewProcessName")),
+        of("ip", "IpAddress", eid.isin(4624, 4625) & address), of("parent", "ParentProcessName", (eid == 4688) & filled("ParentProcessName")), of("share", "ShareName", (eid == 5140) & filled("ShareName")),
+    ))
+
+
+def _different_values(rows: DataFrame) -> DataFrame:
+    """(user, _w) with the number of different values of each kind, from rows of events with user and _w.
+
+    Each value is made a row (kind, value), of which equal ones become one, map-side first; then rows are counted by
+    kind. So no task holds the values of a user, and no row is expanded for kinds of value that it doesn't have.
+    """
+    different = rows.select("user", "_w", F.explode(values_of_event()).alias("v")).select("user", "_w", "v.kind", "v.value").distinct()
+    return different.groupBy(F.col("user").alias("_user"), F.col("_w").alias("_window")).agg(*(F.count_if(F.col("kind") == kind).alias(name) for kind, name in DIFFERENT.items()))
+
+
 def ueba_window_features(df: DataFrame, user: str = "SubjectUserName", time: str = "TimeCreated", window: str = "1 hour") -> DataFrame:
     """26 behaviour features of each user and tumbling window; window_start is the window's begin.
 
     Needs the normalised event columns and the flags is_read, is_write, is_append, is_delete, is_lolbin.
     """
     eid = F.col("EventID")
-    text = lambda name: F.coalesce(F.col(name), F.lit(""))
     count = lambda *ids: F.count_if(eid.isin(*ids))
     total = lambda name: F.sum(F.col(name).cast("bigint"))
-    known = lambda test, name: F.count_distinct(F.when(test & (text(name) != ""), F.col(name)))
-    processes = F.array_distinct(F.concat(F.collect_set(F.when(text("ProcessName") != "", F.col("ProcessName"))), F.collect_set(F.when(text("NewProcessName") != "", F.col("NewProcessName")))))
     hour = F.median(F.hour(time))
     writes = total("is_write") + total("is_append")
-    ips = F.when(eid.isin(4624, 4625) & ~text("IpAddress").isin("", "local", "-"), F.col("IpAddress"))
-    grouped = df.groupBy(F.col(user).alias("user"), F.window(time, window).alias("_w")).agg(
+    rows = df.withColumn("_w", F.window(time, window)["start"]).withColumn("user", F.col(user)).filter("_w is not null")
+    grouped = rows.groupBy("user", "_w").agg(
         total("is_read").alias("total_read_operations"),
         writes.alias("total_write_operations"),
         total("is_delete").alias("total_delete_operations"),
         F.count("*").alias("total_events"),
         F.round(total("is_read") / (writes + 1), 4).alias("read_write_ratio"),
-        F.count_distinct("ObjectName").alias("distinct_files_accessed"),
-        F.size(processes).cast("bigint").alias("distinct_processes_used"),
         F.count_if(win.is_admin_share(F.col("ObjectName"), F.col("ShareName"))).alias("admin_share_access_count"),
         total("is_lolbin").alias("lolbin_event_count"),
         F.round(F.count_if(~F.hour(time).between(8, 17)) / F.count("*"), 4).alias("off_hour_activity_ratio"),
@@ -113,19 +134,21 @@ def ueba_window_features(df: DataFrame, user: str = "SubjectUserName", time: str
         count(4624).alias("successful_logon_count"),
         count(4625).alias("failed_logon_count"),
         F.round(F.coalesce(F.try_divide(count(4625), count(4624, 4625)), F.lit(0.0)), 4).alias("failed_logon_ratio"),
-        F.count_distinct(ips).alias("distinct_logon_source_ips"),
         count(4648).alias("explicit_credential_count"),
         count(4688).alias("new_process_count"),
         F.count_if((eid == 4688) & F.col("is_lolbin")).alias("suspicious_process_count"),
-        known(eid == 4688, "ParentProcessName").alias("distinct_parent_processes"),
         count(4698).alias("scheduled_task_created_count"),
         count(7045).alias("service_installed_count"),
         count(1102).alias("audit_log_cleared_count"),
         count(4660).alias("object_deleted_count"),
         count(5140).alias("share_session_count"),
-        known(eid == 5140, "ShareName").alias("distinct_shares_accessed"),
     )
-    return grouped.withColumn("window_start", F.col("_w.start")).drop("_w")
+    different = _different_values(rows)
+    names = [c for c in different.columns if c.startswith("distinct_")]
+    found = grouped.join(different, F.col("user").eqNullSafe(F.col("_user")) & (F.col("_w") == F.col("_window")), "left")
+    found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in names}).withColumn("window_start", F.col("_w"))
+    order = ["user", *grouped.columns[2:7], *names[:2], *grouped.columns[7:]]
+    return found.select(*order, *names[2:], "window_start")
 
 
 def flag_events(df: DataFrame) -> DataFrame:

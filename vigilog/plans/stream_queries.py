@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.common import micros
 from vigilog.operators import rules
+from vigilog.operators.events import DIFFERENT
 from vigilog.plans.adapters import adapter, cte
 from vigilog.plans import window_queries  # noqa: F401
 from vigilog.plans.registry import ORACLE, query
@@ -73,10 +74,13 @@ def r10_capped_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{cte("windows")} SELECT "SubjectUserName" AS "user", us // 86400000000 * 86400000000 AS window_us, count(*) AS total_events, count(*) FILTER (EventID = 4624) AS successful_logon_count, count(*) FILTER (EventID = 4625) AS failed_logon_count,
-count(*) FILTER (EventID = 4688) AS new_process_count, count(DISTINCT "ObjectName") AS distinct_files_accessed FROM windows GROUP BY 1, 2 HAVING us // 86400000000 * 86400000000 + 86400000000 <= (SELECT max(us) FROM windows) - {_LATE}""".replace("HAVING us //", "HAVING window_us + 86400000000 <= (SELECT max(us) FROM windows) - 600000000 --"))
+count(*) FILTER (EventID = 4688) AS new_process_count, count(DISTINCT "ObjectName") AS distinct_files_accessed,
+len(list_distinct(list_concat(coalesce(list("ProcessName") FILTER ("ProcessName" <> ''), []), coalesce(list("NewProcessName") FILTER ("NewProcessName" <> ''), [])))) AS distinct_processes_used,
+count(DISTINCT "IpAddress") FILTER (EventID IN (4624, 4625) AND "IpAddress" NOT IN ('', 'local', '-')) AS distinct_logon_source_ips, count(DISTINCT "ParentProcessName") FILTER (EventID = 4688 AND "ParentProcessName" <> '') AS distinct_parent_processes,
+count(DISTINCT "ShareName") FILTER (EventID = 5140 AND "ShareName" <> '') AS distinct_shares_accessed FROM windows GROUP BY 1, 2 HAVING us // 86400000000 * 86400000000 + 86400000000 <= (SELECT max(us) FROM windows) - {_LATE}""".replace("HAVING us //", "HAVING window_us + 86400000000 <= (SELECT max(us) FROM windows) - 600000000 --"))
 def r11_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _run(spark, jobs.window_stream(adapter(spark, sf_dir, "windows", stream=True), "SubjectUserName", "TimeCreated", "1 day"), "r11")
-    return found.select("user", micros(F.col("window_start")).alias("window_us"), "total_events", "successful_logon_count", "failed_logon_count", "new_process_count", "distinct_files_accessed")
+    return found.select("user", micros(F.col("window_start")).alias("window_us"), "total_events", "successful_logon_count", "failed_logon_count", "new_process_count", *DIFFERENT.values())
 
 
 _HOP = 21_600_000_000

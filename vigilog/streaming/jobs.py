@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vigilog.operators.events import DIFFERENT, values_of_event
 from vigilog.operators.rules import ALERT_COLUMNS, SECOND, Counter, Threshold, logins_of, off_hours_login, relay_attempt, sliding_alerts
 
 _ALERT = "alert_type string, severity string, source_ip string, target_user string, us long, event_id long"
@@ -147,13 +148,21 @@ def capped_session_stream(events: DataFrame, key: str, ts: str = "ts", gap_secon
 
 
 def window_stream(events: DataFrame, user: str, ts: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Tumbling behaviour windows of a stream; different values are counted by a set, which a window bounds."""
-    eid = F.col("EventID")
-    grouped = events.withWatermark(ts, late).groupBy(F.col(user).alias("user"), F.window(ts, window).alias("w"))
-    return grouped.agg(
-        F.count("*").alias("total_events"), F.count_if(eid == 4624).alias("successful_logon_count"), F.count_if(eid == 4625).alias("failed_logon_count"), F.count_if(eid == 4688).alias("new_process_count"),
-        F.size(F.collect_set("ObjectName")).cast("bigint").alias("distinct_files_accessed"),
-    ).select("user", F.col("w.start").alias("window_start"), "total_events", "successful_logon_count", "failed_logon_count", "new_process_count", "distinct_files_accessed")
+    """Tumbling behaviour windows of a stream, with exact numbers of different values.
+
+    A value that its window has had is dropped by the state of the values so far, which goes when the watermark
+    has passed the window; what is left is counted with the events. No group holds a set.
+    """
+    seen = events.withWatermark(ts, late).withColumn("w", F.window(ts, window))
+    counted = seen.select(F.col(user).alias("user"), "w", F.lit("event").alias("kind"), "EventID")
+    values = seen.select(F.col(user).alias("user"), "w", F.explode(values_of_event()).alias("v")).select("user", "w", "v.kind", "v.value").dropDuplicates(["user", "w", "kind", "value"])
+    both = counted.unionByName(values.select("user", "w", "kind", F.lit(None).cast(counted.schema["EventID"].dataType).alias("EventID")))
+    number = lambda name, *ids: F.count_if((F.col("kind") == "event") & F.col("EventID").isin(*ids)).alias(name)
+    grouped = both.groupBy("user", "w").agg(
+        F.count_if(F.col("kind") == "event").alias("total_events"), number("successful_logon_count", 4624), number("failed_logon_count", 4625), number("new_process_count", 4688),
+        *(F.count_if(F.col("kind") == kind).alias(name) for kind, name in DIFFERENT.items()),
+    )
+    return grouped.select("user", F.col("w.start").alias("window_start"), *grouped.columns[2:])
 
 
 def hopping_counts(events: DataFrame, key: str, test: Column, least: int, ts: str = "ts", window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
