@@ -77,9 +77,9 @@ def test_importances_are_shares(spark):
 
 def test_phishing_words_raise_the_score(spark):
     rows = [(f"please verify your account password number {i} now", 1.0) for i in range(30)] + [(f"minutes of the garden meeting on day {i} are here", 0.0) for i in range(30)]
-    model = supervised.fit_phishing(spark.createDataFrame(rows, "text string, label double"))
-    texts = [("verify your password now",), ("the garden meeting minutes",), ("short",), (None,)]
-    bad, good, short, none = supervised.score_phishing(spark.createDataFrame(texts, "text string"), model).collect()
+    model = supervised.fit_phishing(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, label double"))
+    texts = [(1, "verify your password now"), (2, "the garden meeting minutes"), (3, "short"), (4, None)]
+    bad, good, short, none = supervised.score_phishing(spark.createDataFrame(texts, "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert bad["phishing_percent"] > 60 > 40 > good["phishing_percent"] and bad["is_suspicious"] and not good["is_suspicious"]
     assert short["phishing_percent"] is None and none["phishing_percent"] is None
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, VectorAssembler
+import math
+from dataclasses import dataclass
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.models import forest
+from vigilog.sources.storage import computed_once
 
 
 def fit_two_stage(train: DataFrame, features: list[str], label: str = "label", n_trees: int = 300, depth: int = 20, least: int = 5, forest_trees: int = 200, seed: int = 42, id_cols: tuple[str, ...] = ()):
@@ -42,35 +44,69 @@ def feature_importance(spark, first: forest.Forest, model) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, splits int")
 
 
-def fit_phishing(train: DataFrame, text: str = "text", label: str = "label", vocabulary: int = 1 << 16):
-    """Words and word pairs weighted by smoothed inverse document frequency, of unit length, for a multinomial naive Bayes.
+#: Terms that are broadcast with their weights, the most frequent ones: any other is a smaller part of all terms of all texts.
+HOT_TERMS = 1000
 
-    The vocabulary has the most frequent terms that two texts or more have; vectors stay sparse throughout.
-    """
-    words = _terms(train, text)
-    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocabulary, minDF=2).fit(words)
-    df = counter.transform(words)
-    rarity = IDF(inputCol="_tf").fit(df).idf.toArray() + 1 if counter.vocabulary else np.zeros(0)
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(rarity), inputCol="_tf", outputCol="_s")
-    return counter, weigh, NaiveBayes(featuresCol="_x", labelCol=label).fit(_scaled(df, weigh))
+
+@dataclass(frozen=True)
+class PhishingModel:
+    """terms: term, n_docs, idf and the logarithms of its probability in plain (p0) and suspicious texts (p1); priors of both."""
+
+    terms: DataFrame
+    prior0: float
+    prior1: float
 
 
-def _terms(df: DataFrame, text: str) -> DataFrame:
-    cleaned = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    words = RegexTokenizer(inputCol="_text", outputCol="_w", pattern=r"(?U)\W+", minTokenLength=2).transform(cleaned)
-    return NGram(n=2, inputCol="_w", outputCol="_b").transform(words).withColumn("_terms", F.concat("_w", "_b")).drop("_text", "_w", "_b")
+def terms_of(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, term, tf): words of two characters or more, and pairs of neighbouring ones, of each text with their number."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)[^\w]+", -1), lambda w: F.length(w) >= 2)
+    rows = df.select(F.col(id_col).alias("id"), words.alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    return rows.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def _scaled(df: DataFrame, weigh: ElementwiseProduct) -> DataFrame:
-    return Normalizer(inputCol="_s", outputCol="_x", p=2.0).transform(weigh.transform(df))
+def _with_terms(counted: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """counted (id, term, tf) with columns of the table of terms, where it has the term. Frequent terms meet theirs by broadcast, so that no task has a word of all texts."""
+    hot = table.orderBy(F.desc("n_docs"), "term").limit(HOT_TERMS).select("term", *(F.col(c).alias(f"_{c}") for c in columns))
+    marked = counted.join(F.broadcast(hot), "term", "left")
+    known = F.col(f"_{columns[0]}").isNotNull()
+    rest = table.join(F.broadcast(hot.select("term")), "term", "left_anti").select("term", *columns)
+    return marked.filter(known).select("id", "term", "tf", *(F.col(f"_{c}").alias(c) for c in columns)).unionByName(marked.filter(~known).select("id", "term", "tf").join(rest, "term"))
 
 
-def score_phishing(df: DataFrame, model, text: str = "text", least: int = 10, suspicious: float = 60.0) -> DataFrame:
-    """df with phishing_percent and is_suspicious (at least 60); texts under 10 characters aren't scored."""
-    counter, weigh, bayes = model
-    scored = bayes.transform(_scaled(counter.transform(_terms(df, text)), weigh))
-    percent = F.when(F.length(text) >= least, F.round(vector_to_array("probability")[1] * 100, 2))
-    return scored.withColumn("phishing_percent", percent).withColumn("is_suspicious", F.coalesce(F.col("phishing_percent") >= suspicious, F.lit(False))).select(*df.columns, "phishing_percent", "is_suspicious")
+def _unit(weighted: DataFrame) -> DataFrame:
+    """x: tf times idf, of unit length in each text."""
+    w = F.col("tf") * F.col("idf")
+    return weighted.withColumn("x", w / F.sqrt(F.sum(w * w).over(Window.partitionBy("id"))))
+
+
+def fit_phishing(train: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label", least_docs: int = 1) -> PhishingModel:
+    """Words and word pairs weighted by smoothed inverse document frequency, of unit length, for a multinomial naive Bayes with add-one smoothing.
+
+    The vocabulary is a table that grows with the texts: every term that least_docs texts have is in it.
+    """
+    counted = terms_of(train, id_col, text)
+    n, positive = train.agg(F.count("*"), F.count_if(F.col(label) == 1)).first()
+    table = counted.groupBy("term").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs).withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("n_docs") + 1)) + 1)
+    table = computed_once(table)
+    labels = train.select(F.col(id_col).alias("id"), F.col(label).alias("_y"))
+    x = _unit(_with_terms(counted, table, ["idf"])).join(labels, "id")
+    sums = computed_once(x.groupBy("term").agg(F.sum(F.when(F.col("_y") == 1, F.col("x")).otherwise(0.0)).alias("s1"), F.sum(F.when(F.col("_y") == 1, 0.0).otherwise(F.col("x"))).alias("s0")))
+    total = sums.agg(F.sum("s0").alias("all0"), F.sum("s1").alias("all1"), F.count("*").alias("size"))
+    share = lambda c: F.log((F.col(f"s{c}") + 1) / (F.col(f"all{c}") + F.col("size"))).alias(f"p{c}")
+    terms = sums.crossJoin(F.broadcast(total)).select("term", share(0), share(1)).join(table, "term")
+    log = lambda k: math.log(k / n) if k else -math.inf
+    return PhishingModel(computed_once(terms.select("term", "n_docs", "idf", "p0", "p1")), log(n - positive), log(positive))
+
+
+def score_phishing(df: DataFrame, model: PhishingModel, id_col: str = "doc_id", text: str = "text", least: int = 10, suspicious: float = 60.0) -> DataFrame:
+    """df with phishing_percent and is_suspicious (at least 60); texts under 10 characters aren't scored. id_col tells rows apart; terms that the model hasn't seen count nothing."""
+    x = _unit(_with_terms(terms_of(df, id_col, text), model.terms, ["idf", "p0", "p1"]))
+    odds = x.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("x") * (F.col("p0") - F.col("p1"))).alias("_odds"))
+    joined = df.join(odds, F.col(id_col) == F.col("_id"), "left")
+    prior = model.prior0 - model.prior1 if model.prior1 > -math.inf else math.inf
+    percent = F.when(F.length(text) >= least, F.round(100 / (1 + F.exp(F.coalesce("_odds", F.lit(0.0)) + F.lit(float(prior)))), 2))
+    return joined.withColumn("phishing_percent", percent).withColumn("is_suspicious", F.coalesce(F.col("phishing_percent") >= suspicious, F.lit(False))).drop("_id", "_odds")
 
 
 def apply_hard_rules(df: DataFrame, verdict: str, unknown: Column, root_target: Column, off_hours: Column) -> DataFrame:

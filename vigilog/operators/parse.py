@@ -191,13 +191,23 @@ def parse_rule_events(lines: DataFrame, year: int, value: str = "value") -> Data
     )
 
 
+#: Lines of a dump that are numbered together.
+STRETCH = 10_000
 METHODS = "GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH|TRACE|CONNECT"
 
 
 def request_blocks(lines: DataFrame, file: str = "source_file", line_no: str = "line_no", value: str = "value") -> DataFrame:
-    """(source_file, block, raw): requests of dump files; a line that begins with a method opens the next one."""
-    w = Window.partitionBy(file).orderBy(line_no).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = lines.withColumn("block", F.sum(F.col(value).rlike(f"^({METHODS}) ").cast("int")).over(w)).filter("block > 0")
+    """(source_file, block, raw): requests of dump files; a line that begins with a method opens the next one.
+
+    Blocks are numbered within stretches of STRETCH lines, and those of the stretches before are added: a file is as many
+    tasks as it has stretches, and a request may go over their ends.
+    """
+    rows = lines.withColumn("_opens", F.coalesce(F.col(value).rlike(f"^({METHODS}) ").cast("int"), F.lit(0))).withColumn("_part", F.floor(F.col(line_no) / STRETCH))
+    opened = rows.groupBy(F.col(file).alias("_file"), F.col("_part").alias("_p")).agg(F.sum("_opens").alias("_n"))
+    before = opened.withColumn("_before", F.sum("_n").over(Window.partitionBy("_file").orderBy("_p")) - F.col("_n")).drop("_n")
+    w = Window.partitionBy(file, "_part").orderBy(line_no).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumn("_own", F.sum("_opens").over(w)).join(before, (F.col(file) == F.col("_file")) & (F.col("_part") == F.col("_p")))
+    numbered = own.withColumn("block", F.col("_own") + F.col("_before")).filter("block > 0")
     ordered = F.array_sort(F.collect_list(F.struct(line_no, value)))
     return numbered.groupBy(file, "block").agg(F.array_join(F.transform(ordered, lambda x: x[value]), "\n").alias("raw"))
 

@@ -15,6 +15,7 @@ from vigilog.plans.aggregate_queries import ueba
 from vigilog.plans.function_queries import _FEATURES, requests_with_features
 from vigilog.plans.join_queries import _SESSION
 from vigilog.plans.registry import query
+from vigilog.sources.storage import computed_once
 from vigilog.plans.window_queries import web_sessions
 
 _FLOW = ["byte_ratio", "packet_ratio", "bytes_per_packet", "connection_intensity", "byte_rate", "log_bytes", "log_packets"]
@@ -66,7 +67,7 @@ _FOLDS = 5
 @query()
 def m7_two_stage_http_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows, each scored by the model that was trained on the other folds."""
-    df = _labelled_requests(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("page_id"), F.lit(_FOLDS)))
+    df = computed_once(_labelled_requests(spark, sf_dir).select("page_id", *_FEATURES, "label", F.pmod(F.xxhash64("page_id"), F.lit(_FOLDS)).alias("fold")))
     scored = []
     for fold in range(_FOLDS):
         first, model = supervised.fit_two_stage(df.filter(F.col("fold") != fold), _FEATURES, n_trees=60, depth=12, forest_trees=50, id_cols=("page_id",))
@@ -79,7 +80,19 @@ def m8_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervised.feature_importance(spark, *supervised.fit_two_stage(_labelled_requests(spark, sf_dir), _FEATURES, n_trees=60, depth=12, forest_trees=50, id_cols=("page_id",)))
 
 
-@query()
+_TERMS = r"""worded AS (SELECT doc_id, text, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda w: length(w) >= 2) AS w FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM worded) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_TERMS}, train AS (SELECT doc_id, toxic AS y FROM labels SEMI JOIN documents USING (doc_id)),
+size AS (SELECT count(*) AS n, count(*) FILTER (y = 1) AS pos FROM train),
+vocabulary AS (SELECT term, ln((1 + any_value(n)) / (count(*) + 1)) + 1 AS idf FROM tf JOIN train USING (doc_id), size GROUP BY term),
+unit AS (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS x FROM tf JOIN vocabulary USING (term)),
+sums AS (SELECT term, coalesce(sum(x) FILTER (y = 1), 0) AS s1, coalesce(sum(x) FILTER (y <> 1), 0) AS s0 FROM unit JOIN train USING (doc_id) GROUP BY term),
+shares AS (SELECT term, ln((s0 + 1) / (sum(s0) OVER () + count(*) OVER ())) - ln((s1 + 1) / (sum(s1) OVER () + count(*) OVER ())) AS odds FROM sums),
+scored AS (SELECT doc_id, sum(x * odds) AS odds FROM unit JOIN shares USING (term) GROUP BY doc_id),
+found AS (SELECT d.doc_id, CASE WHEN length(text) >= 10 THEN round(100 / (1 + exp(coalesce(odds, 0) + ln((n - pos) / pos))), 2) END AS phishing_percent FROM documents d LEFT JOIN scored USING (doc_id), size)
+SELECT doc_id, phishing_percent, coalesce(phishing_percent >= 60, false) AS is_suspicious FROM found""")
 def m9_phishing_text_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     train = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")

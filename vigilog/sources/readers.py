@@ -61,29 +61,42 @@ CSV_SYNONYMS = {"EventID": ("eventid", "event id", "id", "event_id"), "TimeCreat
 
 #: Encodings that exports have, in the order in which they are tried.
 CSV_ENCODINGS = ("UTF-8", "UTF-16", "ISO-8859-1")
-#: Lines whose bytes decide about an encoding.
-ENCODING_LINES = 100
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """The first of CSV_ENCODINGS that the first lines' bytes can be: without NUL and valid UTF-8, with NUL UTF-16, else the last."""
-    head = spark.read.text(path).limit(ENCODING_LINES)
-    nul, bad = head.agg(F.count_if(F.instr("value", "\0") > 0), F.count_if(~F.is_valid_utf8("value"))).first()
-    return CSV_ENCODINGS[1] if nul else CSV_ENCODINGS[2] if bad else CSV_ENCODINGS[0]
+def csv_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files under path by the first of CSV_ENCODINGS that all their bytes can be: without NUL and valid UTF-8, with NUL UTF-16, else the last.
 
+    Every line is looked at, in the JVM; the driver gets a row a file.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.instr("value", "\0").alias("nul"), F.is_valid_utf8("value").alias("valid"))
+    found: dict[str, list[str]] = {}
+    for file, nul, valid in lines.groupBy("file").agg(F.max("nul") > 0, F.bool_and("valid")).orderBy("file").collect():
+        found.setdefault(CSV_ENCODINGS[1] if nul else CSV_ENCODINGS[0] if valid else CSV_ENCODINGS[2], []).append(file)
+    return found
 
-def read_windows_events_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Columns of CSV exports under their standard names; headers are matched by synonym in any case and others kept.
 
-    Without an encoding those of CSV_ENCODINGS are tried in turn on the first lines.
-    """
-    df = spark.read.option("header", True).option("encoding", encoding or csv_encoding(spark, path)).option("multiLine", True).csv(path)
+def _standard_names(df: DataFrame) -> DataFrame:
     by_name = {c.strip().lstrip("\ufeff").lower(): c for c in df.columns}
     chosen = {by_name[s]: standard for standard, names in CSV_SYNONYMS.items() for s in reversed(names) if s in by_name}
     known = {f.lower(): f for f in FIELDS}
     return df.toDF(*(chosen.get(c) or known.get(c.strip().lower(), c.strip()) for c in df.columns))
 
 
+def read_windows_events_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Columns of CSV exports under their standard names; headers are matched by synonym in any case and others kept.
+
+    Without an encoding each file is read in the one that all its lines allow; files of different encodings may have
+    different columns.
+    """
+    read = lambda name, files: _standard_names(spark.read.option("header", True).option("encoding", name).option("multiLine", True).csv(files))
+    files = {encoding: [path]} if encoding else csv_encodings(spark, path)
+    parts = [read(name, own) for name, own in files.items()] or [read(CSV_ENCODINGS[0], [path])]
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more, allowMissingColumns=True)
+    return found
+
+
 FLOW_NUMBERS = ("Source Port", "Destination Port", "NAT Source Port", "NAT Destination Port", "Bytes", "Bytes Sent", "Bytes Received", "Packets", "Elapsed Time (sec)", "pkts_sent", "pkts_received")
 
 
