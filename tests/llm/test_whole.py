@@ -77,3 +77,23 @@ def test_the_pipeline_from_end_to_end(spark, tmp_path):
             assert decoder.decode([int(x) for x in r["ids"]]) == (texts[r["doc_id"]] or "") and r["n_pieces"] == len(r["ids"])
         left = docs.filter(docs["doc_id"].isin([*distinct]))
         assert found and left.count() == len(distinct) and mix_sources(left).count() == len(distinct)
+
+
+def test_quality_verdicts_are_no_worse_than_the_rules(spark):
+    """Labelled texts of two tables that pass the base rules: no more errors than where no rule may accuse, and the same verdict for frequent votes."""
+    from pyspark.sql import functions as F
+
+    from vigilog.llm.quality_rules import judge_quality
+
+    verdicts: list[dict] = []
+    for sf in ("sf0.01", "sf0.1"):
+        labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("label"))
+        judged = judge_quality(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).filter("not base_failed").cache()
+        found = judged.join(labels.filter("label is not null"), "doc_id").withColumn("plain", ~F.col("votes").contains("-1"))
+        wrong = lambda c: F.count_if(F.col(c).cast("int") != F.col("label"))  # noqa: B023, E731
+        errors = found.agg(F.count("*"), wrong("kept"), wrong("plain")).first()
+        assert errors[0] > 300 and errors[1] <= errors[2]
+        often = judged.groupBy("votes").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")).filter("n >= 5").collect()
+        verdicts.append({r["votes"]: r["kept"] for r in often})
+    both = verdicts[0].keys() & verdicts[1].keys()
+    assert len(both) >= 6 and all(verdicts[0][v] == verdicts[1][v] for v in both)

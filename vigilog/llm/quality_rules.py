@@ -16,11 +16,13 @@ MAX_REPEAT_PERCENT = 50
 WINDOW_WORDS = 3
 SYMBOLS = b"#*$%&|<>"
 #: A text is kept if its posterior probability of good quality is this or more.
-KEEP_AT = 0.5
+KEEP_AT = 0.6
 #: What EM starts from, for any rule: the share of good texts, how often it votes against good ones, and against its own kind of bad ones.
 FIRST_GOOD, FALSE_ALARM, DETECTION = 0.85, 0.01, 0.8
 #: How many texts that start weighs as, in each class, whatever the number of texts is.
 PSEUDO_TEXTS = 50.0
+#: The part that may be good of the texts which a rule accuses, if it never votes for one.
+MOST_WRONG = 0.15
 #: A rule that votes against more texts than this is about something else than quality, where most texts are good.
 MOST_AGAINST = 0.5
 
@@ -97,7 +99,9 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tu
     for the texts of each class: its detection rate is that against its own kind, its false alarms those against good
     ones. It starts where each rule finds DETECTION of its kind and accuses FALSE_ALARM of all others; that start
     stays in the estimates as PSEUDO_TEXTS texts a class, so that it fades as texts come in. A rule is better than
-    chance: one that accuses its kind no more often than good texts has the rates of good texts there. Rules that
+    chance: one that accuses its kind no more often than good texts has the rates of good texts there. Of a rule that
+    never votes for a text nothing tells false alarms from detections where the other votes don't: there at most MOST_WRONG
+    of the texts that it accuses are taken to be good ones, in a small table as in a large one. Rules that
     accuse more than MOST_AGAINST of all texts are taken to abstain.
     """
     n_rules = patterns.shape[1] if patterns.ndim == 2 else 0
@@ -106,6 +110,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tu
     n = counts.sum()
     against = np.array([counts[patterns[:, j] == -1].sum() for j in range(n_rules)]) / n
     votes = np.where(against > MOST_AGAINST, 0, patterns) + 1
+    accused = np.maximum(np.array([counts[votes[:, j] == 0].sum() for j in range(n_rules)]) / n, 1e-9)
     favours = (votes == 2).any(0)
     belief = np.empty((n_rules + 1, n_rules, 3))
     for k in range(n_rules + 1):
@@ -129,6 +134,9 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tu
                 rates[:, j, v] = (weight[:, votes[:, j] == v].sum(1) + PSEUDO_TEXTS * belief[:, j, v]) / (total + PSEUDO_TEXTS)
             if rates[j + 1, j, 0] < rates[0, j, 0]:
                 rates[j + 1, j] = rates[0, j]
+            most = MOST_WRONG * accused[j] / share[0]
+            if not favours[j] and rates[0, j, 0] > most:
+                rates[0, j] = (most, *(rates[0, j, 1:] * (1 - most) / (1 - rates[0, j, 0])))
     return classes[0], share, rates
 
 
