@@ -23,3 +23,27 @@ def test_requests_over_the_ends_of_stretches(spark, tmp_path, monkeypatch):
     found = readers.read_http_dump(spark, str(tmp_path)).collect()
     assert len(found) == 120
     assert sorted((r["block"], r["raw"]) for r in found) == sorted((i + 1, b.rstrip("\n")) for i, b in enumerate(blocks) for _ in range(2))
+
+
+def test_a_killed_batch_is_never_seen(spark, tmp_path):
+    """A batch that fails after its rows are written isn't read; when it runs again, and again, its rows are there once."""
+    import pytest
+
+    from vigilog.sources import writers
+
+    path, write = f"file://{tmp_path}/alerts", writers.alert_sink(f"file://{tmp_path}/alerts")
+    rows = lambda: sorted(r["n"] for r in writers.read_alerts(spark, path, "n long").collect())
+    assert rows() == []
+    write(spark.range(3).toDF("n"), 0)
+    put, writers._Files.put = writers._Files.put, lambda *a: (_ for _ in ()).throw(OSError("killed"))
+    try:
+        with pytest.raises(OSError):
+            write(spark.range(10, 13).toDF("n"), 1)
+    finally:
+        writers._Files.put = put
+    assert rows() == [0, 1, 2]
+    for _ in range(2):
+        write(spark.range(10, 13).toDF("n"), 1)
+    assert rows() == [0, 1, 2, 10, 11, 12]
+    write(spark.range(1).toDF("n"), 0)
+    assert rows() == [0, 10, 11, 12]

@@ -113,6 +113,6 @@ def s12_alert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, table = shared_path(spark, "sink"), f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{table[:-1]}[t]").filter("event_type = 'error'").select("event_id")
     stream.writeStream.foreachBatch(writers.alert_sink(f"{path}/alerts", "parquet")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/alerts").select("event_id")
+    return writers.read_alerts(spark, f"{path}/alerts", stream.schema, "parquet").select("event_id")
 
 
