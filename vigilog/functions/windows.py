@@ -21,6 +21,7 @@ ACCESS_FLAGS = {
     "ReadAttributes": 0x80, "WriteAttributes": 0x100, "DELETE": 0x10000, "READ_CONTROL": 0x20000, "WRITE_DAC": 0x40000,
     "WRITE_OWNER": 0x80000, "SYNCHRONIZE": 0x100000,
 }
+#: Fixed values that lolbin flags need to be right: names of Windows' own programs that intruders use. The default of is_lolbin().
 LOLBINS = (
     "powershell.exe", "pwsh.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe", "wmic.exe", "msiexec.exe", "regsvr32.exe",
     "rundll32.exe", "certutil.exe", "bitsadmin.exe", "schtasks.exe", "sc.exe", "net.exe", "net1.exe", "psexec.exe", "psexesvc.exe",
@@ -60,9 +61,9 @@ def decode_access_mask(mask: Column) -> Column:
     return F.array_compact(F.array(*(F.when(number.bitwiseAND(F.lit(bit)) != 0, name) for name, bit in ACCESS_FLAGS.items())))
 
 
-def is_lolbin(*paths: Column) -> Column:
+def is_lolbin(*paths: Column, names: tuple[str, ...] = LOLBINS) -> Column:
     """Whether the file name after the last backslash of any path is a known binary."""
-    named = [F.lower(F.element_at(F.split(F.coalesce(p, F.lit("")), r"\\"), -1)).isin(*LOLBINS) for p in paths]
+    named = [F.lower(F.element_at(F.split(F.coalesce(p, F.lit("")), r"\\"), -1)).isin(*names) for p in paths]
     found = named[0]
     for x in named[1:]:
         found = found | x

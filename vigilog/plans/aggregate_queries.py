@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions import common
 from vigilog.functions.signatures import DETECTORS
-from vigilog.operators import aggregates, events, flows, sessions, topk
+from vigilog.operators import aggregates, events, flows, reports, sessions, topk
 from vigilog.plans.adapters import adapter, cte
 from vigilog.plans.function_queries import _ADMIN, _LOLBIN, _NORMAL, _NUMBER, normalized
 from vigilog.plans.join_queries import _SCORES, _SESSION, sequence, statistical
@@ -142,16 +142,14 @@ def a7_correlate_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CASES} SELECT incident_tracking_id, overall_threat_level, max_statistical_score, max_markov_score, max_resp_bytes, total_raw_events FROM levels WHERE overall_threat_level <> 'NORMAL'")
 def p22_flatten_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = incidents(spark, sf_dir).filter("overall_threat_level <> 'NORMAL'")
-    return flat.select("incident_tracking_id", "overall_threat_level", "max_statistical_score", "max_markov_score", "max_resp_bytes", "total_raw_events")
+    return reports.flatten_incidents(incidents(spark, sf_dir), ["max_resp_bytes"])
 
 
 @query(f"""{_RUNS}, flags AS (SELECT event_id, flagged, alert, status_code FROM web)
 SELECT c.event_id, CASE WHEN is_run THEN 'bulk' WHEN flagged THEN 'alert: ' || alert WHEN status_code >= 400 THEN 'error' ELSE 'normal' END AS kind FROM compressed c JOIN flags USING (event_id)""")
 def p24_label_timeline_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = web_runs(spark, sf_dir).join(adapter(spark, sf_dir, "web").select("event_id", "flagged", "alert", "status_code"), "event_id")
-    kind = F.when(F.col("is_run"), "bulk").when(F.col("flagged"), F.concat(F.lit("alert: "), "alert")).when(F.col("status_code") >= 400, "error").otherwise("normal")
-    return joined.select("event_id", kind.alias("kind"))
+    return joined.select("event_id", reports.event_kind(*map(F.col, ("is_run", "flagged", "alert", "status_code"))).alias("kind"))
 
 
 @query(f"""{_NORMAL}, b AS (SELECT "EventCategory", EventID, count(*) AS events, count(DISTINCT "SubjectUserName") AS users, min(us) AS first_us, max(us) AS last_us FROM norm GROUP BY GROUPING SETS (("EventCategory"), ("EventCategory", EventID), ()))
@@ -163,10 +161,7 @@ def a8_category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_CASES} SELECT overall_threat_level AS name, 'incidents' AS metric, count(*) AS n FROM levels GROUP BY 1 UNION ALL SELECT alert, 'alerts', count(*) FROM web WHERE alert IS NOT NULL GROUP BY 1
 UNION ALL SELECT source_ip, 'events', count(*) FROM web GROUP BY 1 UNION ALL SELECT uri_path, 'uris', count(*) FROM web WHERE flagged GROUP BY 1""")
 def a9_dashboard_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = adapter(spark, sf_dir, "web")
-    part = lambda rows, by, metric: rows.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("n")).select("name", F.lit(metric).alias("metric"), "n")
-    found = part(incidents(spark, sf_dir), "overall_threat_level", "incidents").union(part(df.filter("alert is not null"), "alert", "alerts"))
-    return found.union(part(df, "source_ip", "events")).union(part(df.filter("flagged"), "uri_path", "uris"))
+    return reports.dashboard_metrics(incidents(spark, sf_dir), adapter(spark, sf_dir, "web"))
 
 
 _METRICS = f"{cte('scored')}, c AS (SELECT count(*) FILTER (score >= 60 AND truth = 1) AS tp, count(*) FILTER (score >= 60 AND truth = 0) AS fp, count(*) FILTER (score < 60 AND truth = 0) AS tn, count(*) FILTER (score < 60 AND truth = 1) AS fn FROM scored)"
@@ -200,26 +195,22 @@ def a13_threshold_at_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{cte('scored')} SELECT count(*) FILTER (detector_a) AS by_model, count(*) FILTER (detector_b) AS by_whitelist, count(*) FILTER (detector_a AND detector_b) AS both_found, count(*) FILTER (detector_b AND NOT detector_a) AS whitelist_only FROM scored")
 def a14_detection_source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("detector_a"), F.col("detector_b")
-    return adapter(spark, sf_dir, "scored").agg(F.count_if(a).alias("by_model"), F.count_if(b).alias("by_whitelist"), F.count_if(a & b).alias("both_found"), F.count_if(b & ~a).alias("whitelist_only"))
+    return reports.detection_sources(adapter(spark, sf_dir, "scored"), F.col("detector_a"), F.col("detector_b"))
 
 
 @query(f"{cte('turns')} SELECT severity, apt_phase, count(*) AS n FROM turns WHERE severity <> 'NORMAL' GROUP BY GROUPING SETS ((severity), (apt_phase))")
 def a15_detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = adapter(spark, sf_dir, "turns").filter("severity <> 'NORMAL'")
-    return df.groupingSets([[F.col("severity")], [F.col("apt_phase")]], F.col("severity"), F.col("apt_phase")).agg(F.count("*").alias("n"))
+    return reports.detection_summary(adapter(spark, sf_dir, "turns"))
 
 
 @query(f"{cte('web')} SELECT count(*) AS processed, count(*) FILTER (flagged) AS flagged_events, round(count(*) FILTER (flagged) / count(*) * 100, 4) AS flagged_percent FROM web")
 def a16_layer1_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.count_if("flagged")
-    return adapter(spark, sf_dir, "web").agg(F.count("*").alias("processed"), hit.alias("flagged_events"), F.round(hit / F.count("*") * 100, 4).alias("flagged_percent"))
+    return reports.layer1_stats(adapter(spark, sf_dir, "web"))
 
 
 @query(f"{_RUNS} SELECT CAST(sum(count) AS BIGINT) AS raw_events, count(*) AS compressed_events, round((sum(count) - count(*)) / sum(count), 6) AS rate FROM compressed")
 def a17_compression_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, left = F.sum("count"), F.count("*")
-    return web_runs(spark, sf_dir).agg(raw.alias("raw_events"), left.alias("compressed_events"), F.round((raw - left) / raw, 6).alias("rate"))
+    return reports.compression_rate(web_runs(spark, sf_dir))
 
 
 @query(f"""{cte("flows")}, s AS (SELECT avg(bytes) AS m, stddev_pop(bytes) AS d, min(packets) AS lo, max(packets) AS hi FROM flows WHERE flow_id % 2 = 0)
@@ -304,3 +295,15 @@ SELECT id, truth FROM scored WHERE truth = 1 UNION ALL SELECT id, truth FROM r,
 def t6_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = adapter(spark, sf_dir, "scored").select("id", "truth", (F.col("truth") == 1).alias("is_attack"))
     return topk.balanced_sample(df, "is_attack", "id").select("id", "truth")
+
+
+@query(f"""{cte("web")}, r AS (SELECT event_id, host, row_number() OVER (PARTITION BY host ORDER BY md5(CAST(event_id AS STRING)), event_id) AS i FROM web) SELECT event_id, host FROM r WHERE i <= 40""")
+def t6_limit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty events of each host by hash, for quick runs."""
+    return topk.limit_rows(adapter(spark, sf_dir, "web").select("event_id", "host"), "host", 40, "event_id")
+
+
+@query(f"""{cte("scored")}, u AS (SELECT payload, truth, bool_or(detector_a) AS hit FROM scored GROUP BY ALL) SELECT payload FROM u WHERE truth = 1 AND NOT hit""")
+def a21_missed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attack payloads that a detector never hits."""
+    return aggregates.missed_payloads(adapter(spark, sf_dir, "scored"), "detector_a", "payload", "truth")
