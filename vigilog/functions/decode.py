@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_DECODINGS = 5
-_PADDED = re.compile(r"[A-Za-z0-9+/]{10,}={1,2}")
+_PADDED = re.compile(r"[A-Za-z0-9+/]{12,}={1,2}")
 _BARE = re.compile(r"[A-Za-z0-9+/]{40,}")
 _HEX = re.compile(r"0x([0-9a-fA-F]{8,})")
-#: How base64 of a JSON array of texts begins: that of its first two bytes, as far as they decide it.
-JSON_START = base64.b64encode(b'["').decode()[:3]
+#: How base64 of a JSON array of texts begins: two characters, and a third that its third byte has a part in.
+JSON_START = base64.b64encode(b'["').decode()[:2] + "[I-L]"
 _JSON = re.compile(JSON_START + "[A-Za-z0-9+/]+")
 _READABLE = re.compile(r"[\w/ -]{3}", re.ASCII)
 
@@ -74,7 +74,7 @@ def normalize_payload(*parts: Column, sanitize: bool = True, between: str = " ")
     Texts without a percent sign, '0x', a long run of base64 characters or the start of a JSON array in it stay in the JVM.
     """
     joined = F.concat_ws(between, *parts)
-    needs = joined.contains("%") | joined.contains("0x") | joined.contains(JSON_START) | joined.rlike("[A-Za-z0-9+/]{10,}={1,2}|[A-Za-z0-9+/]{40,}")
+    needs = joined.contains("%") | joined.contains("0x") | joined.rlike(rf"{JSON_START}|[A-Za-z0-9+/]{{12,}}={{1,2}}|[A-Za-z0-9+/]{{40,}}")
 
     @F.pandas_udf(T.StringType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -54,7 +54,7 @@ FETCH_SCHEMES = _words("dict", "file", "gophers?", "imaps?", "jar", "ldaps?", "m
 #: A part of an address as inet_aton() reads it, and those that say 127.
 _PART, _LOOP = r"(?:0x[0-9a-f]{1,8}|\d{1,10})", r"(?:127|0+177|0x0*7f)"
 #: Where a host stands.
-_HOST = r"(?:^|[=/@\s,;(\[])"
+_HOST = r"(?:^|[=/@])"
 
 #: Product tokens of scanners and guessers, as the tools' own documentation gives their agents.
 SCANNERS = _words(
@@ -91,7 +91,7 @@ SIGNATURES: tuple[tuple[str, str, str], ...] = (
     ("xss", "outbreak", r"['\"]/?>+<[a-z!/]|['\"](?:autofocus|style|src|href|formaction|xlink:href)="),
     ("rce", "chain", rf"{_CONTROL}{PROGRAMS}{_ENDS}(?!\s*=)|{_LINE}(?:{PROGRAMS}|{ENGLISH_PROGRAMS})[^\S\r\n]+[-/~.$*][\w/.*{{-]|{_CONTROL}(?:id|ps|env|dir){_ENDS}\s*(?:{END}|[;|&)`])"),
     ("rce", "chain", r"(?:(?<!&)&&|(?<!\|)\|\|)\s*\w"),
-    ("rce", "redirect", rf"\d>&\d|[\w)\"'] >{{1,2}} ?[\w~-]*[./][\w/.-]{{1,100}}(?:{END}|[\s;|&])"),
+    ("rce", "redirect", rf"\d>&\d|(?:[\w)\"'] |^ ?|= ?)>{{1,2}} ?[\w~-]*[./][\w/.-]{{1,100}}(?:{END}|[\s;|&])"),
     ("rce", "path", r"/(?:usr/(?:local/)?)?s?bin/\w|/etc/(?:passwd|shadow|group|crontab|sudoers)\b|/dev/(?:tcp|udp)/|\bcmd\.exe\b|\bsystem32\\\w"),
     # a command by itself, as a web shell takes it
     ("rce", "command", rf"(?:^|[=?])\s*(?:whoami|ifconfig|ipconfig|systeminfo|tasklist)\s*(?:{END}|&|\s[a-z]+/)|\b(?:uname|netstat|powershell) -\w|\bip (?:addr|route|link|neigh)\b|\b(?:cat|head|less|more|tail|type) (?:/|~/|\.\./|[a-z]:\\)\w"),
@@ -110,7 +110,7 @@ SIGNATURES: tuple[tuple[str, str, str], ...] = (
     ("ssrf", "loopback", rf"{_HOST}(?:localhost\b|{_LOOP}(?:\.{_PART}){{1,3}}(?![\w.])|0\.0\.0\.0\b|0x7f[0-9a-f]{{6}}\b|0+177\d{{8}}\b|21[34]\d{{7}}\b|\[?(?:0*:){{1,7}}:?0*1\](?:[/:]|{END})|::1\b)"),
     ("protocol", "split", r"[\r\n]\s*(set-cookie|location|content-type|content-length|host)\s*:"), ("protocol", "redirect", r"[?&](url|next|redirect|return|dest|goto|continue)=(https?:)?//"), ("protocol", "template", r"\{\{.{1,100}?\}\}|\$\{.{1,100}?\}|<%=.{1,100}?%>"),
     ("scanner", "tool", rf"\b{SCANNERS}\b"),
-    ("scanner", "library", rf"^{LIBRARIES}(?:$|[/ (])"),
+    ("scanner", "library", rf"^{LIBRARIES}(?:$|/)"),
     # what comes in an agent and is none: look-ups, shell functions, and names that exploit campaigns are known by
     ("scanner", "payload", r"\$\{[^}]{0,40}(?:jndi|lower|env):|\(\)\s*\{|\b(?:zmeu|morfeus)\b|^hello[-, ]{1,2}world"),
 )

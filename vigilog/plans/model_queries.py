@@ -49,6 +49,13 @@ _BEHAVIOUR = ["total_requests", "req_per_min", "error_404_rate", "error_50x_rate
 _SESSION_ID = ("source_ip", "session_seq")
 
 
+@query(f"""{cte("flows")}, t AS (SELECT quantile_cont(score, 0.02) AS threshold FROM flows) SELECT flow_id, CASE WHEN score < threshold THEN -1 ELSE 1 END AS y_pred FROM flows, t""")
+def m3_tail_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tail of a column of scores."""
+    scored = adapter(spark, sf_dir, "flows").select("flow_id", "score")
+    return forest.flag_tail(scored, forest.tail_threshold(scored)).select("flow_id", "y_pred")
+
+
 @query()
 def m4_statistical_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sessions.session_features(web_sessions(spark, sf_dir), _SESSION)
