@@ -320,7 +320,10 @@ def test_values_of_clashing_columns_stay(spark, tmp_path):
         out = stage(spark, wide, str(tmp_path))
         assert out.columns == wide.columns, name
         found = out.collect()
-        assert found and all(tuple(r) == rows[r["doc_id"] - 1] for r in found), name
+        # two labels of one text are too few for the classifier to keep anything by: its scores are looked at below
+        assert (found or name == "quality classifier") and all(tuple(r) == rows[r["doc_id"] - 1] for r in found), name
+    scored = classify(wide, train(wide.select("doc_id", "text"), spark.read.parquet(str(tmp_path / "labels.parquet")))).collect()
+    assert len(scored) == len(rows) and all(r[c] == f"{c}-{r['doc_id']}" for r in scored for c in OWN if c not in ("score", "predicted"))
     ours = {"keep_id", "group_size", "kept"}
     for r in mark_exact_duplicates(wide).collect():
         assert all(r[c] == f"{c}-{r['doc_id']}" for c in OWN if c not in ours)
