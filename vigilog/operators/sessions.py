@@ -83,7 +83,8 @@ def capped_sessions(df: DataFrame, key: str, time: str, order: str, gap_seconds:
 
     columns = [*sessions.columns, "_begin"]
     plain = joined.filter(~over).select(*columns, F.lit(0).alias("split_seq"))
-    dealt = joined.filter(over).select(*columns).repartition(key, "session_seq").sortWithinPartitions(key, "session_seq", F.asc_nulls_last(time), order)
+    # by a hash of the session, as in rules.threshold_rule()
+    dealt = joined.filter(over).select(*columns).repartition(F.xxhash64(key, "session_seq")).sortWithinPartitions(key, "session_seq", F.asc_nulls_last(time), order)
     capped = dealt.mapInArrow(scan, T.StructType([*dealt.schema, T.StructField("split_seq", T.IntegerType())]))
     both = plain.unionByName(capped)
     return both.withColumn("parent_tracking_id", F.concat_ws("_", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_begin").cast("string"))).drop("_begin")
