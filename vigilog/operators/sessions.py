@@ -194,7 +194,8 @@ def _runs_in_segments(marked: DataFrame, group: str, time: str, order: str, cuts
     last = F.coalesce("_last", "_in")
     breaks = last["what"].isNull() | F.col("_what").isNull() | (last["what"] != F.col("_what")) | F.col("_flag") | last["flag"]
     rows = rows.withColumn("_break", F.when(F.coalesce(breaks, F.lit(True)), F.col("_i"))).drop("_in", "_last", "_own")
-    following = w.rowsBetween(1, Window.unboundedFollowing)
+    # from the last place down: a frame that ends with the last row is read anew for every row
+    following = timelines.before(Window.partitionBy(group, timelines.SEGMENT).orderBy(F.desc("_i")))
     rows = rows.withColumn("_from", F.max("_break").over(timelines.upto(w))).withColumn("_to", F.min("_break").over(following))
     ends = {"_max": F.max("_break"), "_min": F.min("_break"), "_top": F.max("_i")}
 
