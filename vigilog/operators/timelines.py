@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from vigilog.sources.storage import computed_once
+
 #: Segments of a hot key, a power of two.
 SEGMENTS = 64
 #: A key with this part of all rows is hot: there are at most so many.
@@ -28,24 +30,26 @@ SEGMENT = "_segment"
 def timeline_cuts(df: DataFrame, key: str, time: str, least_rows: int = LEAST_ROWS, segments: int = SEGMENTS) -> DataFrame:
     """(cut_key, bounds): for each hot key of df the times at which its time line is cut. At most HOT_KEYS rows.
 
-    Rows are counted by key with map-side combining, and the quantiles of hot keys are mergeable sketches. The table may
-    be written and used for all operators over the same events.
+    Rows are counted by key with map-side combining, and the quantiles of hot keys are mergeable sketches. A sketch depends on
+    the order in which its parts arrive, and an operator uses the cuts several times: they are computed once, so that all its
+    steps have the same segments.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     total = df.agg(F.count("*").alias("_all"))
     hot = counts.crossJoin(F.broadcast(total)).filter((F.col("_n") * HOT_KEYS >= F.col("_all")) & (F.col("_n") > least_rows)).select(F.col(key).alias("cut_key"))
     shares = [F.lit(i / segments) for i in range(1, segments)]
     own = df.select(F.col(key).alias("_k"), F.col(time).cast("bigint").alias("_t")).join(F.broadcast(hot), F.col("_k").eqNullSafe(F.col("cut_key")), "left_semi")
-    return own.groupBy(F.col("_k").alias("cut_key")).agg(F.percentile_approx("_t", F.array(*shares), F.lit(ACCURACY)).alias("bounds"))
+    return computed_once(own.groupBy(F.col("_k").alias("cut_key")).agg(F.percentile_approx("_t", F.array(*shares), F.lit(ACCURACY)).alias("bounds")))
 
 
 def _segment(bounds: Column, time: Column, segments: int) -> Column:
-    """The number of bounds below time, by halving; null times come first."""
-    found, step = F.lit(0), segments // 2
-    while step:
-        found = found + F.when(time > F.get(bounds, found + step - 1), step).otherwise(0)
-        step //= 2
-    return found
+    """The number of bounds below time, by halving; null times come first.
+
+    A loop within one expression: filters on the segment are pushed down as copies of it, and halvings nested into each other would grow
+    with the number of segments.
+    """
+    steps = [F.lit(segments >> i) for i in range(1, segments.bit_length())]
+    return F.aggregate(F.array(*steps), F.lit(0), lambda found, step: found + F.when(time > F.get(bounds, found + step - 1), step).otherwise(0))
 
 
 def in_segments(df: DataFrame, key: str, time: str, cuts: DataFrame, segments: int = SEGMENTS) -> DataFrame:
