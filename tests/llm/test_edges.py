@@ -359,3 +359,25 @@ def test_rows_that_share_an_id_are_linked_apart(spark):
         assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()) == expected
     left = corpus_pipeline.near(spark, docs.distinct(), "")
     assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted({t for t in texts if t not in [(5, OTHER), (7, PROSE + " end")]})
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_repeats_are_found_in_turns_that_each_move_a_part_of_the_strings(spark, monkeypatch, passes):
+    """Strings of all turns together are those of one, no turn has all of them, and rows don't depend on the turns."""
+    rng = np.random.default_rng(3)
+    shared = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(6)]
+    texts = [f"{'x' * i} {shared[i % 6]} own {i * 7919} {shared[(i + i // 6) % 6][:120]}" for i in range(24)]
+    stretches = suffix_dedup._stretches
+    pdf = pd.DataFrame({"id": range(24), "text": texts, "places": [list(range(len(t))) for t in texts]})
+    whole = sum(len(x[1]) for x in stretches(pdf))
+    parts = [sum(len(x[1]) for x in stretches(pdf, turn, 3)) for turn in range(3)]
+    assert sum(parts) == whole and max(parts) < 0.7 * whole
+    monkeypatch.setattr(suffix_dedup, "PASSES", passes)
+    found = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    starts = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            starts.setdefault(t[k : k + 50], i)
+    for i, t in enumerate(texts):
+        gone = {p for k in range(len(t) - 49) if starts[t[k : k + 50]] < i for p in range(k, k + 50)}
+        assert found[i] == (len(gone), "".join(c for p, c in enumerate(t) if p not in gone).encode())

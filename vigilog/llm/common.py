@@ -87,17 +87,19 @@ class Tables:
     """Intermediate tables in the shared folder, for an operator that is done with all of them before it returns."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.written = spark, shared_path(spark, name), 0
+        self.spark, self.path, self.places = spark, shared_path(spark, name), {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.written += 1
-        place = f"{self.path}/{self.written}"
+        place = f"{self.path}/{len(self.places) + 1}"
         with brief_shuffles(self.spark):
             df.write.parquet(place)
-        return self.spark.read.schema(df.schema).parquet(place)
+        kept = self.spark.read.schema(df.schema).parquet(place)
+        self.places[id(kept)] = place, kept
+        return kept
 
-    def drop(self) -> None:
-        drop_path(self.spark, self.path)
+    def drop(self, table: DataFrame | None = None) -> None:
+        """Removes one table, or all of them."""
+        drop_path(self.spark, self.places[id(table)][0] if table is not None else self.path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ MET_AT_ONCE = 6 << 20
 #: A gram is hot if it marks so many places, and one in HOT_SHARE of all at least: so no more than HOT_SHARE grams are.
 HOT_PLACES = 4096
 HOT_SHARE = 1 << 20
+#: Parts of the marks, by hash, whose strings move and are sorted one part after the other, so that the disk holds those of one.
+PASSES = 2
 #: Spans that a task gathers before it hands them on by document.
 SPANS_AT_ONCE = 1 << 20
 
@@ -247,8 +250,11 @@ def range_bits(rows: int) -> int:
     return max(LEAST_RANGE_BITS, (rows // RANGE_DOCS).bit_length())
 
 
-def _stretches(pdf: pd.DataFrame) -> Iterator[tuple]:
-    """Id, mark's hash, first place and bytes (begin, end) of each shared mark's strings and where the mark is, for chunks of documents; then the joined texts."""
+def _stretches(pdf: pd.DataFrame, turn: int = 0, turns: int = 1) -> Iterator[tuple]:
+    """Id, mark's hash, first place and bytes (begin, end) of each shared mark's strings and where the mark is, for chunks of documents; then the joined texts.
+
+    Only the marks whose turn it is: equal strings have equal marks, so that they have the same turn.
+    """
     texts, ids, places = encoded(pdf["text"]), pdf["id"].to_numpy(), pdf["places"].to_numpy()
     for part in chunks(texts):
         own = texts[part]
@@ -258,7 +264,8 @@ def _stretches(pdf: pd.DataFrame) -> Iterator[tuple]:
         for begin, found in zip(at, places[part]):
             found = np.asarray(found) + begin
             wanted[found[found < len(data)]] = True
-        keep = wanted[mark]
+        # the upper half of a mark's hash is small, the lower one isn't
+        keep = wanted[mark] & ((h & _PLACE) % np.uint64(turns) == turn)
         text, h, first, last = text[keep], h[keep], first[keep], last[keep]
         yield ids[part][text].astype(np.int64), h, first - at[text], first, last + LENGTH, mark[keep] - first, data.tobytes()
 
@@ -351,7 +358,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents go on as one, with its places in the batch's first document; the others are repeats already.
     Stretches with the same mark meet and their windows are sorted as suffixes; those that a document with a lower
     id has too are handed on by document. Stretches of very frequent marks go on window by window, under keys of
-    their bytes, so that no task has to take all that surrounds a common phrase.
+    their bytes, so that no task has to take all that surrounds a common phrase. Marks take PASSES turns, each with
+    the texts and shuffles of its own, which are gone before the next.
 
     Null texts are empty. Rows with a null id lose nothing and no other row loses by them. Rows that share
     an id are one document: none loses by another. Ids must be integers. Very long texts are taken whole.
@@ -367,6 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     frequent = marked.filter(F.col("gram").isNotNull() & (F.col("n") >= least)).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
     shared = tables.keep(marked.filter("id is not null").groupBy("id").agg(F.collect_list("place").alias("places")))
+    tables.drop(marked)
 
     def is_hot(h: np.ndarray) -> np.ndarray:
         known = hot.value
@@ -383,10 +392,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 key, at, b, e, to_mark, ids = _windows(*own, raw) if which else own
                 yield ids, key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), at, b, e, raw
 
-    def met(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+    def met(pdf: pd.DataFrame, turn: int, turns: int) -> list[pd.DataFrame]:
         # a function of its own, so that what one portion needs is gone before the next
         parts, strings, joined = [], [], 0
-        for found in _stretches(pdf):
+        for found in _stretches(pdf, turn, turns):
             for doc, key, c, first, begin, end, raw in split(found):
                 order = np.lexsort((key, c))
                 new = np.r_[True, (c[order][1:] != c[order][:-1]) | (key[order][1:] != key[order][:-1])]
@@ -410,10 +419,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         count = np.add.reduceat(~again, edge, dtype=np.int32)
         return [repeats, packed(key[edge], [c[edge], low, count], bits, [strings[i] for i in at[edge]], (doc[~again], first[~again])).assign(sure=False)]
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in chunks(pdf["text"].tolist(), MET_AT_ONCE):
-                yield from met(pdf.iloc[part])
+    def contexts(turn: int, turns: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part in chunks(pdf["text"].tolist(), MET_AT_ONCE):
+                    yield from met(pdf.iloc[part], turn, turns)
+
+        return run
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gathered: list[tuple] = []
@@ -455,8 +467,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if gathered:
             yield spans_by_document(*(np.concatenate(x) for x in zip(*gathered)), bits)
 
-    strings = own.join(shared, "id").mapInPandas(contexts, "range long, data binary, sure boolean").repartition("range").sortWithinPartitions("range")
-    spans = cut(gather_spans(tables.keep(strings.mapInPandas(sort, "range long, data binary"))))
+    found = []
+    for turn in range(PASSES):
+        strings = own.join(shared, "id").mapInPandas(contexts(turn, PASSES), "range long, data binary, sure boolean").repartition("range").sortWithinPartitions("range")
+        found.append(tables.keep(strings.mapInPandas(sort, "range long, data binary")))
+    spans = cut(gather_spans(reduce(DataFrame.union, found)))
     tables.drop()
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
