@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import same
-from vigilog.llm import queries, suffix_dedup
+from vigilog.llm import minhash, queries, suffix_dedup
 from vigilog.llm.exact_dedup import drop_exact_duplicates, mark_exact_duplicates
 from vigilog.llm.licenses import scan_licenses
 from vigilog.llm.minhash import near_duplicates
@@ -381,3 +381,18 @@ def test_repeats_are_found_in_turns_that_each_move_a_part_of_the_strings(spark,
     for i, t in enumerate(texts):
         gone = {p for k in range(len(t) - 49) if starts[t[k : k + 50]] < i for p in range(k, k + 50)}
         assert found[i] == (len(gone), "".join(c for p, c in enumerate(t) if p not in gone).encode())
+
+
+def test_a_bucket_of_some_hundreds_is_one_block(spark, monkeypatch):
+    """Rows that go to blocks, for a bucket of 400 nodes of which 300 are one component: each goes once, and all links are found."""
+    sent, repartition = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, *by: (sent.append(df.count()) if by == ("key", "i", "j") else None, repartition(df, *by))[1])
+    texts = [(i, " ".join(f"w{i // 2 if i >= 300 else 0}x{k}" for k in range(40))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "node long, text string")
+    facts = minhash.cut(minhash.sign(docs, "node", "text", minhash.Banding()).withColumnRenamed("id", "node").join(docs, "node"))
+    members = facts.select(F.lit(1).cast("bigint").alias("key"), "node", "n")
+    labels = docs.filter("node < 300").select("node", F.lit(0).cast("bigint").alias("component"))
+    info = facts.select("node", "n", "sketch", F.array(F.lit(1).cast("bigint")).alias("bands"))
+    found = minhash._across(members, labels, info, docs, minhash.Banding(), True).collect()
+    assert sent == [400]
+    assert {(r["a"], r["b"]) for r in found if r["sure"]} == {(i, i + 1) for i in range(300, 400, 2)}

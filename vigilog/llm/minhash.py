@@ -39,8 +39,8 @@ class Banding:
         return self.bands * self.rows
 
 
-#: Members of a bucket on each side of a block of pairs that is compared in memory.
-BLOCK = 128
+#: Members of a bucket on each side of a block of pairs that is compared in memory: a member goes to a block for each BLOCK of those that it meets.
+BLOCK = 512
 #: Members up to which buckets are compared many at a time, by lists of their pairs.
 FEW = 32
 #: Shingles up to which a block compares the sets themselves, so that it gives confirmed links and not candidates.
