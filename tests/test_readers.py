@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
+from tests.conftest import SF
 from vigilog.operators import parse
 from vigilog.sources import readers
 
@@ -47,3 +50,34 @@ def test_a_killed_batch_is_never_seen(spark, tmp_path):
     assert rows() == [0, 1, 2, 10, 11, 12]
     write(spark.range(1).toDF("n"), 0)
     assert rows() == [0, 10, 11, 12]
+
+
+def test_headers_are_parsed_once(monkeypatch):
+    """Equal headers of many messages are parsed once a task, and what is read from them stays the same."""
+    import email.headerregistry as registry
+
+    class Files:
+        """What a task of parse_mails() does, done here."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run(iter([messages]))
+
+    parsed, call = [], registry.HeaderRegistry.__call__
+    monkeypatch.setattr(registry.HeaderRegistry, "__call__", lambda self, name, value: (parsed.append(name), call(self, name, value))[1])
+    text = 'From: a{}@x.example\nSubject: s\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n--b\nContent-Type: text/plain\n\nhello\n--b\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename="f"\nContent-Transfer-Encoding: base64\n\neHl6\n--b--\n'
+    messages = pd.DataFrame([(str(i), text.format(i).encode()) for i in range(50)], columns=["path", "content"])
+    rows = [r for pdf in readers.parse_mails(Files()) for r in pdf.itertuples()]
+    assert [(r.path, r.sender, r.subject, r.body, r.attachments) for r in rows] == [(str(i), f"a{i}@x.example", "s", "hello", [{"filename": "f", "content": b"xyz"}]) for i in range(50)]
+    assert len(parsed) < 50 + 10
+
+
+def test_an_export_is_several_files(spark, monkeypatch):
+    """No file of the query's exports, which are a task of the reader each, has more rows than set; all rows come back."""
+    from vigilog.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "EXPORT_ROWS", 300)
+    rows = source_queries.s4_read_windows_events_csv(spark, SF)
+    assert len(rows.inputFiles()) >= rows.count() / 300 and rows.count() == 3 * spark.read.parquet(f"{SF}/events.parquet").count()

@@ -32,14 +32,18 @@ def s2_read_windows_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("TaskName").cast("bigint").alias("event_id"), "EventID", F.unix_seconds("TimeCreated").alias("seconds"), "SubjectUserName", "ObjectName")
 
 
+#: Rows of a CSV export, at most.
+EXPORT_ROWS = 500_000
+
+
 @query(f"""{cte("windows")} SELECT encoding, event_id, EventID AS "EventID", "SubjectUserName" || ' Jos\u00e9' AS "SubjectUserName" FROM windows, (SELECT unnest(['UTF-8', 'UTF-16', 'ISO-8859-1']) AS encoding)""")
 def s4_read_windows_events_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as exports in three encodings, which the reader finds out."""
+    """The events as exports in three encodings, which the reader finds out. A file is one task of the reader, so exports have EXPORT_ROWS rows at most."""
     df, found = adapter(spark, sf_dir, "windows"), []
     for encoding in readers.CSV_ENCODINGS:
         path = shared_path(spark, "csv")
         user = F.concat("SubjectUserName", F.lit(" Jos\u00e9"))
-        df.select(F.col("EventID").alias("EVENT ID"), user.alias("Account Name"), F.col("event_id").alias("number ")).coalesce(1).write.option("header", True).option("encoding", encoding).csv(path)
+        df.select(F.col("EventID").alias("EVENT ID"), user.alias("Account Name"), F.col("event_id").alias("number ")).write.option("header", True).option("maxRecordsPerFile", EXPORT_ROWS).option("encoding", encoding).csv(path)
         read = readers.read_windows_events_csv(spark, path)
         found.append(read.select(F.lit(encoding).alias("encoding"), F.col("number").cast("bigint").alias("event_id"), F.col("EventID").cast("int").alias("EventID"), "SubjectUserName"))
     return found[0].union(found[1]).union(found[2])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,6 +114,8 @@ def read_http_dump(spark: SparkSession, path: str) -> DataFrame:
     return request_blocks(read_log_lines(spark, path))
 
 
+#: Parsed headers that a task remembers.
+HEADERS_KEPT = 1024
 _MAIL = "path string, subject string, sender string, reply_to string, auth_headers string, body string, is_html boolean, attachments array<struct<filename:string,content:binary>>"
 
 
@@ -121,8 +124,18 @@ def parse_mails(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from email import message_from_bytes
-        from email.policy import default
+        from email.policy import EmailPolicy
 
+        remember = lru_cache(HEADERS_KEPT)
+
+        class Remembered(EmailPolicy):
+            """The default policy, by which a header is parsed anew whenever it is asked for; here the last ones are remembered."""
+
+            @remember
+            def header_fetch_parse(self, name, value):
+                return super().header_fetch_parse(name, value)
+
+        default = Remembered()
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
