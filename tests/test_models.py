@@ -94,3 +94,11 @@ def test_user_baselines_are_ranges(spark):
     found = registry.QUERIES["m2_per_user_baseline"](spark, SF).toPandas()
     assert found["risk"].between(0, 100).all() and found.groupby("user").size().min() >= 5
     assert found.loc[found["is_anomaly"], "risk"].mean() > found.loc[~found["is_anomaly"], "risk"].mean()
+
+
+def test_the_tail_is_read_from_scores_that_are_there(spark):
+    """The percentile reads its rows in rounds; none of them, nor the flags, asks the forest again."""
+    from tests.conftest import SF
+    from vigilog.plans import model_queries
+
+    assert "ArrowEvalPython" not in model_queries.m3_tail_threshold(spark, SF)._jdf.queryExecution().toString()
