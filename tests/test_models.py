@@ -84,6 +84,29 @@ def test_phishing_words_raise_the_score(spark):
     assert short["phishing_percent"] is None and none["phishing_percent"] is None
 
 
+def test_phishing_texts_meet_their_terms_by_block(spark, duck, monkeypatch):
+    """Of many blocks and buckets the rows are those of SQL, and no row is made for each term of each text."""
+    from tests.conftest import same
+
+    monkeypatch.setattr(supervised, "BLOCK_CHARS", 60_000)
+    monkeypatch.setattr(supervised, "BUCKET_CHARS", 90_000)
+    found = registry.QUERIES["m9_phishing_text_score"](spark, SF)
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    same(found, duck.execute(registry.ORACLE["m9_phishing_text_score"]).df())
+
+
+def test_phishing_texts_without_words_or_model(spark):
+    """An id of several rows is one text; empty texts and an empty training set have the prior only, null labels are no texts of a class."""
+    rows = [(2**60 + 1, "verify your password now", 1.0), (2**60 + 2, "the garden meeting minutes", 0.0), (3, None, None), (4, "verify the garden", None)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    texts = spark.createDataFrame([(2**60 + 1, "verify your"), (2**60 + 1, "password now"), (2**60 + 2, "garden minutes"), (5, "? ! ? ! ? !"), (None, "verify your password")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["phishing_percent"] for r in supervised.score_phishing(texts, supervised.fit_phishing(train)).collect()}
+    assert len(got) == 5 and got[2**60 + 1, "verify your"] == got[2**60 + 1, "password now"] > got[5, "? ! ? ! ? !"] == got[None, "verify your password"] == 25.0 > got[2**60 + 2, "garden minutes"]
+    empty = supervised.score_phishing(texts, supervised.fit_phishing(train.limit(0)))
+    assert {r["phishing_percent"] for r in empty.collect()} == {0.0}
+
+
 def test_nothing_is_odd_during_warm_up(spark):
     df = spark.range(700).select(F.col("id").alias("us"), F.col("id").alias("event_id"), F.when(F.col("id") == 650, 1000.0).otherwise((F.col("id") * 7919 % 101).cast("double")).alias("x"))
     found = {r["event_id"]: r["is_anomaly"] for r in supervised.warm_up_anomaly(df, ["x"]).collect()}
