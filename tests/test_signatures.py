@@ -47,6 +47,17 @@ def test_gates_let_every_sign_through(spark):
         assert df.filter(gated != whole).count() == 0, name
 
 
+def test_texts_without_what_a_pattern_needs_are_not_searched(spark):
+    """Lines of plain prose have nothing that any row needs; signs are found at the edges of lines and after odd white space all the same."""
+    prose = "the garden is open.\nnobody asked why - and that was fine.\n" * 20
+    for name, needs in signatures.GATES.items():
+        assert len(needs) == sum(row[0] == name for row in signatures.SIGNATURES)
+        assert not any(need in prose for row in needs for need in row if need.strip(" ") != "-"), name
+    kept = [("SQLi", "x' or\t\n 1=1"), ("SQLi", "union\x0b\fselect a"), ("RCE", "x\ncat\t-n y"), ("RCE", "x\rhead ~/y"), ("RCE", "wget${ifs}x;id"), ("XSS", "<\x0bs cript\0>"), ("XSS", "<img\r\nsrc=x\fonerror=y>")]
+    df = spark.createDataFrame(kept, "n string, p string")
+    assert [tuple(r) for r in df.collect() if not df.filter(F.col("p") == r["p"]).select(signatures.DETECTORS[r["n"]](F.col("p"))).first()[0]] == []
+
+
 def test_agents(spark):
     known = {"okhttp/4.9": False, "PHP developer toolbar Mozilla/5.0": False, "Mozilla/5.0 (X11) Gecko Firefox/1": False, "curl/8.1": True, "Wget/1.2": True, "Nmap Scripting Engine": True, "Mozilla/5.0 sqlmap/1.7": True, "Mozilla/5.0 (compatible; bingbot/2.0)": False, "Java/17": True, "Javanese reader": False}
     df = spark.createDataFrame(list(known.items()), "p string, t boolean")

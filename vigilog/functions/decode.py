@@ -97,5 +97,7 @@ def _unescaped(texts: pd.Series) -> pd.Series:
 
 def unescape_html(text: Column) -> Column:
     """A text without white space and NUL, HTML entities resolved up to three times; only texts with '&' leave the JVM."""
-    needs = text.contains("&")
-    return F.when(needs, _unescaped(F.when(needs, text))).otherwise(F.regexp_replace(text, r"[\x00\s]", ""))
+    needs, bare = text.contains("&"), text
+    for sign in "\0 \t\n\x0b\f\r":
+        bare = F.replace(bare, F.lit(sign), F.lit(""))
+    return F.when(needs, _unescaped(F.when(needs, text))).otherwise(bare)

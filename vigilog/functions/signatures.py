@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,39 +124,75 @@ SEARCH_BOTS = r"\b(applebot|baiduspider|bingbot|duckduckbot|facebookexternalhit|
 NOTICE_CODES = ("ah00094", "ah00558")
 
 
-#: What no text of a class is without, as one pattern: only texts that have it are searched for the class's signs.
-GATES = {
-    "sqli": r"['\"()@;]|--|#|\d ?= ?\d|\b(?:or (?:true|not)|union|insert|delete|update|select|alter|create|drop|truncate|order by|group by|having|case when|limit|waitfor|exec|into|like|[sx]p_|current_|session_|system_|information_|pg_|sqlite_|mysql|sys|all_|dba_|user_|dbms_|utl_)",
-    "xss": r"[<:(`'\"]|on[a-z]{3,20}=|document\.|window\.|fromcharcode|\.innerhtml|@import|-moz-",
-    "rce": r"[;|&`$>\r\n(]|/(?:usr|local|s?bin|etc|dev)|\.exe|system32|whoami|ifconfig|ipconfig|systeminfo|tasklist| -\w|\bip |\b(?:cat|head|less|more|tail|type) |mkfifo",
-    "ssrf": r"://|169\.|100\.100|fd00:|metadata|latest/|opc/|localhost|127|177|0\.0\.0\.0|0x0*7f|21[34]\d|0*:0*:|::1",
-    "protocol": r"[\r\n{]|=//|=http|<%=",
-}
+#: Of each row of a class in turn, what a text that it matches has one of: only such texts are searched, since a search for
+#: a fixed text costs a small part of one for a pattern.
+GATES: dict[str, tuple[tuple[str, ...], ...]] = {
+    "sqli": (
+        ("_", "@@", "mysql.", "sysobjects", "sys."),
+        ("_", "extractvalue", "listagg", "randomblob", "updatexml", "xmltype", "version(", "database(", "schema(", "user(", "sleep(", "benchmark(", "waitfor "),
+        ("substr(", "substring(", "mid(", "concat(", "concat_ws(", "ifnull(", "nullif(", "ascii(", "ord(", "chr(", "char(", "unhex("),
+        ("xp_", "into outfile", "into dumpfile", "exec ", "execute "),
+        ("union ", ";"), ("select ",), ("insert into ", "delete from ", "update "), ("create ", "alter ", "drop ", "truncate "),
+        ("order by ", "group by ", "having ", "case when ", "limit "),
+        ("=",), ("=",), ("=", "<", ">", "like '", 'like "'), ("or true", "or not ", ") or", ") and", ")or", ")and", "like '", 'like "'),
+        ("--", "#", "/*"),
+    ),
+    "xss": (
+        ("<",), ("=",), ("script:", "mocha:", "data:text/html"),
+        ("alert(", "alert`", "prompt(", "prompt`", "confirm(", "confirm`", "eval(", "eval`", "timeout(", "timeout`", "interval(", "interval`", "atob(", "atob`", "function(", "document.", "fromcharcode", "window.location", ".innerhtml"),
+        ("expression(", "-moz-binding", "@import"), ("><", "="),
+    ),
+    "rce": (
+        (";", "|", "&", "`", "$(", *(space + sign for space in " \t\x0b\f" for sign in "-/~.$*")), ("&&", "||"), (">",), ("bin/", "/etc/", "/dev/", "cmd.exe", "system32"),
+        ("whoami", "ifconfig", "ipconfig", "systeminfo", "tasklist", "uname -", "netstat -", "powershell -", "ip addr", "ip route", "ip link", "ip neigh", " /", " ~/", " ../", ":\\"),
+        ("sh -", "nc -", "cat -", "mkfifo /", "base64 -", " -e", " -c", " -r"), ("exec(", "passthru(", "popen(", "proc_open(", "system(", "eval(", "assert("),
+    ),
+    "lfi": (("../", "..\\"), ("etc/", "proc/", "windows", "boot.ini", "var/log/"), ("://",), ("..%", "..;")),
+    "ssrf": (
+        ("169.254.", "fd00:ec2::254", "100.100.100.200", "metadata."), ("latest/", "computemetadata/v1", "opc/v", "metadata-flavor", "x-aws-ec2-metadata", "metadata:"), ("://",),
+        ("localhost", "127.", "0177", "0x", "0.0.0.0", "213", "214", "1]", "::1"),
+    ),
+    "protocol": (("set-cookie", "location", "content-", "host"), ("=//", "=http"), ("{{", "${", "<%=")),
+}
 
 
 def signature_table(spark) -> DataFrame:
     return spark.createDataFrame(SIGNATURES, "class string, tier string, pattern string")
 
 
+def _named(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), which may name the value often: it is computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(or_, tests)
+
+
 def _matches(text: Column, name: str, signatures: tuple[tuple[str, str, str], ...] = SIGNATURES) -> Column:
-    """Any row of a class; the patterns of a tier are one alternation. A table of the caller's own is searched without a gate."""
+    """Any row of a class. A table of the caller's own is searched without gates, the patterns of a tier as one alternation."""
+    if name in GATES and signatures is SIGNATURES:
+        rows = [(F.lit(pattern), needs) for pattern, needs in zip((x[2] for x in signatures if x[0] == name), GATES[name], strict=True)]
+        found = _named(text, lambda t: _any(_any(t.contains(x) for x in needs) & F.rlike(t, pattern) for pattern, needs in rows))
+        return F.coalesce(found, F.lit(False))
     tiers: dict[str, list[str]] = {}
     for cls, tier, pattern in signatures:
         if cls == name:
             tiers.setdefault(tier, []).append(f"(?:{pattern})")
-    found: Column = F.lit(False)
-    for patterns in tiers.values():
-        found = found | text.rlike("|".join(patterns))
-    if name in GATES and signatures is SIGNATURES:
-        found = text.rlike(GATES[name]) & found
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(_any([F.lit(False), *(text.rlike("|".join(patterns)) for patterns in tiers.values())]), F.lit(False))
+
+
+def _one_space(text: Column) -> Column:
+    """Each run of white space as one space."""
+    for sign in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    return _named(text, lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
 
 
 def detect_sqli(payload: Column) -> Column:
     """After comments and runs of white space are one space; what a conditional comment holds is read."""
-    text = F.lower(payload)
-    open_ = F.when(text.contains("/*"), F.regexp_replace(F.regexp_replace(text, r"(?s)/\*!\d*(.*?)\*/", " $1 "), r"(?s)/\*.*?\*/", " ")).otherwise(text)
-    return _matches(F.regexp_replace(open_, r"\s+", " "), "sqli")
+    open_ = _named(F.lower(payload), lambda t: F.when(t.contains("/*"), F.regexp_replace(F.regexp_replace(t, r"(?s)/\*!\d*(.*?)\*/", " $1 "), r"(?s)/\*.*?\*/", " ")).otherwise(t))
+    return _matches(_one_space(open_), "sqli")
 
 
 def detect_xss(payload: Column) -> Column:
@@ -160,7 +200,8 @@ def detect_xss(payload: Column) -> Column:
 
 
 def detect_rce(payload: Column) -> Column:
-    return _matches(F.replace(F.regexp_replace(F.lower(payload), r"\$\{?ifs\}?", " "), F.lit("\0"), F.lit("")), "rce")
+    text = _named(F.lower(payload), lambda t: F.when(t.contains("ifs"), F.regexp_replace(t, r"\$\{?ifs\}?", " ")).otherwise(t))
+    return _matches(F.replace(text, F.lit("\0"), F.lit("")), "rce")
 
 
 def detect_rce_output(message: Column) -> Column:
