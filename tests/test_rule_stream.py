@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilog.operators import rules
 from vigilog.operators.rules import Threshold
 from vigilog.streaming.jobs import run_available
-from vigilog.streaming.processors import RuleSet, rule_stream
+from vigilog.streaming.processors import LOCATED, Rules, RuleSet, rule_stream
 
 SCHEMA = "event_id long, us long, user string, ip string, service string, action string, reason string, lat double, lon double"
 RULES = RuleSet(Threshold(2, 600), Threshold(4, None, True), Threshold(3, 900), Threshold(4, 3600), 300)
@@ -76,3 +76,23 @@ def test_addresses_expire_apart(spark, tmp_path, forget, expected):
     news = [r[5] for r in got if r[0] == "First Time IP"]
     assert news == ([1] if forget > 86_400 else [1, 50])
     assert len(news) == (1 if expected == 2 else 2)
+
+
+def test_a_batch_asks_for_each_entry_once():
+    """State is read and written once an address and not once a login."""
+    calls = []
+
+    class State(dict):
+        def __getattr__(self, name):
+            work = {"exists": lambda: bool(self), "containsKey": lambda k: k in self, "updateValue": self.__setitem__, "update": lambda v: self.__setitem__("own", v), "get": lambda: self["own"]}[name]
+            return lambda *args: calls.append(name) or work(*args)
+
+        get = property(lambda self: self.__getattr__("get"))
+        update = property(lambda self: self.__getattr__("update"))
+
+    machine = Rules(RULES)
+    machine.counters, machine.known, machine.last = State(), State(), State()
+    row = lambda i: (BASE + i * 1_000_000, i, LOCATED, "ann", "ab"[i % 2], 50.0, 8.0 - 80 * (i == 5))
+    found = machine._take(("user", "ann"), [row(i) for i in range(500)])
+    assert [(r[0], r[5]) for r in found] == [("First Time IP", 1), ("Impossible Travel", 5), ("Impossible Travel", 6)] and len(calls) < 10
+    assert machine._take(("user", "ann"), [row(i) for i in range(500, 503)]) == [] and dict(machine.known) == {("a",): (row(502)[0],), ("b",): (row(501)[0],)}

@@ -48,7 +48,7 @@ class Rules(StatefulProcessor):
     """The rules of one key: an address (kind "ip") or a user.
 
     counters has an entry a rule (times and values counted), known one an address of a user (when it was last used),
-    last is a user's last place. A row writes only the entries that it changes. Without `ordered` the rows of a batch are
+    last is a user's last place. A batch reads and writes each entry that its rows change once. Without `ordered` the rows of a batch are
     taken in order as they come; with it they wait until the watermark has passed them, so that alerts don't depend on how
     events fell into batches. One timer a key is set for what is next: rows that may go on, or an entry that expires.
     """
@@ -65,7 +65,10 @@ class Rules(StatefulProcessor):
         self.timer = handle.getValueState("timer", "ms bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(x) else x for x in r) for pdf in rows for r in pdf[_COLUMNS].itertuples(index=False)]
+        new: list[tuple] = []
+        for pdf in rows:
+            values = pdf[_COLUMNS].astype(object)
+            new += values.where(values.notna(), None).itertuples(index=False, name=None)
         if self.ordered:
             self.waiting.appendList(new)
             found: list[tuple] = []
@@ -135,27 +138,34 @@ class Rules(StatefulProcessor):
                 self.counters.updateValue((name,), (list(counter.times), list(counter.values), mine[-1][0]))
             elif self.counters.containsKey((name,)):
                 self.counters.removeKey((name,))
-        if kind == "user":
-            for us, o, hits, _, ip, lat, lon in rows:
-                if hits & LOCATED:
-                    found += self._login(own, us, o, ip, lat, lon)
+        if kind == "user" and (logins := [r for r in rows if r[2] & LOCATED]):
+            found += self._logins(own, logins)
         return found
 
-    def _login(self, user: str, us: int, o: int, ip: str, lat: float | None, lon: float | None) -> list[tuple]:
-        found = []
-        if not self.known.containsKey((ip,)) and self.known.exists():
-            found.append(("First Time IP", "LOW", ip, user, us, o))
-        self.known.updateValue((ip,), (us,))
-        if lat is None or lon is None:
-            return found
-        if self.last.exists():
-            last_ip, last_lat, last_lon, last_us = self.last.get()
-            if last_ip != ip and us > last_us:
-                a1, a2, d = np.radians(last_lat), np.radians(lat), np.radians(lon - last_lon)
-                a = np.sin((a2 - a1) / 2) ** 2 + np.cos(a1) * np.cos(a2) * np.sin(d / 2) ** 2
-                if 6371.0 * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) / ((us - last_us) / (3600 * SECOND)) > self.rules.limit_kmh:
-                    found.append(("Impossible Travel", "CRITICAL", ip, user, us, o))
-        self.last.update((ip, float(lat), float(lon), us))
+    def _logins(self, user: str, rows: list[tuple]) -> list[tuple]:
+        """Alerts of a user's logins in order. Each address is looked up and written once, and the last place too, however many rows there are."""
+        found: list[tuple] = []
+        used: dict[str, int] = {}
+        some = self.known.exists()
+        before = last = self.last.get() if self.last.exists() else None
+        for us, o, _, _, ip, lat, lon in rows:
+            if some and ip not in used and not self.known.containsKey((ip,)):
+                found.append(("First Time IP", "LOW", ip, user, us, o))
+            used[ip], some = us, True
+            if lat is None or lon is None:
+                continue
+            if last is not None:
+                last_ip, last_lat, last_lon, last_us = last
+                if last_ip != ip and us > last_us:
+                    a1, a2, d = np.radians(last_lat), np.radians(lat), np.radians(lon - last_lon)
+                    a = np.sin((a2 - a1) / 2) ** 2 + np.cos(a1) * np.cos(a2) * np.sin(d / 2) ** 2
+                    if 6371.0 * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) / ((us - last_us) / (3600 * SECOND)) > self.rules.limit_kmh:
+                        found.append(("Impossible Travel", "CRITICAL", ip, user, us, o))
+            last = (ip, float(lat), float(lon), us)
+        for ip, us in used.items():
+            self.known.updateValue((ip,), (us,))
+        if last is not before:
+            self.last.update(last)
         return found
 
 
