@@ -9,7 +9,7 @@ from vigilog.llm.common import Words, connected_components, shingles
 from vigilog.llm.licenses import evaluate, to_postfix
 from vigilog.llm.minhash import Banding, odd_sketches
 from vigilog.llm.quality_rules import fit_votes
-from vigilog.llm.suffix_dedup import LENGTH, equal_windows
+from vigilog.llm.suffix_dedup import BLOCK, GRAM, LENGTH, _alike, equal_windows, marks, packed, range_bits, unpacked
 from vigilog.llm.token_store import Shard, WaveletMatrix, pack_shard
 
 
@@ -82,6 +82,52 @@ def test_equal_windows(parts, shift):
     assert [windows.index(w) for w in windows] == [classes.tolist().index(c) for c in classes.tolist()]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab\n", max_size=130).map(str.encode), min_size=1, max_size=8), st.sampled_from([0, BLOCK - 90, BLOCK - 60, 2 * BLOCK]))
+def test_each_string_has_one_mark(texts, before):
+    """Also across blocks of places: all strings have a mark in them, and equal strings have it at the same place."""
+    texts = [bytes(np.random.default_rng(0).integers(97, 123, before, np.uint8)), *texts, b"passage of which all strings are in two of the texts", *texts]
+    text, h, first, last, own = marks(texts)
+    raw, of, seen = b"\n".join(texts), {}, {}
+    for t, key, a, b, m in zip(text.tolist(), h.tolist(), first.tolist(), last.tolist(), own.tolist()):
+        for at in range(a, b + 1):
+            assert at not in of and at <= m <= at + LENGTH - GRAM
+            of[at] = t
+            assert seen.setdefault(raw[at : at + LENGTH], (m - at, key)) == (m - at, key)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)]).tolist()
+    assert of == {begins[i] + k: i for i, t in enumerate(texts) for k in range(len(t) - LENGTH + 1)}
+
+
+def test_blocks_stay_large_at_any_size():
+    """What a batch of documents sends isn't cut into some rows a block, however many documents there are."""
+    rng = np.random.default_rng(4)
+    key, n = rng.integers(0, 2**63, 200_000).astype(np.uint64) * np.uint64(2), rng.integers(0, 99, 200_000)
+    found = packed(key, [n], range_bits(3_000_000))
+    assert len(found) <= 5_000 and found["range"].is_unique
+    back, m, _ = unpacked(found["data"], ["i8"])
+    assert sorted(zip(back.tolist(), m.tolist())) == sorted(zip(key.tolist(), n.tolist()))
+
+
+def test_strings_that_share_only_their_mark_are_not_sorted():
+    """Windows that another string may have: all that one has are among them, and of strings that share the gram alone there are none."""
+    rng = np.random.default_rng(5)
+    gram = b"0123456789abcdef"
+    sides = [bytes(rng.integers(97, 123, 34, np.uint8)) for _ in range(4)]
+    strings = [(a[34 - m :] + gram + b)[: 50 + int(rng.integers(0, m + 1))] for m in (0, 10, 17, 18, 25, 34) for a in sides for b in sides]
+    mark = np.repeat([0, 10, 17, 18, 25, 34], 16)
+    alone = [bytes(rng.integers(97, 123, 34, np.uint8)) + gram + bytes(rng.integers(97, 123, 34, np.uint8)) for _ in range(50)]
+    strings, mark = strings + alone, np.r_[mark, np.full(50, 34)]
+    size = np.array([len(x) for x in strings])
+    k, first, last = _alike(np.zeros(len(strings), np.uint64), np.cumsum(size) - size, size, mark, b"".join(strings))
+    asked = {(i, w) for i, a, b in zip(k.tolist(), first.tolist(), last.tolist()) for w in range(a, b + 1)}
+    of = {}
+    for i, x in enumerate(strings):
+        for w in range(len(x) - LENGTH + 1):
+            of.setdefault(x[w : w + LENGTH], set()).add((i, w))
+    assert all(x <= asked for x in of.values() if len({i for i, _ in x}) > 1)
+    assert k.max() < len(strings) - 50
+
+
 def test_licence_expressions():
     assert to_postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["MIT", "Apache-2.0", "BSD-3-Clause", "AND", "OR"]
     assert to_postfix("(MIT OR Apache-2.0) AND zlib more prose") == ["MIT", "Apache-2.0", "OR", "zlib", "AND"]

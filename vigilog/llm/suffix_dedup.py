@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -22,13 +23,18 @@ _SPAN = LENGTH - GRAM + 1
 SHALLOW = 16
 #: Suffixes that are sorted together, whole groups of them.
 SORTED_AT_ONCE = 1 << 18
-#: Documents for each range of hashes that moves as one, and the fewest ranges: a range stays as small at any size of the input.
-RANGE_DOCS = 64
+#: Documents for each range of hashes that moves as one, and the fewest ranges: a range stays as small at any size of the input,
+#: and what a batch has for a range stays large enough to be packed.
+RANGE_DOCS = 1024
 LEAST_RANGE_BITS = 12
+#: What moves by document is little beside marks and strings: so many bits less for its ranges.
+FEWER_BITS = 2
+#: Places whose grams are hashed and compared together, so that their arrays stay in a core's cache.
+BLOCK = 1 << 14
 #: Characters of texts whose strings are put together before they move.
-MET_AT_ONCE = 6 << 20
+MET_AT_ONCE = 12 << 20
 #: A gram is hot if it marks so many places, and one in HOT_SHARE of all at least: so no more than HOT_SHARE grams are.
-HOT_PLACES = 4096
+HOT_PLACES = 1 << 15
 HOT_SHARE = 1 << 20
 #: Parts of the marks, by hash, whose strings move and are sorted one part after the other, so that the disk holds those of one.
 PASSES = 2
@@ -37,6 +43,11 @@ SPANS_AT_ONCE = 1 << 20
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = np.uint64((1 << 32) - 1)
+#: Odd numbers for hashes of 32 bits: one for each doubling of what is hashed.
+_ODD = tuple(np.uint32(x) for x in (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1))
+_IN_BLOCK = np.arange(BLOCK, dtype=np.uint32)
+#: Bytes beside a mark's gram of which each window has all on one side at least.
+_HALF = (LENGTH - GRAM) // 2
 
 
 def _words(data: np.ndarray, order: str = "<") -> np.ndarray:
@@ -66,29 +77,65 @@ def window_marks(hashes: np.ndarray, span: int, begin: np.ndarray) -> tuple[np.n
     return begin[edge], begin[np.r_[edge[1:], len(begin)] - 1], mark[edge]
 
 
+def _least(data: np.ndarray) -> np.ndarray:
+    """For each string of LENGTH bytes in at most BLOCK + GRAM - 1 bytes: its smallest hash of a gram, of which the lower bits are the place."""
+    h = data.astype(np.uint32)
+    size = 1
+    for odd in _ODD:  # of one byte, two, four, eight and GRAM bytes
+        h = h[:-size] * odd + h[size:]
+        h ^= h >> np.uint32(15)
+        size *= 2
+    h *= _ODD[0]
+    h &= np.uint32(~(BLOCK - 1) & 0xFFFFFFFF)
+    h |= _IN_BLOCK[: len(h)]
+    size = 1
+    while size * 2 <= _SPAN:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[: len(h) - (_SPAN - size)], h[_SPAN - size :]) if size < _SPAN else h
+
+
+def gram_hashes(data: bytes, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the grams at these places."""
+    eight = np.ndarray((len(data),), "<u8", buffer=data + bytes(8), strides=(1,))
+    h = eight[at] * _A
+    h += eight[at + 8] * _B
+    h ^= h >> np.uint64(29)
+    h *= _C
+    h ^= h >> np.uint64(32)
+    h *= _A
+    return h
+
+
 def marks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Text, hash, first place, last place and own place of each mark; places are in the joined texts, which come last.
+    """Text, hash, first place, last place and own place of each mark; places are in the joined texts.
 
     Every string of LENGTH bytes has one mark: the gram in it with the smallest hash, the leftmost of
     such. So equal strings have equal marks at equal distances, whatever surrounds them (winnowing;
     Schleimer and others, 2003). The strings of a mark begin at its first to its last place.
     """
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    n = len(data)
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    if n < LENGTH + 1:
+    joined = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    found: list[tuple] = []
+    step = BLOCK - _SPAN + 1
+    for at in range(0, len(data) - LENGTH, step):
+        low = _least(data[at : at + step + LENGTH - 1])
+        edge = np.flatnonzero(low[1:] != low[:-1])
+        first = np.r_[0, edge + 1]
+        found.append((first + at, np.r_[edge, len(low) - 1] + at, (low[first] & np.uint32(BLOCK - 1)).astype(np.int64) + at))
+    if not found:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none, none, data
-    words = _words(data)
-    hashes = words[: n - 8] * _A
-    hashes += words[8:n] * _B
-    hashes ^= hashes >> np.uint64(29)
-    hashes *= _C
-    hashes ^= hashes >> np.uint64(32)
-    hashes *= _A
-    text_of = np.repeat(np.arange(len(texts)), np.diff(at))[: n - LENGTH]
-    first, last, own = window_marks(hashes, _SPAN, np.flatnonzero(np.arange(n - LENGTH) + LENGTH < at[1:][text_of]))
-    return text_of[first], hashes[own], first, last, own, data
+        return none, none.astype(np.uint64), none, none, none
+    first, last, own = (np.concatenate(x) for x in zip(*found))
+    # a mark's strings may begin in two blocks
+    edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    first, last, own = first[edge], last[np.r_[edge[1:], len(own)] - 1], own[edge]
+    text = np.searchsorted(ends, own, side="right")
+    first, last = np.maximum(first, (ends - [len(t) + 1 for t in texts])[text]), np.minimum(last, ends[text] - 1 - LENGTH)
+    inside = first <= last
+    text, first, last, own = (x[inside] for x in (text, first, last, own))
+    return text, gram_hashes(joined, own), first, last, own
 
 
 def packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list[bytes] | None = None, places: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
@@ -96,43 +143,42 @@ def packed(key: np.ndarray, columns: list[np.ndarray], bits: int, strings: list[
 
     With strings, rows are in that order already, the last column says how many places each has, and places has them.
     """
-    order = np.argsort(key, kind="stable") if strings is None else np.arange(len(key))
-    key, columns = key[order], [c[order] for c in columns]
+    if strings is None:
+        order = np.argsort(key, kind="stable")
+        key, columns = key[order], [c[order] for c in columns]
     of = (key >> np.uint64(64 - bits)).astype(np.int64)
     edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    bounds = np.r_[edge, len(key)]
+    # what a block takes of each array, as bytes: from where to where
+    taken = [(c, bounds * c.itemsize) for c in (key, *columns)]
+    held = text = np.zeros(len(bounds), np.int64)
+    if strings is not None:
+        sizes = np.fromiter(map(len, strings), np.uint16, len(strings))
+        held, text = (np.cumsum(np.r_[0, x], dtype=np.int64)[bounds] for x in (columns[-1], sizes))
+        taken += [(sizes, bounds * 2), (np.frombuffer(b"".join(strings), np.uint8), text), *((x, held * x.itemsize) for x in places)]
+    heads = np.stack([np.diff(bounds), np.diff(held), np.diff(text)], axis=1).astype(np.uint32)
+    parts = [(memoryview(np.ascontiguousarray(c)).cast("B") if c.size else b"", at.tolist()) for c, at in [(heads.ravel(), np.arange(len(bounds)) * 12), *taken]]
     pack = zstandard.ZstdCompressor(level=1).compress
-    blocks = []
-    upto = np.cumsum(np.r_[0, columns[-1]]) if places else None
-    for b, e in zip(edge, np.r_[edge[1:], len(key)]):
-        body = [np.uint32(e - b).tobytes(), *(c[b:e].tobytes() for c in (key, *columns))]
-        if strings is not None:
-            own = strings[b:e]
-            body += [np.array([len(x) for x in own], np.uint16).tobytes(), *own, *(x[upto[b] : upto[e]].tobytes() for x in places)]
-        blocks.append(pack(b"".join(body)))
-    return pd.DataFrame({"range": of[edge], "data": blocks})
+    return pd.DataFrame({"range": of[edge], "data": [pack(b"".join([raw[at[i] : at[i + 1]] for raw, at in parts])) for i in range(len(edge))]})
 
 
 def unpacked(blocks: pd.Series, kinds: list[str], with_strings: bool = False) -> tuple:
-    """Key and columns of blocks, one after the other, and their strings, with the ids and numbers of their places."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(len(kinds) + 1)]
-    doc, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    strings: list[bytes] = []
-    unpack = zstandard.ZstdDecompressor().decompress
+    """Key and columns of blocks, one after the other, and their strings as bytes and sizes, with the ids and numbers of their places."""
+    kinds = ["u8", *kinds]
+    widths = [np.dtype(kind).itemsize for kind in kinds]
+    parts: list[list[bytes]] = [[] for _ in range(len(kinds) + 4)]
+    unpack, head = zstandard.ZstdDecompressor().decompress, struct.Struct("<III").unpack_from
     for block in blocks:
         raw = unpack(block)
-        n, at = int(np.frombuffer(raw, np.uint32, 1)[0]), 4
-        for part, kind in zip(parts, ["u8", *kinds]):
-            part.append(np.frombuffer(raw, kind, n, at))
-            at += part[-1].nbytes
-        if with_strings:
-            sizes = np.frombuffer(raw, np.uint16, n, at)
-            ends = np.cumsum(sizes, dtype=np.int64) + at + 2 * n
-            strings += [raw[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist())]
-            held, at = int(parts[-1][-1].sum()), int(sizes.sum()) + at + 2 * n
-            if held:
-                doc.append(np.frombuffer(raw, np.int64, held, at))
-                first.append(np.frombuffer(raw, np.int32, held, at + 8 * held))
-    return (*(np.concatenate(p) for p in parts), strings, *((np.concatenate(doc), np.concatenate(first)) if with_strings else ()))
+        n, held, text = head(raw)
+        at = 12
+        for part, size in zip(parts, [n * w for w in widths] + ([2 * n, text, 8 * held, 4 * held] if with_strings else [])):
+            part.append(raw[at : at + size])
+            at += size
+    found = [b"".join(p) for p in parts]
+    columns = [np.frombuffer(x, kind) for x, kind in zip(found, kinds)]
+    sizes, strings, doc, first = found[len(kinds) :]
+    return (*columns, (strings, np.frombuffer(sizes, np.uint16)), *((np.frombuffer(doc, np.int64), np.frombuffer(first, np.int32)) if with_strings else ()))
 
 
 def portions(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
@@ -147,25 +193,43 @@ def portions(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd
                 begin, done = end, size
 
 
-def pack_marks(h: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: int) -> pd.DataFrame:
-    """(range, data) of the marks of a batch of documents, for meet_marks.
+def split_marks(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Hash, document and place of the marks that a batch of documents shares within itself, and (hash, document, place, n) of what the others have to meet.
 
-    What the batch shares within itself is known here: it goes on under a key of its own, and one row with its
-    number tells the others. So a mark's key gets a row a batch and not a row a document.
+    Of marks that are known here to be shared, one row of place -1 with their number tells the others. So a mark's key
+    gets a row a batch and not a row a document.
     """
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, doc, place = h[order], doc[order], place[order]
     edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     count = np.diff(np.r_[edge, len(h)])
     lo = np.minimum.reduceat(doc, edge)
     known = lo != np.maximum.reduceat(doc, edge)
     each = np.repeat(known, count)
-    key = np.where(each, mix(h ^ mix(doc.view(np.uint64) + place.astype(np.uint64))), h)
+    n = np.concatenate([np.ones(len(h) - each.sum(), np.int32), count[known].astype(np.int32)])
+    place_or_none = np.concatenate([place[~each], np.full(known.sum(), -1, place.dtype)])
+    return (h[each], doc[each], place[each]), (np.concatenate([h[~each], h[edge][known]]), np.concatenate([doc[~each], lo[known]]), place_or_none, n)
+
+
+def met_marks(data: pd.Series, kind: str) -> tuple[np.ndarray, ...]:
+    """Document and place of the marks in blocks of (document, place, n) that two documents have; then the hash of each mark and its number."""
+    key, doc, place, n, _ = unpacked(data, ["i8", kind, "i4"])
+    order = np.argsort(key)
+    key, doc, place, n = key[order], doc[order], place[order], n[order]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[edge, len(key)])
+    shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | (np.bitwise_or.reduceat(place == -1, edge))
+    keep = (np.repeat(shared, count) & (place >= 0)) | (place < -1)
+    return doc[keep], np.where(place < -1, -2 - place, place)[keep], key[edge], np.add.reduceat(n.astype(np.int64), edge)
+
+
+def pack_marks(h: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: int) -> pd.DataFrame:
+    """(range, data) of the marks of a batch of documents, for meet_marks: what the batch shares goes on under a key of its own."""
+    (h, known, at), (key, doc, place, n) = split_marks(h, doc, place)
+    key = np.concatenate([mix(h ^ mix(known.view(np.uint64) + at.astype(np.uint64))), key])
     # places from -2 on are known to be shared; -1 tells the others, with the number of the batch's
-    key, doc = np.concatenate([key, h[edge][known]]), np.concatenate([doc, lo[known]])
-    n = np.concatenate([np.where(each, 0, 1), count[known]])
-    place = np.concatenate([np.where(each, -2 - place, place), np.full(known.sum(), -1)])
-    return packed(key, [doc, place.astype(np.int32), n.astype(np.int32)], bits)
+    place, n = np.concatenate([-2 - at, place]), np.concatenate([np.zeros(len(at), np.int32), n])
+    return packed(key, [np.concatenate([known, doc]), place.astype(np.int32), n], bits)
 
 
 def meet_marks(marked: DataFrame) -> DataFrame:
@@ -173,39 +237,76 @@ def meet_marks(marked: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in portions(whole_groups(batches, ["range"])):
-            key, doc, place, n, _ = unpacked(pdf["data"], ["i8", "i4", "i4"])
-            order = np.argsort(key, kind="stable")
-            key, doc, place, n = key[order], doc[order], place[order], n[order]
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            count = np.diff(np.r_[edge, len(key)])
-            shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | (np.bitwise_or.reduceat(place == -1, edge))
-            keep = (np.repeat(shared, count) & (place >= 0)) | (place < -1)
-            yield pd.DataFrame({"id": pd.array(doc[keep], "Int64"), "place": np.where(place < -1, -2 - place, place)[keep], "gram": None, "n": None})
-            total = np.add.reduceat(n.astype(np.int64), edge)
+            doc, place, gram, total = met_marks(pdf["data"], "i4")
+            yield pd.DataFrame({"id": pd.array(doc, "Int64"), "place": place, "gram": None, "n": None})
             hot = total >= HOT_PLACES
-            yield pd.DataFrame({"id": None, "place": None, "gram": pd.array(key[edge][hot].view(np.int64), "Int64"), "n": total[hot]})
+            yield pd.DataFrame({"id": None, "place": None, "gram": pd.array(gram[hot].view(np.int64), "Int64"), "n": total[hot]})
 
     return marked.repartition("range").sortWithinPartitions("range").mapInPandas(meet, "id long, place int, gram long, n long")
 
 
+def _places_by_document(doc: np.ndarray, place: np.ndarray, bits: int) -> pd.DataFrame:
+    """(range, data) of places of documents, for _gather_places."""
+    return packed(mix(doc.view(np.uint64)), [doc, place], bits)
+
+
 def _shared_marks(docs: DataFrame, bits: int) -> DataFrame:
-    """meet_marks of all documents; place is within the text."""
-
-    def marks_of(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-        ids, texts = pdf["id"].to_numpy(np.int64), encoded(pdf["text"])
-        found: list[tuple] = []
-        for part in chunks(texts):
-            own = texts[part]
-            text, h, _, _, place, _ = marks(own)
-            at = np.cumsum([0, *(len(t) + 1 for t in own)])
-            found.append((h, ids[part][text], (place - at[text]).astype(np.int32)))
-        return [pack_marks(*(np.concatenate(x) for x in zip(*found)), bits)] if sum(len(x[0]) for x in found) else []
+    """Rows (range, data) of _places_by_document of every mark that is in another document too, and rows (gram, n) of frequent marks.
+
+    A place is within the text; bits from 32 on have its distance from the first place of the mark's strings, bits from 40 on that of the last from the first.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield from marks_of(pdf)
+            ids, texts = pdf["id"].to_numpy(np.int64), encoded(pdf["text"])
+            found: list[tuple] = []
+            for part in chunks(texts):
+                text, h, first, last, place = marks(texts[part])
+                at = np.cumsum([0, *(len(t) + 1 for t in texts[part])])
+                found.append((h, ids[part][text], (place - at[text]) | (place - first) << 32 | (last - first) << 40))
+            if sum(len(x[0]) for x in found):
+                (_, doc, place), rest = split_marks(*(np.concatenate(x) for x in zip(*found)))
+                yield _places_by_document(doc, place, bits - FEWER_BITS).assign(sure=True)
+                yield packed(rest[0], [*rest[1:]], bits).assign(sure=False)
 
-    return meet_marks(docs.filter("id is not null").mapInPandas(scan, "range long, data binary"))
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = {"range": None, "data": None, "gram": None, "n": None}
+        held: list[tuple] = []
+        for pdf in portions(whole_groups(batches, ["range"])):
+            known = pdf[pdf["sure"]]
+            yield pd.DataFrame(nothing | {"range": known["range"], "data": known["data"]})
+            if not len(known) < len(pdf):
+                continue
+            doc, place, gram, total = met_marks(pdf["data"][~pdf["sure"]], "i8")
+            hot = total >= HOT_PLACES
+            yield pd.DataFrame(nothing | {"gram": gram[hot].view(np.int64), "n": total[hot]})
+            held.append((doc, place))
+            if sum(len(x[0]) for x in held) >= SPANS_AT_ONCE:
+                found = _places_by_document(*(np.concatenate(x) for x in zip(*held)), bits - FEWER_BITS)
+                yield pd.DataFrame(nothing | {"range": found["range"], "data": found["data"]})
+                held = []
+        if held:
+            found = _places_by_document(*(np.concatenate(x) for x in zip(*held)), bits - FEWER_BITS)
+            yield pd.DataFrame(nothing | {"range": found["range"], "data": found["data"]})
+
+    scanned = docs.filter("id is not null").mapInPandas(scan, "range long, data binary, sure boolean")
+    return scanned.repartition("range").sortWithinPartitions("range").mapInPandas(meet, "range long, data binary, gram long, n long")
+
+
+def _gather_places(found: DataFrame) -> DataFrame:
+    """(id, places): the different places of each document in order, from rows of _places_by_document."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in portions(whole_groups(batches, ["range"])):
+            _, doc, place, _ = unpacked(pdf["data"], ["i8", "i8"])
+            order = np.lexsort((place, doc))
+            doc, place = doc[order], place[order]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]
+            doc, place = doc[new], place[new]
+            edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            yield pd.DataFrame({"id": doc[edge], "places": [place[x:y].tobytes() for x, y in zip(edge, np.r_[edge[1:], len(doc)])]})
+
+    return found.repartition("range").sortWithinPartitions("range").mapInPandas(gather, "id long, places binary")
 
 
 def spans_by_document(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, bits: int) -> pd.DataFrame:
@@ -253,21 +354,25 @@ def range_bits(rows: int) -> int:
 def _stretches(pdf: pd.DataFrame, turn: int = 0, turns: int = 1) -> Iterator[tuple]:
     """Id, mark's hash, first place and bytes (begin, end) of each shared mark's strings and where the mark is, for chunks of documents; then the joined texts.
 
-    Only the marks whose turn it is: equal strings have equal marks, so that they have the same turn.
+    Places are those of _shared_marks. Only the marks whose turn it is: equal strings have equal marks, so that they have the same turn.
     """
-    texts, ids, places = encoded(pdf["text"]), pdf["id"].to_numpy(), pdf["places"].to_numpy()
+    texts, ids, places = encoded(pdf["text"]), pdf["id"].to_numpy(), [np.asarray(x, np.int64) for x in pdf["places"]]
     for part in chunks(texts):
-        own = texts[part]
-        text, h, first, last, mark, data = marks(own)
-        at = np.cumsum([0, *(len(t) + 1 for t in own)])
-        wanted = np.zeros(len(data), bool)
-        for begin, found in zip(at, places[part]):
-            found = np.asarray(found) + begin
-            wanted[found[found < len(data)]] = True
+        at = np.cumsum([0, *(len(t) + 1 for t in texts[part])])
+        raw = b"\n".join(texts[part]) + b"\n"
+        text = np.repeat(np.arange(len(at) - 1), [len(x) for x in places[part]])
+        place = np.concatenate(places[part])
+        mark = (place & 0xFFFFFFFF) + at[text]
+        first = mark - (place >> 32 & 0xFF)
+        # of rows that share an id, each has the places of all; what they have there is judged by its bytes
+        last = np.minimum(first + (place >> 40), at[text + 1] - 1 - LENGTH)
+        inside = (first >= at[text]) & (first <= last)
+        text, mark, first, last = text[inside], mark[inside], first[inside], last[inside]
+        h = gram_hashes(raw, mark)
         # the upper half of a mark's hash is small, the lower one isn't
-        keep = wanted[mark] & ((h & _PLACE) % np.uint64(turns) == turn)
-        text, h, first, last = text[keep], h[keep], first[keep], last[keep]
-        yield ids[part][text].astype(np.int64), h, first - at[text], first, last + LENGTH, mark[keep] - first, data.tobytes()
+        keep = (h & _PLACE) % np.uint64(turns) == turn
+        text, h, mark, first, last = text[keep], h[keep], mark[keep], first[keep], last[keep]
+        yield ids[part][text].astype(np.int64), h, first - at[text], first, last + LENGTH, mark - first, raw
 
 
 def _windows(h: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, before: np.ndarray, doc: np.ndarray, raw: bytes) -> tuple[np.ndarray, ...]:
@@ -334,8 +439,34 @@ def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return string, place, classes
 
 
-def _verdicts(strings: list[bytes], low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
-    """Runs (string, first, last, lowest) of windows that are in a document other than the string's only one."""
+def _alike(key: np.ndarray, begin: np.ndarray, size: np.ndarray, mark: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, first and last window of the windows that another string with the same mark may have.
+
+    A window has _HALF bytes or more on one side of the mark: where no other string has these, it is in no other.
+    """
+    eight = np.ndarray((len(raw),), "<u8", buffer=raw + bytes(8), strides=(1,))
+    at, last = begin + mark, size - LENGTH
+
+    def common(which: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+        k = np.flatnonzero(which)
+        h = key[k]
+        for offset in offsets:
+            h = mix(h ^ eight[at[k] + offset])
+        order = np.argsort(h)
+        same = np.flatnonzero(h[order][1:] == h[order][:-1])
+        found = np.zeros(len(key), bool)
+        found[k[order[same]]] = found[k[order[same + 1]]] = True
+        return found
+
+    right = common(mark - last <= _HALF, (GRAM, GRAM + 8, GRAM + _HALF - 8))
+    left = common(mark > _HALF, (-_HALF, 8 - _HALF, -8))
+    first, last = np.where(left, 0, np.maximum(mark - _HALF, 0)), np.where(right, last, np.minimum(last, mark - _HALF - 1))
+    k = np.flatnonzero((left | right) & (first <= last))
+    return k, first[k], last[k]
+
+
+def _verdicts(strings: list[bytes], low: np.ndarray) -> pd.DataFrame:
+    """Runs (string, first, last, lowest) of windows that another string has, of a document lower than the string's own lowest."""
     string, place, classes = equal_windows(strings)
     order = np.argsort(classes, kind="stable")
     edge = np.flatnonzero(np.r_[True, classes[order][1:] != classes[order][:-1]])
@@ -345,7 +476,7 @@ def _verdicts(strings: list[bytes], low: np.ndarray, high: np.ndarray) -> pd.Dat
     run = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (lowest[1:] != lowest[:-1])])
     last = np.r_[run[1:], len(string)] - 1
     found = pd.DataFrame({"string": string[run], "first": place[run], "last": place[last], "lowest": lowest[run]})
-    return found[(found["lowest"] < high[found["string"]])]
+    return found[found["lowest"] < low[found["string"]]]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,12 +500,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, size = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     bits = range_bits(rows)
+    of_documents = bits - FEWER_BITS
     marked = tables.keep(_shared_marks(own, bits))
     # a mark has GRAM bytes and more to itself, so that no more grams than HOT_SHARE are so frequent
     least = (size or 0) // GRAM // HOT_SHARE
     frequent = marked.filter(F.col("gram").isNotNull() & (F.col("n") >= least)).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
-    shared = tables.keep(marked.filter("id is not null").groupBy("id").agg(F.collect_list("place").alias("places")))
+    shared = tables.keep(own.join(_gather_places(marked.filter("range is not null").select("range", "data")), "id"))
     tables.drop(marked)
 
     def is_hot(h: np.ndarray) -> np.ndarray:
@@ -382,7 +514,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
     def split(found: tuple) -> Iterator[tuple]:
-        """Id, key, class, first place and bytes (begin, end, raw) of strings; those of hot grams window by window."""
+        """Key, class, id, first place and bytes (begin, end) of strings and where the mark is; those of hot grams window by window."""
         doc, h, first, begin, end, before, raw = found
         frequent = is_hot(h)
         for which in (False, True):
@@ -390,86 +522,93 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if len(k):
                 own = tuple(x[k] for x in (h, first, begin, end, before, doc))
                 key, at, b, e, to_mark, ids = _windows(*own, raw) if which else own
-                yield ids, key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), at, b, e, raw
+                yield key, mix(span_hashes(raw, b, e) + to_mark.astype(np.uint64)), ids, at, b, e, to_mark
 
-    def met(pdf: pd.DataFrame, turn: int, turns: int) -> list[pd.DataFrame]:
+    def met(pdf: pd.DataFrame, turn: int) -> list[pd.DataFrame]:
         # a function of its own, so that what one portion needs is gone before the next
-        parts, strings, joined = [], [], 0
-        for found in _stretches(pdf, turn, turns):
-            for doc, key, c, first, begin, end, raw in split(found):
-                order = np.lexsort((key, c))
-                new = np.r_[True, (c[order][1:] != c[order][:-1]) | (key[order][1:] != key[order][:-1])]
-                one = order[new]
-                at = np.empty(len(c), np.int64)
-                at[order] = np.cumsum(new) - 1 + joined
-                parts.append((key, c, doc, first.astype(np.int32), (end - begin).astype(np.int32), at))
-                strings += [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
-                joined += len(one)
+        parts, raws, upto = [], [], 0
+        for found in _stretches(pdf, turn, PASSES):
+            parts += [(key, c, doc, first.astype(np.int32), (end - begin).astype(np.int32), begin + upto, before.astype(np.uint8)) for key, c, doc, first, begin, end, before in split(found)]
+            raws.append(found[-1])
+            upto += len(found[-1])
         if not parts:
             return []
-        key, c, doc, first, size, at = (np.concatenate(x) for x in zip(*parts))
+        key, c, doc, first, size, begin, before = (np.concatenate(x) for x in zip(*parts))
         parts.clear()
         # one string for all its places in the batch; what isn't in the batch's first document is a repeat for sure
         order = np.lexsort((c, key))
-        key, c, doc, first, size, at = (x[order] for x in (key, c, doc, first, size, at))
+        key, c, doc, first, size, begin, before = (x[order] for x in (key, c, doc, first, size, begin, before))
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])])
         low = np.minimum.reduceat(doc, edge)
         again = doc > np.repeat(low, np.diff(np.r_[edge, len(key)]))
-        repeats = spans_by_document(doc[again], first[again], (first + size)[again], bits).assign(sure=True)
+        repeats = spans_by_document(doc[again], first[again], (first + size)[again], of_documents).assign(sure=True)
         count = np.add.reduceat(~again, edge, dtype=np.int32)
-        return [repeats, packed(key[edge], [c[edge], low, count], bits, [strings[i] for i in at[edge]], (doc[~again], first[~again])).assign(sure=False)]
+        raw = b"".join(raws)
+        strings = [raw[a : a + n] for a, n in zip(begin[edge].tolist(), size[edge].tolist())]
+        return [repeats, packed(key[edge], [c[edge], low, before[edge], count], bits, strings, (doc[~again], first[~again])).assign(sure=False)]
 
-    def contexts(turn: int, turns: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def contexts(turn: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
+                pdf["places"] = [np.frombuffer(x, np.int64) for x in pdf["places"]]
                 for part in chunks(pdf["text"].tolist(), MET_AT_ONCE):
-                    yield from met(pdf.iloc[part], turn, turns)
+                    yield from met(pdf.iloc[part], turn)
 
         return run
 
+    def judged(data: pd.Series) -> Iterator[tuple[np.ndarray, ...]]:
+        """Document, begin and end of the repeats among the strings of whole ranges, but for those known to be ones."""
+        key, c, low, mark, count, (raw, size), doc, first = unpacked(data, ["i8", "i8", "u1", "i4"], True)
+        size, mark, begin = size.astype(np.int64), mark.astype(np.int64), np.cumsum(size, dtype=np.int64) - size
+        order = np.lexsort((c, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (c[order][1:] != c[order][:-1])]
+        edge, one = np.flatnonzero(new), np.empty(len(key), np.int64)
+        one[order] = np.cumsum(new) - 1
+        low, high = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(low[order], edge)
+        key, size, mark, begin = (x[order[edge]] for x in (key, size, mark, begin))
+        # places by string
+        own = np.repeat(one, count)
+        by = np.argsort(own, kind="stable")
+        doc, first, places = doc[by], first[by], np.searchsorted(own[by], np.arange(len(edge) + 1))
+
+        def spans(string: np.ndarray, begin: np.ndarray, last: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, ...]:
+            """The windows begin to last of strings, at all their places in documents above the lowest."""
+            n = places[string + 1] - places[string]
+            at = np.repeat(places[string], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            run = np.repeat(np.arange(len(string)), n)
+            run, at = (x[lowest[run] < doc[at]] for x in (run, at))
+            return doc[at], first[at] + begin.astype(np.int32)[run], first[at] + last.astype(np.int32)[run] + np.int32(LENGTH)
+
+        again = np.flatnonzero(low < high)
+        yield spans(again, np.zeros(len(again), np.int64), size[again] - LENGTH, low[again])
+        k, b, e = _alike(key, begin, size, mark, raw)
+        key, low, begin = key[k], low[k], begin[k]
+        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else []
+        windows, at = np.cumsum(e - b + 1), 0
+        while at < len(key):
+            before = windows[at - 1] if at else 0
+            fits = ends[(ends > at) & (windows[ends - 1] - before <= SORTED_AT_ONCE)]
+            end = int(fits[-1]) if len(fits) else int(ends[ends > at][0])
+            found = _verdicts([raw[x:y] for x, y in zip((begin + b)[at:end].tolist(), (begin + e + LENGTH)[at:end].tolist())], low[at:end])
+            string = found["string"].to_numpy() + at
+            yield spans(k[string], found["first"].to_numpy() + b[string], found["last"].to_numpy() + b[string], found["lowest"].to_numpy())
+            at = end
+
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gathered: list[tuple] = []
         for pdf in portions(whole_groups(batches, ["range"])):
             yield pdf.loc[pdf["sure"], ["range", "data"]]
-            pdf = pdf[~pdf["sure"]]
-            if not len(pdf):
-                continue
-            key, c, low, count, strings, doc, first = unpacked(pdf["data"], ["i8", "i8", "i4"], True)
-            own = np.repeat(np.arange(len(key)), count)
-            order = np.lexsort((c, key))
-            new = np.r_[True, (key[order][1:] != key[order][:-1]) | (c[order][1:] != c[order][:-1])]
-            edge = np.flatnonzero(new)
-            one = np.empty(len(key), np.int64)
-            one[order] = np.cumsum(new) - 1
-            low, high = np.minimum.reduceat(low[order], edge), np.maximum.reduceat(low[order], edge)
-            key, strings = key[order][edge], [strings[i] for i in order[edge]]
-            # places by string
-            by = np.argsort(one[own], kind="stable")
-            doc, first, places = doc[by], first[by], np.searchsorted(one[own][by], np.arange(len(edge) + 1))
-            ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-            windows = np.cumsum([len(x) - LENGTH + 1 for x in strings])
-            begin = 0
-            while begin < len(key):
-                before = windows[begin - 1] if begin else 0
-                fits = ends[(ends > begin) & (windows[ends - 1] - before <= SORTED_AT_ONCE)]
-                end = int(fits[-1]) if len(fits) else int(ends[ends > begin][0])
-                found = _verdicts(strings[begin:end], low[begin:end], high[begin:end])
-                string = found["string"].to_numpy() + begin
-                n = places[string + 1] - places[string]
-                at = np.repeat(places[string], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                run = np.repeat(np.arange(len(string)), n)
-                run, at = (x[found["lowest"].to_numpy()[run] < doc[at]] for x in (run, at))
-                gathered.append((doc[at], first[at] + found["first"].to_numpy(np.int32)[run], first[at] + found["last"].to_numpy(np.int32)[run] + np.int32(LENGTH)))
-                begin = end
+            if not pdf["sure"].all():
+                gathered += judged(pdf["data"][~pdf["sure"]])
             if sum(len(x[0]) for x in gathered) >= SPANS_AT_ONCE:
-                yield spans_by_document(*(np.concatenate(x) for x in zip(*gathered)), bits)
+                yield spans_by_document(*(np.concatenate(x) for x in zip(*gathered)), of_documents)
                 gathered = []
         if gathered:
-            yield spans_by_document(*(np.concatenate(x) for x in zip(*gathered)), bits)
+            yield spans_by_document(*(np.concatenate(x) for x in zip(*gathered)), of_documents)
 
     found = []
     for turn in range(PASSES):
-        strings = own.join(shared, "id").mapInPandas(contexts(turn, PASSES), "range long, data binary, sure boolean").repartition("range").sortWithinPartitions("range")
+        strings = shared.mapInPandas(contexts(turn), "range long, data binary, sure boolean").repartition("range").sortWithinPartitions("range")
         found.append(tables.keep(strings.mapInPandas(sort, "range long, data binary")))
     spans = cut(gather_spans(reduce(DataFrame.union, found)))
     tables.drop()
